@@ -93,8 +93,7 @@ def joined_pairs(own: np.ndarray, guests: np.ndarray, top: int, budget: int):
             f, same = f[~leaf], same[~leaf]
             if not len(f):
                 continue
-            bit = np.uint64(1) << np.uint64(BITS - 1 - level)
-            below = np.uint64(2) * bit - np.uint64(1)
+            bit, below = np.uint64(1 << (BITS - 1 - level)), np.uint64((1 << (BITS - level)) - 1)
 
             def middle(values, lo, hi, bit=bit, below=below):
                 return np.clip(np.searchsorted(values, (values[lo] & ~below) | bit), lo, hi)
