@@ -17,12 +17,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_dedup
+
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_digest
+
+    return secret_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"))["documents"].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_dedup import phrase_dedup
+
+    return phrase_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -35,6 +53,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_filter
+
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op9_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pfp_dedup import pfp_dedup
+
+    return pfp_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_dedup
 
@@ -50,9 +80,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_pivot_dedup": op2_pivot_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op4_source_mixing": op4_source_mixing,
+        "op5_phrase_dedup": op5_phrase_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_url_filter": op8_url_filter,
+        "op9_pfp_dedup": op9_pfp_dedup,
         "op10_simhash_dedup": op10_simhash_dedup,
         "pipeline": pipeline,
     }
