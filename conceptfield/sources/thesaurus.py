@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,15 @@ def write_cache(edges: DataFrame, path: str) -> DataFrame:
     return T.relation_counts(edges)
 
 
-def conceptnet_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of a JSON cache: a list in one file, or lines."""
-    return spark.read.schema("rel string, start string, end string, weight double").option("multiLine", True).json(path)
+def conceptnet_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Edges of a JSON cache: a list in one file, or lines as `write_cache` leaves them. A missing file has no edges."""
+    schema = "rel string, start string, end string, weight double"
+    try:
+        return spark.read.schema(schema).option("multiLine", not lines).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def ruwordnet(spark: SparkSession, senses: list[str], relations: list[str]) -> DataFrame:
