@@ -46,9 +46,9 @@ def consolidate_stream(parts: DataFrame, cfg: Config = Config()) -> DataFrame:
 BURSTS = "chat string, sender string, ts double, n int, text string"
 
 
-def burst_stream(messages: DataFrame, window: float = 45.0, least: int = 10) -> DataFrame:
-    """Bursts of a stream of messages (chat, id, sender, ts, text): a burst is given out when a later message closes it or
-    when processing time has passed without one."""
+def burst_stream(messages: DataFrame, window: float = 45.0, least: int = 10, idle: float | None = None) -> DataFrame:
+    """Bursts of a stream of messages (chat, id, sender, ts, text): a burst is given out when a later message closes it or,
+    with `idle`, when so many seconds of processing time have passed without one."""
     def run(key, frames, state):
         now = list(state.get) if state.exists and not state.hasTimedOut else None
         out = []
@@ -64,8 +64,9 @@ def burst_stream(messages: DataFrame, window: float = 45.0, least: int = 10) ->
                     out.append((*key, *now))
                 now = [row["sender"], row["ts"], 1, row["text"]]
             state.update(tuple(now))
-            state.setTimeoutDuration(int(1000 * window))
+            if idle is not None:
+                state.setTimeoutDuration(int(1000 * idle))
         yield pd.DataFrame([r for r in out if len(r[4]) >= least], columns=["chat", "sender", "ts", "n", "text"])
 
     rows = messages.withColumn("chat", F.col("chat").cast("string")).withColumn("sender", F.col("sender").cast("string"))
-    return rows.groupBy("chat").applyInPandasWithState(run, BURSTS, "sender string, ts double, n int, text string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("chat").applyInPandasWithState(run, BURSTS, "sender string, ts double, n int, text string", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
