@@ -34,7 +34,7 @@ def translate_word(word: Column, table: Mapping[str, str]) -> Column:
     """
     if not table:
         return word
-    core = F.lower(F.regexp_replace(word, "^[" + EDGES.replace("-", r"\-") + "]+|[" + EDGES + "]+$", ""))
+    core = F.lower(F.btrim(word, F.lit(EDGES)))
     pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in table]), F.array(*[F.lit(v) for v in table.values()]))
     at = F.instr(F.lower(word), core)
     changed = F.concat(F.substring(word, F.lit(1), at - 1), F.element_at(pairs, core), F.substring(word, at + F.length(core), F.length(word)))

@@ -7,6 +7,7 @@ permutations of coordinates: they keep lengths, traces and spectra, and differen
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(v: Column) -> Column:
     """v over its length; null if the length is next to nothing."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 1e-10, F.transform(v, lambda x: x / norm))
+    def scaled(s: Column) -> Column:
+        return F.when(s["n"] > 1e-10, F.transform(s["v"], lambda x: x / s["n"]))
+
+    def measured(w: Column) -> Column:
+        return F.struct(w.alias("v"), F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x)).alias("n"))
+
+    return let(let(v, measured), scaled)
 
 
 def hash_vector(term: Column, dim: int) -> Column:
@@ -41,11 +52,11 @@ def in_role(v: Column, role: str, dim: int) -> Column:
     return F.transform(F.arrays_zip(F.array(*[F.lit(p) for p in order]).alias("p"), F.array(*[F.lit(s) for s in sign]).alias("s")), lambda x: x["s"] * F.element_at(v, x["p"] + 1))
 
 
-def encode(noun: Column, verb: Column, quality: Column, intensity: Column, noun_role: str, verb_role: str, dim: int) -> Column:
+def encode(noun: Column, verb: Column, quality: Column, intensity: Column) -> Column:
     """Unit vector of a judgment seen from one side: the other noun in its role plus, signed by quality and scaled by
-    intensity, the verb in its role."""
+    intensity, the verb in its role. Both are given as turned into their roles."""
     factor = F.when(quality == "NEGATIVE", -intensity).otherwise(intensity)
-    return unit(F.zip_with(in_role(noun, noun_role, dim), in_role(verb, verb_role, dim), lambda a, b: a + factor * b))
+    return unit(F.zip_with(noun, verb, lambda a, b: a + factor * b))
 
 
 def fitted(v: Column, dim: int) -> Column:

@@ -53,21 +53,22 @@ def fan_out(judgments: DataFrame, cfg: Config = Config(), pronouns=lexicons.PRON
 
 
 def encoded(judgments: DataFrame, cfg: Config = Config(), seeds: DataFrame | None = None, personal: DataFrame | None = None) -> DataFrame:
-    """judgments with v_subject, v_object and v_verb. Each term's vector is computed once and joined.
+    """judgments with v_subject, v_object and v_verb. Each term's vector is computed, and turned into its
+    roles, once and joined.
 
     personal, (term, vector), is frozen for the batch: a concept's components don't change others' vectors meanwhile.
     """
     terms = judgments.select(F.explode(F.array("subject", "verb", "object")).alias("term"))
     table = vectors.term_vectors(terms, cfg.dim, seeds, personal)
 
-    def known(name: str) -> DataFrame:
-        return table.select(F.col("term").alias(name), F.col("vector").alias(f"_{name}"))
+    def known(name: str, **roles: str) -> DataFrame:
+        turned = [vectors.in_role(F.col("vector"), role, cfg.dim).alias(out) for out, role in roles.items()]
+        return table.select(F.col("term").alias(name), *turned, *[F.col("vector").alias("v_verb")] * (name == "verb"))
 
-    rows = judgments.join(known("subject"), "subject").join(known("verb"), "verb").join(known("object"), "object")
+    rows = judgments.join(known("subject", _s="subject_in_object"), "subject").join(known("verb", _v="verb", _vo="verb_in_object"), "verb").join(known("object", _o="object"), "object")
     quality, intensity = F.col("quality"), F.col("intensity")
-    subject = vectors.encode(F.col("_object"), F.col("_verb"), quality, intensity, "object", "verb", cfg.dim)
-    thing = vectors.encode(F.col("_subject"), F.col("_verb"), quality, intensity, "subject_in_object", "verb_in_object", cfg.dim)
-    return rows.select(*judgments.columns, subject.alias("v_subject"), thing.alias("v_object"), F.col("_verb").alias("v_verb"))
+    subject, thing = vectors.encode(F.col("_o"), F.col("_v"), quality, intensity), vectors.encode(F.col("_s"), F.col("_vo"), quality, intensity)
+    return rows.select(*judgments.columns, subject.alias("v_subject"), thing.alias("v_object"), "v_verb")
 
 
 def components(judgments: DataFrame, cfg: Config = Config(), seeds: DataFrame | None = None, personal: DataFrame | None = None) -> DataFrame:
@@ -78,34 +79,52 @@ def components(judgments: DataFrame, cfg: Config = Config(), seeds: DataFrame |
 
 
 class Folded:
-    """State of one concept: its components so far, and the rule that folds one more into them."""
+    """State of one concept: its components so far, in arrays that grow, and the rule that folds one more into them."""
 
-    def __init__(self, cfg: Config):
-        self.cfg, self.vectors, self.rows = cfg, [], []
+    FIELDS = ("weight", "activation", "ts")
 
-    def anomaly(self, v: np.ndarray) -> float:
-        """1 - v.rho.v over the trace, between 0 and 1; 0 below the least number of components."""
-        if len(self.rows) < self.cfg.anomaly_min_components:
+    def __init__(self, cfg: Config, vectors_: np.ndarray | None = None, fields: np.ndarray | None = None):
+        self.cfg, self.n = cfg, 0 if vectors_ is None else len(vectors_)
+        self.x, self.f = vectors_, fields
+
+    @property
+    def vectors(self) -> np.ndarray:
+        return self.x[: self.n]
+
+    @property
+    def fields(self) -> np.ndarray:
+        """weight, activation and ts of each component."""
+        return self.f[: self.n]
+
+    def anomaly(self, cosines: np.ndarray) -> float:
+        """1 - v.rho.v over the trace, between 0 and 1; 0 below the least number of components. Vectors are unit vectors."""
+        if self.n < self.cfg.anomaly_min_components:
             return 0.0
-        weights = np.array([r["weight"] * r["activation"] * (1 + max(0.0, self.cfg.as_of - r["ts"]) / self.cfg.decay_tau) ** -self.cfg.decay_exponent for r in self.rows])
-        live = weights >= self.cfg.archive_epsilon * weights.max()
-        x = np.array(self.vectors)
-        trace = float((weights * live * (x * x).sum(axis=1)).sum())
-        return float(np.clip(1 - (weights * live * (x @ v) ** 2).sum() / trace, 0, 1)) if trace > 1e-12 else 0.0
+        weight, activation, ts = self.fields.T
+        w = weight * activation * (1 + np.maximum(0.0, self.cfg.as_of - ts) / self.cfg.decay_tau) ** -self.cfg.decay_exponent
+        w = np.where(w < self.cfg.archive_epsilon * w.max(), 0.0, w)
+        trace = w.sum()
+        return float(np.clip(1 - (w * cosines**2).sum() / trace, 0, 1)) if trace > 1e-12 else 0.0
 
-    def add(self, row: dict, v: np.ndarray) -> tuple[int, float]:
+    def add(self, weight: float, ts: float, v: np.ndarray) -> tuple[int, float]:
         """(number of the component that holds the row, its anomaly before); a component of cosine above the threshold takes it up."""
-        odd = self.anomaly(v)
-        if self.rows:
-            near = np.flatnonzero(np.array(self.vectors) @ v > self.cfg.consolidation)
-            if len(near):
-                held = self.rows[near[0]]
-                held["activation"] += 1
-                held["ts"] = row["ts"]
-                return int(near[0]), odd
-        self.vectors.append(v)
-        self.rows.append(dict(row, activation=1))
-        return len(self.rows) - 1, odd
+        odd = 0.0
+        if self.n:
+            cosines = self.vectors @ v
+            odd = self.anomaly(cosines)
+            near = cosines > self.cfg.consolidation
+            k = int(near.argmax())
+            if near[k]:
+                self.f[k, 1] += 1
+                self.f[k, 2] = ts
+                return k, odd
+        if self.x is None:
+            self.x, self.f = np.empty((4, len(v))), np.empty((4, 3))
+        elif self.n == len(self.x):
+            self.x, self.f = np.concatenate([self.x, np.empty_like(self.x)]), np.concatenate([self.f, np.empty_like(self.f)])
+        self.x[self.n], self.f[self.n] = v, (weight, 1, ts)
+        self.n += 1
+        return self.n - 1, odd
 
 
 def consolidate(parts: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -118,13 +137,13 @@ def consolidate(parts: DataFrame, cfg: Config = Config()) -> DataFrame:
     def run(pdf):
         pdf = pdf.sort_values(["seq", "judgment_id", "role"], ignore_index=True)
         state, at, odd = Folded(cfg), [], []
-        for row in pdf.to_dict("records"):
-            k, a = state.add({"weight": row["weight"], "ts": row["ts"]}, np.asarray(row["vector"], float))
+        for weight, ts, v in zip(pdf["weight"].tolist(), pdf["ts"].tolist(), pdf["vector"], strict=True):
+            k, a = state.add(weight, ts, v)
             at.append(k)
             odd.append(a)
         seen: set[int] = set()
         merged = [k in seen or seen.add(k) is not None for k in at]
-        return pd.DataFrame({"space_id": pdf["space_id"], "concept": pdf["concept"], "seq": pdf["seq"], "judgment_id": pdf["judgment_id"], "role": pdf["role"], "component": at, "merged": merged, "anomaly": odd, "activation": [state.rows[k]["activation"] for k in at], "ts": [state.rows[k]["ts"] for k in at]})
+        return pd.DataFrame({"space_id": pdf["space_id"], "concept": pdf["concept"], "seq": pdf["seq"], "judgment_id": pdf["judgment_id"], "role": pdf["role"], "component": at, "merged": merged, "anomaly": odd, "activation": state.fields[at, 1].astype(np.int32), "ts": state.fields[at, 2]})
 
     kinds = dict(parts.dtypes)
     schema = f"space_id {kinds['space_id']}, concept {kinds['concept']}, seq {kinds['seq']}, judgment_id {kinds['judgment_id']}, role string, component int, merged boolean, anomaly double, activation int, ts double"

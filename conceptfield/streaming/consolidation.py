@@ -26,17 +26,16 @@ def consolidate_stream(parts: DataFrame, cfg: Config = Config()) -> DataFrame:
         fold = Folded(cfg)
         if state.exists:
             kept = json.loads(state.get[0])
-            fold.vectors, fold.rows = [np.array(v) for v in kept["vectors"]], kept["rows"]
+            fold = Folded(cfg, np.array(kept["vectors"]), np.array(kept["fields"]))
         pdf = pd.concat(list(frames)).sort_values(["seq", "judgment_id", "role"])
         out = []
         for row in pdf.to_dict("records"):
-            before = len(fold.rows)
-            times = [r["ts"] for r in fold.rows]
-            k, odd = fold.add({"weight": row["weight"], "ts": row["ts"]}, np.asarray(row["vector"], float))
+            before, times = fold.n, fold.fields[:, 2].copy() if fold.n else ()
+            k, odd = fold.add(row["weight"], row["ts"], np.asarray(row["vector"], float))
             if k < before:
-                fold.rows[k]["ts"] = max(times[k], row["ts"])
+                fold.fields[k, 2] = max(times[k], row["ts"])
             out.append((*key, row["judgment_id"], row["role"], k, k < before, odd))
-        state.update((json.dumps({"vectors": [v.tolist() for v in fold.vectors], "rows": fold.rows}),))
+        state.update((json.dumps({"vectors": fold.vectors.tolist(), "fields": fold.fields.tolist()}),))
         yield pd.DataFrame(out, columns=["space_id", "concept", "judgment_id", "role", "component", "merged", "anomaly"])
 
     rows = parts.withColumns({"space_id": F.col("space_id").cast("string"), "concept": F.col("concept").cast("string"), "judgment_id": F.col("judgment_id").cast("long")})
