@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stage
+from .common import bitmap_of, maybe, pick, stage
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -276,15 +276,9 @@ def with_spans(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]
 
     spans: did, tie, start, end. A bitmap of the documents with spans, of bounded size, decides which are read in place.
     """
-    spark = rows.sparkSession
     per_doc = stage(spans.groupBy("did", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    n = per_doc.count()
-    exponent = min(MOST_BITS - 4, max(15, math.ceil(math.log2(max(1, 8 * n)))))
-    place = F.pmod(F.xxhash64("did", "tie"), F.lit(1 << exponent))
-    bits = per_doc.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
-    at = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
-    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    may = at.join(F.broadcast(bits), F.col("_bucket") == F.col("_b"), "left").withColumn("_may", F.expr(f"coalesce(shiftright({byte}, cast(_bit % 8 as int)) & 1, 0) = 1"))
-    none = may.where("not _may").select(*rows.columns)
-    some = may.where("_may").select(*rows.columns).join(per_doc.withColumnsRenamed({"did": "_d", "tie": "_t"}), (F.col("did") == F.col("_d")) & (F.col("tie") == F.col("_t")), "left")
-    return none, some.select(*rows.columns, "spans")
+    exponent = min(MOST_BITS - 4, max(15, math.ceil(math.log2(max(1, 8 * per_doc.count())))))
+    marked = maybe(rows, ["did", "tie"], bitmap_of(per_doc.select("did", "tie"), exponent), exponent)
+    none, some = marked.where("not _may").select(*rows.columns), marked.where("_may").select(*rows.columns)
+    met = some.join(per_doc.withColumnsRenamed({"did": "_d", "tie": "_t"}).hint("merge"), (F.col("did") == F.col("_d")) & (F.col("tie") == F.col("_t")), "left")
+    return none, met.select(*rows.columns, "spans")

@@ -73,6 +73,35 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, t
     return both.select(*left.columns, *[F.col("_found")[c].alias(c) for c in values])
 
 
+#: Bits of a membership bitmap: 2**25, that is 4 MiB to broadcast, however many keys it stands for.
+BITMAP = 25
+
+
+def bitmap_of(keys: DataFrame, exponent: int = BITMAP) -> DataFrame:
+    """A bitmap over the hashes of whole rows of keys: (_bucket, _bits), at most 2**exponent bits."""
+    place = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << exponent))
+    at = keys.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
+    return at.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def maybe(rows: DataFrame, keys: Sequence[str], bitmap: DataFrame, exponent: int = BITMAP) -> DataFrame:
+    """Adds _may: false where the row's keys are surely not among those of the bitmap. Its size is bounded, so it is broadcast."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << exponent))
+    at = rows.withColumn("_at", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
+    both = at.join(F.broadcast(bitmap), F.col("_at") == F.col("_bucket"), "left")
+    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    return both.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, cast(_bit % 8 as int)) & 1, 0) = 1").alias("_may"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't in dropped(doc_id): only rows that a bitmap lets through are shuffled, so that texts that
+    stay are read in place."""
+    ids = stage(dropped.select("doc_id").distinct(), "dropped")
+    marked = maybe(docs, ["doc_id"], bitmap_of(ids))
+    sure, rest = marked.where("not _may").select(*docs.columns), marked.where("_may").select(*docs.columns)
+    return sure.unionByName(rest.join(ids.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (node, root) for every node of an edge, root its smallest reachable node.
 

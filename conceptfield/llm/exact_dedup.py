@@ -16,11 +16,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lookup, pick, shared_dir, stage, text_or_empty
-
-#: Rows of 32,768 bits in the broadcast bitmap: 4 KiB each, 1,024 of them (4 MiB) at most.
-FILTER_ROWS = 1024
-
+from .common import SPACE, bitmap_of, lookup, maybe, pick, shared_dir, stage, text_or_empty, without
 
 def normalised(text: str = "text"):
     """The text with each run of white space replaced by one space; null counts as empty."""
@@ -46,21 +42,6 @@ def compact(runs: DataFrame) -> DataFrame:
     return runs.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """A bitmap over the hit digests, at most FILTER_ROWS rows (bucket, bits): its size is bounded whatever the data."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_ROWS * 32768))
-    return hits.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-
-
-def may_hit(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Rows whose digest's bit is set: all hits, and a few others."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_ROWS * 32768))
-    at = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
-    both = at.join(F.broadcast(bitmap), F.col("_bucket") == F.col("bucket"))
-    byte = "cast(conv(hex(substring(bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    return both.where(F.expr(f"(shiftright({byte}, cast(_bit % 8 as int)) & 1) = 1")).select(*rows.columns)
-
-
 def exact_dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     """Marks every document of docs(doc_id, text) with the row that stays for its text.
 
@@ -77,7 +58,8 @@ def exact_dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     total = compacted.agg(F.sum("group_size")).first()[0] or 0
     keyed = digests(docs, digest_bits)
     # Byte verification: a grouping key is compared by its bytes; equal texts of a task are combined before the shuffle.
-    candidates = may_hit(keyed.select("doc_id", "digest", "norm"), hit_filter(compacted.where("group_size > 1")))
+    hits = bitmap_of(compacted.where("group_size > 1").select("digest"))
+    candidates = maybe(keyed.select("doc_id", "digest", "norm"), ["digest"], hits).where("_may")
     verified = candidates.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm")
     verified = stage(verified, "verified")
     clash = verified.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
@@ -97,10 +79,11 @@ def exact_dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the documents whose text another row keeps: all columns, one row a text."""
-    marks = stage(exact_dedup(docs).where("kept"), "kept")
-    repeated = marks.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    every = stage(exact_dedup(docs), "marks")
+    marks = every.where("kept")
+    repeated = every.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if not repeated.isEmpty():
         docs = docs.withColumn("_sha", F.sha2(normalised(), 256)).dropDuplicates(["doc_id", "_sha"])
         both = docs.join(marks.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")), "left_semi")
         return both.drop("_sha")
-    return docs.join(marks.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return without(docs, every.where("not kept"))

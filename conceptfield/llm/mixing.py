@@ -9,6 +9,8 @@ joined to slots by index. A source's short last block closes each pass, so words
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,9 +78,10 @@ def sized(docs: DataFrame) -> DataFrame:
     return stage(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
 
 
-def placed(rows: DataFrame, chunk: int = 50_000) -> DataFrame:
-    """Adds start, the words of the same source before the document; a source of any size is summed in many parts."""
-    parts = max(1, rows.count() // chunk)
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds start, the words of the same source before the document; a source of any size is summed in as many parts as a
+    part has documents."""
+    parts = max(1, math.isqrt(rows.count()))
     part = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)))
     key = F.struct("source").alias("source")  # a struct is never null
     sums = part.groupBy("source", "part").agg(F.sum("size").alias("words"))
@@ -174,5 +177,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         share = F.floor(F.col("_times") / F.col("_of")) + F.when(F.col("_nth") <= F.col("_times") % F.col("_of"), 1).otherwise(0)
         both = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_times", share.cast("int")).where("_times > 0")
     else:
-        both = docs.join(times, F.col("doc_id") == F.col("_id"))
+        both = docs.join(times.hint("merge"), F.col("doc_id") == F.col("_id"))
     return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)

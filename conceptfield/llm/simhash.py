@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, lookup, pick, stage
+from .common import components, lookup, pick, stage, without
 
 BITS, LEAD, LEAD_BUDGET = 64, 16, 1
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -195,7 +195,6 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, budget: int = 4, per_subtre
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the one whose doc_id is the group's component_id; all columns."""
     marks = stage(simhash_dedup(docs), "simhash")
-    kept = marks.where(F.col("component_id").eqNullSafe(F.col("doc_id")))
     if not marks.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
         docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(kept.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return without(docs, marks.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
