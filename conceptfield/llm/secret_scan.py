@@ -23,6 +23,38 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Tokens that the models judge.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Ordinary identifiers, labelled so, that are part of every training.
+ORDINARY = """accessControlList account_identifier activeConnectionCount addEventListener administrator allocation_strategy annotationProcessor
+application_configuration argumentParser asynchronousResponse authenticationManager authorization_header availabilityZone background_color_scheme
+batchNormalization beforeTransaction boundary_condition broadcastReceiver buffer_allocation calculateCheckSum cancellationToken certificate_authority
+characterEncoding checkpoint_directory clientConnectionPool collection_of_documents commandLineArguments compareAndExchange compression_algorithm
+concurrentHashMap configurationProvider connection_string contentDisposition continuousIntegration convertToLowerCase createTemporaryTable
+credentialsProvider currentWorkingDirectory customer_relationship_management database_migration_script defaultExceptionHandler dependencyInjection
+deserializeObject development_environment dictionaryComprehension disconnectedOperation distributedFileSystem documentation_generator
+downloadInformation dynamicProgramming elementaryFunctions emailNotificationService encryptionContext environment_variables errorMessageTemplate
+evaluationStrategy eventListenerRegistry exceptionTranslation executionEnvironment expirationTimestamp extensionRegistry external_identifier
+featureExtraction fileDescriptorTable filterPredicate foreign_key_constraint frameworkInitialization functionalInterface garbageCollection
+generate_random_number getElementById globalInterpreterLock graphicsContext handleIncomingRequest hardwareAcceleration horizontalAlignment
+identifierGenerator immutableCollection implementation_detail incrementalCompilation information_retrieval inheritanceHierarchy initialization_vector
+inputStreamReader instanceMethod integrationTesting internationalisation interpolateString invalidArgumentException iterationCounter javaScriptEngine
+keyboardInterrupt knowledgeManagement language_specification lazyEvaluation leastRecentlyUsed libraryDependencies linearRegression listComprehension
+loadBalancerConfiguration localisation_of_messages loggingConfiguration machineLearningPipeline maintenanceWindow managedIdentity matrixMultiplication
+maximumRetryAttempts memoryManagement messageBrokerCluster metadataRepository methodInvocation microserviceArchitecture migration_history
+modification_timestamp multithreadedExecutor namespaceDeclaration navigationController network_configuration nonBlockingOperation normalisation_factor
+notificationCenter numberOfPartitions objectRelationalMapping observablePattern operating_system_release optimisticLocking organisation_unit
+packageManagerVersion parallelExecution parameterValidation partition_by_expression performanceCounter permissionDenied persistentVolumeClaim
+placeholder_for_translation pointerArithmetic polymorphicAssociation preferredLanguage preprocessorDirective presentationLayer primary_key_column
+printStackTrace processInformation programmingLanguage propertyPlaceholder protocolBufferMessage quantityInStock queryOptimizer randomAccessFile
+readOnlyTransaction recommendationSystem recursiveDescentParser referenceCounting registrationService regularExpression relationshipManager
+remoteProcedureCall repositoryInterface requestDispatcher resource_consumption responseEntity retentionPolicy rollbackTransaction runtimeEnvironment
+schedulerConfiguration searchEngineResults securityContextHolder semanticVersioning sequenceGenerator serializationFormat serverSideRendering
+sessionManagement shippingAddress simulation_parameters singletonInstance software_engineering sortedByPopularity standardDeviation statisticalAnalysis
+storageAccountName stringConcatenation structuredStreaming subscriptionIdentifier synchronizationBarrier systemAdministrator tableOfContents
+telemetryCollector temporary_directory terminationCondition testCoverageReport threadLocalStorage timezoneConversion transactionManager
+transformationPipeline translationUnit typeInference unauthorizedAccess uniformDistribution universalIdentifier unstructuredInformation
+updateStatement userInterfaceComponent validationConstraint variableDeclaration vectorSpaceModel verificationCode virtualMachineImage
+visualisation_of_results webApplicationServer whitespaceHandling windowAggregation workflowDefinition""".split()
+
 #: Documents from which ordinary tokens and matched secrets are taken, at most; those with the smallest hashes.
 SAMPLE = 2_000
 MIN_SUM, MIN_MEAN = 12.0, 0.5
@@ -68,28 +100,29 @@ def pairs(token: Column) -> Column:
 
 def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(token, random): values matched by the base patterns and strings made by rule are random, words without digits
-    of the same documents are ordinary. docs: doc_id, text; a bounded sample of documents."""
+    of the same documents and the fixed identifiers are ordinary. docs: doc_id, text; a bounded sample of documents."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.join(F.broadcast(ids), "doc_id").select(text_or_empty().alias("t"))
     words = texts.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z_]{6,}"), F.lit(0))).alias("token"), F.lit(0).alias("random"))
     hits = texts.select(F.explode(F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 3), (ACCESS, 0), (HEX.replace("+", "{16,}"), 0))])).alias("token"), F.lit(1).alias("random")).where(F.length("token") >= 12)
     made = docs.sparkSession.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     rule = made.select(F.explode(F.array(F.col("h"), F.base64(F.unhex("h")), F.upper(F.substring(F.base64(F.unhex("h")), 1, 24)))).alias("token"), F.lit(1).alias("random"))
-    return words.unionByName(hits).unionByName(rule)
+    fixed = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(" ".join(ORDINARY)), " ")).alias("token"), F.lit(0).alias("random"))
+    return words.unionByName(hits).unionByName(rule).unionByName(fixed)
 
 
 def ratios(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each character pair, random over ordinary, from smoothed counts of samples(token, random)."""
+    """Log-likelihood ratio of each character pair, random over ordinary, from counts of samples(token, random)."""
     size = len(ALPHABET) + 1
     counts = samples.select("random", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count().collect()  # bounded by the alphabet
     table = {(r["random"], r["pair"]): r["count"] for r in counts}
 
-    def logs(kind: int) -> list[float]:
-        out = []
-        for a in range(size):
-            row = [table.get((kind, a * size + b), 0) + 0.5 for b in range(size)]
-            out += [math.log(v / sum(row)) for v in row]
-        return out
+    def logs(kind: int, prior: float = 5.0) -> list[float]:
+        """log P(b after a), drawn towards the frequency of b, itself drawn a little towards even."""
+        n = [[table.get((kind, a * size + b), 0) for b in range(size)] for a in range(size)]
+        total = sum(map(sum, n))
+        share = [(sum(row[b] for row in n) + 0.5) / (total + 0.5 * size) for b in range(size)]
+        return [math.log((row[b] + prior * share[b]) / (sum(row) + prior)) for row in n for b in range(size)]
 
     return [r - o for r, o in zip(logs(1), logs(0), strict=True)]
 
