@@ -151,3 +151,13 @@ SELF_RELATION_VERBS = (
 SELF_DEPENDENCIES = (
     "amod", "cop:это", "nmod:gen",
 )
+
+# Content that the sentence qualifier refuses: profanity, sexual content, slurs.
+REFUSED = (
+    r"[её]б(?:а[тлнш]|у[чтн]|[её]т|ну[тл]|ли|ло|ла|ись|[её]ш|ан|ён|[её]н)|за[её]б|про[её]б|от[её]б|вы[её]б|у[её]б|на[её]б|"
+    r"об[её]б|пере[её]б|[её]бать|[её]бёт|[её]бут|[её]бись|[её]бал|[её]бло|[её]бла|пизд|хуй|хуя|хуе|хую|хуёв|бляд|блять|"
+    r"сук[аи]\b|сучк|сучар|муда[кч]|пидор|пидар|пидр|сперм|оргазм|порн|минет|фелляц|куннил|анал(?:ьн)|пенис|вагин|дроч|"
+    r"подроч|надроч|задроч|передроч|трахал|трахну|трахать|сосал[аи]|сосут|секс(?:ом|а|у|е|уальн)|изнасил|педофил|срать|"
+    r"ссать|посра|посре|поссы|насра|обосра|засра|говн[оауе]|дерьм[оауе]|залуп|жоп[аеуыо]|чурк[аиео]|чурбан|нигер|нигг|"
+    r"хач[аиео]?\b|жид[аыов]?\b|хохол|хохл|москал|кацап|узкоглаз|шлюх|шалав|проститу"
+)

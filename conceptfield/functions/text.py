@@ -91,10 +91,10 @@ RUSSIAN = {
 }
 
 
-def qualifies(text: Column, key: Column, blocked: str | None = None, rules: Mapping = RUSSIAN, trivial: Sequence[str] = lexicons.TRIVIAL, least: int = 4, most: int = 60) -> Column:
+def qualifies(text: Column, key: Column, blocked: str | None = lexicons.REFUSED, rules: Mapping = RUSSIAN, trivial: Sequence[str] = lexicons.TRIVIAL, least: int = 4, most: int = 60) -> Column:
     """Whether a sentence is worth keeping. A question without a telling word passes for a fifth of the keys.
 
-    blocked is a pattern of content to refuse; it belongs to the deployment and has no default.
+    blocked is a pattern of content to refuse, or None.
     """
     s = F.trim(text)
     low, n_words = F.lower(s), F.size(F.split(squash_space(s), " "))
@@ -108,7 +108,7 @@ def qualifies(text: Column, key: Column, blocked: str | None = None, rules: Mapp
     out = (own > 0) & n_words.between(least, most) & (2 * own >= letters) & ~bare.isin(*trivial)
     out = out & s.rlike(rules["verb"]) & ~is_url(s) & (~s.endswith("?") | telling | (F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(5)) == 0))
     out = out & ~low.rlike(rules["openings"]) & ~F.lower(last).isin(*rules["dangling"]) & (F.length(last) > 1)
-    return F.coalesce(out & ~low.rlike(blocked) if blocked else out, F.lit(False))
+    return F.coalesce(out & ~low.rlike("(?U)" + blocked) if blocked else out, F.lit(False))
 
 
 #: The category patterns.

@@ -137,3 +137,9 @@ def trimmed_history(messages: DataFrame, most: int = 20, keep: int = 16) -> Data
     w = W.partitionBy("conv_id")
     rows = messages.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("turn")))
     return rows.where((F.col("_n") <= most) | (F.col("_r") == 1) | (F.col("_r") > F.col("_n") - keep)).drop("_n", "_r")
+
+
+def history(events: DataFrame) -> DataFrame:
+    """One JSON line an event: type, judgment key, time, response and prompt, in order of time; (value)."""
+    fields = ("event_type", "judgment_key", "ts", "user_response", "prompt")
+    return events.orderBy("ts", "judgment_key").select(F.to_json(F.struct(*fields)).alias("value"))

@@ -151,3 +151,13 @@ def user_tau(messages: DataFrame, factor: float = 100.0) -> DataFrame:
     """(sender, tau): a hundred times the median gap between a sender's messages. messages: sender, ts."""
     gap = F.col("ts") - F.lag("ts").over(W.partitionBy("sender").orderBy("ts"))
     return messages.withColumn("gap", gap).where("gap is not null").groupBy("sender").agg((F.percentile("gap", 0.5) * factor).alias("tau"))
+
+
+def self_node(view: DataFrame, name: str = "[self]") -> DataFrame:
+    """The node of oneself, if the map has one."""
+    return view.where(F.col("concept") == F.lit(name))
+
+
+def at_least(links: DataFrame, threshold: float) -> DataFrame:
+    """Edges of at least this weight, as a threshold slider shows them."""
+    return links.where(F.col("weight") >= threshold)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,3 +82,21 @@ def spelling(words: DataFrame, dictionary: DataFrame, least: int = 5) -> DataFra
 
 def words_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.split(X.squash_space(F.lower(F.col(text))), " ")).alias("word"))
+
+
+def model_segments(docs: DataFrame, load, least: int = 5, prefixes=X.lexicons.SUBORDINATE_PREFIXES, text: str = "text") -> DataFrame:
+    """One row a segment, all other columns kept, by a segmentation model.
+
+    load() returns a function from a text to its segments; it is called once a task. Segments are stripped, joined to the
+    one before where they begin with one of the prefixes, and dropped below `least` characters; a text that loses all
+    stays whole.
+    """
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield texts.map(lambda t: [str(s).strip() for s in model(t or "")])
+
+    kept = F.filter(X.remerge(F.col("_segments"), prefixes), lambda s: F.length(s) >= least)
+    rows = segment(docs.withColumn("_segments", split(F.col(text))), F.when(F.size(kept) > 0, kept).otherwise(F.array(text)))
+    return rows.drop("_segments")

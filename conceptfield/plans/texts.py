@@ -102,7 +102,7 @@ def sentence_split(spark, sf_dir):
         AND (NOT ends_with(s, '?') OR contains(low, 'that') OR contains(low, 'que') OR ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 5 = 0)
         AND NOT regexp_matches(low, '^the and\b|^die der\b') AND lower(last) NOT IN ('the', 'and', 'of', 'a', 'in', 'der', 'die', 'und', 'la', 'el', 'de', 'et') AND length(last) > 1, false) AS qualifies FROM f""")
 def qualify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.qualifies(F.col("text"), F.col("doc_id"), rules=LATIN, most=200).alias("qualifies"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.qualifies(F.col("text"), F.col("doc_id"), None, LATIN, most=200).alias("qualifies"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN c = '' THEN 'simple_svo' ELSE c END AS categories FROM (SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}])(the|der|la)([^\p{L}]|$)') THEN 'article' END,

@@ -99,3 +99,21 @@ def test_streams(spark, tmp_path):
     q = consolidation.burst_stream(spark.readStream.schema(talk.schema).parquet(str(tmp_path / "talk"))).writeStream.format("memory").queryName("bursts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.awaitTermination(120)
     assert [(r.sender, r.n) for r in spark.sql("select * from bursts").collect()] == [("a", 3)]
+
+
+def test_model_segments_and_history(spark):
+    from conceptfield.operators import texts
+
+    docs = spark.createDataFrame([(1, "я думаю|что мир прост| да|ещё одно"), (2, "a|b"), (3, None)], "id long, text string")
+    got = sorted((r.id, r.pos, r.segment) for r in texts.model_segments(docs, lambda: lambda t: t.split("|")).where("id < 3").collect())
+    assert got == [(1, 0, "я думаю что мир прост"), (1, 1, "ещё одно"), (2, 0, "a|b")]
+    events = spark.createDataFrame([("anomaly", "a:b", 2.0, "yes", "?"), ("archive", "c:d", 1.0, "no", "?")], "event_type string, judgment_key string, ts double, user_response string, prompt string")
+    assert [json.loads(r.value)["event_type"] for r in feedback.history(events).collect()] == ["archive", "anomaly"]
+
+
+def test_qualifier_and_categories(spark):
+    cases = {"свобода всегда требует большой ответственности": True, "коротко и ясно": False, "this is mostly english да так": False, "я думаю что это просто хуйня какая": False, "он говорит что мир прост и": False, "https://a.b/c": False}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "id long, t string")
+    assert {r.t: r.q for r in rows.select("t", X.qualifies(F.col("t"), F.col("id")).alias("q")).collect()} == cases
+    one = rows.where("id = 0").select(X.categorise(F.col("t")).alias("c")).first().c
+    assert "generic" in one and "negation" not in one
