@@ -9,7 +9,9 @@ of thousands of pieces the whole stays within a fraction of a thousandth of one
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 import types
 import zlib
@@ -24,8 +26,12 @@ from pyspark.sql import types as T
 
 from .common import pick, stage
 
-#: Words of which a worker process remembers the ids, at most.
-CACHE = 500_000
+#: Chunks of which a worker process remembers the ids, at most: about 120 MB.
+CACHE = 800_000
+#: Characters that end a chunk and are tokens apart from the word before them.
+ENDS = b".,;:!?"
+#: Words of Latin letters that lower case and composition leave as they are.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 def default_tokenizer() -> str:
@@ -46,6 +52,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        suffix = plan["model"].get("end_of_word_suffix")
+        self.bare = None
+        if suffix and {"type": "Lowercase"} in (plan["normalizer"] or {}).get("normalizers", []):
+            # For plain lower-case words normalisation changes nothing and each word is one unit; the token that ends it says so.
+            byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            plan |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+            self.bare = Tokenizer.from_str(json.dumps(plan))
+            self.ends = np.zeros(max(plan["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in plan["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -56,21 +73,45 @@ class Encoder:
             encoders[path] = cls(path)
         return encoders[path]
 
+    def learn(self, new: set[bytes]) -> None:
+        """Remembers the ids of new chunks. One that is a word and end marks is put together from both."""
+        known, whole, split = self.known, set(), []
+        for c in new:
+            base = c.lower().rstrip(ENDS)
+            if b"<|" in c or not base or base == c or not (base[-1:].isalnum() or base[-1] > 127 and base.decode()[-1].isalpha()):
+                whole.add(c)
+            else:
+                tail = c[len(base) :]
+                split.append((c, base, tail))
+                whole.update(x for x in (base, tail) if x and x not in known)
+        plain = {c: low for c in whole if self.bare and PLAIN.fullmatch(low := c.decode().lower())}
+        words = list(plain)
+        for e in range(0, len(words), 5_000):
+            part = words[e : e + 5_000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(map(plain.get, part))], add_special_tokens=False)[0].ids, "<u4")
+            cut, data = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+            for c, a, b in zip(part, [0, *cut], cut, strict=False):
+                known[c] = data[a:b]
+        whole = [c for c in whole if c not in plain]
+        for e in range(0, len(whole), 20_000):
+            part = whole[e : e + 20_000]
+            for c, got in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
+                known[c] = np.array(got.ids, "<u4").tobytes()
+        for c, base, tail in split:
+            known[c] = known[base] + (known[tail] if tail else b"")
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {}
         known = self.known
         docs = [(t or "").encode().split() for t in texts]
         found = [list(map(known.get, doc)) for doc in docs]
-        open_ = [i for i, ids in enumerate(found) if None in ids]
-        if open_:
-            new = list({c for i in open_ for c, ids in zip(docs[i], found[i], strict=True) if ids is None})
-            for e in range(0, len(new), 20_000):
-                part = new[e : e + 20_000]
-                for c, got in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                    known[c] = np.array(got.ids, "<u4").tobytes()
-            for i in open_:
-                found[i] = list(map(known.get, docs[i]))
+        gaps = [(doc, ids, [k for k, v in enumerate(ids) if v is None]) for doc, ids in zip(docs, found, strict=True) if None in ids]
+        if gaps:
+            self.learn({doc[k] for doc, _, at in gaps for k in at})
+            for doc, ids, at in gaps:
+                for k in at:
+                    ids[k] = known[doc[k]]
         return [b"".join(ids) for ids in found]
 
 
