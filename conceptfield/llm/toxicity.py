@@ -154,7 +154,7 @@ def learn_lexicon(train: DataFrame, least: int = 5, purity: float = 0.5, cover:
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
                 for w in set(WORD.findall((text or "").lower())):
                     seen.setdefault(w, [0, 0])[int(toxic)] += 1
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 yield pd.DataFrame([(w, c, t) for w, (c, t) in seen.items()], columns=["w", "c", "t"])
                 seen = {}
         yield pd.DataFrame([(w, c, t) for w, (c, t) in seen.items()], columns=["w", "c", "t"])
