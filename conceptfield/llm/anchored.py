@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, maybe, pick, stage
+from .common import bitmap_of, bits_for, maybe, pick, stage
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -277,7 +277,7 @@ def with_spans(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]
     spans: did, tie, start, end. A bitmap of the documents with spans, of bounded size, decides which are read in place.
     """
     per_doc = stage(spans.groupBy("did", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    exponent = min(MOST_BITS - 4, max(15, math.ceil(math.log2(max(1, 8 * per_doc.count())))))
+    exponent = bits_for(per_doc.count())
     marked = maybe(rows, ["did", "tie"], bitmap_of(per_doc.select("did", "tie"), exponent), exponent)
     none, some = marked.where("not _may").select(*rows.columns), marked.where("_may").select(*rows.columns)
     met = some.join(per_doc.withColumnsRenamed({"did": "_d", "tie": "_t"}).hint("merge"), (F.col("did") == F.col("_d")) & (F.col("tie") == F.col("_t")), "left")

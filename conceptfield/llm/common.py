@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -63,28 +64,36 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, t
     values = [c for c in right.columns if c not in keys]
     payload = F.struct(*[F.col(c) for c in values])
     heavy = right.where(is_heavy(count, total)).select(*[F.col(k).alias(f"_h_{k}") for k in keys], payload.alias("_heavy"))
-    light = right.where(~is_heavy(count, total)).select(*[F.col(k).alias(f"_l_{k}") for k in keys], F.lit(0).cast("long").alias("_l_salt"), payload.alias("_light"))
-    on_heavy, on_light = F.lit(True), F.col("_salt") == F.col("_l_salt")
+    none = F.lit(0).cast("long")
+    # The salt is part of a hash: as a column of its own, its constant would leave the join's keys.
+    light = right.where(~is_heavy(count, total)).select(*[F.col(k).alias(f"_l_{k}") for k in keys], F.xxhash64(*keys, none).alias("_l_key"), payload.alias("_light"))
+    on_heavy, on_light = F.lit(True), F.col("_key") == F.col("_l_key")
     for k in keys:
         on_heavy, on_light = on_heavy & (F.col(k) == F.col(f"_h_{k}")), on_light & (F.col(k) == F.col(f"_l_{k}"))
     first = left.join(F.broadcast(heavy), on_heavy, "left")
-    first = first.withColumn("_salt", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(spread, F.lit(1 << 30)) + 1))
+    salt = F.when(F.col("_heavy").isNull(), none).otherwise(F.pmod(spread, F.lit(1 << 30)) + 1)
+    first = first.withColumn("_key", F.xxhash64(*keys, salt))
     both = first.join(light, on_light, "left").withColumn("_found", F.coalesce("_heavy", "_light"))
     return both.select(*left.columns, *[F.col("_found")[c].alias(c) for c in values])
 
 
-#: Bits of a membership bitmap: 2**25, that is 4 MiB to broadcast, however many keys it stands for.
-BITMAP = 25
+#: Bits of a membership bitmap as a power of two: at least (4 KiB) and at most (64 MiB to broadcast).
+LEAST_BITS, MOST_BITS = 15, 29
 
 
-def bitmap_of(keys: DataFrame, exponent: int = BITMAP) -> DataFrame:
+def bits_for(n: int) -> int:
+    """The exponent of a bitmap for n keys: eight bits or more for each, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, 8 * n)))))
+
+
+def bitmap_of(keys: DataFrame, exponent: int) -> DataFrame:
     """A bitmap over the hashes of whole rows of keys: (_bucket, _bits), at most 2**exponent bits."""
     place = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << exponent))
     at = keys.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
     return at.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
-def maybe(rows: DataFrame, keys: Sequence[str], bitmap: DataFrame, exponent: int = BITMAP) -> DataFrame:
+def maybe(rows: DataFrame, keys: Sequence[str], bitmap: DataFrame, exponent: int) -> DataFrame:
     """Adds _may: false where the row's keys are surely not among those of the bitmap. Its size is bounded, so it is broadcast."""
     place = F.pmod(F.xxhash64(*keys), F.lit(1 << exponent))
     at = rows.withColumn("_at", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
@@ -97,7 +106,8 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs whose doc_id isn't in dropped(doc_id): only rows that a bitmap lets through are shuffled, so that texts that
     stay are read in place."""
     ids = stage(dropped.select("doc_id").distinct(), "dropped")
-    marked = maybe(docs, ["doc_id"], bitmap_of(ids))
+    exponent = bits_for(ids.count())
+    marked = maybe(docs, ["doc_id"], bitmap_of(ids, exponent), exponent)
     sure, rest = marked.where("not _may").select(*docs.columns), marked.where("_may").select(*docs.columns)
     return sure.unionByName(rest.join(ids.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
 

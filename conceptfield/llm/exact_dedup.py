@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bitmap_of, lookup, maybe, pick, shared_dir, stage, text_or_empty, without
+from .common import SPACE, bitmap_of, bits_for, lookup, maybe, pick, shared_dir, stage, text_or_empty, without
 
 def normalised(text: str = "text"):
     """The text with each run of white space replaced by one space; null counts as empty."""
@@ -58,8 +58,9 @@ def exact_dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     total = compacted.agg(F.sum("group_size")).first()[0] or 0
     keyed = digests(docs, digest_bits)
     # Byte verification: a grouping key is compared by its bytes; equal texts of a task are combined before the shuffle.
-    hits = bitmap_of(compacted.where("group_size > 1").select("digest"))
-    candidates = maybe(keyed.select("doc_id", "digest", "norm"), ["digest"], hits).where("_may")
+    hits = compacted.where("group_size > 1").select("digest")
+    exponent = bits_for(hits.count())
+    candidates = maybe(keyed.select("doc_id", "digest", "norm"), ["digest"], bitmap_of(hits, exponent), exponent).where("_may")
     verified = candidates.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm")
     verified = stage(verified, "verified")
     clash = verified.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
