@@ -59,7 +59,7 @@ def whitespace_squash(spark, sf_dir):
     FROM k GROUP BY doc_id""")
 def slang_map(spark, sf_dir):
     words = F.split(X.squash_space(F.col("text")), " ")
-    core = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "^[" + X.EDGES + "]+|[" + X.EDGES + "]+$", "")))
+    core = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(X.EDGES))))
     hits = F.size(F.filter(core, lambda c: c.isin(*WORDS))).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"), F.md5(F.array_join(F.transform(words, lambda w: X.translate_word(w, WORDS)), " ")).alias("translated"))
 
