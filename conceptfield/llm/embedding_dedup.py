@@ -1,9 +1,10 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Reference points (pivots) are drawn from the vectors; each vector is described by its nearest pivots in order, the
-prefix of its pivot permutation, and entered in the inverted list of each of them. A list's members that share enough
-pivots are candidates, and candidates are verified by their cosine in double precision. A pair is judged in the list
-of its lowest shared pivot only. Lists return link counts and a spanning forest, never their pairs; a list of any
+Reference points (pivots) are drawn from the vectors, each as far as possible from those before it and none within
+twice the threshold's angle of another, so that a dense group owns one pivot and not a share of all. Each vector is
+described by its nearest pivots in order, the prefix of its pivot permutation, and entered in the inverted list of each
+of them. A list's members are candidates, verified by their cosine in double precision. A pair is judged in the list of
+its lowest shared pivot only. Lists return link counts and a spanning forest, never their pairs; a list of any
 length is split into blocks, each pair of blocks a task of its own.
 """
 
@@ -19,8 +20,10 @@ from .simhash import Forest
 
 #: Pivots: one for each so many vectors, within bounds. They are a sample that fits the index; every vector is indexed.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 16, 4096
-#: Nearest pivots that describe a vector, and how many a candidate pair shares at least.
-PREFIX, SHARED = 8, 2
+#: Vectors from which one pivot is chosen.
+DRAWN = 2
+#: Nearest pivots that describe a vector at most.
+PREFIX = 8
 #: Members of an inverted list that one task compares with as many others.
 BLOCK = 2048
 
@@ -30,21 +33,44 @@ def unit(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def describe(vectors: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
-    """(id, mult, embedding, prefix) of vectors(id, mult, embedding): the nearest pivots, nearest first, ties by number."""
+def far_apart(drawn: np.ndarray, most: int, threshold: float) -> np.ndarray:
+    """Up to `most` of the unit vectors drawn, each the farthest from those before it, until all lie within twice the threshold's angle of one."""
+    x = drawn.astype(np.float32)
+    near, closest, chosen = max(0.5, 2 * threshold * threshold - 1), x @ x[0], [0]
+    while len(chosen) < min(most, len(x)) and closest[far := int(closest.argmin())] < near:
+        chosen.append(far)
+        np.maximum(closest, x @ x[far], out=closest)
+    return drawn[chosen]
+
+
+def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int, threshold: float) -> list[np.ndarray]:
+    """The nearest pivots of each unit vector, nearest first, ties by number.
+
+    A pivot p is left out where no vector linked to x can have it as its nearest: with q nearest to x, such vectors lie
+    beyond the plane between p and q, at (x.q - x.p) / |q - p| from x, and linked ones at sqrt(2 - 2 threshold) at most.
+    """
+    sims = np.round(x @ pivots.T, 12)
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :prefix]
+    best = np.take_along_axis(sims, order, 1)
+    apart = np.linalg.norm(pivots[order] - pivots[order[:, :1]], axis=2)
+    near = best[:, :1] - best <= np.sqrt(max(0.0, 2 - 2 * threshold)) * apart + 1e-9
+    return [o[n] for o, n in zip(order, near, strict=True)]
+
+
+def describe(vectors: DataFrame, pivots: np.ndarray, prefix: int, threshold: float) -> DataFrame:
+    """(id, mult, embedding, prefix) of vectors(id, mult, embedding)."""
     held = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(frames):
         for pdf in frames:
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
-                sims = np.round(unit(part["embedding"]) @ held.value.T, 12)
-                yield part.assign(prefix=np.argsort(-sims, axis=1, kind="stable")[:, :prefix].tolist())
+                yield part.assign(prefix=prefixes(unit(part["embedding"]), held.value, prefix, threshold))
 
     return vectors.mapInPandas(run, "id long, mult long, embedding array<float>, prefix array<int>")
 
 
-def judged(described: DataFrame, threshold: float, shared: int, block: int) -> DataFrame:
+def judged(described: DataFrame, threshold: float, block: int) -> DataFrame:
     """(id, links, root) of what each pair of blocks of each inverted list finds."""
     entries = described.select(F.explode("prefix").alias("pivot"), "id", "mult", "embedding", "prefix")
     sizes = described.select(F.explode("prefix").alias("pivot")).groupBy("pivot").count()  # a row for each pivot: bounded
@@ -56,15 +82,16 @@ def judged(described: DataFrame, threshold: float, shared: int, block: int) -> D
     def run(pdf):
         pdf = pdf.sort_values(["mine", "id"], ignore_index=True)
         pivot, x, ids, mult = int(pdf["pivot"].iloc[0]), unit(pdf["embedding"]), pdf["id"].to_numpy(), pdf["mult"].to_numpy()
-        names, places = np.unique(np.array(pdf["prefix"].tolist()), return_inverse=True)
-        has = np.zeros((len(x), len(names)), np.float32)
-        np.put_along_axis(has, places.reshape(len(x), -1), 1, axis=1)
-        low = has[:, names < pivot]
+        flat = np.concatenate(pdf["prefix"].to_list())
+        lower = flat < pivot
+        names, places = np.unique(flat[lower], return_inverse=True)
+        low = np.zeros((len(x), len(names)), np.float32)
+        low[np.repeat(np.arange(len(x)), pdf["prefix"].map(len))[lower], places] = 1
         forest, links = Forest(len(x)), np.zeros(len(x), np.int64)
         cut = int((pdf["mine"] == pdf["i"].iloc[0]).sum())
         one = slice(0, cut)
         two = one if pdf["i"].iloc[0] == pdf["j"].iloc[0] else slice(cut, len(x))
-        good = (has[one] @ has[two].T >= shared) & (low[one] @ low[two].T == 0)
+        good = low[one] @ low[two].T == 0
         good &= x[one] @ x[two].T >= threshold
         if two is one:
             np.fill_diagonal(good, False)
@@ -80,15 +107,15 @@ def judged(described: DataFrame, threshold: float, shared: int, block: int) -> D
     return placed.groupBy("pivot", "i", "j").applyInPandas(run, "id long, links long, root long")
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK, per_pivot: int = PER_PIVOT) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, prefix: int = PREFIX, block: int = BLOCK, per_pivot: int = PER_PIVOT) -> DataFrame:
     """Links vectors(vec_id, embedding) found with cosine >= threshold.
 
     Returns one row for each input row: vec_id, n_links (other vectors linked directly), component_id (the smallest
     vec_id reachable), kept (vec_id = component_id). Vectors that are null, empty, zero or hold a null or non-finite
     component link with nothing; vectors of different length don't link. Equal vectors are one entry of the index and
     link with one another. A null vec_id is larger than any other and its row is a vector like any; an empty table
-    gives an empty result; other columns are ignored. Retrieval is approximate: pairs that share fewer than `shared`
-    of their `prefix` nearest pivots are missed (tests measure recall against brute force).
+    gives an empty result; other columns are ignored. Retrieval is approximate: pairs that share none of
+    their `prefix` nearest pivots are missed (tests measure recall against brute force).
     """
     rows = pick(vectors, "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<float>"))
     rows = rows.withColumn("vid", F.coalesce(F.col("vec_id").cast("long"), F.lit((1 << 63) - 1)))
@@ -100,8 +127,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, prefix: int = PR
     for length, n in sorted(sizes.items()):
         mine = reps.where(F.size("embedding") == length)
         k = min(MOST_PIVOTS, max(LEAST_PIVOTS, n // per_pivot), max(LEAST_PIVOTS, (1 << 22) // length))
-        pivots = unit(mine.orderBy(F.xxhash64("id"), "id").limit(k).select("embedding").toPandas()["embedding"])
-        part = judged(describe(mine.select("id", "mult", "embedding"), pivots, prefix), threshold, min(shared, len(pivots)), block)
+        drawn = unit(mine.orderBy(F.xxhash64("id"), "id").limit(DRAWN * k).select("embedding").toPandas()["embedding"])
+        pivots = far_apart(drawn, k, threshold)
+        part = judged(describe(mine.select("id", "mult", "embedding"), pivots, prefix, threshold), threshold, block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))

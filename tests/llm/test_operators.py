@@ -297,6 +297,24 @@ def test_embedding_dedup(spark):
     assert got[200].component_id == 8 and got[195].component_id == 7 and not got[195].kept
 
 
+def test_embedding_recall_in_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    n = 6000
+    x = rng.normal(size=(n, 64))
+    x[: n // 3] = x[0] + 0.36 * rng.normal(size=(n // 3, 64))
+    x[n // 3 : n // 3 + 200] = x[-200:] + 0.4 * rng.normal(size=(200, 64))
+    x = x.astype(np.float32)
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(frame, per_pivot=12).collect()}  # 500 pivots
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum(1) - 1
+    links = np.array([got[i] for i in range(n)])
+    assert (links <= near).all() and near[: n // 3].sum() > 100_000 and near[n // 3 :].sum() > 100
+    print("recall", links[: n // 3].sum() / near[: n // 3].sum(), links[n // 3 :].sum() / near[n // 3 :].sum())
+    assert links[: n // 3].sum() >= 0.98 * near[: n // 3].sum() and links[n // 3 :].sum() >= 0.95 * near[n // 3 :].sum()
+
+
 def test_grammar():
     model = toxicity.Model({}, {})
     score = model.score
