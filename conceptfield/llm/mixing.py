@@ -134,12 +134,26 @@ def slots(shares: DataFrame, block: int, shard_slots: int, seed: int) -> DataFra
     return mixed.select("shard", F.pmod(F.col("g"), F.lit(shard_slots)).alias("slot"), "sid", turn.alias("pass"), image.alias("block"), words.alias("words"))
 
 
+def whole_passes(most: int, seed: int) -> Column:
+    """For each of `most` passes the size of a document that goes whole in it, else 0, from sid, start, size, source_size and target.
+
+    A source's documents lie in hashed order on a circle of its words. A pass of q words takes those whose middle is in
+    the q words from a seeded place on, so its words differ from q by less than the longest document, whatever the
+    documents' lengths, and a document's chance is q in source_size.
+    """
+    around = F.greatest(F.col("source_size"), F.lit(1))
+    quota = F.floor("target").cast("long")
+    middle = F.pmod(2 * F.col("start") + F.col("size") - 2 * F.pmod(F.xxhash64(F.lit(seed), "sid"), around), 2 * around)
+    none = F.lit(0).cast("long")
+    return F.array(*[F.when(middle < 2 * (quota - i * around), F.col("size")).otherwise(none) for i in range(most)])
+
+
 def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> dict[str, DataFrame]:
     """Mixes docs(doc_id, text, source) to the targets of `targets`.
 
     Returns three tables: "sources" (sid, source, source_size, weight, target), "slots" (shard, slot, sid, pass, block,
     words: what each slot of the mixture takes) and "documents" (row, doc_id, source, size, source_size, target, taken,
-    passes: the words of each pass over the source that the document gives). The words taken of a source are its
+    passes: for each pass over the source, the document's size if whole documents go by it, else 0). The words taken of a source are its
     target rounded down to a whole word; a document is taken at most twice when cap is 2. Null text has size 0, a null
     source is a source of its own, repeated rows are documents of their own, documents without words are taken 0
     times, an empty table gives empty tables; other columns are ignored. The same rows give the same mixture.
@@ -157,19 +171,20 @@ def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, share: float
     spans = spread.select("row", F.col("sid"), "block", begin.alias("begin"), end.alias("end"))
     hits = spans.join(picked.select(F.col("sid").alias("s"), F.col("block").alias("b"), "pass", "words"), (F.col("sid") == F.col("s")) & (F.col("block") == F.col("b")))
     part = F.greatest(F.least("end", "words") - F.col("begin"), F.lit(0))
-    taken = hits.groupBy("row").agg(F.sum(part).alias("taken"), *[F.sum(F.when(F.col("pass") == i, part).otherwise(0)).alias(f"pass{i}") for i in range(int(cap))])
+    taken = hits.groupBy("row").agg(F.sum(part).alias("taken"))
     out = known.join(taken.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
-    documents = out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.array(*[F.coalesce(f"pass{i}", F.lit(0).cast("long")) for i in range(int(cap))]).alias("passes"))
+    documents = out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), whole_passes(math.ceil(cap), seed).alias("passes"))
     return {"sources": sources, "slots": picked, "documents": documents}
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with a row for each pass over a source that takes at least half of a document's words.
+    """docs, all columns, with a row for each pass over a source by which a document goes.
 
-    Documents without words are no part of a mixture of words and don't appear. Documents go whole, none is torn.
+    Documents without words are no part of a mixture of words and don't appear. Documents go whole, none is torn; a
+    source's words differ from its target by less than its longest document.
     """
     taken = mix(docs, **options)["documents"].where("size > 0")
-    chosen = taken.select("doc_id", F.explode(F.filter("passes", lambda p: 2 * p >= F.col("size"))).alias("words"))
+    chosen = taken.select("doc_id", F.explode(F.filter("passes", lambda p: p > 0)).alias("words"))
     times = stage(chosen.groupBy("doc_id").agg(F.count("*").cast("int").alias("_times")).withColumnRenamed("doc_id", "_id"), "times")
     ids = taken.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if not ids.isEmpty():  # repeated ids: as many rows in all as their passes give

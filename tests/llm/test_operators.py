@@ -203,6 +203,18 @@ def test_mixing(spark):
     assert {r.source: r[1] for r in again} == dict(taken)
 
 
+def test_whole_documents_meet_the_targets(spark):
+    rows = [(1000 * s + i, "w " * (5000 if s else 500), f"s{s}") for s in range(3) for i in range(60 if s else 600)]
+    docs = frame(spark, rows)
+    target = {r.source: r.target for r in mixing.mix(docs, share=0.5)["sources"].collect()}
+    got = Counter()
+    for r in mixing.mixed_documents(docs, share=0.5).collect():
+        got[r.source] += len(words(r.text))
+    assert target["s1"] < 0.4 * 300_000 and target["s2"] < 0.2 * 300_000
+    print("words", dict(got), target)
+    assert all(abs(got[s] - t) <= (5000 if s != "s0" else 500) for s, t in target.items())
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 7, 100, 1000):
         got = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p")).collect()]
