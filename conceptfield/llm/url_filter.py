@@ -1,8 +1,8 @@
 """URL filters by a path-template tree for each host, in DataFrame operations only.
 
 Explicit rules come first. URLs without a rule are judged by the tree that all URLs build: level by level, a path
-segment stays itself or becomes a wildcard where its node has too many different segments or the segment is an
-identifier; sibling templates with labels that don't differ significantly are merged; and a template is rejected when
+segment stays itself if it has paths enough of its own; the rare segments of a node that has many become a wildcard, as
+identifiers do, unless a few of them hold all labels. Sibling templates with labels that don't differ significantly are merged; and a template is rejected when
 its smoothed share of blocked labels reaches the threshold. Labels are given, or else what the rules say.
 """
 
@@ -18,8 +18,9 @@ from .common import lookup, pick, stage
 
 #: Verdict, host and path prefix of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Levels of the tree; deeper segments become one tail. Children of a node beyond which its segments are wildcards.
-DEPTH, FANOUT = 4, 8
+#: Levels that every path has; deeper ones only frequent segments have, rare ones become one tail. Children of a node
+#: beyond which its rare segments are wildcards, and paths from which a segment is frequent.
+DEPTH, FANOUT, MIN_PATHS = 4, 8, 5
 #: Smoothing: so many blocked and allowed labels are added; templates from THRESHOLD on are rejected.
 PLUS_BLOCKED, PLUS_ALLOWED, THRESHOLD = 1.0, 2.0, 0.5
 #: Labels that a branch must have to be merged, and the deviation in standard errors from which branches differ.
@@ -42,43 +43,63 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def segments(path: Column, depth: int) -> Column:
+def segments(path: Column) -> Column:
     """The path's segments, identifiers as wildcards: those with a digit, keeping what follows the last dot."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    known = F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)$", 1))).otherwise(s))
-    return F.when(F.size(known) > depth, F.concat(F.slice(known, 1, depth), F.array(F.lit("**")))).otherwise(known)
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)$", 1))).otherwise(s))
 
 
-def grow(paths: DataFrame, depth: int, fanout: int) -> DataFrame:
-    """Adds template and parent to paths(host, segs, n): the tree's levels, one after another."""
-    total = paths.agg(F.count("*")).first()[0]
+def grow(paths: DataFrame, depth: int, fanout: int, min_paths: int = MIN_PATHS) -> DataFrame:
+    """Adds template and parent to paths(host, segs, n, labelled): the tree's levels, one after another, while paths have more.
+
+    A node's rare children become one wildcard, those of a node at `depth` with all that follows. If fewer than
+    MIN_LABELS of them hold all their labels, these stay themselves, so that the others don't inherit their labels. The
+    wildcard has another name beside the one of identifiers.
+    """
     tree = paths.withColumn("template", F.col("host")).withColumn("parent", F.col("host"))
-    for level in range(depth + 1):
-        seg = F.try_element_at("segs", F.lit(level + 1))
-        children = tree.where(F.size("segs") > level).groupBy("template", seg.alias("seg")).agg(F.count("*").alias("rows"))
-        nodes = children.groupBy("template").agg(F.count("*").alias("children"), F.sum("rows").alias("rows"))
-        tree = stage(lookup(tree, stage(nodes, "nodes"), ["template"], "rows", total, F.xxhash64("segs")), f"tree{level}")
-        inside = F.size("segs") > level
-        name = F.when(F.col("children") > fanout, F.lit("*")).otherwise(seg)
-        tree = tree.withColumn("parent", F.when(inside, F.col("template")).otherwise(F.col("parent")))
-        tree = tree.withColumn("template", F.when(inside, F.concat("template", F.lit("/"), name)).otherwise(F.col("template"))).drop("children", "rows")
-    return tree
+    done, level = [], 0
+    while total := tree.where(F.size("segs") > level).count():
+        ended = tree.where(F.size("segs") <= level)
+        done.append(ended)
+        tree = tree.where(F.size("segs") > level).withColumn("seg", F.element_at("segs", level + 1))
+        children = tree.groupBy("template", "seg").agg(F.count("*").alias("rows"), (F.sum("labelled") > 0).alias("known"))
+        rare = (F.col("rows") < min_paths) & (F.col("seg") != "*")
+        children = stage(children.withColumn("rare", rare), "children")
+        count = {"children": F.lit(True), "with": F.col("rare") & F.col("known"), "bare": F.col("rare") & ~F.col("known"), "ids": F.col("seg") == "*"}
+        nodes = children.groupBy("template").agg(*[F.count_if(c).alias(k) for k, c in count.items()], F.sum("rows").alias("all")).withColumnRenamed("template", "node")
+        nodes = lookup(children.withColumnRenamed("template", "node"), stage(nodes, "nodes"), ["node"], "children", children.count(), F.xxhash64("seg"))
+        own = F.col("known") & (F.col("bare") > 0) & (F.col("with") < MIN_LABELS)
+        many = F.lit(True) if level >= depth else F.col("children") > fanout
+        wild = F.lit("**") if level >= depth else F.when(F.col("ids") > 0, "*w").otherwise("*")
+        named = nodes.select(F.col("node").alias("template"), "seg", "rows", F.when(F.col("rare") & many & ~own, wild).otherwise(F.col("seg")).alias("name"))
+        tree = lookup(tree, stage(named, "named"), ["template", "seg"], "rows", total, F.xxhash64("segs"))
+        tree = tree.withColumn("parent", F.col("template")).withColumn("template", F.concat("template", F.lit("/"), "name"))
+        tree = stage(tree.withColumn("tail", F.col("name") == "**").drop("seg", "rows", "name"), f"tree{level}")
+        done.append(tree.where("tail").drop("tail"))
+        tree, level = tree.where("not tail").drop("tail"), level + 1
+    done.append(tree)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def judge(templates: DataFrame, min_labels: int = MIN_LABELS, differ: float = DIFFER, threshold: float = THRESHOLD) -> DataFrame:
     """(template, purity, rejected) of templates(template, parent, blocked, labelled).
 
     Siblings with enough labels are ordered by their smoothed share; one starts a new branch where it differs from the
-    one before by `differ` standard errors. A parent has few children, since more become wildcards.
+    one before by `differ` standard errors. Siblings with the same labels are one row there, which bounds a parent's rows.
     """
     share = (F.col("blocked") + PLUS_BLOCKED) / (F.col("labelled") + PLUS_BLOCKED + PLUS_ALLOWED)
     rows = templates.withColumn("share", share).withColumn("error", share * (1 - share) / (F.col("labelled") + PLUS_BLOCKED + PLUS_ALLOWED))
-    order = W.partitionBy("parent").orderBy("share", "template")
-    many = rows.where(F.col("labelled") >= min_labels)
+    order = W.partitionBy("parent").orderBy("share", "labelled")
+    like = ["parent", "blocked", "labelled", "share", "error"]
+    many = rows.where(F.col("labelled") >= min_labels).groupBy(*like).agg(F.count("*").alias("alike"))
     apart = (F.col("share") - F.lag("share").over(order)) > differ * F.sqrt(F.col("error") + F.lag("error").over(order))
     branch = many.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("branch", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
     both = W.partitionBy("parent", "branch")
-    merged = branch.withColumn("b", F.sum("blocked").over(both)).withColumn("l", F.sum("labelled").over(both)).select("template", "b", "l")
+    merged = branch.withColumn("b", F.sum(F.col("blocked") * F.col("alike")).over(both)).withColumn("l", F.sum(F.col("labelled") * F.col("alike")).over(both))
+    merged = rows.select("template", "parent", "blocked", "labelled").join(merged.select("parent", "blocked", "labelled", "b", "l"), ["parent", "blocked", "labelled"]).select("template", "b", "l")
     single = rows.where(F.col("labelled") < min_labels).select("template", F.col("blocked").alias("b"), F.col("labelled").alias("l"))
     purity = (F.col("b") + PLUS_BLOCKED) / (F.col("l") + PLUS_BLOCKED + PLUS_ALLOWED)
     return merged.unionByName(single).select("template", purity.alias("purity"), (purity >= threshold).alias("rejected"))
@@ -95,7 +116,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     rows = pick(pages, "page_id", "url")
     host, path = host_and_path(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("ruled", ruled(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path"), depth))
+    rows = rows.withColumn("ruled", ruled(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
     if labels is None:
         rows = rows.withColumn("blocked", (F.col("ruled.verdict") == "block").cast("int"))
     else:

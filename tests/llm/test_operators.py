@@ -290,6 +290,19 @@ def test_url_filter(spark):
     assert {r.template for r in url_filter.url_filter(wide).collect()} == {"h/*/end"}
 
 
+def test_url_filter_many_sections(spark):
+    sections = ["de", "en", "fr", "es", "it", "nl", "pl", "pt", "sv", "fi"]
+    pages = [(100 * k + i, f"http://a.example.com/{s}/p{chr(97 + i)}/x") for k, s in enumerate(sections) for i in range(20)]
+    pages += [(5000 + k, f"http://b.example.com/{s}/x") for k, s in enumerate(sections)]  # rare sections, one with labels
+    deep = [(6000 + 10 * k + i, f"http://c/a/b/c/d/{s}/{chr(97 + i)}") for k, s in enumerate(("good", "bad")) for i in range(8)]
+    labels = spark.createDataFrame([(p, int(p >= 6010)) for p, _ in deep] + [(p, 1) for p, u in pages if "/de/" in u], "page_id long, blocked int")
+    for given in (None, labels):
+        got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(pages + deep, "page_id long, url string"), labels=given).collect()}
+        assert all((got[p].verdict == "block") == ("/de/" in u) for p, u in pages)
+        assert all((got[p].purity >= 0.5) == ("/de/" in u) for p, u in pages)
+    assert all(got[p].verdict == ("block" if p >= 6010 else "allow") for p, _ in deep)
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 16))
