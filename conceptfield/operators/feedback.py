@@ -54,9 +54,10 @@ def contrast_questions(rhos: DataFrame, cfg: Config = Config()) -> DataFrame:
     return contrast_pairs(rhos, cfg).select(*question("contrast", F.array(F.col("a").cast("string"), F.col("b").cast("string")), none, F.lit("")))
 
 
-def milestone_questions(parts: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Concepts with exactly so many active components."""
-    rows = parts.where(~F.col("archived")).groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") == cfg.milestone)
+def milestone_questions(parts: DataFrame, cfg: Config = Config(), step: int | None = None) -> DataFrame:
+    """Concepts with exactly so many active components, or, with a step, so many and any number of steps more."""
+    due = F.col("n") == cfg.milestone if step is None else (F.col("n") >= cfg.milestone) & ((F.col("n") - cfg.milestone) % step == 0)
+    rows = parts.where(~F.col("archived")).groupBy("concept").agg(F.count("*").alias("n")).where(due)
     return rows.select(*question("milestone", F.array(F.col("concept").cast("string")), F.array().cast("array<long>"), F.lit("")))
 
 

@@ -265,11 +265,7 @@ def defeasible_questions(spark, sf_dir):
 @query(f"WITH {JUDGMENTS_SQL} SELECT object AS concept FROM j WHERE NOT archived GROUP BY object HAVING count(*) % 50 = 42")
 def milestone(spark, sf_dir):
     rows = judgments(spark, sf_dir).withColumn("concept", F.col("object"))
-    out = None
-    for n in range(42, 2000, 50):
-        q = feedback.milestone_questions(rows, Config(milestone=n)).select(F.element_at("concepts", 1).alias("concept"))
-        out = q if out is None else out.unionByName(q)
-    return out
+    return feedback.milestone_questions(rows, Config(milestone=42), 50).select(F.element_at("concepts", 1).alias("concept"))
 
 
 @query(f"""WITH {JUDGMENTS_SQL}, {CONTRA_SQL},

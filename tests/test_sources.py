@@ -74,6 +74,15 @@ def test_answers(spark):
     assert (got[2, "object"].status, got[2, "object"].interpretation_layer, got[2, "object"].activation, got[2, "object"].defeasible) == ("confirmed", 0, 2, False)
 
 
+def test_milestones(spark, monkeypatch):
+    from conceptfield.plans import judgments
+
+    counts = {"a": 2042, "b": 42, "c": 41, "d": 92, "e": 2043, "f": 8}
+    rows = spark.createDataFrame([(k, False) for k, n in counts.items() for _ in range(n)] + [("f", True)] * 34, "object string, archived boolean")
+    monkeypatch.setattr(judgments, "judgments", lambda spark, sf_dir: rows)
+    assert sorted(r.concept for r in judgments.milestone(spark, "").collect()) == ["a", "b", "d"]
+
+
 def test_streams(spark, tmp_path):
     import numpy as np
 
