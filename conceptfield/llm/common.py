@@ -102,14 +102,14 @@ def maybe(rows: DataFrame, keys: Sequence[str], bitmap: DataFrame, exponent: int
     return both.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, cast(_bit % 8 as int)) & 1, 0) = 1").alias("_may"))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't in dropped(doc_id): only rows that a bitmap lets through are shuffled, so that texts that
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs whose key isn't in dropped(key): only rows that a bitmap lets through are shuffled, so that texts that
     stay are read in place."""
-    ids = stage(dropped.select("doc_id").distinct(), "dropped")
+    ids = stage(dropped.select(key).distinct(), "dropped")
     exponent = bits_for(ids.count())
-    marked = maybe(docs, ["doc_id"], bitmap_of(ids, exponent), exponent)
+    marked = maybe(docs, [key], bitmap_of(ids, exponent), exponent)
     sure, rest = marked.where("not _may").select(*docs.columns), marked.where("_may").select(*docs.columns)
-    return sure.unionByName(rest.join(ids.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
+    return sure.unionByName(rest.join(ids.withColumnRenamed(key, "_id").hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left_anti"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -121,13 +121,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, prefix: int = PR
     rows = rows.withColumn("vid", F.coalesce(F.col("vec_id").cast("long"), F.lit((1 << 63) - 1)))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     good = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    reps = stage(rows.where(good).groupBy("embedding").agg(F.min("vid").alias("id"), F.count("*").alias("mult")), "vectors")
+    reps = rows.where(good).groupBy("embedding").agg(F.min("vid").alias("first"), F.count("*").alias("mult"))
+    reps = stage(reps.withColumn("id", F.monotonically_increasing_id()), "vectors")  # vec_ids may be null or repeated
     sizes = {r["n"]: r["count"] for r in reps.groupBy(F.size("embedding").alias("n")).count().collect()}
     found = None
     for length, n in sorted(sizes.items()):
         mine = reps.where(F.size("embedding") == length)
         k = min(MOST_PIVOTS, max(LEAST_PIVOTS, n // per_pivot), max(LEAST_PIVOTS, (1 << 22) // length))
-        drawn = unit(mine.orderBy(F.xxhash64("id"), "id").limit(DRAWN * k).select("embedding").toPandas()["embedding"])
+        drawn = unit(mine.orderBy(F.xxhash64("embedding"), "first").limit(DRAWN * k).select("embedding").toPandas()["embedding"])
         pivots = far_apart(drawn, k, threshold)
         part = judged(describe(mine.select("id", "mult", "embedding"), pivots, prefix, threshold), threshold, block)
         found = part if found is None else found.unionByName(part)
@@ -137,8 +138,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, prefix: int = PR
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "i")
     known = reps.join(links, F.col("id") == F.col("i"), "left").join(roots, F.col("id") == F.col("node"), "left")
-    known = known.select("embedding", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    known = stage(known.where("n_links > 0"), "linked")
+    known = known.select("embedding", "mult", "first", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    known = stage(known.where("n_links > 0"), "rooted")
+    least = known.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
+    known = stage(known.join(least, F.col("root") == F.col("r")).select("embedding", "mult", "n_links", "component_id"), "linked")
     out = lookup(rows, known, ["embedding"], "mult", rows.count(), F.xxhash64("vid"))
     component = F.coalesce("component_id", "vid")
     last = F.lit((1 << 63) - 1)

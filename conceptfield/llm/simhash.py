@@ -193,8 +193,17 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, budget: int = 4, per_subtre
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is the group's component_id; all columns."""
+    """docs with one document of each group: the one whose doc_id is the group's component_id; all columns.
+
+    If ids are null or repeated, rows are told apart by a number stored with them: a group keeps its row of the smallest
+    doc_id, a null one last; among equal ids the least hash of the text decides.
+    """
     marks = stage(simhash_dedup(docs), "simhash")
     if not marks.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])
+        numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        marks = stage(simhash_dedup(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id"), "simhash")
+        keys = numbered.select(F.col("_row").alias("_r"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_key"))
+        first = marks.join(keys, F.col("_row") == F.col("_r")).groupBy("component_id").agg(F.min("_key")["_row"].alias("_first"))
+        dropped = marks.join(first.select("_first"), F.col("_row") == F.col("_first"), "left_anti")
+        return without(numbered, dropped, "_row").select(*docs.columns)
     return without(docs, marks.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))))

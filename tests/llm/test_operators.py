@@ -379,3 +379,14 @@ def test_awkward_vectors_and_pages(spark):
     assert embedding_dedup.embedding_dedup(v.limit(0)).count() == 0
     p = spark.createDataFrame([(1, "http://a/b", 1), (1, "http://a/b", 1), (None, None, 1)], "page_id long, url string, host int")
     assert url_filter.url_filter(p).count() == 3 and url_filter.url_filter(p.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, t, "x") for t in texts[:3]] + [(1, t, "x") for t in texts[3:5]] + [(2, texts[5], "x"), (1, texts[5], "y"), (None, texts[0], "y"), (1, texts[3], "x")]
+    got = simhash.keep_first(frame(spark, rows)).collect()
+    assert Counter(r.text for r in got) == Counter(texts) and {r.text: r.doc_id for r in got}[texts[5]] == 1
+    v = [(None, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [0.1, 1.0]), (5, [1.0, 0.1]), (7, [-1.0, 0.0]), (7, [0.0, -1.0]), (3, [0.1, -1.0])]
+    out = embedding_dedup.embedding_dedup(spark.createDataFrame(v, "vec_id long, embedding array<float>")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in out) == Counter([(None, 1, 5), (None, 1, None), (None, 1, None), (5, 1, 5), (7, 0, 7), (7, 1, 3), (3, 1, 3)])
