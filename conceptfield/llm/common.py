@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: space and the five ASCII controls from tab to carriage return.
@@ -29,22 +30,40 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if it is unset (tests)."""
+    """This application's folder below spark.checkpoint.dir, which driver and executors share. Where that is unset, local
+    mode takes a temporary folder; elsewhere the machines would not see one another's files, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="conceptfield-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/conceptfield/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/conceptfield/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes what this application has staged; to be called when no result that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns numbered (c0, c1, ...), and the number of each name (its first column, by exact spelling).
+
+    Names of ours can't clash with numbered ones, however df's columns are called; `toDF(*df.columns)` names them again.
+    """
+    names = list(df.columns)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), {n: f"c{names.index(n)}" for n in names}
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -96,20 +115,35 @@ def bitmap_of(keys: DataFrame, exponent: int) -> DataFrame:
 def maybe(rows: DataFrame, keys: Sequence[str], bitmap: DataFrame, exponent: int) -> DataFrame:
     """Adds _may: false where the row's keys are surely not among those of the bitmap. Its size is bounded, so it is broadcast."""
     place = F.pmod(F.xxhash64(*keys), F.lit(1 << exponent))
-    at = rows.withColumn("_at", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
+    at = rows.withColumn("_at", F.bitmap_bucket_number(place)).withColumn("_place", F.bitmap_bit_position(place))
     both = at.join(F.broadcast(bitmap), F.col("_at") == F.col("_bucket"), "left")
-    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    return both.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, cast(_bit % 8 as int)) & 1, 0) = 1").alias("_may"))
+    byte = "cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
+    return both.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, cast(_place % 8 as int)) & 1, 0) = 1").alias("_may"))
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs whose key isn't in dropped(key): only rows that a bitmap lets through are shuffled, so that texts that
-    stay are read in place."""
-    ids = stage(dropped.select(key).distinct(), "dropped")
+def without(docs: DataFrame, dropped: DataFrame, key: Column | None = None) -> DataFrame:
+    """docs whose key (doc_id by default) isn't among the values of dropped's one column, null being a value.
+
+    Only rows that a bitmap lets through are shuffled, so that texts that stay are read in place. Columns may have any names.
+    """
+    rows, at = plain(docs)
+    rows = rows.withColumn("key", F.col(at["doc_id"]) if key is None else key)
+    ids = stage(dropped.toDF("gone").distinct(), "dropped")
     exponent = bits_for(ids.count())
-    marked = maybe(docs, [key], bitmap_of(ids, exponent), exponent)
-    sure, rest = marked.where("not _may").select(*docs.columns), marked.where("_may").select(*docs.columns)
-    return sure.unionByName(rest.join(ids.withColumnRenamed(key, "_id").hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left_anti"))
+    marked = maybe(rows, ["key"], bitmap_of(ids, exponent), exponent)
+    sure, rest = marked.where("not _may"), marked.where("_may").join(ids.hint("merge"), F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    return sure.unionByName(rest).drop("key", "_may").toDF(*docs.columns)
+
+
+def keep_rows(docs: DataFrame, key: Column, dropped: DataFrame, several: DataFrame | None) -> DataFrame:
+    """docs without the rows whose key (over `plain` columns) is in dropped; of rows with a key in several the first by their columns stays."""
+    if several is None or several.isEmpty():
+        return without(docs, dropped, key)
+    rest = without(docs, dropped.toDF("k").unionByName(several.toDF("k")), key)
+    rows, _ = plain(docs)
+    same = rows.withColumn("key", key).join(several.toDF("k").hint("merge"), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    nth = F.row_number().over(W.partitionBy("key").orderBy(*[c for c, t in rows.dtypes if "map<" not in t]))
+    return rest.union(same.withColumn("nth", nth).where("nth = 1").drop("key", "nth").toDF(*docs.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, stage, text_or_empty
+from .common import WORD, pick, plain, stage, text_or_empty
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -24,6 +24,8 @@ WALKS = 32
 ROUNDS = 4
 #: Equal parts of the unit interval by which draws find their source.
 BINS = 4096
+#: Elements of an array that is made to be exploded, at most.
+RUN = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -72,24 +74,39 @@ def permuted(index: Column, size: Column, key: Column) -> Column:
     return F.when(size <= 1, F.lit(0).cast("long")).otherwise(walked.cast("long"))
 
 
+def counted(n: Column, *keep: str):
+    """Columns that explode to 0 .. n-1 as `at`, for any n: two steps, so that no array is longer than RUN."""
+    def apply(rows: DataFrame) -> DataFrame:
+        steps = rows.withColumn("of", n).where("of > 0").select(*keep, "of", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("of") - 1) / RUN))).alias("step"))
+        return steps.select(*keep, F.explode(F.sequence(F.col("step") * RUN, F.least(F.col("of"), (F.col("step") + 1) * RUN) - 1)).alias("at"))
+
+    return apply
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size) of docs(doc_id, text, source), staged; row is unique and stable, as it is stored."""
-    rows = pick(docs, "doc_id", "text", "source").select("doc_id", "source", n_words(text_or_empty()).alias("size"))
-    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
+    """(doc_id, source, hash, nth, size) of docs(doc_id, text, source), staged; hash is the text's.
+
+    The first four tell rows apart by content, nth numbering equal ones, so however the table is split, the same rows
+    have the same keys. Equal rows are combined before the shuffle.
+    """
+    rows = pick(docs, "doc_id", "text", "source").withColumn("text", text_or_empty())
+    rows = rows.select("doc_id", "source", F.xxhash64("text").alias("hash"), n_words(F.col("text")).alias("size"))
+    alike = rows.groupBy("doc_id", "source", "hash", "size").agg(F.count("*").alias("n"))
+    return stage(alike.transform(counted(F.col("n"), "doc_id", "source", "hash", "size")).withColumnRenamed("at", "nth"), "sized")
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """Adds start, the words of the same source before the document; a source of any size is summed in as many parts as a
-    part has documents."""
-    parts = max(1, math.isqrt(rows.count()))
-    part = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)))
+def placed(rows: DataFrame, per_part: int = 1 << 16) -> DataFrame:
+    """Adds start, the words of the same source before the document, in an order that content alone decides; a source of
+    any size is summed in parts of about per_part documents."""
+    parts = max(1, rows.count() // per_part)
+    part = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "hash", "nth"), F.lit(parts)))
     key = F.struct("source").alias("source")  # a struct is never null
     sums = part.groupBy("source", "part").agg(F.sum("size").alias("words"))
     ahead = sums.withColumn("ahead", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ahead = ahead.select(key.alias("k"), F.col("part").alias("p"), "ahead")
-    inside = F.coalesce(F.sum("size").over(W.partitionBy("source", "part").orderBy("doc_id", "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("source", "part").orderBy("doc_id", "hash", "nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     both = part.withColumn("inside", inside).join(ahead, (F.struct("source") == F.col("k")) & (F.col("part") == F.col("p")))
-    return both.select("row", "doc_id", "source", "size", (F.col("ahead") + F.col("inside")).alias("start"))
+    return both.select("doc_id", "source", "hash", "nth", "size", (F.col("ahead") + F.col("inside")).alias("start"))
 
 
 def slots(shares: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
@@ -122,7 +139,7 @@ def slots(shares: DataFrame, block: int, shard_slots: int, seed: int) -> DataFra
     got = shares.join(counts.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     got = got.withColumn("over", F.greatest(F.col("got") - F.col("need"), F.lit(0))).withColumn("lack", F.greatest(F.col("need") - F.col("got"), F.lit(0)))
     got = stage(got.withColumn("over_at", F.coalesce(F.sum("over").over(run), F.lit(0))).withColumn("lack_at", F.coalesce(F.sum("lack").over(run), F.lit(0))), "drawn-counts")
-    lacking = got.where("lack > 0").select(F.col("sid").alias("to_sid"), F.col("got").alias("to_got"), F.posexplode(F.sequence(F.col("lack_at"), F.col("lack_at") + F.col("lack") - 1))).select("to_sid", (F.col("to_got") + F.col("pos")).alias("to_k"), F.col("col").alias("i"))
+    lacking = got.transform(counted(F.col("lack"), "sid", "got", "lack_at")).select(F.col("sid").alias("to_sid"), (F.col("got") + F.col("at")).alias("to_k"), (F.col("lack_at") + F.col("at")).alias("i"))
     mine = numbered.join(got.select(F.col("sid").alias("s2"), "need", "over_at"), F.col("sid") == F.col("s2"))
     kept = mine.where("k < need").select("shard", "g", "sid", "k")
     moved = mine.where("k >= need").withColumn("j", F.col("over_at") + F.col("k") - F.col("need")).join(lacking, F.col("j") == F.col("i")).select("shard", "g", F.col("to_sid").alias("sid"), F.col("to_k").alias("k"))
@@ -152,11 +169,14 @@ def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, share: float
     """Mixes docs(doc_id, text, source) to the targets of `targets`.
 
     Returns three tables: "sources" (sid, source, source_size, weight, target), "slots" (shard, slot, sid, pass, block,
-    words: what each slot of the mixture takes) and "documents" (row, doc_id, source, size, source_size, target, taken,
-    passes: for each pass over the source, the document's size if whole documents go by it, else 0). The words taken of a source are its
-    target rounded down to a whole word; a document is taken at most twice when cap is 2. Null text has size 0, a null
-    source is a source of its own, repeated rows are documents of their own, documents without words are taken 0
-    times, an empty table gives empty tables; other columns are ignored. The same rows give the same mixture.
+    words: what each slot of the mixture takes) and "documents" (doc_id, source, hash, nth, size, source_size, target,
+    taken, passes: for each pass over the source, the document's size if whole documents go by it, else 0). The words
+    taken of a source are its target rounded down to a whole word; a document is taken at most twice when cap is 2.
+
+    Null text has size 0, a null source is a source of its own, repeated rows are documents of their own, documents
+    without words are taken 0 times, an empty table gives empty tables; other columns are ignored. Content alone decides:
+    the same rows give the same mixture, however the table is split or ordered. Sources are names, few enough for one
+    task to order; their documents, blocks and slots are not.
     """
     rows = stage(placed(sized(docs)), "placed")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -164,33 +184,41 @@ def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, share: float
     sources = stage(sources, "sources")
     picked = stage(slots(sources.select("sid", "source_size", F.floor("target").cast("long").alias("quota")), block, shard_slots, seed), "slots")
     known = rows.join(sources.select(F.struct("source").alias("k"), "sid", "source_size", "target"), F.struct("source") == F.col("k")).drop("k")
-    # A document's words lie in blocks start/block .. (start+size-1)/block of its source.
-    spread = known.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+    # A document's words lie in blocks start/block .. (start+size-1)/block of its source; a source's starts differ.
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    spread = known.where("size > 0").withColumn("first", first).transform(counted(last - first + 1, "sid", "start", "size", "first")).withColumn("block", F.col("first") + F.col("at"))
     begin = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    spans = spread.select("row", F.col("sid"), "block", begin.alias("begin"), end.alias("end"))
+    spans = spread.select("sid", "start", "block", begin.alias("begin"), end.alias("end"))
     hits = spans.join(picked.select(F.col("sid").alias("s"), F.col("block").alias("b"), "pass", "words"), (F.col("sid") == F.col("s")) & (F.col("block") == F.col("b")))
     part = F.greatest(F.least("end", "words") - F.col("begin"), F.lit(0))
-    taken = hits.groupBy("row").agg(F.sum(part).alias("taken"))
-    out = known.join(taken.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
-    documents = out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), whole_passes(math.ceil(cap), seed).alias("passes"))
+    taken = hits.groupBy("sid", "start").agg(F.sum(part).alias("taken")).select(F.col("sid").alias("s"), F.col("start").alias("r"), "taken")
+    out = known.join(taken, (F.col("sid") == F.col("s")) & (F.col("start") == F.col("r")) & (F.col("size") > 0), "left")
+    passes = whole_passes(math.ceil(cap), seed).alias("passes")
+    documents = out.select("doc_id", "source", "hash", "nth", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), passes)
     return {"sources": sources, "slots": picked, "documents": documents}
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with a row for each pass over a source by which a document goes.
 
-    Documents without words are no part of a mixture of words and don't appear. Documents go whole, none is torn; a
-    source's words differ from its target by less than its longest document.
+    Documents go whole, none is torn; a source's words differ from its target by less than its longest document in each
+    pass. Documents without words (null and empty texts) are no part of a mixture of words and don't appear. A null
+    source is a source of its own. Rows are told apart by doc_id, which may be null or repeat, source and text; of rows
+    equal in all three each goes as often as the next, or once more. An empty table gives an empty one; columns may have
+    any names, and the result has docs' columns.
     """
     taken = mix(docs, **options)["documents"].where("size > 0")
-    chosen = taken.select("doc_id", F.explode(F.filter("passes", lambda p: p > 0)).alias("words"))
-    times = stage(chosen.groupBy("doc_id").agg(F.count("*").cast("int").alias("_times")).withColumnRenamed("doc_id", "_id"), "times")
-    ids = taken.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if not ids.isEmpty():  # repeated ids: as many rows in all as their passes give
-        rows = docs.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).withColumn("_of", F.count("*").over(W.partitionBy("doc_id")))
-        share = F.floor(F.col("_times") / F.col("_of")) + F.when(F.col("_nth") <= F.col("_times") % F.col("_of"), 1).otherwise(0)
-        both = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_times", share.cast("int")).where("_times > 0")
-    else:
-        both = docs.join(times.hint("merge"), F.col("doc_id") == F.col("_id"))
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
+    goes = F.size(F.filter("passes", lambda p: p > 0))
+    times = stage(taken.groupBy("doc_id", "source", "hash").agg(F.sum(goes).alias("times"), F.count("*").alias("alike")).where("times > 0"), "times")
+    rows, at = plain(docs)
+    text = F.coalesce(F.col(at["text"]), F.lit(""))
+    rows = rows.withColumn("key", F.struct(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), F.xxhash64(text).alias("hash")))
+    met = rows.join(times.select(F.struct("doc_id", "source", "hash").alias("k"), "times", "alike").hint("merge"), F.col("key") == F.col("k"))
+    both = met.where("alike = 1").withColumn("mine", F.col("times"))
+    if not times.where("alike > 1").isEmpty():  # rows of equal doc_id, source and text
+        nth = F.row_number().over(W.partitionBy("key").orderBy(*[c for c, t in rows.drop("key").dtypes if "map<" not in t]))
+        several = met.where("alike > 1").withColumn("nth", nth)
+        mine = F.floor(F.col("times") / F.col("alike")) + F.when(F.col("nth") <= F.col("times") % F.col("alike"), 1).otherwise(0)
+        both = both.unionByName(several.withColumn("mine", mine).drop("nth"))
+    return both.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("mine").cast("int")))).select(*[c for c in rows.columns if c != "key"]).toDF(*docs.columns)

@@ -1,10 +1,12 @@
-"""Best-fit packing of tokenised documents into fixed-length sequences, improved by swap-based local search.
+"""Best-fit packing of tokenised documents into fixed-length sequences by swap-based local search.
 
 Documents are tokenised where they are read; the pieces (a few numbers each) are dealt by hash into groups of bounded
-size, each packed by best fit in decreasing order. The local search then takes an underfull bin and moves documents
-out of it, or exchanges one for one, two for one or one for two with other underfull bins, each step raising the sum
-of squared fills, until the bin is empty. A group can end at most a bin or so above its bound, so with groups of tens
-of thousands of pieces the whole stays within a fraction of a thousandth of one global packing.
+size. A group starts with its pieces in the order they come, each bin filled until the next piece doesn't fit. The
+local search then takes the least full bins one after another and moves documents out of them to where they fit best,
+or exchanges one for one, two for one or one for two with other underfull bins, each step raising the sum of squared
+fills, until bins are empty. It ends at the lower bound or when a round over all underfull bins finds no step. The
+waste of a group is a bin or so, so with groups of tens of thousands of pieces the whole stays within a fraction of a
+thousandth of one global packing.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import os
 import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterable
 
@@ -78,7 +81,8 @@ class Encoder:
         known, whole, split = self.known, set(), []
         for c in new:
             base = c.lower().rstrip(ENDS)
-            if b"<|" in c or not base or base == c or not (base[-1:].isalnum() or base[-1] > 127 and base.decode()[-1].isalpha()):
+            # A mark is a token apart only after what normalisation leaves a letter or digit: it may end in a combining sign.
+            if b"<|" in c or not base or base == c or not (base[-1:].isalnum() or base[-1] > 127 and unicodedata.normalize("NFC", base.decode()[-1].lower()).isalpha()):
                 whole.add(c)
             else:
                 tail = c[len(base) :]
@@ -148,103 +152,211 @@ def pieces(docs: DataFrame, capacity: int = 2048, end: int = 0, tokenizer: str |
     return docs.mapInArrow(run, T.StructType(fields + [T.StructField("ids", T.ArrayType(T.LongType()))] * keep_ids))
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best fit in decreasing order: bins as lists of indexes. A bit of `open_` is set for each free space that a bin has."""
+def next_fit(size: list[int], capacity: int) -> list[list[int]]:
+    """Bins as lists of indexes, filled in the order of the items."""
     bins: list[list[int]] = []
-    free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    open_ = 0
-    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
-        n = lengths[i]
-        fits = open_ >> n
-        if fits:
-            space = n + (fits & -fits).bit_length() - 1
-            b = free[space].pop()
-            if not free[space]:
-                open_ &= ~(1 << space)
-            bins[b].append(i)
-        else:
-            space, b = capacity, len(bins)
-            bins.append([i])
-        free[space - n].append(b)
-        open_ |= 1 << (space - n)
+    room = -1
+    for i, n in enumerate(size):
+        if n > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= n
     return bins
 
 
-def exchange(a: list[int], b: list[int], size: list[int], room: int) -> tuple[int, list[int], list[int]]:
-    """The largest net amount, at most room, that a move or an exchange of one for one, two for one or one for two
-    shifts from a to b; with the documents that leave a and those that leave b."""
-    best = (0, [], [])
-    for p, i in enumerate(a):
-        if best[0] < size[i] <= room:
-            best = (size[i], [i], [])
-        for q, j in enumerate(b):
-            if best[0] < size[i] - size[j] <= room:
-                best = (size[i] - size[j], [i], [j])
-            for k in b[q + 1 :]:
-                if best[0] < size[i] - size[j] - size[k] <= room:
-                    best = (size[i] - size[j] - size[k], [i], [j, k])
-            for k in a[p + 1 :]:
-                if best[0] < size[i] + size[k] - size[j] <= room:
-                    best = (size[i] + size[k] - size[j], [i, k], [j])
-        if best[0] == room:
-            break
-    return best
+def lower_bound(size: list[int], capacity: int) -> int:
+    """Bins that any packing needs: for each k, documents over half a bin have one each, and those of k up to half a bin
+    need what space is left beside the ones that k fits beside."""
+    n = np.bincount(np.asarray(size, np.int64), minlength=capacity + 1)
+    number, total = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    beside = number[capacity - k] - number[half]
+    space = capacity * beside - (total[capacity - k] - total[half])
+    small = total[half] - np.where(k > 0, total[k - 1], 0)
+    return int((number[capacity] - number[half] + np.maximum(0, -(-(small - space) // capacity))).max()) if size else 0
 
 
-def local_search(bins: list[list[int]], size: list[int], capacity: int, tries: int = 8) -> list[list[int]]:
-    """Empties underfull bins one after another; ends at the lower bound or when `tries` bins in a row can't be emptied.
+class Bin:
+    """Documents by size, with the amounts that the bin can give or take as bits of integers.
 
-    Each step shifts a net amount from the emptied bin, the least full one, to a fuller one, which raises the sum of
-    squared fills; a bin that can't be emptied gets its documents back.
+    At most as many sizes differ as 1 + 2 + 3 + ... fit in the capacity, so a bin of any number of documents has few.
     """
-    fill = [sum(size[i] for i in b) for b in bins]
-    bound = -(-sum(size) // capacity)
-    order, failed = sorted(range(len(bins)), key=fill.__getitem__), 0
-    left = len(bins)
-    for a in order:
-        if left <= bound or failed >= tries:
-            break
-        others = [b for b in range(len(bins)) if b != a and 0 < fill[b] < capacity]
-        if sum(capacity - fill[b] for b in others) < fill[a]:
+
+    __slots__ = ("docs", "fill", "gives", "takes")
+
+    def __init__(self, items: list[int], size: list[int]):
+        self.docs: dict[int, list[int]] = {}
+        self.fill = 0
+        for i in items:
+            self.docs.setdefault(size[i], []).append(i)
+            self.fill += size[i]
+        self.gives = self.takes = None
+
+    def amounts(self) -> tuple[list[tuple[int, tuple[int, ...]]], int]:
+        """What one or two documents sum to, with their sizes; and as bits, 0 included."""
+        if self.gives is None:
+            sizes = list(self.docs)
+            sums = {n: (n,) for n in sizes}
+            for p, n in enumerate(sizes):
+                if len(self.docs[n]) > 1:
+                    sums.setdefault(2 * n, (n, n))
+                for m in sizes[p + 1 :]:
+                    sums.setdefault(n + m, (n, m))
+            self.gives = sorted(sums.items(), reverse=True)
+            one = 1
+            for n in sizes:
+                one |= 1 << n
+            both = one
+            for n, _ in self.gives:
+                both |= 1 << n
+            self.takes = (one, both)
+        return self.gives, self.takes
+
+    def pop(self, sizes: tuple[int, ...]) -> list[int]:
+        out = []
+        for n in sizes:
+            held = self.docs[n]
+            out.append(held.pop())
+            if not held:
+                del self.docs[n]
+            self.fill -= n
+        self.gives = None
+        return out
+
+    def push(self, items: list[int], sizes: tuple[int, ...]) -> None:
+        for i, n in zip(items, sizes, strict=True):
+            self.docs.setdefault(n, []).append(i)
+            self.fill += n
+        self.gives = None
+
+    def items(self) -> list[int]:
+        return [i for held in self.docs.values() for i in held]
+
+
+def exchange(a: Bin, b: Bin, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    """The largest net amount, at most room, that a move or an exchange of one for one, two for one or one for two
+    shifts from a to b; with the sizes that leave a and those that leave b."""
+    gives, _ = a.amounts()
+    back, (one, both) = b.amounts()
+    best, leave, enter = 0, (), 0
+    for n, sizes in gives:
+        # The least amount of b that makes the net fit: of one document against two, of up to two against one.
+        least = max(0, n - room)
+        fits = (both if len(sizes) == 1 else one) >> least
+        if not fits:
+            continue
+        amount = least + (fits & -fits).bit_length() - 1
+        if len(sizes) == 2 and not amount:  # a move takes one document
+            fits &= ~1 if not least else -1
+            if not fits:
+                continue
+            amount = least + (fits & -fits).bit_length() - 1
+        if n - amount > best:
+            best, leave, enter = n - amount, sizes, amount
+            if best == room:
+                break
+    return best, leave, dict(back)[enter] if enter else ()
+
+
+def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[list[int]]:
+    """Empties underfull bins, the least full first; ends at the lower bound or when a round finds no step.
+
+    Each step shifts a net amount to a bin that is at least as full, which raises the sum of squared fills, so the
+    search ends. Bins are found by their free space, of bins with the same space the one that got it last; of bins with
+    the same sizes one is tried.
+    """
+    bound = lower_bound(size, capacity)
+    now = [Bin(b, size) for b in bins]
+    while len(now) > bound:
+        steps = 0
+        now.sort(key=lambda b: b.fill)
+        spaces: list[dict[Bin, None]] = [{} for _ in range(capacity + 1)]  # underfull bins by free space
+        open_ = 0
+        for b in now:
+            if b.fill < capacity:
+                spaces[capacity - b.fill][b] = None
+                open_ |= 1 << (capacity - b.fill)
+        slack = capacity * len(now) - sum(size)
+
+        def place(b: Bin, was: int):
+            nonlocal open_
+            del spaces[was][b]
+            if not spaces[was]:
+                open_ &= ~(1 << was)
+            if (space := capacity - b.fill) and b.fill:
+                spaces[space][b] = None
+                open_ |= 1 << space
+
+        left, stuck = len(now), set()
+        for a in now:
+            if left <= bound or not 0 < a.fill < capacity or slack - (capacity - a.fill) < a.fill:
+                continue
+            if (kind := (a.fill, a.amounts()[1])) in stuck:
+                continue
+            moved = True
+            while a.fill and moved:
+                moved, tried = False, set()
+                for n in sorted(a.docs, reverse=True):  # moves, to the fullest bin with room
+                    while n in a.docs:
+                        fits = open_ >> n
+                        b = None
+                        while fits and b is None:
+                            space = n + (fits & -fits).bit_length() - 1
+                            b = next((x for x in reversed(spaces[space]) if x is not a), None)
+                            fits &= fits - 1
+                        if b is None or b.fill + n <= a.fill:
+                            break
+                        was, mine = capacity - b.fill, capacity - a.fill
+                        b.push(a.pop((n,)), (n,))
+                        place(b, was)
+                        place(a, mine)
+                        moved, steps = True, steps + 1
+                if not a.fill:
+                    break
+                todo = open_
+                while todo and a.fill:  # exchanges, with the fullest bins first
+                    space = (todo & -todo).bit_length() - 1
+                    todo &= todo - 1
+                    for b in list(spaces[space]):
+                        if b is a or b.fill < a.fill or (same := (space, b.amounts()[1])) in tried:
+                            continue
+                        tried.add(same)
+                        net, leave, enter = exchange(a, b, space)
+                        if net:
+                            mine = capacity - a.fill
+                            out, back = a.pop(leave), b.pop(enter)
+                            b.push(out, leave)
+                            a.push(back, enter)
+                            place(b, space)
+                            place(a, mine)
+                            moved, steps = True, steps + 1
+                            tried.clear()
+                            if not a.fill:
+                                break
+            if (a.fill, a.amounts()[1]) == kind:
+                stuck.add(kind)  # nothing has changed
+            else:
+                stuck.clear()
+            if not a.fill:
+                left, slack = left - 1, slack - capacity
+        now = [b for b in now if b.fill]
+        if not steps:
             break
-        others.sort(key=fill.__getitem__)
-        undo, moved = {}, True
-        while bins[a] and moved:
-            moved = False
-            for b in others:
-                if fill[b] >= capacity or fill[b] < fill[a] or len(bins[b]) > 200 or len(bins[a]) > 200:
-                    continue
-                net, gives, takes = exchange(bins[a], bins[b], size, capacity - fill[b])
-                if net:
-                    undo.setdefault(b, (list(bins[b]), fill[b]))
-                    undo.setdefault(a, (list(bins[a]), fill[a]))
-                    bins[a] = [i for i in bins[a] if i not in gives] + takes
-                    bins[b] = [i for i in bins[b] if i not in takes] + gives
-                    fill[a], fill[b], moved = fill[a] - net, fill[b] + net, True
-                    if not bins[a]:
-                        break
-        if bins[a]:
-            for b, (was, full) in undo.items():
-                bins[b], fill[b] = was, full
-            failed += 1
-        else:
-            left, failed = left - 1, 0
-    return [b for b in bins if b]
+    return [b.items() for b in now]
 
 
 def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000) -> DataFrame:
-    """Adds sequence_id and offset to items, which have a length of 1 .. capacity; items must be stored (staged)."""
-    n = items.count()
-    groups = max(1, round(n / per_group))
-    item = F.monotonically_increasing_id()
-    rows = stage(items.withColumn("_item", item), "items")
+    """Adds sequence_id and offset to items, which have a length of 1 .. capacity."""
+    rows = stage(items.withColumn("_item", F.monotonically_increasing_id()), "items")  # stored, so that numbers stay
+    groups = max(1, round(rows.count() / per_group))
     whole = rows.where(F.col("length") == capacity).select(*items.columns, (-1 - F.col("_item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     def run(pdf):
         pdf = pdf.sort_values("_item", ignore_index=True)
         size = pdf["length"].tolist()
         sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        for s, b in enumerate(local_search(best_fit(size, capacity), size, capacity)):
+        for s, b in enumerate(local_search(next_fit(size, capacity), size, capacity)):
             at = 0
             for i in b:
                 sequence[i], offset[i] = s, at
@@ -263,5 +375,4 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, end: int = 0, tokenize
     ids with keep_ids. A null text is empty and gives one piece that holds the end id alone; repeated rows are packed
     one by one; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
     """
-    found = stage(pieces(docs, capacity, end, tokenizer, keep_ids), "pieces")
-    return pack(found, capacity, per_group)
+    return pack(pieces(docs, capacity, end, tokenizer, keep_ids), capacity, per_group)

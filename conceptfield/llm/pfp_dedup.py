@@ -1,11 +1,13 @@
 """Suffix-array dedup by prefix-free parsing: repeated byte strings are removed after their first occurrence.
 
-Rolling-hash triggers cut the bytes into phrases: a trigger is the gram of least hash in some window of the minimum
-length, so every string that can repeat holds one, at the same offset wherever it occurs. Pieces of text around equal
-triggers meet in one shard. There the phrases left and right of triggers form the dictionary; its suffix order, with
-the longest common prefixes of neighbours, gives for every depth the classes of equal phrase ends and beginnings. The
-parse, a pair of phrase ranks for each trigger occurrence, combines both into the order of all strings around the
-trigger, and of equal ones the earliest in the corpus stays. Strings are compared by content; hashes only route them.
+All documents are read whole. Text around anchors that occur again, where alone a string can repeat, is dealt by
+anchor into shards (see `anchored`), so that equal strings meet. Each shard is parsed prefix-free: a rolling hash over
+a few bytes triggers the ends of phrases, each phrase runs to the end of the next trigger, and no phrase's suffix that
+ends in a trigger is the beginning of another. Equal pieces are parsed once, equal phrases are one entry of the
+dictionary. The suffix array of the dictionary and that of the parse, both by prefix doubling, combine into the order
+of all strings of the shard: by the phrase's suffix up to the next trigger, then by the parse from there on. Strings
+that are neighbours in this order and agree in their first `width` bytes are equal, and the earliest in the corpus
+stays. The order of the shards' anchors makes that the order of all strings that can repeat.
 """
 
 from __future__ import annotations
@@ -22,49 +24,99 @@ from .anchored import groups_in_order, keyed, merged, pieces, runs, with_spans
 from .common import lookup, stage
 
 GRAM = 16
-#: Occurrences of a trigger that one task compares together; those of more frequent ones are compared window by window.
+#: Occurrences of an anchor that one task compares together; those of more frequent ones are compared window by window.
 HOT = 50_000
 BLOCK = 40_000
-
-
-def suffix_order(phrases: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each phrase in the sorted dictionary, and the common prefix of each dictionary entry with its predecessor."""
-    order = sorted(set(phrases))
-    rank = {p: i for i, p in enumerate(order)}
-    lengths = np.fromiter(map(len, order), np.int64, len(order))
-    table = np.frombuffer(b"".join(p.ljust(depth, b"\0") for p in order), np.uint8).reshape(len(order), depth)
-    common = np.zeros(len(order), np.int64)
-    for i in range(1, len(order), 100_000):
-        j = min(len(order), i + 100_000)
-        differ = table[i:j] != table[i - 1 : j - 1]
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
-        common[i:j] = np.minimum(first, np.minimum(lengths[i:j], lengths[i - 1 : j - 1]))
-    return np.fromiter(map(rank.__getitem__, phrases), np.int64, len(phrases)), common
+#: Bytes of a trigger, and the power of two of which one in so many byte strings is a trigger.
+TRIGGER, RARITY = 4, 4
+
+
+def doubled(rank: np.ndarray, end: np.ndarray, have: int) -> np.ndarray:
+    """Ranks of all suffixes, by prefix doubling: rank orders them by their first `have` elements; end is where the
+    suffix of each place ends. Equal suffixes have equal ranks; what ends first comes first."""
+    here, classes = np.arange(len(rank)), 0
+    while (now := int(rank.max(initial=-1)) + 1) != classes and (here + have < end).any():
+        classes = now
+        ahead = np.minimum(here + have, len(rank) - 1)
+        rank = np.unique(rank * (classes + 1) + np.where(here + have < end, rank[ahead] + 1, 0), return_inverse=True)[1]
+        have *= 2
+    return rank
+
+
+def dictionary_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix ranks of a dictionary, phrase after phrase, and where each phrase starts in them."""
+    length = np.fromiter(map(len, phrases), np.int64, len(phrases))
+    start = np.cumsum(length) - length
+    data = np.frombuffer(b"".join(phrases) + bytes(7), np.uint8).astype(np.int64) + 1
+    n = int(length.sum())
+    end, here, first = np.repeat(start + length, length), np.arange(n), np.zeros(n, np.int64)
+    for k in range(7):
+        first = (first << 9) | np.where(here + k < end, data[k : k + n], 0)
+    return doubled(np.unique(first, return_inverse=True)[1], end, 7), start
+
+
+def string_order(texts: list[bytes], many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, place, text) of the first `many` strings of each text, in the order of the strings: the joined texts, each
+    string's place in them and the text that it is from."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    end = np.cumsum(length)
+    start = end - length
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    gram = data.astype(np.uint32)
+    packed = gram[:-3] | gram[1:-2] << np.uint32(8) | gram[2:-1] << np.uint32(16) | gram[3:] << np.uint32(24)
+    trigger = np.flatnonzero((packed * np.uint32(0x9E3779B1)) >> np.uint32(32 - RARITY) == 0)
+    owner = np.searchsorted(end, trigger, side="right")
+    trigger = trigger[trigger + TRIGGER <= end[owner]]
+    cut = np.union1d(start, trigger)  # where phrases begin
+    owner = np.searchsorted(end, cut, side="right")
+    after = np.append(cut[1:] + TRIGGER, len(data))
+    stop = np.where(after - TRIGGER < end[owner], after, end[owner])
+    phrases = [joined[a:b] for a, b in zip(cut.tolist(), stop.tolist(), strict=True)]
+    dictionary = sorted(set(phrases))
+    rank = {p: i for i, p in enumerate(dictionary)}
+    parse = np.fromiter(map(rank.__getitem__, phrases), np.int64, len(phrases))
+    suffix, first = dictionary_ranks(dictionary)
+    last = np.searchsorted(cut, end[owner])  # the parse of each text ends where the next one begins
+    order = doubled(parse, last, 1)
+    text = np.repeat(np.arange(len(texts)), many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + start[text]
+    phrase = np.searchsorted(cut, place, side="right") - 1
+    follow = np.where(phrase + 1 < last[phrase], order[np.minimum(phrase + 1, len(order) - 1)] + 1, 0)
+    inside = suffix[first[parse[phrase]] + place - cut[phrase]]
+    by = np.argsort(inside * (len(order) + 1) + follow, kind="stable")
+    return data, place[by], text[by]
 
 
 def later_windows(table: pa.Table, width: int) -> np.ndarray:
-    """marked[piece, offset]: the window with the trigger at that offset also occurs earlier. Rows are whole groups by hash."""
-    offset, many = table.column("offset").to_numpy(), table.column("windows").to_numpy()
-    texts = table.column("piece").to_pylist()
-    deep = width  # of right phrases; left ones are shorter
-    right_rank, right_common = suffix_order([t[o : o + width] for t, o in zip(texts, offset.tolist(), strict=True)], deep)
-    left_rank, left_common = suffix_order([t[:o][::-1] for t, o in zip(texts, offset.tolist(), strict=True)], width)
+    """marked[piece, window]: the window also occurs earlier in the corpus. Rows are whole groups by hash."""
     keys = np.stack([table.column(c).to_numpy() for c in ("did", "tie", "anchor")])
     order = np.lexsort(keys[::-1])
-    place = np.empty(len(order), np.int64)
     same = np.zeros(len(order), bool)
     same[1:] = (keys[:, order[1:]] == keys[:, order[:-1]]).all(axis=0)
-    place[order] = np.cumsum(~same)
-    marked = np.zeros((len(texts), width), bool)
-    for r in range(int((offset - many + 1).min()), int(offset.max()) + 1):
-        i = order[((offset >= r) & (offset - many < r))[order]]
-        if len(i) < 2:
-            continue
-        right = np.cumsum(right_common < width - r)[right_rank[i]]
-        left = np.cumsum(left_common < r)[left_rank[i]] if r else np.zeros(len(i), np.int64)
-        both = right * (left.max() + 1) + left
-        _, first, group = np.unique(both, return_index=True, return_inverse=True)
-        marked[i, r] = place[i] != place[i[first]][group]
+    turn = np.empty(len(order), np.int64)  # the piece's turn in the corpus; rows that repeat have one
+    turn[order] = np.cumsum(~same)
+    seen: dict[tuple, int] = {}
+    groups = list(zip(*(table.column(c).to_pylist() for c in ("hash", "offset", "windows", "piece")), strict=True))
+    first = np.empty(len(order), np.int64)  # the earliest piece that is equal
+    for i in order.tolist():
+        first[i] = seen.setdefault(groups[i], i)
+    distinct = np.fromiter(seen.values(), np.int64, len(seen))
+    many = table.column("windows").to_numpy()
+    data, place, text = string_order([groups[i][3] for i in distinct.tolist()], many[distinct])
+    strings = np.lib.stride_tricks.sliding_window_view(data, width)
+    new = np.ones(len(place), bool)
+    for a in range(1, len(place), 100_000):
+        b = min(len(place), a + 100_000)
+        new[a:b] = (strings[place[a:b]] != strings[place[a - 1 : b - 1]]).any(axis=1)
+    mine = turn[distinct[text]]
+    earliest = np.minimum.reduceat(mine, np.flatnonzero(new))[np.cumsum(new) - 1]
+    size = np.array([len(groups[i][3]) for i in distinct.tolist()])
+    marked = np.zeros((len(order), width), bool)
+    marked[distinct[text], place - (np.cumsum(size) - size)[text]] = mine > earliest
+    copy = turn > turn[first]
+    marked = marked[first]
+    marked[copy] = np.arange(width) < many[copy][:, None]
     return marked
 
 
@@ -77,8 +129,8 @@ def repeated_spans(docs: DataFrame, width: int = 100, hot: int = HOT) -> DataFra
         for table in groups_in_order(batches, BLOCK):
             row, low, high = runs(later_windows(table, width))
             if len(row):
-                anchor = table.column("anchor").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(table.column("did").to_numpy()[row]), pa.array(table.column("tie").to_numpy()[row]), pa.array(anchor - high), pa.array(anchor - low + width)], names=["did", "tie", "start", "end"])
+                begin = (table.column("anchor").to_numpy() - table.column("offset").to_numpy())[row]
+                yield pa.RecordBatch.from_arrays([pa.array(table.column("did").to_numpy()[row]), pa.array(table.column("tie").to_numpy()[row]), pa.array(begin + low), pa.array(begin + high + width)], names=["did", "tie", "start", "end"])
 
     spans = made.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "did long, tie long, start long, end long")
     if singles is not None:

@@ -1,10 +1,15 @@
 """Substring dedup by repeated-phrase automata over words.
 
-Pieces of text around equal anchors meet in one shard (see `anchored`). Each shard confirms which windows of words
-recur in it, by content and not by hash; joins recurring windows that follow one another into passages; compiles the
-passages into an Aho-Corasick automaton over word numbers; and streams its pieces through the automaton, which locates
-every occurrence of every passage. All documents pass the anchor filter in whole; a piece that cannot hold a recurring
-window never reaches a shard.
+* Candidates: all documents are read whole, and the pieces of text around anchors that occur again are kept (see
+  `anchored`). What can't hold a recurring window is in no piece.
+* Confirmation: pieces of one anchor meet, and windows that occur more than once among them, by content and not by
+  hash, are joined with those that follow them into recurring passages.
+* Automata: the passages, dealt by anchor into shards, are compiled into Aho-Corasick automata over word numbers, and
+  the pieces of all documents stream through the automaton of their shard. What it finds is what is removed.
+
+Anchors with very many occurrences would make large groups. Their windows are pieces of their own, dealt by content;
+equal ones are combined before the shuffle to confirm them, and the occurrences of a very frequent one are dealt over
+several tasks, each with the one passage it needs.
 """
 
 from __future__ import annotations
@@ -19,20 +24,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchored import groups_in_order, keyed, merged, pieces, runs, with_spans
-from .common import lookup, stage
+from .common import bitmap_of, bits_for, maybe, stage
 
 GRAM = 8
 #: Occurrences of an anchor that one task compares together; those of more frequent ones are compared window by window.
 HOT = 50_000
-#: Pieces of one automaton.
+#: Rows of a block that is confirmed or of an automaton with what streams through it, groups being whole.
 BLOCK = 4_000
+#: Tasks over which the occurrences of a window of over HOT are dealt.
+SALTS = 64
 
 
-def recurring(words: list[np.ndarray], group: np.ndarray, offset: np.ndarray, many: np.ndarray, width: int) -> np.ndarray:
-    """marked[piece, offset]: the window with the anchor at that offset recurs in the piece's group.
+def recurring(words: list[np.ndarray], copies: np.ndarray, group: np.ndarray, offset: np.ndarray, many: np.ndarray, width: int) -> np.ndarray:
+    """marked[piece, offset]: the window with the anchor at that offset occurs more than once in the piece's group.
 
     Classes of equal windows are refined word by word: words right of the anchor number classes of beginnings, words
-    left of it classes of ends, and a window is a pair of both.
+    left of it classes of ends, and a window is a pair of both. A piece counts as often as it has copies.
     """
     n = len(words)
     top = int(offset.max()) if n else 0
@@ -52,49 +59,83 @@ def recurring(words: list[np.ndarray], group: np.ndarray, offset: np.ndarray, ma
     marked = np.zeros((n, width), bool)
     for r in range(top + 1):
         i = np.flatnonzero((offset >= r) & (offset - many < r))
-        if len(i) > 1:
-            _, at, count = np.unique(ahead[width - r][i] * n + behind[r][i], return_inverse=True, return_counts=True)
-            marked[i, r] = count[at] > 1
+        if len(i):
+            _, at = np.unique(ahead[width - r][i] * n + behind[r][i], return_inverse=True)
+            marked[i, r] = np.bincount(at, copies[i])[at] > 1
     return marked
 
 
-def locate(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, last word) of every place where a piece holds a recurring passage. Rows are whole groups by hash."""
-    offset, many = table.column("offset").to_numpy(), table.column("windows").to_numpy()
-    numbers: dict[bytes, int] = {}
-    words = [[numbers.setdefault(w, len(numbers)) for w in p.split()] for p in table.column("piece").to_pylist()]
-    marked = recurring([np.array(w) for w in words], table.column("hash").to_numpy(), offset, many, width)
+def numbered(texts: list[bytes], numbers: dict[bytes, int]) -> list[list[int]]:
+    return [[numbers.setdefault(w, len(numbers)) for w in t.split()] for t in texts]
+
+
+def confirmed(table: pa.Table, width: int) -> tuple[list[int], list[bytes]]:
+    """(hash, passage) of the recurring passages of a table of pieces, whole groups by hash."""
+    copies: dict[tuple, int] = {}
+    for key in zip(*(table.column(c).to_pylist() for c in ("hash", "offset", "windows", "piece")), strict=True):
+        copies[key] = copies.get(key, 0) + 1
+    group, offset, many = (np.array(x, np.int64) for x in list(zip(*copies, strict=True))[:3])
+    words = numbered([k[3] for k in copies], {})
+    marked = recurring([np.array(w) for w in words], np.fromiter(copies.values(), np.int64), group, offset, many, width)
     row, low, high = runs(marked)
+    texts = [k[3].split() for k in copies]
+    found = {(int(group[i]), b" ".join(texts[i][a:b])) for i, a, b in zip(row.tolist(), (offset[row] - high).tolist(), (offset[row] - low + width).tolist(), strict=True)}
+    return [h for h, _ in found], [p for _, p in found]
+
+
+def located(passages: list[bytes], texts: list[bytes]) -> list[tuple[int, int, int]]:
+    """(text, first word, last word + 1) of every place where a text holds one of the passages."""
+    numbers = {b"": 0}  # 0 stands for words of no passage
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, a, b in zip(row.tolist(), (offset[row] - high).tolist(), (offset[row] - low + width).tolist(), strict=True):
-        passage = tuple(words[i][a:b])
-        automaton.add_word(passage, len(passage))
-    if not len(row):
-        return row, row, row
+    for p in numbered(passages, numbers):
+        automaton.add_word(tuple(p), len(p))
     automaton.make_automaton()
-    found = [(i, end - n + 1, end) for i in np.unique(row).tolist() for end, n in automaton.iter(tuple(words[i]))]
-    return tuple(np.array(found, np.int64).T)
+    known = numbers.get
+    return [(i, end - n + 1, end + 1) for i, t in enumerate(texts) for end, n in automaton.iter(tuple([known(w, 0) for w in t.split()]))]
 
 
 def repeated_spans(docs: DataFrame, width: int = 35, hot: int = HOT) -> DataFrame:
     """Spans (did, tie, start, end) in words of what recurs; they overlap and may touch."""
-    rows = keyed(docs)
-    made, singles = pieces(rows, width, GRAM, True, hot)
+    made, singles = pieces(keyed(docs), width, GRAM, True, hot)
+    made = stage(made, "pieces")
 
-    def run(batches):
+    def confirm(batches):
         for table in groups_in_order(batches, BLOCK):
-            row, first, last = locate(table, width)
-            if len(row):
-                begin = (table.column("anchor").to_numpy() - table.column("offset").to_numpy())[row]
-                yield pa.RecordBatch.from_arrays([pa.array(table.column("did").to_numpy()[row]), pa.array(table.column("tie").to_numpy()[row]), pa.array(begin + first), pa.array(begin + last + 1)], names=["did", "tie", "start", "end"])
+            h, p = confirmed(table, width)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(p, pa.binary())], names=["hash", "piece"])
 
-    spans = made.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "did long, tie long, start long, end long")
+    whole = made.select("hash", "offset", "windows", "piece").repartition("hash").sortWithinPartitions("hash")
+    passages = whole.mapInArrow(confirm, "hash long, piece binary").withColumn("salt", F.lit(0))
+    stream = made.select("hash", F.lit(0).alias("salt"), "did", "tie", (F.col("anchor") - F.col("offset")).alias("begin"), "piece")
     if singles is not None:
-        often = stage(singles.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), "often")
-        total = often.agg(F.sum("n")).first()[0] or 0
-        met = lookup(singles, often.withColumn("again", F.lit(True)), ["piece"], "n", total, F.xxhash64("did", "start")).where("again")
-        spans = spans.unionByName(met.select("did", "tie", "start", (F.col("start") + width).alias("end")))
-    return spans
+        again = stage(singles.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").withColumn("hash", F.xxhash64("piece")), "windows-again")
+        heavy = again.where(F.col("n") > hot).select("hash")
+        exponent = bits_for(heavy.count())
+        often = bitmap_of(heavy, exponent)
+        many = F.explode(F.when(F.col("_may"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        passages = passages.unionByName(maybe(again.select("hash", "piece"), ["hash"], often, exponent).select("hash", "piece", many.alias("salt")))
+        dealt = F.when(F.col("_may"), F.pmod(F.xxhash64("did", "tie", "begin"), F.lit(SALTS)).cast("int")).otherwise(0)
+        keys = singles.select(F.xxhash64("piece").alias("hash"), "did", "tie", F.col("start").alias("begin"), "piece")
+        stream = stream.unionByName(maybe(keys, ["hash"], often, exponent).withColumn("salt", dealt).drop("_may"))
+    passages = stage(passages, "passages")
+
+    def locate(batches):
+        for table in groups_in_order(batches, BLOCK):
+            did, texts = table.column("did").to_numpy(zero_copy_only=False), table.column("piece").to_pylist()
+            is_text = table.column("is_text").to_numpy(zero_copy_only=False)
+            passage, text = np.flatnonzero(~is_text), np.flatnonzero(is_text)
+            if not len(passage) or not len(text):
+                continue
+            found = located([texts[i] for i in passage], [texts[i] for i in text])
+            if found:
+                i, first, last = np.array(found, np.int64).T
+                at = text[i]
+                begin, tie = table.column("begin").to_numpy()[at], table.column("tie").to_numpy()[at]
+                yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(tie), pa.array(begin + first), pa.array(begin + last)], names=["did", "tie", "start", "end"])
+
+    zero = F.lit(0).cast("long")
+    both = stream.withColumn("is_text", F.lit(True)).unionByName(passages.select("hash", "salt", zero.alias("did"), zero.alias("tie"), zero.alias("begin"), "piece", F.lit(False).alias("is_text")))
+    return both.repartition("hash", "salt").sortWithinPartitions("hash").mapInArrow(locate, "did long, tie long, start long, end long")
 
 
 def phrase_dedup(docs: DataFrame, width: int = 35, hot: int = HOT, keep_text: bool = False) -> DataFrame:

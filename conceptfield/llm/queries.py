@@ -95,6 +95,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_pivot_dedup": r"""
+            WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+            v AS (SELECT * FROM e WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+            r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+            n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+            c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+            SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(c, vec_id), vec_id) AS component_id, coalesce(c >= vec_id, true) AS kept
+            FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+        "op5_phrase_dedup": r"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+            win AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, unnest(list_transform(range(1, len(words) - 33), lambda i: array_to_string(words[i : i + 34], ' '))) AS s FROM w WHERE len(words) >= 35),
+            again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM again),
+            t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM w),
+            kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM t ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+            SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM w LEFT JOIN kept USING (doc_id)""",
+        "op9_pfp_dedup": r"""
+            WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            win AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS i, unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: substr(h, (2 * i + 1)::BIGINT, 200))) AS s FROM d WHERE length(h) >= 200),
+            firsts AS (SELECT s, min({'d': doc_id, 'i': i}) AS f FROM win GROUP BY s HAVING count(*) > 1),
+            again AS (SELECT doc_id, i FROM win JOIN firsts USING (s) WHERE f <> {'d': doc_id, 'i': i}),
+            edge AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true)::INT AS new FROM again),
+            runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edge) GROUP BY doc_id, run),
+            gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+            kept AS (SELECT g.doc_id, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) || substr(any_value(h), (2 * max(b) + 1)::BIGINT) AS kept, count(*) AS n, sum(b - a) AS gone FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id)
+            SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+            FROM d LEFT JOIN kept USING (doc_id)""",
         "op6_exact_dedup": r"""
             WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
             SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

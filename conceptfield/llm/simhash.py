@@ -3,9 +3,13 @@
 Distinct fingerprints are the leaves of a binary trie. The self-join walks pairs of its nodes together, adds up the
 bits in which their paths differ, and drops a pair as soon as the error budget is exceeded. Four differing bits leave
 one of the four 16-bit quarters with at most one of them, so four tries are walked, each with another quarter rotated
-to the front, where the budget is one bit. The upper levels are walked by the shuffle: each trie is cut into subtrees,
-and a subtree gets its own fingerprints and those of the subtrees one bit away. Each task returns a spanning forest of
-the links it finds, not the links, so that a large group of near copies stays linear.
+to the front, where the budget is one bit (and so up to seven differing bits). The upper levels are walked by the
+shuffle: each trie is cut into subtrees, and a subtree gets its own fingerprints and those of the subtrees one bit
+away. Each task returns a spanning forest of the links it finds, of the closest pairs, not the links, so that a large
+group of near copies stays linear.
+
+`simhash_dedup` groups by fingerprints alone. `keep_first` keeps one document of each group of near copies: several
+fingerprints of a document each bring candidates, which are verified by the similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -20,28 +24,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, lookup, pick, stage, without
+from .common import bitmap_of, bits_for, components, keep_rows, lookup, maybe, pick, plain, stage
 
 BITS, LEAD, LEAD_BUDGET = 64, 16, 1
+#: Near copies: words of a shingle, least Jaccard similarity; fingerprints of a document and the bits by which candidates may differ.
+SHINGLE, SIMILARITY, PRINTS, NEAR_BITS = 5, 0.8, 6, 7
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a text, A-Z lower-cased; of the whole sequence if it is shorter; none without words."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     last = ends[min(shingle, len(words)) - 1 :]
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 8192):
+    for i in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def near_prints(text: str | None, shingle: int, prints: int) -> list[int]:
+    """Independent SimHashes of a text's distinct word shingles: their hashes, mixed anew for each."""
+    h = np.unique(shingle_hashes(text, shingle))
+    out = []
+    for k in range(prints):
+        x = h + np.uint64((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(majority((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)))
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -134,8 +160,28 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Indexes of the pairs (i, j) of a spanning forest over 0 .. n-1 with the least distances `far`: all components take
+    their nearest pair at a time."""
+    order = np.argsort(far, kind="stable")
+    i, j, out, forest = i[order], j[order], [], Forest(n)
+    while True:
+        a, b = forest.roots(i), forest.roots(j)
+        open_ = np.flatnonzero(a != b)
+        if not len(open_):
+            return np.concatenate(out) if out else np.zeros(0, np.int64)
+        i, j, a, b, order = i[open_], j[open_], a[open_], b[open_], order[open_]
+        best = np.full(n, len(a))
+        np.minimum.at(best, a, np.arange(len(a)))
+        np.minimum.at(best, b, np.arange(len(a)))
+        taken = np.unique(best[best < len(a)])
+        out.append(order[taken])
+        forest.merge(a[taken], b[taken])
+
+
 def links(distinct: DataFrame, budget: int = 4, per_subtree: int = 8192) -> DataFrame:
-    """Edges (a, b) that connect the same fingerprints as all links of distinct(fp) at `budget` or fewer bits."""
+    """Edges (a, b) that connect the same fingerprints as all links of distinct(fp) at `budget` (at most 7) or fewer bits;
+    each edge is a link."""
     n = distinct.count()
     top = min(LEAD, max(0, math.ceil(math.log2(max(1, n / per_subtree)))))
 
@@ -158,15 +204,22 @@ def links(distinct: DataFrame, budget: int = 4, per_subtree: int = 8192) -> Data
         mask = np.uint64((1 << (BITS - top)) - 1) if top else np.uint64(0xFFFFFFFFFFFFFFFF)
         v, guest = pdf["v"].to_numpy().view(np.uint64), pdf["guest"].to_numpy()
         own, guests = (x[np.argsort(x & mask, kind="stable")] for x in (v[~guest], v[guest]))
-        forest = Forest(len(own) + len(guests))
-        for is_guest, i, j in joined_pairs(own, guests, top, budget):
-            forest.merge(i, j + len(own) * is_guest)
         both = np.concatenate([own, guests])
-        root = forest.roots(np.arange(len(both)))
-        edge = np.flatnonzero(root != np.arange(len(both)))
+        held = [np.zeros((3, 0), np.int64)]  # pairs and their distances
+
+        def forest():
+            pairs = np.concatenate(held, axis=1)
+            return [pairs[:, spanning(len(both), *pairs)]]
+
+        for is_guest, i, j in joined_pairs(own, guests, top, budget):
+            j = j + len(own) * is_guest
+            held.append(np.stack([i, j, np.bitwise_count(both[i] ^ both[j]).astype(np.int64)]))
+            if sum(x.shape[1] for x in held) > 1_000_000:
+                held = forest()
+        a, b, _ = forest()[0]
         r = np.uint64(turn * LEAD)
         back = (both >> r) | (both << (np.uint64(BITS) - r)) if turn else both
-        return pd.DataFrame({"a": back[edge].view(np.int64), "b": back[root[edge]].view(np.int64)})
+        return pd.DataFrame({"a": back[a].view(np.int64), "b": back[b].view(np.int64)})
 
     placed = distinct.select("fp").mapInPandas(spread, "tree long, v long, guest boolean")
     return placed.groupBy("tree").applyInPandas(walk, "a long, b long").distinct()
@@ -192,18 +245,66 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, budget: int = 4, per_subtre
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is the group's component_id; all columns.
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, prints: int = PRINTS, budget: int = NEAR_BITS, per_subtree: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """((node, root) of the near copies in docs(doc_id, text), every row's id).
 
-    If ids are null or repeated, rows are told apart by a number stored with them: a group keeps its row of the smallest
-    doc_id, a null one last; among equal ids the least hash of the text decides.
+    A row's id is a struct of whether doc_id is null, doc_id and a hash of the text; root is the smallest id that verified
+    links reach. Each of `prints` fingerprints links its values within `budget` bits; the links of a spanning forest of
+    the closest pairs, and those of rows to the first one of their value, are candidates, verified by the Jaccard
+    similarity of the distinct shingles.
+    """
+    rows = pick(docs, "doc_id", "text").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).alias("id"), "text")
+
+    def prints_of(batches):
+        for batch in batches:
+            found = np.array([near_prints(t.as_py(), shingle, prints) for t in batch.column("text")], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(found[:, k]) for k in range(prints)]], names=["id", *[f"f{k}" for k in range(prints)]])
+
+    id_field = rows.schema["id"]
+    seen = stage(rows.mapInArrow(prints_of, T.StructType([id_field, *[T.StructField(f"f{k}", T.LongType()) for k in range(prints)]])), "prints")
+    found = None
+    for k in range(prints):
+        values = stage(seen.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("id").alias("first"), F.count("*").alias("n")), "values")
+        edges = links(values, budget, per_subtree)
+        a, b = values.select(F.col("fp").alias("a"), F.col("first").alias("x")), values.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+        across = edges.join(a, "a").join(b, "b").select("x", "y")
+        total = values.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        same = lookup(seen.select("id", F.col(f"f{k}").alias("fp")), values.where("n > 1"), ["fp"], "n", total, F.xxhash64("id"))
+        same = same.where("first is not null and first != id").select(F.col("id").alias("x"), F.col("first").alias("y"))
+        found = across.unionByName(same) if found is None else found.unionByName(across).unionByName(same)
+    found = stage(found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "candidates")
+
+    def sets_of(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+    ends = stage(found.select(F.col("x").alias("end")).unionByName(found.select(F.col("y").alias("end"))).distinct(), "ends")
+    exponent = bits_for(ends.count())
+    some = maybe(rows, ["id"], bitmap_of(ends, exponent), exponent).where("_may").select("id", "text")
+    sets = stage(some.mapInArrow(sets_of, T.StructType([id_field, T.StructField("set", T.ArrayType(T.LongType()))])).dropDuplicates(["id"]), "sets")
+    left, right = sets.select(F.col("id").alias("x"), F.col("set").alias("sx")), sets.select(F.col("id").alias("y"), F.col("set").alias("sy"))
+    both = found.join(left.hint("merge"), "x").join(right.hint("merge"), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    alike = F.when((F.size("sx") == 0) & (F.size("sy") == 0), F.lit(True)).otherwise(shared >= similarity * (F.size("sx") + F.size("sy") - shared))
+    return components(both.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b"))), seen.select("id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near copies, all columns: the one of the smallest doc_id, a null one last.
+
+    Near copies have shingles of SHINGLE words with a Jaccard similarity of SIMILARITY or more, directly or through
+    others; every link is verified, and retrieval is approximate (the README gives its recall). Null text is empty; texts
+    without words are near copies of one another; of different texts with equal ids the one with the least hash comes
+    first; of rows equal in doc_id and text the first by its other columns stays. An empty table gives an empty one;
+    columns may have any names.
     """
-    marks = stage(simhash_dedup(docs), "simhash")
-    if not marks.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        marks = stage(simhash_dedup(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id"), "simhash")
-        keys = numbered.select(F.col("_row").alias("_r"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_key"))
-        first = marks.join(keys, F.col("_row") == F.col("_r")).groupBy("component_id").agg(F.min("_key")["_row"].alias("_first"))
-        dropped = marks.join(first.select("_first"), F.col("_row") == F.col("_first"), "left_anti")
-        return without(numbered, dropped, "_row").select(*docs.columns)
-    return without(docs, marks.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    roots, ids = near_copies(docs, **options)
+    several = stage(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "several")
+    gone = stage(roots.where("node != root").select("node"), "near-copies")
+    _, at = plain(docs)
+    none, text = F.col(at["doc_id"]).isNull().alias("none"), F.coalesce(F.col(at["text"]), F.lit(""))
+    key = F.struct(none, F.col(at["doc_id"]).alias("doc_id"), F.xxhash64(text).alias("hash"))
+    return keep_rows(docs, key, gone, several.join(gone, F.col("id") == F.col("node"), "left_anti"))

@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A text is read as a string of word classes: insults, threats, targets, negations, speech verbs and clause ends. Three
-small weighted transducers are composed into one: negation turns an insult into a negated one until its clause ends,
-reported speech turns it into a reported one, and a target before an insult or beside a threat strengthens it. The
-composed machine gives each clause a score; a logistic function of the clauses' scores is the text's score.
+A lexicon, a weighted automaton over characters, reads a word into a class: insult words, intensifiers, threatening verbs,
+words of intent, targets, negations, speech verbs; clause ends are a class too. Five small weighted transducers over
+classes are composed into one: the insult transducer writes insults, stronger after an intensifier; the threat
+transducer writes threats, a verb of violence after words of intent weighing more than a bare one; negation turns both
+into weakened ones until their clause ends; reported speech into reported ones; and a target before an insult or
+beside a threat strengthens it. The composed machine gives each clause a score; a logistic function of the clauses'
+scores is the text's score.
 
 Insult words and stems beside the fixed ones are learned from labelled rows: words, and prefixes that inflected words
 share, whose documents are nearly all toxic. The labelled rows used are a bounded sample (`SAMPLE`); texts are scored whole.
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, stage
+from .common import pick, plain, stage
 
 #: Labelled rows that train the model, at most: those with the smallest hashes.
 SAMPLE = 20_000
@@ -30,6 +33,8 @@ LEXICON = 4_000
 
 INSULTS = "idiot idiots moron morons imbecile stupid dumb dumbass loser losers scum scumbag worthless pathetic trash disgusting clown jerk creep freak bastard bitch asshole retard vermin filth".split()
 THREATS = "kill hurt destroy beat punch shoot stab strangle murder attack smash burn hang crush die".split()
+INTENSIFIERS = "such so very really total totally complete completely absolute absolutely utter utterly fucking damn bloody most tellement vraiment très so sehr wirklich total tan muy totalmente".split()
+INTENTS = "will gonna going shall must should let let's lets hope wish want wants deserve deserves ought i'll we'll they'll he'll she'll you'll vais va veux devrais werde wird will soll voy va quiero debería".split()
 TARGETS = "you your yours yourself u ur he him his she her they them their this these those everyone people tu toi vous ton du dich ihr euch sie usted ustedes te ellos".split()
 NEGATIONS = "not no never none nor neither cannot isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't couldn't hardly ne pas jamais nicht kein keine nie nunca jamás".split()
 REPORTS = "said says saying told tells called calls claimed claims wrote writes reported reports quoted quotes alleged accused according dit disait écrit sagte sagt schrieb dijo dice escribió".split()
@@ -61,41 +66,86 @@ class Transducer:
         return Transducer(arcs)
 
 
-#: I insult, H threat, T target, N negation, R speech verb, B clause end; written: i negated, r reported, J targeted insult, K threat with target.
-SYMBOLS = "IHTNRB"
-NEGATION = Transducer({(0, "N"): (1, "", 1.0), (1, "N"): (0, "", 1.0), (1, "B"): (0, "B", 1.0), (1, "I"): (1, "i", 0.3), (1, "H"): (1, "i", 0.2)})
-REPORT = Transducer({(0, "R"): (1, "", 1.0), (1, "R"): (1, "", 1.0), (1, "B"): (0, "B", 1.0), (1, "I"): (1, "r", 0.4), (1, "i"): (1, "r", 0.4), (1, "H"): (1, "r", 0.3)})
-TARGET = Transducer({(0, "T"): (1, "", 1.0), (1, "T"): (1, "", 1.0), (1, "B"): (0, "B", 1.0), (1, "I"): (1, "J", 1.5), (1, "H"): (1, "K", 2.0), (0, "H"): (2, "", 1.0), (2, "H"): (2, "", 1.0), (2, "T"): (1, "K", 2.0), (2, "B"): (0, "B", 1.0)})
-GRAMMAR = NEGATION.then(REPORT, SYMBOLS).then(TARGET, SYMBOLS)
+#: Read: w insult word, X intensifier, v verb of violence, M intent, T target, N negation, R speech verb, B clause end.
+SYMBOLS = "wXvMTNRB"
+#: Written, from machine to machine: I insult, H threat, h bare violence, i negated, r reported, J targeted insult, K threat with target.
+INSULT = Transducer({(0, "w"): (0, "I", 1.0), (0, "X"): (1, "", 1.0), (1, "X"): (1, "", 1.0), (1, "w"): (0, "I", 1.25), (1, "B"): (0, "B", 1.0)})
+THREAT = Transducer({(0, "v"): (0, "h", 1.0), (0, "M"): (1, "", 1.0), (1, "M"): (1, "", 1.0), (1, "v"): (1, "H", 1.0), (1, "B"): (0, "B", 1.0)})
+NEGATION = Transducer({(0, "N"): (1, "", 1.0), (1, "N"): (0, "", 1.0), (1, "B"): (0, "B", 1.0), (1, "I"): (1, "i", 0.3), (1, "H"): (1, "i", 0.2), (1, "h"): (1, "i", 0.1)})
+REPORT = Transducer({(0, "R"): (1, "", 1.0), (1, "R"): (1, "", 1.0), (1, "B"): (0, "B", 1.0), (1, "I"): (1, "r", 0.4), (1, "i"): (1, "r", 0.4), (1, "H"): (1, "r", 0.3), (1, "h"): (1, "r", 0.15)})
+TARGET = Transducer({
+    (0, "T"): (1, "", 1.0), (1, "T"): (1, "", 1.0), (1, "B"): (0, "B", 1.0), (1, "I"): (1, "J", 1.5), (1, "H"): (1, "K", 2.0), (1, "h"): (1, "K", 1.0),
+    (0, "H"): (2, "", 1.0), (2, "H"): (2, "", 1.0), (2, "h"): (2, "", 1.0), (2, "T"): (1, "K", 2.0), (2, "B"): (0, "B", 1.0),
+    (0, "h"): (3, "", 1.0), (3, "h"): (3, "", 1.0), (3, "H"): (2, "", 1.0), (3, "T"): (1, "K", 1.0), (3, "B"): (0, "B", 1.0)})
+MACHINES = (INSULT, THREAT, NEGATION, REPORT, TARGET)
+GRAMMAR = INSULT
+for _machine in MACHINES[1:]:
+    GRAMMAR = GRAMMAR.then(_machine, SYMBOLS)
+
+
+class Lexicon:
+    """A weighted automaton over characters: reads a word, writes its class and weight; "" for words of no class.
+
+    Final states of stems hold wherever a word passes them, those of words only at its end. The heaviest insult word or
+    stem decides, else the class of the whole word.
+    """
+
+    def __init__(self, insults: dict[str, float], stems: dict[str, float], classes: dict[str, str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.passed: list[float] = [0.0]
+        self.ended: list[tuple[str, float]] = [("", 0.0)]
+        for entry, weight in stems.items():
+            at = self.path(entry)
+            self.passed[at] = max(self.passed[at], weight)
+        for entry, symbol in classes.items():
+            self.ended[self.path(entry)] = (symbol, 1.0)
+        for entry, weight in insults.items():
+            self.ended[self.path(entry)] = ("w", weight)
+
+    def path(self, entry: str) -> int:
+        at = 0
+        for c in entry:
+            if c not in self.next[at]:
+                self.next[at][c] = len(self.next)
+                self.next.append({})
+                self.passed.append(0.0)
+                self.ended.append(("", 0.0))
+            at = self.next[at][c]
+        return at
+
+    def read(self, word: str) -> tuple[str, float]:
+        at, stem = 0, 0.0
+        for c in word:
+            at = self.next[at].get(c, -1)
+            if at < 0:
+                return ("w", stem) if stem else ("", 0.0)
+            stem = max(stem, self.passed[at])
+        symbol, weight = self.ended[at]
+        return ("w", max(stem, weight if symbol == "w" else 0.0)) if stem else (symbol, weight)
+
+
 #: The logistic function before training: constant, direct insults, weakened insults, threats, strongest clause.
 PRIOR = np.array([-2.5, 4.0, 1.0, 3.0, 0.5])
 
 
 class Model:
-    """Words and stems with weights, the grammar and the logistic function."""
+    """The lexicon, the grammar and the logistic function."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], beta=PRIOR):
-        self.insults = dict.fromkeys(INSULTS, 1.0) | words
-        self.stems, self.beta = stems, np.asarray(beta, float)
-        self.classes = {w: c for c, ws in (("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS), ("H", THREATS)) for w in ws}
-        self.lengths = sorted({len(s) for s in stems})
+        classes = {w: c for c, ws in (("X", INTENSIFIERS), ("M", INTENTS), ("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS), ("v", THREATS)) for w in ws}
+        insults = dict.fromkeys(INSULTS, 1.0) | words
+        self.lexicon, self.beta = Lexicon(insults, stems, classes), np.asarray(beta, float)
+        self.marks = sorted({*insults, *stems, *THREATS})
         self.finder = None
 
     def __getstate__(self):
         return self.__dict__ | {"finder": None}
 
-    def weight(self, word: str) -> float:
-        found = self.insults.get(word, 0.0)
-        for n in self.lengths:
-            if n <= len(word):
-                found = max(found, self.stems.get(word[:n], 0.0))
-        return found
-
     def hits(self, text: str) -> bool:
         """Whether a word of the text starts as an insult or threat does; others have no matched clause."""
         if self.finder is None:
             self.finder = ahocorasick.Automaton()
-            for w in {*self.insults, *self.stems, *THREATS}:
+            for w in self.marks:
                 self.finder.add_word(w, len(w))
             self.finder.make_automaton()
         return any(end < n or not text[end - n].isalpha() for end, n in self.finder.iter(text))
@@ -109,12 +159,8 @@ class Model:
         state, clause = 0, [0.0, 0.0, 0.0]
         sums, top = np.zeros(3), 0.0
         for token in [*TOKEN.findall(text), "."]:
-            weight = 1.0
-            if not token[0].isalpha():
-                symbol = "B"
-            elif w := self.weight(token):
-                symbol, weight = "I", w
-            elif not (symbol := self.classes.get(token)):
+            symbol, weight = self.lexicon.read(token) if token[0].isalpha() else ("B", 1.0)
+            if not symbol:
                 continue
             state, kind, w = GRAMMAR.step(state, symbol)
             if kind in ("I", "J"):
@@ -256,12 +302,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the documents predicted toxic; all columns, one pass over the texts."""
+    """docs without the documents predicted toxic; all columns, one pass over the texts.
+
+    Null and empty texts have no matched clause and stay; rows that repeat stay or go together; null ids stay rows like
+    any other; an empty table gives an empty one; columns may have any names.
+    """
     model = train_model(docs, labels, sample)
+    rows, at = plain(docs)
+    text = at["text"]
 
     def run(batches):
         for batch in batches:
-            keep = [model.score(t.as_py()) < 0.5 for t in batch.column("text")]
+            keep = [model.score(t.as_py()) < 0.5 for t in batch.column(text)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

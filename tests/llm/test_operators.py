@@ -38,13 +38,13 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
-@pytest.mark.parametrize("bits", [256, 4])
-def test_exact_dedup(spark, bits):
+@pytest.mark.parametrize(("bits", "fan"), [(256, 256), (256, 2), (4, 2)])
+def test_exact_dedup(spark, bits, fan):
     rows, keep, size = corpus(), {}, Counter()
     for d, t, _ in rows:
         keep[space(t)] = min(d, keep.get(space(t), d))
         size[space(t)] += 1
-    got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, rows), bits).collect()}
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, rows), bits, fan).collect()}
     for d, t, _ in rows:
         want = (keep[space(t)], size[space(t)], keep[space(t)] == d, hashlib.sha256(space(t).encode()).hexdigest())
         assert (got[d].keep_id, got[d].group_size, got[d].kept, got[d].text_sha256) == want
@@ -215,6 +215,19 @@ def test_whole_documents_meet_the_targets(spark):
     assert all(abs(got[s] - t) <= (5000 if s != "s0" else 500) for s, t in target.items())
 
 
+def test_mixing_does_not_depend_on_order_or_splits(spark):
+    rows = corpus(n=150) + [(3000 + i % 3, f"again {i % 2} " * 40, "s1") for i in range(12)] + [(None, "w " * 100, None)] * 3
+    seen, chosen = set(), set()
+    for n, seed in ((1, 1), (3, 2), (11, 3)):
+        shuffled = list(rows)
+        random.Random(seed).shuffle(shuffled)
+        docs = spark.createDataFrame(shuffled, SCHEMA).repartition(n)
+        out = mixing.mix(docs, block=16, shard_slots=10)["documents"].select("doc_id", "source", "hash", "nth", "taken").collect()
+        seen.add(frozenset(Counter(tuple(r) for r in out).items()))
+        chosen.add(frozenset(Counter(tuple(r) for r in mixing.mixed_documents(docs).collect()).items()))
+    assert len(seen) == 1 and len(chosen) == 1
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 7, 100, 1000):
         got = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p")).collect()]
@@ -249,6 +262,54 @@ def test_encoder_is_the_tokenizer():
         assert encoder.encode([t])[0] == np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_is_the_tokenizer_after_odd_letters():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    rnd = random.Random(4)
+    odd = "İıſßẞǅŉΐὖﬁ\u0958\u09dc\u0344\u0130\u1e9e\u212a\u2126é\u0301aAzZ0٣日ñÇŁ"
+    texts = ["İ. İ, İ; İ: İ! İ?"] + [" ".join("".join(rnd.choice(odd + ".,;:!?'\"-") for _ in range(rnd.randint(1, 6))) for _ in range(8)) for _ in range(1500)]
+    for t in texts:
+        assert encoder.encode([t])[0] == np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def fewest(size, capacity):
+    """The least number of bins, by trying all packings."""
+    best = len(size)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(size):
+            best = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins)}.values():
+            if bins[k] + size[i] <= capacity:
+                put(i + 1, bins[:k] + [bins[k] + size[i]] + bins[k + 1 :])
+        put(i + 1, bins + [size[i]])
+
+    size = sorted(size, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_local_search_against_all_packings():
+    rnd = random.Random(6)
+    before = after = least = 0
+    for _ in range(60):
+        size = [rnd.randint(1, 12) for _ in range(11)]
+        start = packing.next_fit(size, 20)
+        out = packing.local_search(start, size, 20)
+        assert sorted(i for b in out for i in b) == list(range(11)) and all(sum(size[i] for i in b) <= 20 for b in out)
+        assert packing.lower_bound(size, 20) <= (n := fewest(size, 20)) <= len(out)
+        before, after, least = before + len(start), after + len(out), least + n
+    assert after <= least + 2 < before  # the search does the work
+    size = np.clip(np.random.default_rng(3).lognormal(5.5, 1.2, 8000).astype(int), 1, 2047).tolist()
+    start, bound = packing.next_fit(size, 2048), packing.lower_bound(size, 2048)
+    assert len(packing.local_search(start, size, 2048)) <= bound + 1 < 0.85 * len(start)
+    size = [6, 5, 4, 3, 7, 5]  # best fit in decreasing order takes four bins of 10
+    assert len(packing.local_search(packing.next_fit(size, 10), size, 10)) == 3
+
+
 def test_local_search_empties_bins():
     size = [6, 4, 5, 3, 2, 7, 3]  # 30 = 3 x 10
     bins = [[0, 4], [1, 2], [3, 6], [5]]
@@ -290,6 +351,72 @@ def test_url_filter(spark):
     assert {r.template for r in url_filter.url_filter(wide).collect()} == {"h/*/end"}
 
 
+def brute_purity(counts):
+    """counts: template -> (rows, blocked, labelled). The purity of each template, by plain dictionaries."""
+    def lines(t):
+        parts = t.split("/")
+        return ["/".join([*parts[:i], "?", *parts[i + 1 :]]) for i in range(1, len(parts))] + [t]
+
+    nodes, groups, out = {}, {}, {}
+    for t, c in counts.items():
+        for node in lines(t):
+            nodes[node] = tuple(map(sum, zip(nodes.get(node, (0, 0, 0)), c)))
+        if c[2]:
+            groups.setdefault(lines(t)[0], []).append(t)
+    pooled = {}
+    for ts in groups.values():
+        share = {t: (counts[t][1] + 1) / (counts[t][2] + 3) for t in ts}
+        error = {t: share[t] * (1 - share[t]) / (counts[t][2] + 3) for t in ts}
+        branches, last = [], None
+        for t in sorted(ts, key=lambda t: (share[t], counts[t][2])):
+            if last is None or share[t] - share[last] > 1.96 * (error[t] + error[last]) ** 0.5:
+                branches.append([])
+            branches[-1].append(t)
+            last = t
+        for branch in branches:
+            for t in branch:
+                pooled[t] = (sum(counts[x][1] for x in branch), sum(counts[x][2] for x in branch))
+    for t in counts:
+        expected = 1 / 3
+        for node in lines(t):
+            n, blocked, known = nodes[node]
+            bare = 0.5 * (n - known)
+            if node == t:
+                blocked, known = pooled.get(t, (blocked, known))
+            purity = (blocked + 3 * expected) / (known + 3)
+            expected = (blocked + (3 + bare) * expected) / (known + 3 + bare)
+        out[t] = purity
+    return out
+
+
+def test_url_purity_is_the_plain_tree(spark):
+    rnd = random.Random(12)
+    rows = [(f"h{rnd.randrange(3)}" + "".join(f"/{rnd.choice('abc')}" for _ in range(rnd.randint(0, 4))), rnd.randint(1, 40)) for _ in range(150)]
+    counts = {}
+    for t, n in rows:
+        known = rnd.choice([0, 0, rnd.randint(1, n)])
+        counts[t] = (n, rnd.randint(0, known), known)
+    frame = spark.createDataFrame([(t, *c) for t, c in counts.items()], "template string, n long, blocked long, labelled long")
+    got = {r.template: r.purity for r in url_filter.judge(frame).collect()}
+    assert got == {t: pytest.approx(p) for t, p in brute_purity(counts).items()} and len({round(p, 6) for p in got.values()}) > 20
+
+
+def test_url_filter_decides_pages_without_rules(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = url_filter.url_filter(pages).collect()
+    free = [r for r in got if r.rule is None]
+    blocked = [r for r in free if r.verdict == "block"]
+    assert len({r.purity for r in free}) > 10 and 0 < len(blocked) < len(free) / 2
+    counts = {}
+    for r in got:
+        n, b, known = counts.get(r.template, (0, 0, 0))
+        counts[r.template] = (n + 1, b + (r.rule is not None and r.verdict == "block"), known + (r.rule is not None))
+    want = brute_purity(counts)
+    assert all(r.purity == pytest.approx(want[r.template]) for r in got)
+    deep = spark.createDataFrame([(i, "http://h/" + "/".join(str(j) for j in range(3000))) for i in range(3)] + [(9, "http://h/" + "a" * 200_000)], "page_id long, url string")
+    assert {r.verdict for r in url_filter.url_filter(deep).collect()} == {"allow"}
+
+
 def test_url_filter_many_sections(spark):
     sections = ["de", "en", "fr", "es", "it", "nl", "pl", "pt", "sv", "fi"]
     pages = [(100 * k + i, f"http://a.example.com/{s}/p{chr(97 + i)}/x") for k, s in enumerate(sections) for i in range(20)]
@@ -349,6 +476,30 @@ def test_grammar():
     assert score(None) == score("") and 0 <= score("idiot " * 1000) <= 1
 
 
+def test_composition_is_the_machines_in_a_row():
+    rnd = random.Random(2)
+    for _ in range(2000):
+        state, states = 0, [0] * len(toxicity.MACHINES)
+        for s in rnd.choices(toxicity.SYMBOLS, k=rnd.randint(1, 12)):
+            state, out, weight = toxicity.GRAMMAR.step(state, s)
+            symbol, product = s, 1.0
+            for k, machine in enumerate(toxicity.MACHINES):
+                if not symbol:
+                    break
+                states[k], symbol, w = machine.step(states[k], symbol)
+                product *= w
+            assert (out, weight) == (symbol, pytest.approx(product))
+
+
+def test_lexicon_reads_words_and_stems():
+    lexicon = toxicity.Lexicon({"dumb": 1.0, "idiotic": 0.5}, {"idio": 0.8, "dum": 0.2}, {"you": "T", "kill": "v"})
+    read = {w: lexicon.read(w) for w in ("dumb", "dumber", "idiotic", "idiom", "you", "your", "kill", "id", "")}
+    assert read == {"dumb": ("w", 1.0), "dumber": ("w", 0.2), "idiotic": ("w", 0.8), "idiom": ("w", 0.8), "you": ("T", 1.0), "your": ("", 0.0), "kill": ("v", 1.0), "id": ("", 0.0), "": ("", 0.0)}
+    model = toxicity.Model({}, {})
+    assert model.score("you are such an idiot") > model.score("you are an idiot")
+    assert model.score("i will kill you") > model.score("i kill you") > model.score("")
+
+
 def test_toxicity_held_out(spark):
     data = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
