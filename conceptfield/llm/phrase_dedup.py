@@ -8,8 +8,8 @@
   the pieces of all documents stream through the automaton of their shard. What it finds is what is removed.
 
 Anchors with very many occurrences would make large groups. Their windows are pieces of their own, dealt by content;
-equal ones are combined before the shuffle to confirm them, and the occurrences of a very frequent one are dealt over
-several tasks, each with the one passage it needs.
+equal ones are combined before the shuffle to confirm them, and the occurrences of each are dealt over several shards,
+which all have the passage.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchored import groups_in_order, keyed, merged, pieces, runs, with_spans
-from .common import bitmap_of, bits_for, maybe, stage
+from .common import stage
 
 GRAM = 8
 #: Occurrences of an anchor that one task compares together; those of more frequent ones are compared window by window.
 HOT = 50_000
 #: Rows of a block that is confirmed or of an automaton with what streams through it, groups being whole.
 BLOCK = 4_000
-#: Tasks over which the occurrences of a window of over HOT are dealt.
-SALTS = 64
+#: Shards over which the occurrences of each window of an anchor of over HOT are dealt.
+SALTS = 16
 
 
 def recurring(words: list[np.ndarray], copies: np.ndarray, group: np.ndarray, offset: np.ndarray, many: np.ndarray, width: int) -> np.ndarray:
@@ -108,15 +108,11 @@ def repeated_spans(docs: DataFrame, width: int = 35, hot: int = HOT) -> DataFram
     passages = whole.mapInArrow(confirm, "hash long, piece binary").withColumn("salt", F.lit(0))
     stream = made.select("hash", F.lit(0).alias("salt"), "did", "tie", (F.col("anchor") - F.col("offset")).alias("begin"), "piece")
     if singles is not None:
-        again = stage(singles.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").withColumn("hash", F.xxhash64("piece")), "windows-again")
-        heavy = again.where(F.col("n") > hot).select("hash")
-        exponent = bits_for(heavy.count())
-        often = bitmap_of(heavy, exponent)
-        many = F.explode(F.when(F.col("_may"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-        passages = passages.unionByName(maybe(again.select("hash", "piece"), ["hash"], often, exponent).select("hash", "piece", many.alias("salt")))
-        dealt = F.when(F.col("_may"), F.pmod(F.xxhash64("did", "tie", "begin"), F.lit(SALTS)).cast("int")).otherwise(0)
-        keys = singles.select(F.xxhash64("piece").alias("hash"), "did", "tie", F.col("start").alias("begin"), "piece")
-        stream = stream.unionByName(maybe(keys, ["hash"], often, exponent).withColumn("salt", dealt).drop("_may"))
+        again = singles.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1")
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        passages = passages.unionByName(again.select(F.xxhash64("piece").alias("hash"), "piece", every))
+        dealt = F.pmod(F.xxhash64("did", "tie", "start"), F.lit(SALTS)).cast("int").alias("salt")
+        stream = stream.unionByName(singles.select(F.xxhash64("piece").alias("hash"), dealt, "did", "tie", F.col("start").alias("begin"), "piece"))
     passages = stage(passages, "passages")
 
     def locate(batches):
