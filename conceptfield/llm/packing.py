@@ -178,12 +178,9 @@ def lower_bound(size: list[int], capacity: int) -> int:
 
 
 class Bin:
-    """Documents by size, with the amounts that the bin can give or take as bits of integers.
+    """Documents by size, with the amounts that one or two of them sum to as bits of integers."""
 
-    At most as many sizes differ as 1 + 2 + 3 + ... fit in the capacity, so a bin of any number of documents has few.
-    """
-
-    __slots__ = ("docs", "fill", "gives", "takes")
+    __slots__ = ("docs", "fill", "reach", "sums")
 
     def __init__(self, items: list[int], size: list[int]):
         self.docs: dict[int, list[int]] = {}
@@ -191,27 +188,31 @@ class Bin:
         for i in items:
             self.docs.setdefault(size[i], []).append(i)
             self.fill += size[i]
-        self.gives = self.takes = None
-
-    def amounts(self) -> tuple[list[tuple[int, tuple[int, ...]]], int]:
-        """What one or two documents sum to, with their sizes; and as bits, 0 included."""
-        if self.gives is None:
-            sizes = list(self.docs)
-            sums = {n: (n,) for n in sizes}
-            for p, n in enumerate(sizes):
-                if len(self.docs[n]) > 1:
-                    sums.setdefault(2 * n, (n, n))
-                for m in sizes[p + 1 :]:
-                    sums.setdefault(n + m, (n, m))
-            self.gives = sorted(sums.items(), reverse=True)
+        self.sums = self.reach = None
+
+    def amounts(self) -> tuple[int, int]:
+        """Bits of what one document or none amounts to, and of what up to two do."""
+        if self.sums is None:
             one = 1
-            for n in sizes:
+            for n in self.docs:
                 one |= 1 << n
             both = one
-            for n, _ in self.gives:
-                both |= 1 << n
-            self.takes = (one, both)
-        return self.gives, self.takes
+            for n, held in self.docs.items():
+                both |= (one if len(held) > 1 else one ^ (1 << n)) << n
+            self.sums = (one, both)
+        return self.sums
+
+    def parts(self, amount: int) -> tuple[int, ...]:
+        """Sizes of the one or two documents that sum to amount."""
+        if amount in self.docs or not amount:
+            return (amount,) if amount else ()
+        return next((n, amount - n) for n in self.docs if amount - n in self.docs and (2 * n != amount or len(self.docs[n]) > 1))
+
+    def reached(self, room: int) -> tuple[int, int]:
+        """Bits of what may come in for one document of this bin or none, and for up to two, if up to room, its free space, is gained."""
+        if self.reach is None:
+            self.reach = tuple(raised(x, room) for x in self.amounts())
+        return self.reach
 
     def pop(self, sizes: tuple[int, ...]) -> list[int]:
         out = []
@@ -221,50 +222,49 @@ class Bin:
             if not held:
                 del self.docs[n]
             self.fill -= n
-        self.gives = None
+        self.sums = self.reach = None
         return out
 
     def push(self, items: list[int], sizes: tuple[int, ...]) -> None:
         for i, n in zip(items, sizes, strict=True):
             self.docs.setdefault(n, []).append(i)
             self.fill += n
-        self.gives = None
+        self.sums = self.reach = None
 
     def items(self) -> list[int]:
         return [i for held in self.docs.values() for i in held]
 
 
-def exchange(a: Bin, b: Bin, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
-    """The largest net amount, at most room, that a move or an exchange of one for one, two for one or one for two
-    shifts from a to b; with the sizes that leave a and those that leave b."""
-    gives, _ = a.amounts()
-    back, (one, both) = b.amounts()
-    best, leave, enter = 0, (), 0
-    for n, sizes in gives:
-        # The least amount of b that makes the net fit: of one document against two, of up to two against one.
-        least = max(0, n - room)
-        fits = (both if len(sizes) == 1 else one) >> least
-        if not fits:
-            continue
-        amount = least + (fits & -fits).bit_length() - 1
-        if len(sizes) == 2 and not amount:  # a move takes one document
-            fits &= ~1 if not least else -1
-            if not fits:
-                continue
-            amount = least + (fits & -fits).bit_length() - 1
-        if n - amount > best:
-            best, leave, enter = n - amount, sizes, amount
-            if best == room:
-                break
-    return best, leave, dict(back)[enter] if enter else ()
+def raised(bits: int, room: int) -> int:
+    """Bits of all sums of a set bit's place and 1 .. room."""
+    out, have = bits << 1, 1
+    while 2 * have <= room:
+        out, have = out | out << have, 2 * have
+    return out | out << (room - have)
+
+
+def exchange(a: Bin, b: Bin, room: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The exchange of one for one, two for one or one for two, or the move, that shifts the largest net amount, at most
+    room, from a to b: the sizes that leave a and those that leave b. Empty if there is none."""
+    (one, both), (less, more), (near, far) = a.amounts(), b.amounts(), b.reached(room)
+    best, leave, enter = 0, 0, 0
+    for gives, takes in ((one & far, more), (both & ~one & near, less)):
+        while gives and best < room:
+            n = gives.bit_length() - 1
+            gives ^= 1 << n
+            least = max(0, n - room)
+            rest = takes >> least
+            amount = least + (rest & -rest).bit_length() - 1  # the least amount that makes the net fit
+            if n - amount > best:
+                best, leave, enter = n - amount, n, amount
+    return a.parts(leave), b.parts(enter)
 
 
 def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[list[int]]:
     """Empties underfull bins, the least full first; ends at the lower bound or when a round finds no step.
 
     Each step shifts a net amount to a bin that is at least as full, which raises the sum of squared fills, so the
-    search ends. Bins are found by their free space, of bins with the same space the one that got it last; of bins with
-    the same sizes one is tried.
+    search ends. Bins are found by their free space, of bins with the same space the one that got it last.
     """
     bound = lower_bound(size, capacity)
     now = [Bin(b, size) for b in bins]
@@ -292,11 +292,11 @@ def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[
         for a in now:
             if left <= bound or not 0 < a.fill < capacity or slack - (capacity - a.fill) < a.fill:
                 continue
-            if (kind := (a.fill, a.amounts()[1])) in stuck:
+            if (kind := a.amounts()) in stuck:
                 continue
             moved = True
             while a.fill and moved:
-                moved, tried = False, set()
+                moved = False
                 for n in sorted(a.docs, reverse=True):  # moves, to the fullest bin with room
                     while n in a.docs:
                         fits = open_ >> n
@@ -314,16 +314,16 @@ def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[
                         moved, steps = True, steps + 1
                 if not a.fill:
                     break
-                todo = open_
+                todo, (one, both) = open_, a.amounts()
                 while todo and a.fill:  # exchanges, with the fullest bins first
                     space = (todo & -todo).bit_length() - 1
                     todo &= todo - 1
                     for b in list(spaces[space]):
-                        if b is a or b.fill < a.fill or (same := (space, b.amounts()[1])) in tried:
+                        reach = b.reach or b.reached(space)
+                        if not (one & reach[1] or both & reach[0]) or b is a or b.fill < a.fill:
                             continue
-                        tried.add(same)
-                        net, leave, enter = exchange(a, b, space)
-                        if net:
+                        leave, enter = exchange(a, b, space)
+                        if leave:
                             mine = capacity - a.fill
                             out, back = a.pop(leave), b.pop(enter)
                             b.push(out, leave)
@@ -331,10 +331,10 @@ def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[
                             place(b, space)
                             place(a, mine)
                             moved, steps = True, steps + 1
-                            tried.clear()
                             if not a.fill:
                                 break
-            if (a.fill, a.amounts()[1]) == kind:
+                            one, both = a.amounts()
+            if a.amounts() == kind:
                 stuck.add(kind)  # nothing has changed
             else:
                 stuck.clear()
