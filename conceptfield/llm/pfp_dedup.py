@@ -32,15 +32,31 @@ TRIGGER, RARITY = 4, 4
 
 
 def doubled(rank: np.ndarray, end: np.ndarray, have: int) -> np.ndarray:
-    """Ranks of all suffixes, by prefix doubling: rank orders them by their first `have` elements; end is where the
-    suffix of each place ends. Equal suffixes have equal ranks; what ends first comes first."""
-    here, classes = np.arange(len(rank)), 0
-    while (now := int(rank.max(initial=-1)) + 1) != classes and (here + have < end).any():
-        classes = now
-        ahead = np.minimum(here + have, len(rank) - 1)
-        rank = np.unique(rank * (classes + 1) + np.where(here + have < end, rank[ahead] + 1, 0), return_inverse=True)[1]
+    """Ranks of all suffixes, by prefix doubling: rank (0, 1, ...) orders them by their first `have` elements; end is
+    where the suffix of each place ends. Equal suffixes have equal ranks; what ends first comes first.
+
+    A rank is how many suffixes come before its class, so that a class can be split without touching others: each round
+    sorts only classes of several suffixes that go on.
+    """
+    n = len(rank)
+    many = np.bincount(rank)
+    rank = (np.cumsum(many) - many)[rank]
+    while True:
+        many, open_ = np.bincount(rank, minlength=n), np.arange(n) + have < end
+        live = np.zeros(n, bool)
+        live[rank[open_]] = True
+        at = np.flatnonzero(live[rank] & (many[rank] > 1))
+        key = rank[at] * (n + 1) + np.where(open_[at], rank[np.minimum(at + have, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        key, at = key[order], at[order]
+        here = np.arange(len(at))
+        mine = rank[at]
+        part = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1])[: len(at)], here, 0))
+        whole = np.maximum.accumulate(np.where(np.append(True, mine[1:] != mine[:-1])[: len(at)], here, 0))
+        if (part == whole).all():  # no class splits, so none will
+            return rank
+        rank[at] = mine + part - whole
         have *= 2
-    return rank
 
 
 def dictionary_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
