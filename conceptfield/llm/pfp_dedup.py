@@ -105,7 +105,7 @@ def string_order(texts: list[bytes], many: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def later_windows(table: pa.Table, width: int) -> np.ndarray:
-    """marked[piece, window]: the window also occurs earlier in the corpus. Rows are whole groups by hash."""
+    """marked[piece, window]: the window, of 8 bytes or more, also occurs earlier in the corpus. Rows are whole groups by hash."""
     keys = np.stack([table.column(c).to_numpy() for c in ("did", "tie", "anchor")])
     order = np.lexsort(keys[::-1])
     same = np.zeros(len(order), bool)
@@ -113,18 +113,20 @@ def later_windows(table: pa.Table, width: int) -> np.ndarray:
     turn = np.empty(len(order), np.int64)  # the piece's turn in the corpus; rows that repeat have one
     turn[order] = np.cumsum(~same)
     seen: dict[tuple, int] = {}
-    groups = list(zip(*(table.column(c).to_pylist() for c in ("hash", "offset", "windows", "piece")), strict=True))
+    numbers = [table.column(c).to_numpy().tolist() for c in ("hash", "offset", "windows")]
+    groups = list(zip(*numbers, table.column("piece").to_pylist(), strict=True))
     first = np.empty(len(order), np.int64)  # the earliest piece that is equal
     for i in order.tolist():
         first[i] = seen.setdefault(groups[i], i)
     distinct = np.fromiter(seen.values(), np.int64, len(seen))
     many = table.column("windows").to_numpy()
     data, place, text = string_order([groups[i][3] for i in distinct.tolist()], many[distinct])
-    strings = np.lib.stride_tricks.sliding_window_view(data, width)
+    words = np.ndarray((max(0, len(data) - 7),), np.uint64, data, 0, (1,))  # the eight bytes from each place on
+    equal = np.arange(1, len(place))
+    for k in [*range(0, width - 8, 8), width - 8]:
+        equal = equal[words[place[equal] + k] == words[place[equal - 1] + k]]
     new = np.ones(len(place), bool)
-    for a in range(1, len(place), 100_000):
-        b = min(len(place), a + 100_000)
-        new[a:b] = (strings[place[a:b]] != strings[place[a - 1 : b - 1]]).any(axis=1)
+    new[equal] = False
     mine = turn[distinct[text]]
     earliest = np.minimum.reduceat(mine, np.flatnonzero(new))[np.cumsum(new) - 1]
     size = np.array([len(groups[i][3]) for i in distinct.tolist()])
