@@ -20,10 +20,13 @@ from . import density as D
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """df as a table in the folder that the cluster names in spark.checkpoint.dir. Where it is unset, local mode takes a
+    temporary folder; elsewhere the machines would not see one another's files, so it is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="conceptfield-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/conceptfield/round-{uuid.uuid4().hex}"
