@@ -115,9 +115,11 @@ def oracle_sql() -> dict[str, str]:
             FROM w LEFT JOIN kept USING (doc_id)""",
         "op9_pfp_dedup": r"""
             WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-            win AS (SELECT doc_id * 4294967296 + unnest(range(0, length(h) // 2 - 99)) AS at, md5_number(unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: substr(h, (2 * i + 1)::BIGINT, 200)))) AS s FROM d WHERE length(h) >= 200),
-            firsts AS (SELECT s, min(at) AS f FROM win GROUP BY s HAVING count(*) > 1),
-            again AS (SELECT at // 4294967296 AS doc_id, at % 4294967296 AS i FROM win JOIN firsts USING (s) WHERE at <> f),
+            cut AS (SELECT doc_id, h, unnest(range(0, length(h) // 2, 1000)) AS base FROM d),
+            part AS (SELECT doc_id, base, substr(h, (2 * base + 1)::BIGINT, 2198) AS p FROM cut),
+            win AS (SELECT doc_id * 4294967296 + base + unnest(range(0, length(p) // 2 - 99)) AS place, unnest(list_transform(range(0, length(p) // 2 - 99), lambda i: md5_number(substr(p, (2 * i + 1)::BIGINT, 200)))) AS s FROM part WHERE length(p) >= 200),
+            firsts AS (SELECT s, min(place) AS f FROM win GROUP BY s HAVING count(*) > 1),
+            again AS (SELECT place // 4294967296 AS doc_id, place % 4294967296 AS i FROM win JOIN firsts USING (s) WHERE place <> f),
             edge AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true)::INT AS new FROM again),
             runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edge) GROUP BY doc_id, run),
             gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
