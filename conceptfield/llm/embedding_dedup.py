@@ -67,7 +67,8 @@ def describe(vectors: DataFrame, pivots: np.ndarray, prefix: int, threshold: flo
                 part = pdf.iloc[at : at + 2000]
                 yield part.assign(prefix=prefixes(unit(part["embedding"]), held.value, prefix, threshold))
 
-    return vectors.mapInPandas(run, "id long, mult long, embedding array<double>, prefix array<int>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.mapInPandas(run, f"id long, mult long, embedding {kind}, prefix array<int>")
 
 
 def judged(described: DataFrame, threshold: float, block: int, shared: int = SHARED) -> DataFrame:
@@ -123,7 +124,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, prefix: int = PR
     gives an empty result; other columns are ignored. Retrieval is approximate: pairs that share fewer than SHARED of
     their `prefix` nearest pivots (the nearest of either counts twice) are missed (tests measure recall against brute force).
     """
-    rows = pick(vectors, "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = pick(vectors, "vec_id", "embedding")
+    if rows.schema["embedding"].dataType.simpleString() != "array<float>":  # floats are exact as doubles and half as large
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     rows = rows.withColumn("vid", F.coalesce(F.col("vec_id").cast("long"), F.lit((1 << 63) - 1)))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     good = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))

@@ -449,6 +449,12 @@ def test_embedding_dedup(spark):
     assert got[200].component_id == 8 and got[195].component_id == 7 and not got[195].kept
 
 
+def test_embeddings_in_double(spark):
+    v = [(1, [1.0, 0.0]), (2, [0.9 + 1e-9, 0.19**0.5]), (3, [1e39, 0.0]), (4, [0.9 - 1e-9, -(0.19**0.5)])]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(spark.createDataFrame(v, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 0}
+
+
 def test_embedding_recall_in_a_dense_group(spark):
     rng = np.random.default_rng(6)
     n = 6000
