@@ -1,8 +1,8 @@
-"""Clause and noun-phrase classification and judgment extraction over parsed sentences.
+"""Judgment extraction over parsed sentences.
 
 sentences: sent_id, text, ts, tokens array<struct<i, text, lemma, pos, dep, head, aspect, tense, mood, has_vector>>; the root's
-head is itself. A sentence is a small tree that lies in one row, so each rule is a function of that row: sentences are
-processed in Arrow batches where they are, without a shuffle.
+head is itself. Clauses and phrases are classified as Columns (classify); only the walk down the tree, which hands negation,
+modality and conditions from clause to clause, runs in Arrow batches. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import lexicons as L
+from . import classify
 
 TOKENS = "array<struct<i:int,text:string,lemma:string,pos:string,dep:string,head:int,aspect:string,tense:string,mood:string,has_vector:boolean>>"
 SENTENCES = f"sent_id long, ts double, sender string, text string, tokens {TOKENS}"
-ANNOTATIONS = "sent_id long, i int, lemma string, ref_status string, clause_type string"
 JUDGMENTS = "sent_id long, seq int, subject string, verb string, object string, quality string, modality double, intensity double, ts double, source_text string, condition_id long, condition_role string, extraction_confidence double, clause_type string"
 
 FLOOR = 0.05
@@ -25,18 +25,15 @@ CLAUSES = ("ccomp", "xcomp", "advcl", "acl", "acl:relcl")
 
 
 class Tree:
-    """One parsed sentence with its children lists and, on demand, its classes."""
+    """One parsed sentence, classified, with its children lists."""
 
-    def __init__(self, tokens, text: str = ""):
+    def __init__(self, tokens):
         self.tokens = {int(t["i"]): t for t in tokens}
-        self.lemma = {i: (t["lemma"] or "").lower() for i, t in self.tokens.items()}
-        self.text = text.lower()
+        self.lemma = {i: t["lemma"] for i, t in self.tokens.items()}
         self.below: dict[int, list[int]] = {i: [] for i in self.tokens}
         for i, t in self.tokens.items():
             if int(t["head"]) != i and int(t["head"]) in self.below:
                 self.below[int(t["head"])].append(i)
-        words = [(t["text"] or "").lower() for _, t in sorted(self.tokens.items())]
-        self.bigrams = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
     def get(self, i: int, name: str):
         return self.tokens[i][name]
@@ -54,65 +51,10 @@ class Tree:
         return n
 
     def clause(self, v: int) -> str:
-        """GENERIC, HABITUAL, EPISODIC or UNKNOWN: the first rule that applies decides."""
-        aspect, tense = self.get(v, "aspect"), self.get(v, "tense")
-        habitual = self.kids(v, ("advmod",), lemmas=L.HABITUAL_MARKERS) or self.bigrams & set(L.HABITUAL_BIGRAMS)
-        temporal = self.kids(v, ("advmod", "obl"), lemmas=L.TEMPORAL_MARKERS) or self.bigrams & set(L.TEMPORAL_BIGRAMS)
-        lasting = self.lemma[v] in ("быть", "являться", "стать") and self.kids(v, pos=("ADJ",), lemmas=L.ILP_ADJECTIVES)
-        lasting = lasting or self.get(v, "pos") in ("ADJ", "NOUN") and self.get(v, "dep") == "ROOT" and self.lemma[v] in L.ILP_ADJECTIVES
-        rules = (
-            (self.get(v, "mood") == "Cnd", "GENERIC"), (habitual, "HABITUAL"), (temporal, "EPISODIC"), ((tense, aspect) == ("Pres", "Imp"), "GENERIC"),
-            ((tense, aspect) == ("Past", "Perf"), "EPISODIC"), ((tense, aspect) == ("Past", "Imp"), "HABITUAL"), (lasting, "GENERIC"))
-        return next((name for holds, name in rules if holds), "UNKNOWN")
-
-    def determined(self, i: int) -> bool:
-        return bool(self.kids(i, ("det", "amod"), lemmas=L.DETERMINERS))
+        return self.get(v, "clause") or "UNKNOWN"
 
     def phrase(self, i: int, clause: str) -> str:
-        """Referential status: SELF, INTERLOCUTOR, GENERIC, REFERENTIAL or CONCEPTUAL."""
-        pos, lemma = self.get(i, "pos"), self.lemma[i]
-        if pos == "PRON":
-            if lemma in L.SELF_PRONOUNS:
-                return "SELF"
-            return self.addressee(i, clause) if lemma in L.INTERLOCUTORS else "REFERENTIAL"
-        if pos == "PROPN":
-            return "REFERENTIAL"
-        if pos not in ("NOUN", "ADJ") or lemma in L.ABSTRACT_NOUNS:
-            return "CONCEPTUAL"
-        if self.determined(i):
-            return "REFERENTIAL"
-        return self.quasi_generic(i, clause) if lemma in L.QUASI_GENERIC_NOUNS else "CONCEPTUAL"
-
-    def addressee(self, i: int, clause: str) -> str:
-        """Whether "you" is the person addressed or anyone."""
-        v = int(self.get(i, "head"))
-        verb = self.get(v, "pos") == "VERB"
-        if verb and self.get(v, "dep") == "advcl" and self.kids(v, ("mark",), lemmas=L.GENERIC_MARKS):
-            return "GENERIC"
-        if verb and self.get(v, "mood") == "Imp":
-            return "INTERLOCUTOR"
-        if clause == "GENERIC":
-            return "GENERIC"
-        met = verb and ((self.get(v, "tense"), self.get(v, "aspect")) == ("Past", "Perf") or self.kids(v, ("advmod", "obl"), lemmas=L.TEMPORAL_MARKERS))
-        return "GENERIC" if clause == "HABITUAL" and not met else "INTERLOCUTOR"
-
-    def quasi_generic(self, i: int, clause: str) -> str:
-        fixed = self.kids(i, ("nummod", "acl:relcl", "acl")) or self.kids(i, pos=("NUM",)) or self.kids(i, ("appos", "flat:name", "nmod"), ("PROPN",))
-        if fixed:
-            return "REFERENTIAL"
-        v = int(self.get(i, "head"))
-        event = self.get(v, "pos") == "VERB" and self.lemma[v] in L.SLP_VERBS and self.get(v, "aspect") == "Perf"
-        return "REFERENTIAL" if event and clause not in ("GENERIC", "HABITUAL") else "CONCEPTUAL"
-
-    def annotate(self) -> list[tuple[int, str, str, str]]:
-        clauses = {i: self.clause(i) for i, t in self.tokens.items() if t["pos"] in ("VERB", "AUX") or t["dep"] == "ROOT" and t["pos"] in ("ADJ", "NOUN")}
-        out = []
-        for i, t in sorted(self.tokens.items()):
-            if t["pos"] in ("NOUN", "PROPN", "PRON", "ADJ"):
-                head = int(t["head"])
-                clause = clauses.get(head) or clauses.get(int(self.get(head, "head"))) or "UNKNOWN"
-                out.append((i, self.lemma[i], self.phrase(i, clause), clause))
-        return out
+        return self.get(i, clause.lower() if clause in classify.CLASSES else "other")
 
     def confidence(self, *of: int) -> float:
         """Less for unknown words, unresolved dependencies, short sentences and deep clauses."""
@@ -121,14 +63,6 @@ class Tree:
         out -= 0.2 if n < 3 else 0.1 if n < 5 else 0.0
         return max(0.1, min(1.0, out - (0.1 if self.depth(of[0]) > 4 else 0.0)))
 
-    def points(self, i: int) -> bool:
-        """Whether a discourse noun points at what follows: "the point is that", "this question"."""
-        lemma = self.lemma[i]
-        if lemma not in L.DISCOURSE_POINTERS:
-            return False
-        said = any((" " + self.text).find(" " + f"{lemma} {w}") >= 0 for w in ("в том", "заключается", "состоит"))
-        return said or bool(self.kids(i, ("det",), lemmas=("этот", "тот", "наш", "мой", "свой")))
-
     def with_conjuncts(self, nodes: list[int]) -> list[int]:
         return [x for i in nodes for x in (i, *self.kids(i, ("conj",)))]
 
@@ -221,7 +155,7 @@ class Extraction:
         clause = t.clause(v)
         for s in subjects:
             status = t.phrase(s, clause)
-            if not self.names(s, status) or t.points(s):
+            if not self.names(s, status) or t.get(s, "points"):
                 continue
             for o in objects:
                 other = t.phrase(o, clause)
@@ -265,16 +199,6 @@ class Extraction:
         self.found.append({"subject": subject, "verb": verb, "object": obj, "quality": "NEGATIVE" if scope.negated else "AFFIRMATIVE", "modality": scope.strength * factor, "intensity": intensity, "condition_id": scope.condition, "condition_role": scope.role, "extraction_confidence": confidence, "clause_type": clause})
 
 
-def annotate(sentences: DataFrame) -> DataFrame:
-    """Referential status and clause type of every noun, proper noun, pronoun and adjective."""
-    def run(frames):
-        for pdf in frames:
-            out = [(sid, *a) for sid, tokens, text in zip(pdf["sent_id"], pdf["tokens"], pdf["text"], strict=True) for a in Tree(tokens, text or "").annotate()]
-            yield pd.DataFrame(out, columns=["sent_id", "i", "lemma", "ref_status", "clause_type"])
-
-    return sentences.select("sent_id", "text", "tokens").mapInPandas(run, ANNOTATIONS)
-
-
 def extract(sentences: DataFrame) -> DataFrame:
     """Judgments of parsed sentences. Antecedents of conditions are labelled as such; ids of conditions come from the
     sentence and its verb."""
@@ -284,9 +208,9 @@ def extract(sentences: DataFrame) -> DataFrame:
         for pdf in frames:
             out = []
             for sid, ts, text, tokens in zip(pdf["sent_id"], pdf["ts"], pdf["text"], pdf["tokens"], strict=True):
-                for seq, j in enumerate(Extraction(Tree(tokens, text or ""), int(sid)).run()):
+                for seq, j in enumerate(Extraction(Tree(tokens), int(sid)).run()):
                     out.append(j | {"sent_id": sid, "seq": seq, "ts": ts, "source_text": (text or "")[:200]})
             frame = pd.DataFrame(out, columns=names)
             yield frame.astype({"condition_id": "Int64", "sent_id": "int64", "seq": "int32"})
 
-    return sentences.select("sent_id", "ts", "text", "tokens").mapInPandas(run, JUDGMENTS)
+    return classify.classified(sentences.select("sent_id", "ts", "text", "tokens")).mapInPandas(run, JUDGMENTS)

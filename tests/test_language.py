@@ -1,5 +1,6 @@
 """Classification and extraction over hand-parsed sentences."""
 
+from conceptfield.operators import classify
 from conceptfield.operators import language as X
 
 
@@ -62,7 +63,7 @@ def test_extraction(spark):
 
 
 def test_annotation(spark):
-    got = {(r.sent_id, r.i): r for r in X.annotate(spark.createDataFrame(CASES, X.SENTENCES)).collect()}
+    got = {(r.sent_id, r.i): r for r in classify.annotate(spark.createDataFrame(CASES, X.SENTENCES)).collect()}
     assert got[8, 1].ref_status == "REFERENTIAL" and got[1, 0].ref_status == "CONCEPTUAL"
     assert got[9, 0].ref_status == "GENERIC" and got[10, 0].ref_status == "INTERLOCUTOR"
     assert got[3, 0].ref_status == "SELF" and got[11, 0].clause_type == "HABITUAL"
@@ -70,4 +71,4 @@ def test_annotation(spark):
 
 def test_empty(spark):
     none = spark.createDataFrame([], X.SENTENCES)
-    assert X.extract(none).count() == 0 and X.annotate(none).count() == 0
+    assert X.extract(none).count() == 0 and classify.annotate(none).count() == 0
