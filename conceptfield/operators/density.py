@@ -2,7 +2,8 @@
 
 Components: concept (and space_id where maps are compared), vector array<double>, weight, and for decay ts and
 activation. A concept's matrix is the sum of weight times vector times vector transposed. Partial sums are made where
-the components are, one matrix for each task and concept, so that what is shuffled doesn't depend on their number.
+the components are, one matrix or fewer vectors for each task and concept, so that what is shuffled doesn't depend on
+their number.
 """
 
 from __future__ import annotations
@@ -34,35 +35,54 @@ def with_archive(parts: DataFrame, cfg: Config, key: Sequence[str] = ("concept",
 def matrices(parts: DataFrame, key: Sequence[str] = ("concept",), weight: str = "w", vector: str = "vector") -> DataFrame:
     """(key..., n, rho): the dense d x d matrix of each key, row by row, and its number of components."""
     kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], "n long", "rho array<double>"])
+    fields = [f"{k} {kinds[k]}" for k in key]
     names = list(key)
 
+    def gram(x, w):
+        return (x * w[:, None]).T @ x
+
     def flush(held: dict) -> pd.DataFrame:
-        rows = [(*k, n, m.ravel()) for k, (n, m) in held.items()]
-        return pd.DataFrame(rows, columns=[*names, "n", "rho"])
+        rows = []
+        for k, (n, m, xs, ws) in held.items():
+            x, w = (np.concatenate(xs), np.concatenate(ws)) if xs else (np.empty(0), np.empty(0))
+            rows.append((*k, n, None if m is None else m.ravel(), x.ravel(), w))
+        return pd.DataFrame(rows, columns=[*names, "n", "rho", "x", "w"])
 
     def partial(frames):
+        """Sums where the components are. A key's vectors stay as they are until a task holds as many as they have
+        coordinates, as fewer are smaller than their matrix."""
         held: dict = {}
+        size = 0
         for pdf in frames:
-            for k, part in pdf.groupby(names, sort=False):
-                x = np.array(part[vector].tolist(), float)
-                m = (x * part[weight].to_numpy()[:, None]).T @ x
-                n, was = held.get(k, (0, 0.0))
-                held[k] = (n + len(x), was + m)
-            if len(held) > 1000:
+            for k, part in pdf.groupby(names, sort=False, dropna=False):
+                x, w = np.array(part[vector].tolist(), float), part[weight].to_numpy(float)
+                n, m, xs, ws = held.get(k, (0, None, [], []))
+                xs, ws = [*xs, x], [*ws, w]
+                size += x.size
+                if sum(map(len, ws)) >= x.shape[1]:
+                    m, xs, ws = gram(np.concatenate(xs), np.concatenate(ws)) + (0 if m is None else m), [], []
+                    size += m.size
+                held[k] = (n + len(x), m, xs, ws)
+            if size > 10_000_000:
                 yield flush(held)
-                held = {}
+                held, size = {}, 0
         if held:
             yield flush(held)
 
     def total(pdf):
-        out = pdf.iloc[:1].copy()
-        out["n"] = int(pdf["n"].sum())
-        out["rho"] = [np.sum(np.stack(pdf["rho"].tolist()), axis=0)]
-        return out[[*names, "n", "rho"]]
+        out = pdf[names].iloc[:1].copy()
+        m = 0.0
+        for rho, x, w in zip(pdf["rho"], pdf["x"], pdf["w"], strict=True):
+            if rho is not None:
+                m = m + rho
+            if len(w):
+                m = m + gram(np.reshape(x, (len(w), -1)), np.asarray(w)).ravel()
+        out["n"], out["rho"] = int(pdf["n"].sum()), [m]
+        return out
 
     cells = parts.select(*names, F.col(vector).cast("array<double>").alias(vector), F.col(weight).cast("double").alias(weight))
-    return cells.mapInPandas(partial, schema).groupBy(*names).applyInPandas(total, schema)
+    sums = cells.mapInPandas(partial, ", ".join([*fields, "n long", "rho array<double>", "x array<double>", "w array<double>"]))
+    return sums.groupBy(*names).applyInPandas(total, ", ".join([*fields, "n long", "rho array<double>"]))
 
 
 def layer(parts: DataFrame, most: int) -> DataFrame:
@@ -99,18 +119,21 @@ def entries(rhos: DataFrame, key: Sequence[str] = ("concept",)) -> DataFrame:
     return cells.select(*key, F.floor(F.col("_p") / F.col("_d")).cast("int").alias("i"), F.pmod(F.col("_p"), F.col("_d")).cast("int").alias("j"), "val")
 
 
-def pairs(rhos: DataFrame, same: Sequence[str] = (), candidates: DataFrame | None = None) -> DataFrame:
+def pairs(rhos: DataFrame, same: Sequence[str] = (), candidates: DataFrame | None = None, blocks: int = 8) -> DataFrame:
     """Ordered pairs of different concepts with both matrices and masses: (a, b, rho_a, rho_b, mass_a, mass_b).
 
     candidates(a, b) restricts them, and should, where there are many concepts: all pairs are for the few nodes of a view.
+    These meet in blocks x blocks tasks, each matrix in 2 x blocks of them.
     """
     m = with_mass(rhos)
     left = m.select(*same, F.col("concept").alias("a"), F.col("rho").alias("rho_a"), F.col("mass").alias("mass_a"))
     right = m.select(*same, F.col("concept").alias("b"), F.col("rho").alias("rho_b"), F.col("mass").alias("mass_b"))
     if candidates is not None:
         return candidates.select(*same, "a", "b").join(left, [*same, "a"]).join(right, [*same, "b"])
-    view = right.withColumn("_one", F.lit(1))
-    return left.withColumn("_one", F.lit(1)).join(view, [*same, "_one"]).where("a <> b").drop("_one")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    rows = left.withColumn("_x", F.pmod(F.xxhash64("a"), F.lit(blocks))).withColumn("_y", every)
+    others = right.withColumn("_y", F.pmod(F.xxhash64("b"), F.lit(blocks))).withColumn("_x", every)
+    return rows.join(others, [*same, "_x", "_y"]).where("a <> b").drop("_x", "_y")
 
 
 def containment() -> Column:

@@ -96,6 +96,27 @@ def candidate_topk(spark, sf_dir):
     return found(spark, sf_dir)[1].select("a", "b", F.round("weight", 6).alias("weight"))
 
 
+def linked(spark, sf_dir):
+    """Judgments of vectors: label, a verb, the vector's last digit."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").cast("string").alias("subject"), F.concat(F.lit("v"), (F.col("vec_id") % 5).cast("string")).alias("verb"), (F.col("vec_id") % 10).cast("string").alias("object"), F.lit(1.0).alias("weight"))
+
+
+def named(spark, sf_dir):
+    return rhos(spark, sf_dir).select(F.col("concept").cast("string").alias("concept"), "n", "rho")
+
+
+@query(f"""WITH {E_SQL}, heavy AS (SELECT label AS b FROM m ORDER BY round(mass, 9) DESC, label LIMIT 3), l AS (SELECT DISTINCT label, vec_id % 10 AS o FROM embeddings WHERE label <> vec_id % 10 AND vec_id % 100 < 20),
+    c AS (SELECT label AS a, o AS b FROM l UNION SELECT o, label FROM l UNION SELECT label, b FROM m, heavy WHERE label <> b), w AS (SELECT a, b, t / mass AS weight FROM c JOIN tr USING (a, b) JOIN m ON m.label = a WHERE t / mass > 0.6 AND a <> 4),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(weight, 12) DESC, b) AS r FROM w) SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, round(weight, 6) AS weight FROM r WHERE r <= 3""")
+def deepen_sources(spark, sf_dir):
+    """Sources of all concepts but one, from links of some vectors and the three heaviest concepts."""
+    rho, few = named(spark, sf_dir), table(spark, sf_dir, "embeddings").where("vec_id % 100 < 20").select(F.col("label").cast("string").alias("subject"), F.lit("v").alias("verb"), (F.col("vec_id") % 10).cast("string").alias("object"))
+    heavy, goal = deepening.heaviest(rho, CFG.deepen_min_mass, 3), rho.select("concept").where("concept <> '4'")
+    near = deepening.candidates(goal, deepening.links(few), heavy)
+    return deepening.sources(rho, near, CFG.deepen_containment, CFG.deepen_top_k, heavy, goal).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
 def perm_sql(role):
     return f"perm AS (SELECT row_number() OVER (ORDER BY md5('{role}:' || i)) AS i, i + 1 AS p, CASE WHEN ('0x' || right(md5('{role}:' || i), 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM range(64) t(i))"
 
@@ -177,8 +198,5 @@ def consolidate_vectors(spark, sf_dir):
 
 @query()
 def deepen_k(spark, sf_dir):
-    rho = rhos(spark, sf_dir)
-    n = rho.select(F.col("concept").cast("string").alias("concept"), "n", "rho")
-    links = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("subject"), F.concat(F.lit("v"), (F.col("vec_id") % 5).cast("string")).alias("verb"), (F.col("vec_id") % 10).cast("string").alias("object"), F.lit(1.0).alias("weight"))
-    out = deepening.deepen(n, links, CFG)
+    out = deepening.deepen(named(spark, sf_dir), linked(spark, sf_dir), CFG)
     return D.with_mass(out).select("concept", "n", F.round("mass", 6).alias("mass"), F.round(D.purity(), 8).alias("purity"))
