@@ -40,6 +40,12 @@ def links(judgments: DataFrame) -> DataFrame:
     return judgments.select(F.explode(terms).alias("a"), terms.alias("t")).select("a", F.explode("t").alias("b")).where("a <> b").distinct()
 
 
+def personal(parts: DataFrame) -> DataFrame:
+    """(concept): those with an active component that doesn't come from a thesaurus. parts: concept, archived, source_text."""
+    own = ~F.col("archived") & ~F.coalesce("source_text", F.lit("")).startswith("[thesaurus:")
+    return parts.where(own).select("concept").distinct()
+
+
 def heaviest(rhos: DataFrame, least: float = 0.01, k: int = 200) -> DataFrame:
     """(concept, mass) of the k concepts of most mass: bounded, so it may be broadcast."""
     return D.with_mass(rhos).where(F.col("mass") >= least).select("concept", "mass").orderBy(F.desc("mass"), "concept").limit(k)
@@ -142,20 +148,55 @@ def blend(rhos: DataFrame, direct: DataFrame, found: DataFrame, relations: DataF
 def deepen(rhos: DataFrame, judgments: DataFrame, cfg: Config = Config(), targets: DataFrame | None = None, iterations: int | None = None) -> DataFrame:
     """Matrices after the rounds: (concept, n, rho). rhos: concept, n, rho; judgments: subject, verb, object, weight.
 
-    targets(concept) are deepened, others keep their matrix; all by default (callers leave out those that stand on thesaurus
-    judgments alone).
+    targets(concept) are deepened, others keep their matrix; all by default (`personal` gives those that don't stand on
+    thesaurus judgments alone).
     """
     direct = staged(rhos)
-    linked, relations = staged(links(judgments)), staged(dominant_relation(judgments))
-    heavy = staged(heaviest(direct, cfg.deepen_min_mass, cfg.deepen_max_candidates))
-    near = staged(candidates(direct if targets is None else targets, linked, heavy))
+    prepared = prepare(direct, judgments, cfg, targets)
     now = direct
     for _ in range(cfg.deepen_iterations if iterations is None else iterations):
-        found = sources(now, near, cfg.deepen_containment, cfg.deepen_top_k, heavy, targets)
-        now = staged(blend(now, direct, found, relations, cfg.deepen_alpha))
+        now = one_round(now, direct, prepared, cfg, targets)
     return now
 
 
+def prepare(direct: DataFrame, judgments: DataFrame, cfg: Config, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What all rounds share: candidates, heaviest concepts, relations."""
+    heavy = staged(heaviest(direct, cfg.deepen_min_mass, cfg.deepen_max_candidates))
+    near = staged(candidates(direct if targets is None else targets, links(judgments), heavy))
+    return near, heavy, staged(dominant_relation(judgments))
+
+
+def one_round(now: DataFrame, direct: DataFrame, prepared: tuple[DataFrame, DataFrame, DataFrame], cfg: Config, targets: DataFrame | None = None) -> DataFrame:
+    near, heavy, relations = prepared
+    found = sources(now, near, cfg.deepen_containment, cfg.deepen_top_k, heavy, targets)
+    return staged(blend(now, direct, found, relations, cfg.deepen_alpha))
+
+
+def containment_change(before: DataFrame, after: DataFrame, watched: DataFrame) -> DataFrame:
+    """One row: mean absolute change of the containment of watched(a, b), 0 where a matrix is missing."""
+    def of(rhos, name):
+        some = D.pairs(rhos, candidates=watched.select("a", "b").distinct()).select("a", "b", "rho_a", "rho_b")
+        return D.per_matrix(some, contained, name, ("rho_a", "rho_b"))
+
+    rows = watched.select("a", "b").distinct().join(of(before, "x"), ["a", "b"], "left").join(of(after, "y"), ["a", "b"], "left")
+    return rows.agg(F.coalesce(F.avg(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))), F.lit(0.0)).alias("containment_delta"))
+
+
+def deepen_until(rhos: DataFrame, judgments: DataFrame, watched: DataFrame, cfg: Config = Config(), most: int = 10, eigenvalue: float = 1e-6, containment: float = 1e-5) -> tuple[DataFrame, list[dict]]:
+    """Rounds one by one until both changes are below their limits, `most` at most: the matrices and a report of each round."""
+    now, report = staged(rhos), []
+    prepared = prepare(now, judgments, cfg)
+    direct = now
+    for _ in range(most):
+        after = one_round(now, direct, prepared, cfg)
+        row = convergence(now, after).first().asDict() | containment_change(now, after, watched).first().asDict()
+        report.append(row)
+        now = after
+        if (row["eigenvalue_delta"] or 0.0) < eigenvalue and row["containment_delta"] < containment:
+            break
+    return now, report
+
+
 def convergence(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: mean absolute change of sorted eigenvalues and of mass, and both total masses."""
     a = before.select("concept", F.col("rho").alias("rho_a"))

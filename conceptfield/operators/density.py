@@ -46,7 +46,7 @@ def matrices(parts: DataFrame, key: Sequence[str] = ("concept",), weight: str =
         for k, (n, m, xs, ws) in held.items():
             x, w = (np.concatenate(xs), np.concatenate(ws)) if xs else (np.empty(0), np.empty(0))
             rows.append((*k, n, None if m is None else m.ravel(), x.ravel(), w))
-        return pd.DataFrame(rows, columns=[*names, "n", "rho", "x", "w"])
+        return pd.DataFrame(rows, columns=[*names, "n", "rho", "x", "w"], dtype=object)
 
     def partial(frames):
         """Sums where the components are. A key's vectors stay as they are until a task holds as many as they have
@@ -55,6 +55,7 @@ def matrices(parts: DataFrame, key: Sequence[str] = ("concept",), weight: str =
         size = 0
         for pdf in frames:
             for k, part in pdf.groupby(names, sort=False, dropna=False):
+                k = tuple(None if pd.isna(v) else v for v in k)
                 x, w = np.array(part[vector].tolist(), float), part[weight].to_numpy(float)
                 n, m, xs, ws = held.get(k, (0, None, [], []))
                 xs, ws = [*xs, x], [*ws, w]

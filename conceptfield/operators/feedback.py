@@ -61,8 +61,8 @@ def milestone_questions(parts: DataFrame, cfg: Config = Config(), step: int | No
     return rows.select(*question("milestone", F.array(F.col("concept").cast("string")), F.array().cast("array<long>"), F.lit("")))
 
 
-def ask(questions: list[DataFrame], asked: DataFrame | None = None, k: int = 5) -> DataFrame:
-    """The k questions of highest priority, one of each key, without those asked before. asked: key."""
+def unique(questions: list[DataFrame], asked: DataFrame | None = None) -> DataFrame:
+    """One question of each key, without those asked before. asked: key."""
     rows = questions[0]
     for q in questions[1:]:
         rows = rows.unionByName(q)
@@ -71,7 +71,12 @@ def ask(questions: list[DataFrame], asked: DataFrame | None = None, k: int = 5)
     if asked is not None:
         rows = rows.join(asked.select("key").distinct(), "key", "left_anti")
     once = rows.groupBy("key").agg(F.min(F.struct("judgments", "question_type", "priority", "concepts", "source")).alias("q"))
-    out = once.select("key", "q.*").orderBy(F.desc("priority"), "key").limit(k)
+    return once.select("key", "q.*")
+
+
+def ask(questions: list[DataFrame], asked: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """The k questions of highest priority, one of each key, without those asked before."""
+    out = unique(questions, asked).orderBy(F.desc("priority"), "key").limit(k)
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("priority"), "key")))
 
 

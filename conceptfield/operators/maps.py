@@ -69,6 +69,16 @@ def concept_report(rhos: DataFrame, threshold: float = 0.02) -> DataFrame:
     return D.entropy(m).join(counts, "concept", "left").select("concept", "n", "mass", "entropy", "purity", F.coalesce("facets", F.lit(0)).alias("facets"))
 
 
+def containers(rhos: DataFrame, term, verbs: DataFrame, k: int = 10, nouns: int = 5, most_verbs: int = 3) -> DataFrame:
+    """(direction, is_verb, concept, score, rank): what a term contains and what contains it, as a report shows it: of the k
+    best of each direction the first `nouns` that aren't verbs and the first `most_verbs` that are. verbs: concept."""
+    both = contains(rhos, term, k).withColumn("direction", F.lit("contains")).unionByName(contained_in(rhos, term, k).withColumn("direction", F.lit("contained_in")))
+    known = verbs.select("concept").distinct().withColumn("_v", F.lit(True))
+    rows = both.join(known, "concept", "left").withColumn("is_verb", F.coalesce("_v", F.lit(False)))
+    best = D.top(rows, ["direction", "is_verb"], [F.desc("score"), F.col("concept")], k)
+    return best.where(F.col("rank") <= F.when(F.col("is_verb"), most_verbs).otherwise(nouns)).select("direction", "is_verb", "concept", "score", "rank")
+
+
 def self_report(judgments: DataFrame, k: int = 15) -> DataFrame:
     """The first k different (verb, object) of judgments(seq, verb, object) about oneself."""
     first = judgments.groupBy("verb", "object").agg(F.min("seq").alias("seq"))
@@ -94,6 +104,17 @@ def degrees(links: DataFrame, k: int = 8) -> DataFrame:
     return D.top(out.unionByName(into), ["direction"], [F.desc(F.round("degree", 6)), F.col("node")], k).select("direction", "node", "degree", "rank")
 
 
+def strongest(links: DataFrame, k: int = 10) -> DataFrame:
+    """The k edges of most weight."""
+    return links.orderBy(F.desc("weight"), "a", "b").limit(k)
+
+
+def graph_counts(links: DataFrame) -> DataFrame:
+    """One row: numbers of nodes with an edge and of edges."""
+    nodes_ = links.select(F.explode(F.array("a", "b")).alias("n")).agg(F.countDistinct("n").alias("nodes")).withColumn("_one", F.lit(1))
+    return nodes_.join(links.agg(F.count("*").alias("edges")).withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def ego(links: DataFrame, node, threshold: float = 0.2) -> DataFrame:
     """(a, b, weight, kind): edges to children and from parents of a node, parents that are children left out, and edges
     among its neighbours."""
@@ -114,8 +135,11 @@ def panel(links: DataFrame, threshold: float = 0.2, k: int = 15) -> DataFrame:
 
 def provenance(judgments: DataFrame, most: int = 200) -> DataFrame:
     """The first judgment of each (concept, subject, verb, object, quality), its text cut to `most` characters."""
-    rank = F.row_number().over(W.partitionBy("concept", "subject", "verb", "object", "quality").orderBy("seq"))
-    return judgments.withColumn("_rn", rank).where("_rn = 1").drop("_rn").withColumn("source_text", F.substring("source_text", 1, most))
+    key = ["concept", "subject", "verb", "object", "quality"]
+    rest = [c for c in judgments.columns if c not in (*key, "seq")]
+    cut = judgments.withColumn("source_text", F.substring("source_text", 1, most))
+    first = cut.groupBy(*key).agg(F.min_by(F.struct("seq", *rest), "seq").alias("_first"))  # combined before the shuffle
+    return first.select(*key, "_first.*").select(*judgments.columns)
 
 
 def corpus_stats(judgments: DataFrame) -> DataFrame:

@@ -78,6 +78,13 @@ def components(judgments: DataFrame, cfg: Config = Config(), seeds: DataFrame |
     return parts.select("space_id", "concept", "seq", "judgment_id", "role", vector.alias("vector"), "weight", "ts", F.lit(1).alias("activation"), (F.col("role") == "verb").alias("is_verb"))
 
 
+def from_triples(triples: DataFrame, most: int = 150) -> DataFrame:
+    """Judgments of triples(subject, verb, object, quality, ts, text) that someone said in a dialogue: certain, confirmed."""
+    said = F.concat(F.lit("[dialogue] "), F.substring(F.coalesce("text", F.lit("")), 1, most))
+    fixed = {"modality": F.lit(1.0), "intensity": F.lit(0.8), "interpretation_layer": F.lit(0), "defeasible": F.lit(False), "status": F.lit("confirmed"), "source_text": said}
+    return triples.select("subject", "verb", "object", "quality", "ts", *[c.alias(n) for n, c in fixed.items()])
+
+
 class Folded:
     """State of one concept: its components so far, in arrays that grow, and the rule that folds one more into them."""
 

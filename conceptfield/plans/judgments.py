@@ -8,6 +8,9 @@ from ..functions import vectors
 from ..functions.config import Config
 from ..operators import deepen as deepening
 from ..operators import density, feedback, maps, materialize
+from ..sources import chat
+from .density import CFG as VECTORS
+from .density import E_SQL, rhos
 from .registry import query, table
 
 #: The moment of the queries: 31 January 2024, UTC.
@@ -128,11 +131,52 @@ def archive_flag(spark, sf_dir):
 
 @query(f"WITH {JUDGMENTS_SQL}, {DECAY_SQL} SELECT verb AS concept, interpretation_layer AS most, count(*) AS n, round(sum(dw), 2) AS mass FROM (SELECT d.verb, l.interpretation_layer, dw FROM d JOIN (SELECT DISTINCT interpretation_layer FROM j) l ON d.interpretation_layer <= l.interpretation_layer) GROUP BY ALL")
 def rho_layer(spark, sf_dir):
-    out = None
-    for most in range(3):
-        rows = density.layer(judgments(spark, sf_dir), most).withColumn("w", density.decayed_weight(CFG)).groupBy(F.col("verb").alias("concept"), F.lit(most).alias("most")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 2).alias("mass"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = density.layer(judgments(spark, sf_dir), 2).withColumn("w", density.decayed_weight(CFG))
+    each = rows.select(F.col("verb").alias("concept"), "w", F.explode(F.sequence("interpretation_layer", F.lit(2))).alias("most"))
+    return each.groupBy("concept", "most").agg(F.count("*").alias("n"), F.round(F.sum("w"), 2).alias("mass"))
+
+
+def rho_sql(where: str) -> str:
+    head = encode_sql("subject", "subject_in_object", "verb_in_object").rsplit("SELECT judgment_id, round(max(x)", 1)[0]
+    return f"""{head}, p AS (SELECT judgment_id, object AS concept, 0.5 * w * activation * pow(1 + greatest(0, {AS_OF} - t) / 2592000.0, -0.5) AS dw FROM b WHERE {where}), q AS (SELECT *, max(dw) OVER (PARTITION BY concept) AS top FROM p),
+    c AS (SELECT concept, x.i AS i, y.i AS j, sum(dw * x.x * y.x) AS val FROM q JOIN n x USING (judgment_id) JOIN n y USING (judgment_id) WHERE dw >= 0.01 * top GROUP BY ALL) SELECT concept, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(val + 1e-9, 5) + 0.0 AS val FROM c"""
+
+
+def rho(judged, keep):
+    """Matrices of objects: components with decayed weights, those of layers or clause types that `keep` takes, archived ones
+    left out."""
+    parts = materialize.encoded(judged.drop("weight", "archived"), CFG).select(F.col("object").alias("concept"), F.col("v_object").alias("vector"), (materialize.base_weight(CFG) * CFG.object_weight).alias("weight"), "ts", "activation", "interpretation_layer", "clause_type")
+    active = density.with_archive(keep(parts), CFG).where("not archived")
+    return density.entries(density.matrices(active)).withColumn("val", F.round(F.col("val") + 1e-9, 5) + 0.0)
+
+
+@query(rho_sql("true"))
+def rho_decayed(spark, sf_dir):
+    return rho(judgments(spark, sf_dir), lambda p: p)
+
+
+@query(rho_sql("interpretation_layer <= 1"))
+def rho_layer_matrix(spark, sf_dir):
+    return rho(judgments(spark, sf_dir), lambda p: density.layer(p, 1))
+
+
+@query(rho_sql("clause_type <> 'EPISODIC'"))
+def rho_semantic_matrix(spark, sf_dir):
+    return rho(judgments(spark, sf_dir), density.semantic)
+
+
+@query(f"WITH {JUDGMENTS_SQL} SELECT DISTINCT object AS concept FROM j WHERE NOT archived AND judgment_id % 9 = 1")
+def personal_targets(spark, sf_dir):
+    thesaurus = F.when(F.col("judgment_id") % 9 == 1, F.col("source_text")).otherwise("[thesaurus:conceptnet] x")
+    return deepening.personal(judgments(spark, sf_dir).withColumn("concept", F.col("object")).withColumn("source_text", thesaurus))
+
+
+@query(f"""WITH {JUDGMENTS_SQL} SELECT subject, verb, object, quality, t AS ts, 1.0::DOUBLE AS modality, 0.8::DOUBLE AS intensity, CAST(0 AS INTEGER) AS interpretation_layer, false AS defeasible, 'confirmed' AS status, '[dialogue] ' || substr(source_text, 1, 8) AS source_text
+    FROM j WHERE length('the user said ' || source_text) >= 24""")
+def dialogue_judgments(spark, sf_dir):
+    """Replies in code fences back to judgments; texts of fewer than 24 characters are left out."""
+    j = judgments(spark, sf_dir).select(F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct("subject", "verb", "object", F.when(F.col("quality") == "NEGATIVE", F.col("quality")).alias("quality")))), F.lit("\n```")).alias("reply"), "ts", F.concat(F.lit("the user said "), "source_text").alias("said"), F.col("source_text").alias("text"))
+    return materialize.from_triples(chat.triples(j, text="said", least=24), 8)
 
 
 @query(f"WITH {JUDGMENTS_SQL}, {DECAY_SQL} SELECT object AS concept, count(*) AS n, round(sum(dw), 2) AS mass FROM d WHERE clause_type <> 'EPISODIC' GROUP BY object")
@@ -213,6 +257,16 @@ def graph_degree(spark, sf_dir):
     return maps.degrees(links(spark, sf_dir)).withColumn("degree", F.round("degree", 2))
 
 
+@query(f"WITH {JUDGMENTS_SQL}, {LINKS_SQL} SELECT a, b, weight FROM links ORDER BY weight DESC, a, b LIMIT 10")
+def strongest_edges(spark, sf_dir):
+    return maps.strongest(links(spark, sf_dir))
+
+
+@query(f"WITH {JUDGMENTS_SQL}, {LINKS_SQL} SELECT (SELECT count(DISTINCT x) FROM (SELECT unnest([a, b]) AS x FROM links)) AS nodes, (SELECT count(*) FROM links) AS edges")
+def graph_counts(spark, sf_dir):
+    return maps.graph_counts(links(spark, sf_dir))
+
+
 @query(f"""WITH {JUDGMENTS_SQL}, links AS (SELECT 'k' || (a % 40) AS a, 'k' || (b % 40) AS b, round(sum(weight), 2) AS weight FROM (SELECT CAST(substr(subject, 2) AS INTEGER) AS a, CAST(substr(object, 2) AS INTEGER) AS b, weight FROM j) GROUP BY ALL), s AS (SELECT * FROM links WHERE weight >= 400),
     c AS (SELECT a, b, weight, 'child' AS kind FROM s WHERE a = 'k7'), p AS (SELECT a, b, weight, 'parent' AS kind FROM s WHERE b = 'k7' AND a NOT IN (SELECT b FROM c)), n AS (SELECT b AS n FROM c UNION SELECT a FROM p)
     SELECT * FROM c UNION ALL SELECT * FROM p UNION ALL SELECT a, b, weight, 'cross' FROM s WHERE a <> 'k7' AND b <> 'k7' AND a IN (SELECT n FROM n) AND b IN (SELECT n FROM n)""")
@@ -284,6 +338,24 @@ def question_union_topn(spark, sf_dir):
     return out.select("key", "question_type", "priority", "rank")
 
 
+@query(f"""WITH {JUDGMENTS_SQL}, {CONTRA_SQL}, {E_SQL},
+    q AS (SELECT 'anomaly' AS question_type, 0.9::DOUBLE AS priority, list_sort([subject, object]) AS c, source_text FROM j WHERE anomaly > 0.97 AND status = 'unreviewed' AND NOT archived
+    UNION ALL SELECT 'contradiction', 0.85, list_sort([f.subject, f.object]), j.source_text FROM f JOIN j ON j.seq = f.yes WHERE no IS NOT NULL
+    UNION ALL SELECT 'archive', 0.5, list_sort([subject, object]), source_text FROM j WHERE archived AND weight * activation >= 0.5
+    UNION ALL SELECT 'defeasible', 0.6, list_sort([subject, object]), source_text FROM j WHERE defeasible AND status = 'unreviewed' AND NOT archived
+    UNION ALL SELECT 'milestone', 0.2, [object], '' FROM j WHERE NOT archived GROUP BY object HAVING count(*) % 50 = 42
+    UNION ALL SELECT 'contrast', 0.3, [CAST(a AS VARCHAR), CAST(b AS VARCHAR)], '' FROM tr JOIN m x ON x.label = tr.a JOIN m y ON y.label = tr.b WHERE a < b AND t / (x.mass * y.mass) > 0.015 AND t / (x.mass * y.mass) < 0.0165),
+    k AS (SELECT DISTINCT question_type || '|' || array_to_string(c, ',') || '|' || substr(source_text, 1, 40) AS key, question_type, priority FROM q)
+    SELECT question_type, count(*) AS n, min(key) AS first, max(priority) AS priority FROM k GROUP BY question_type""")
+def question_union(spark, sf_dir):
+    """All six types of questions, one of each key, counted by type."""
+    j, cfg = judgments(spark, sf_dir), Config(anomaly_question=0.97)
+    every = feedback.unique([
+        feedback.anomaly_questions(j, cfg), feedback.contradiction_questions(j), feedback.archive_questions(j, cfg), feedback.defeasible_questions(j),
+        feedback.milestone_questions(j.withColumn("concept", F.col("object")), Config(milestone=42), 50), feedback.contrast_questions(rhos(spark, sf_dir), VECTORS)])
+    return every.groupBy("question_type").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("priority").alias("priority"))
+
+
 @query(f"WITH {JUDGMENTS_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'unreviewed') AS reviewed, round(avg(CASE WHEN status <> 'unreviewed' THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) FILTER (WHERE status = 'confirmed') AS confirmed, 0::BIGINT AS rejected, 0::BIGINT AS contextualized FROM j")
 def feedback_stats(spark, sf_dir):
     return feedback.stats(judgments(spark, sf_dir)).withColumn("share", F.round("share", 6))

@@ -38,8 +38,24 @@ def append_session(rows: DataFrame, path: str) -> None:
     rows.select("ts", "role", "content", "focused_concept").write.mode("append").json(path)
 
 
-def triples(raw: DataFrame, column: str = "reply") -> DataFrame:
-    """(subject, verb, object) from replies holding a JSON list, in code fences or not."""
+def triples(raw: DataFrame, column: str = "reply", text: str | None = None, least: int = 20) -> DataFrame:
+    """(subject, verb, object, quality) from replies holding a JSON list, in code fences or not; quality is AFFIRMATIVE where
+    it isn't given. With text, the column of what was replied to, only for texts of `least` characters or more."""
+    if text is not None:
+        raw = raw.where(F.length(F.trim(text)) >= least)
     bare = F.trim(F.regexp_replace(F.col(column), r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", ""))
-    rows = raw.select("*", F.explode(F.from_json(bare, "array<struct<subject:string,verb:string,object:string>>")).alias("t"))
-    return rows.select(*raw.columns, "t.*").where("subject is not null and verb is not null and object is not null")
+    rows = raw.select("*", F.explode(F.from_json(bare, "array<struct<subject:string,verb:string,object:string,quality:string>>")).alias("t"))
+    rows = rows.select(*raw.columns, "t.*").where("subject is not null and verb is not null and object is not null")
+    return rows.withColumn("quality", F.coalesce("quality", F.lit("AFFIRMATIVE")))
+
+
+def write_evaluation(selected: DataFrame, judgments: DataFrame, path: str) -> None:
+    """Sentences to be reviewed: their texts as lines in `path`/sentences, and in `path`/gold one JSON line each with the
+    judgments found in it and the status AUTO, or EMPTY where none was found.
+
+    selected: sent_id, text, label, category; judgments: sent_id, subject, verb, object, quality.
+    """
+    selected.orderBy("label", "sent_id").select(F.col("text").alias("value")).write.mode("overwrite").text(f"{path}/sentences")
+    found = judgments.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("subject", "verb", "object", "quality"))).alias("judgments"))
+    gold = selected.join(found, "sent_id", "left").withColumn("status", F.when(F.col("judgments").isNull(), "EMPTY").otherwise("AUTO"))
+    gold.orderBy("label", "sent_id").select("sent_id", "label", "category", "text", F.coalesce("judgments", F.array()).alias("judgments"), "status").write.mode("overwrite").json(f"{path}/gold")

@@ -40,11 +40,12 @@ def conceptnet_cache(spark: SparkSession, path: str, lines: bool = False) -> Dat
 
 
 def ruwordnet(spark: SparkSession, senses: list[str], relations: list[str]) -> DataFrame:
-    """(rel, start, end): relations between the first one-word senses of synsets, in the order of the files given."""
+    """(rel, start, end): relations between the first one-word senses of synsets, of types of at most two letters, in the order of the files given."""
     read = None
     for i, path in enumerate(senses):
         part = spark.read.format("xml").option("rowTag", "sense").schema("_name string, _synset_id string, _synt_type string").load(path)
-        part = part.select(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("pos"), F.lower("_name").alias("name"), F.col("_synset_id").alias("synset"))
+        part = part.select(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("pos"), F.lower(F.trim("_name")).alias("name"), F.col("_synset_id").alias("synset"), F.length(F.coalesce("_synt_type", F.lit(""))).alias("kind"))
+        part = part.where((F.col("kind") <= 2) & (F.col("name") != "")).drop("kind")
         read = part if read is None else read.unionByName(part)
     lemma = T.first_lemma(read, "synset", "name", "file", "pos")
     links = None
