@@ -230,10 +230,10 @@ def pieces(rows: DataFrame, width: int, gram: int, words: bool, hot: int) -> tup
 
 
 def groups_in_order(batches, least: int):
-    """Tables of whole groups: batches sorted by hash are joined until `least` rows and a change of hash."""
+    """Tables of whole groups: batches sorted by hash are cut and joined to `least` rows and a change of hash."""
     held: list[pa.RecordBatch] = []
     rows = 0
-    for batch in batches:
+    for batch in batches_of(batches, least):
         if not batch.num_rows:
             continue
         held.append(batch)

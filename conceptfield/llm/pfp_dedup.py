@@ -26,21 +26,19 @@ from .common import lookup, stage
 GRAM = 16
 #: Occurrences of an anchor that one task compares together; those of more frequent ones are compared window by window.
 HOT = 50_000
-BLOCK = 40_000
+BLOCK = 2_000
 #: Bytes of a trigger, and the power of two of which one in so many byte strings is a trigger.
 TRIGGER, RARITY = 4, 4
 
 
 def doubled(rank: np.ndarray, end: np.ndarray, have: int) -> np.ndarray:
-    """Ranks of all suffixes, by prefix doubling: rank (0, 1, ...) orders them by their first `have` elements; end is
-    where the suffix of each place ends. Equal suffixes have equal ranks; what ends first comes first.
+    """Ranks of all suffixes, by prefix doubling: rank orders them by their first `have` elements; end is where the
+    suffix of each place ends. Equal suffixes have equal ranks; what ends first comes first.
 
     A rank is how many suffixes come before its class, so that a class can be split without touching others: each round
-    sorts only classes of several suffixes that go on.
+    sorts only classes of several suffixes that go on. The given rank is changed.
     """
     n = len(rank)
-    many = np.bincount(rank)
-    rank = (np.cumsum(many) - many)[rank]
     while True:
         many, open_ = np.bincount(rank, minlength=n), np.arange(n) + have < end
         live = np.zeros(n, bool)
@@ -59,6 +57,15 @@ def doubled(rank: np.ndarray, end: np.ndarray, have: int) -> np.ndarray:
         have *= 2
 
 
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """How many keys are smaller than each."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(np.append(True, ordered[1:] != ordered[:-1])[: len(keys)], np.arange(len(keys)), 0))
+    return rank
+
+
 def dictionary_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Suffix ranks of a dictionary, phrase after phrase, and where each phrase starts in them."""
     length = np.fromiter(map(len, phrases), np.int64, len(phrases))
@@ -68,7 +75,7 @@ def dictionary_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     end, here, first = np.repeat(start + length, length), np.arange(n), np.zeros(n, np.int64)
     for k in range(7):
         first = (first << 9) | np.where(here + k < end, data[k : k + n], 0)
-    return doubled(np.unique(first, return_inverse=True)[1], end, 7), start
+    return doubled(ranks(first), end, 7), start
 
 
 def string_order(texts: list[bytes], many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +101,7 @@ def string_order(texts: list[bytes], many: np.ndarray) -> tuple[np.ndarray, np.n
     parse = np.fromiter(map(rank.__getitem__, phrases), np.int64, len(phrases))
     suffix, first = dictionary_ranks(dictionary)
     last = np.searchsorted(cut, end[owner])  # the parse of each text ends where the next one begins
-    order = doubled(parse, last, 1)
+    order = doubled(ranks(parse), last, 1)
     text = np.repeat(np.arange(len(texts)), many)
     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + start[text]
     phrase = np.searchsorted(cut, place, side="right") - 1
