@@ -77,6 +77,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .template_text import page_texts
+
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import conversation_trie
 
@@ -102,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pfp_dedup": op9_pfp_dedup,
         "op10_simhash_dedup": op10_simhash_dedup,
         "op11_vector_codes": op11_vector_codes,
+        "op12_template_text": op12_template_text,
         "op13_prefix_trie": op13_prefix_trie,
         "pipeline": pipeline,
     }
