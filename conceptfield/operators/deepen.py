@@ -5,9 +5,6 @@ Every round reads the round before (all concepts move together) and is staged in
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,23 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.config import Config
+from ..functions.shared import stage
 from ..functions.vectors import role_table
 from . import density as D
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster names in spark.checkpoint.dir. Where it is unset, local mode takes a
-    temporary folder; elsewhere the machines would not see one another's files, so it is an error."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="conceptfield-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/conceptfield/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder, among those that `clear_staged` deletes."""
+    return stage(df, "round")
 
 
 def links(judgments: DataFrame) -> DataFrame:
