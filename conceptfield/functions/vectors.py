@@ -47,9 +47,10 @@ def role_table(role: str, dim: int) -> tuple[list[int], list[float]]:
 
 
 def in_role(v: Column, role: str, dim: int) -> Column:
-    """Coordinate i of the result is sign[i] times coordinate order[i] of v."""
+    """Coordinate i of the result is sign[i] times coordinate order[i] of v, which is computed once."""
     order, sign = role_table(role, dim)
-    return F.transform(F.arrays_zip(F.array(*[F.lit(p) for p in order]).alias("p"), F.array(*[F.lit(s) for s in sign]).alias("s")), lambda x: x["s"] * F.element_at(v, x["p"] + 1))
+    places = F.arrays_zip(F.array(*[F.lit(p) for p in order]).alias("p"), F.array(*[F.lit(s) for s in sign]).alias("s"))
+    return let(v, lambda w: F.transform(places, lambda x: x["s"] * F.element_at(w, x["p"] + 1)))
 
 
 def encode(noun: Column, verb: Column, quality: Column, intensity: Column) -> Column:

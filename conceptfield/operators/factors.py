@@ -71,17 +71,26 @@ class Sketch:
 
 
 def merged(parts: DataFrame, names: Sequence[str], fields: str, rank: int) -> DataFrame:
-    """Sketches of equal names as one; parts: names..., slot and a sketch's fields."""
-    def run(pdf, keys):
-        s = Sketch(rank)
-        for n, mass, factor, bound in zip(pdf["n"], pdf["mass"], pdf["factor"], pdf["bound"], strict=True):
-            s.add(np.reshape(factor, (rank, -1)), n, mass, bound)
-        out = pdf[keys].iloc[:1].copy()
-        out["n"], out["mass"], out["factor"], out["bound"] = ([v] for v in s.row())
-        return out
-
-    some = parts.groupBy(*names, "slot").applyInPandas(lambda pdf: run(pdf, [*names, "slot"]), f"{fields}, slot int, {FIELDS}")
-    return some.groupBy(*names).applyInPandas(lambda pdf: run(pdf, list(names)), f"{fields}, {FIELDS}")
+    """Sketches of equal names as one; parts: names..., slot and a sketch's fields. A task reads them sorted, one key after another."""
+    def level(df: DataFrame, keys: list[str], schema: str) -> DataFrame:
+        def run(frames):
+            now, s = None, None
+            for pdf in frames:
+                out = []
+                for r in pdf[[*keys, "n", "mass", "factor", "bound"]].itertuples(index=False):
+                    k = tuple(None if pd.isna(v) else v for v in r[: len(keys)])
+                    if k != now:
+                        if s is not None:
+                            out.append((*now, *s.row()))
+                        now, s = k, Sketch(rank)
+                    s.add(np.reshape(r.factor, (rank, -1)), r.n, r.mass, r.bound)
+                yield pd.DataFrame(out, columns=[*keys, "n", "mass", "factor", "bound"], dtype=object)
+            if s is not None:
+                yield pd.DataFrame([(*now, *s.row())], columns=[*keys, "n", "mass", "factor", "bound"], dtype=object)
+
+        return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{schema}, {FIELDS}")
+
+    return level(level(parts, [*names, "slot"], f"{fields}, slot int"), list(names), fields)
 
 
 def sketches(parts: DataFrame, rank: int = RANK, key: Sequence[str] = ("concept",), weight: str = "w", vector: str = "vector") -> DataFrame:
@@ -118,11 +127,15 @@ def sketches(parts: DataFrame, rank: int = RANK, key: Sequence[str] = ("concept"
 
 def products(la: np.ndarray, lb: np.ndarray, mass_a, mass_b, bound_a, bound_b) -> tuple[np.ndarray, np.ndarray]:
     """(least, most) the trace of the product can be, of stacks of factors [pair, rank, d]."""
-    least = (np.einsum("nid,njd->nij", la, lb) ** 2).sum(axis=(1, 2))
-    own_a, own_b = (la * la).sum(axis=(1, 2)), (lb * lb).sum(axis=(1, 2))
+    least = ((la @ lb.transpose(0, 2, 1)) ** 2).sum(axis=(1, 2))
+    return least, least + slack((la * la).sum(axis=(1, 2)), (lb * lb).sum(axis=(1, 2)), mass_a, mass_b, bound_a, bound_b)
+
+
+def slack(own_a, own_b, mass_a, mass_b, bound_a, bound_b) -> np.ndarray:
+    """What the remainders can add to a product: own are the traces that the factors hold."""
     rest_a, rest_b = np.maximum(mass_a - own_a, 0), np.maximum(mass_b - own_b, 0)
     bound_a, bound_b = np.minimum(bound_a, rest_a), np.minimum(bound_b, rest_b)
-    return least, least + bound_a * own_b + bound_b * own_a + np.minimum(bound_a * rest_b, bound_b * rest_a)
+    return bound_a * own_b + bound_b * own_a + np.minimum(bound_a * rest_b, bound_b * rest_a)
 
 
 def inner(pairs: DataFrame, rank: int = RANK) -> DataFrame:
@@ -175,12 +188,15 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
                 continue
             lb, mass, bound = held.value
             lb = lb.reshape(len(names), rank, -1)
-            for a, ma, la, ea in zip(pdf["concept"], pdf["mass"], pdf["factor"], pdf["bound"], strict=True):
-                la = np.broadcast_to(np.reshape(la, (rank, -1)), lb.shape)
-                least, most = products(la, lb, np.full(len(names), ma), mass, np.full(len(names), ea), bound)
-                low = np.where(ma < 1e-12, 0.0, least / max(ma, 1e-12))
-                out = pd.DataFrame({"a": a, "b": names, "weight": low, "gap": np.where(ma < 1e-12, 0.0, most / max(ma, 1e-12)) - low})
-                yield out[(out["a"] != out["b"]) & (out["weight"] > cfg.deepen_containment)]
+            flat = lb.reshape(len(names) * rank, -1).T
+            for at in range(0, len(pdf), 100):
+                part = pdf.iloc[at : at + 100]
+                la, ma, ea = np.array(part["factor"].tolist(), float), part["mass"].to_numpy(float)[:, None], part["bound"].to_numpy(float)[:, None]
+                least = ((la.reshape(len(part) * rank, -1) @ flat) ** 2).reshape(len(part), rank, len(names), rank).sum(axis=(1, 3))
+                most = least + slack((la * la).sum(axis=1)[:, None], (lb * lb).sum(axis=(1, 2)), ma, mass, ea, bound)
+                low, high = (np.where(ma < 1e-12, 0.0, t / np.maximum(ma, 1e-12)) for t in (least, most))
+                i, j = np.nonzero((low > cfg.deepen_containment) & (part["concept"].to_numpy()[:, None] != names[None, :]))
+                yield pd.DataFrame({"a": part["concept"].to_numpy()[i], "b": names[j], "weight": low[i, j], "gap": (high - low)[i, j]})
 
     goal = found if targets is None else found.join(targets.select("concept"), "concept", "left_semi")
     every = goal.select("concept", "mass", "factor", "bound").mapInPandas(run, f"a {kind}, b {kind}, weight double, gap double")

@@ -8,12 +8,14 @@ activation, is_verb.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, vectors
 from ..functions.config import Config
+from ..functions.shared import lookup, stage
 
 SELF = "[self]"
 
@@ -113,6 +115,24 @@ class Folded:
         trace = w.sum()
         return float(np.clip(1 - (w * cosines**2).sum() / trace, 0, 1)) if trace > 1e-12 else 0.0
 
+    def place(self, v: np.ndarray) -> tuple[int, bool]:
+        """(number of the first component near enough to v, or of a new one; whether it is new)."""
+        if self.n:
+            near = self.vectors @ v > self.cfg.consolidation
+            k = int(near.argmax())
+            if near[k]:
+                return k, False
+        self.open(0.0, 0.0, v)
+        return self.n - 1, True
+
+    def open(self, weight: float, ts: float, v: np.ndarray) -> None:
+        if self.x is None:
+            self.x, self.f = np.empty((4, len(v))), np.empty((4, 3))
+        elif self.n == len(self.x):
+            self.x, self.f = np.concatenate([self.x, np.empty_like(self.x)]), np.concatenate([self.f, np.empty_like(self.f)])
+        self.x[self.n], self.f[self.n] = v, (weight, 1, ts)
+        self.n += 1
+
     def add(self, weight: float, ts: float, v: np.ndarray) -> tuple[int, float]:
         """(number of the component that holds the row, its anomaly before); a component of cosine above the threshold takes it up."""
         odd = 0.0
@@ -125,36 +145,156 @@ class Folded:
                 self.f[k, 1] += 1
                 self.f[k, 2] = ts
                 return k, odd
-        if self.x is None:
-            self.x, self.f = np.empty((4, len(v))), np.empty((4, 3))
-        elif self.n == len(self.x):
-            self.x, self.f = np.concatenate([self.x, np.empty_like(self.x)]), np.concatenate([self.f, np.empty_like(self.f)])
-        self.x[self.n], self.f[self.n] = v, (weight, 1, ts)
-        self.n += 1
+        self.open(weight, ts, v)
         return self.n - 1, odd
 
 
-def consolidate(parts: DataFrame, cfg: Config = Config()) -> DataFrame:
+#: Rows of a concept that are scored in one task.
+CHUNK = 20_000
+ORDER = ("seq", "judgment_id", "role")
+
+
+def directions(parts: DataFrame) -> DataFrame:
+    """(space_id, concept, vector, n, first, weight): the different vectors of each concept, with their number and first row.
+
+    Equal vectors always meet the same component: it was the first one near enough when they first came, components keep
+    their vectors, and new ones come last. So a verb, whose vectors are all one, is one row, whatever the number of its uses.
+    """
+    at = F.struct(*ORDER)
+    return parts.groupBy("space_id", "concept", "vector").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.min_by("weight", at).alias("weight"))
+
+
+def vectors_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of a batch as a matrix; they are of one length."""
+    return batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def opened(found: DataFrame, cfg: Config) -> DataFrame:
+    """found with component, the number of the component that takes a direction up, and opens, whether it is the direction's own.
+
+    The one sequential step: a concept's different directions, in the order of their first rows. Tasks read them sorted.
+    """
+    key = ["space_id", "concept"]
+    kinds = dict(found.dtypes)
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            at, own = [], []
+            for k, v in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), vectors_of(batch), strict=True):
+                if k != now:
+                    now, state = k, Folded(cfg)
+                c, new = state.place(v)
+                at.append(c)
+                own.append(new)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32()), pa.array(own, pa.bool_())], [*batch.schema.names, "component", "opens"])
+
+    rows = found.repartition(*key).sortWithinPartitions(*key, "first")
+    plain = rows.select("space_id", "concept", "vector", "n", "weight")
+    return plain.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in plain.columns) + ", component int, opens boolean")
+
+
+def consolidate(parts: DataFrame, cfg: Config = Config(), chunk: int = CHUNK) -> DataFrame:
     """The consolidation fold over each concept's components in order of seq.
 
     Returns every input row with component (the number of the component that holds it), merged (it was taken up by an
-    older one), anomaly, and the component's activation and ts after the fold. A concept's fold is sequential, so its
-    components are one group; concepts are spread by (space_id, concept).
-    """
-    def run(pdf):
-        pdf = pdf.sort_values(["seq", "judgment_id", "role"], ignore_index=True)
-        state, at, odd = Folded(cfg), [], []
-        for weight, ts, v in zip(pdf["weight"].tolist(), pdf["ts"].tolist(), pdf["vector"], strict=True):
-            k, a = state.add(weight, ts, v)
-            at.append(k)
-            odd.append(a)
-        seen: set[int] = set()
-        merged = [k in seen or seen.add(k) is not None for k in at]
-        return pd.DataFrame({"space_id": pdf["space_id"], "concept": pdf["concept"], "seq": pdf["seq"], "judgment_id": pdf["judgment_id"], "role": pdf["role"], "component": at, "merged": merged, "anomaly": odd, "activation": state.fields[at, 1].astype(np.int32), "ts": state.fields[at, 2]})
+    older one), anomaly, and the component's activation and ts after the fold.
 
+    Only a concept's different directions are folded one after another. All else follows from their components: counts
+    and last times by aggregation, anomalies in chunks of about `chunk` rows, by place in the range of seq (ties of seq stay
+    together), each from the state that the chunks before it leave, which is added up in the same way. No task holds all
+    rows of a concept that has very many. Weights and times may repeat; -0.0 and 0.0 are equal coordinates.
+    """
+    key = ["space_id", "concept"]
     kinds = dict(parts.dtypes)
-    schema = f"space_id {kinds['space_id']}, concept {kinds['concept']}, seq {kinds['seq']}, judgment_id {kinds['judgment_id']}, role string, component int, merged boolean, anomaly double, activation int, ts double"
-    return parts.groupBy("space_id", "concept").applyInPandas(run, schema)
+    rows = parts.select(*key, *ORDER, F.col("vector").cast("array<double>").alias("vector"), F.col("weight").cast("double").alias("weight"), F.col("ts").cast("double").alias("ts"))
+    rows = stage(rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))), "components")
+    placed = stage(opened(directions(rows), cfg), "directions")
+    total = rows.count()
+    known = lookup(rows, placed.select(*key, "vector", "n", "component"), [*key, "vector"], "n", total, F.xxhash64(*ORDER)).drop("n")
+    known = stage(known, "placed")
+    range_ = known.groupBy(*key).agg(F.count("*").alias("rows"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+    hubs = stage(range_.where(F.col("rows") > chunk).withColumn("parts", F.ceil(F.col("rows") / chunk).cast("long")).drop("rows"), "hubs")
+    one = F.lit(0).cast("long")
+    if few := hubs.count():
+        # hubs have more than `chunk` rows each, so there are few; beyond a bound they are shuffled
+        ends = F.broadcast(hubs) if few <= 100_000 else hubs
+        known = known.join(ends, key, "left")
+        part = F.floor((F.col("seq") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("parts")).cast("long")
+        known = known.withColumn("chunk", F.coalesce(part, one)).drop("low", "high", "parts")
+    else:
+        known = known.withColumn("chunk", one)
+    at = F.struct(*ORDER)
+    held = known.groupBy(*key, "chunk", "component").agg(F.count("*").alias("n"), F.max_by("ts", at).alias("ts"))
+    w = W.partitionBy(*key, "component")
+    last = F.last("ts", ignorenulls=True)
+    state = held.withColumns({"final_n": F.sum("n").over(w), "final_ts": last.over(w.orderBy("chunk").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "first_chunk": F.min("chunk").over(w)})
+    if few:  # a component is part of every later chunk's state
+        spans = held.groupBy(*key).agg(F.max("chunk").alias("top"))
+        every = state.select(*key, "component", "final_n", "final_ts", "first_chunk").distinct().join(spans, key).withColumn("chunk", F.explode(F.sequence("first_chunk", "top"))).drop("top")
+        state = every.join(held, [*key, "component", "chunk"], "left")
+    else:
+        state = state.select(*key, "component", "final_n", "final_ts", "first_chunk", "chunk", "n", "ts")
+    before = w.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    state = state.withColumns({"before_n": F.coalesce(F.sum("n").over(before), one), "before_ts": last.over(before)})
+    owners = placed.where("opens").select(*key, "component", "vector", "weight")
+    state = state.join(owners, [*key, "component"])
+    same = [*key, "chunk"]
+    none = {"seq": kinds["seq"], "judgment_id": kinds["judgment_id"], "role": "string"}
+    events = known.select(*same, F.lit(1).alias("kind"), *ORDER, "vector", "weight", "ts", "component", *[F.lit(None).cast("long").alias(c) for c in ("final_n", "before_n")], *[F.lit(None).cast("double").alias(c) for c in ("final_ts", "before_ts")])
+    starts = state.select(*same, F.lit(0).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "vector", "weight", F.lit(None).cast("double").alias("ts"), "component", "final_n", "before_n", "final_ts", "before_ts")
+    out = f"space_id {kinds['space_id']}, concept {kinds['concept']}, seq {kinds['seq']}, judgment_id {kinds['judgment_id']}, role string, component int, merged boolean, anomaly double, activation int, ts double"
+    names = [f.strip().split()[0] for f in out.split(",")]
+
+    def run(batches):
+        now, state_, fresh = None, None, True
+        for batch in batches:
+            found, places = [], []
+            columns = [batch.column(c).to_pylist() for c in ("kind", "component", "ts", "weight", "before_n", "before_ts", "final_n", "final_ts")]
+            for i, (k, v, row) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in same), strict=True), vectors_of(batch), zip(*columns, strict=True), strict=True)):
+                if k != now:
+                    now, state_, fresh = k, Chunk(cfg), True
+                if row[0] == 0:
+                    state_.start(v, *row[3:])
+                    continue
+                if fresh:
+                    state_.ready()
+                    fresh = False
+                found.append((row[1], *state_.score(row[1], row[2], v)))
+                places.append(i)
+            if found:
+                kept = batch.take(pa.array(places))
+                values = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.bool_(), pa.float64(), pa.int32(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in names[:5]], *values], names)
+
+    sorted_ = events.unionByName(starts).repartition(*same).sortWithinPartitions(*same, "kind", F.when(F.col("kind") == 0, F.col("component")), *ORDER)
+    return sorted_.mapInArrow(run, out)
+
+
+class Chunk:
+    """A concept's components as a chunk of its rows finds them; the ones that the chunk opens are there, but not active yet."""
+
+    def __init__(self, cfg: Config):
+        self.cfg, self.starts = cfg, []
+
+    def start(self, *values) -> None:
+        """A component, in the order of their numbers: vector, weight, activation and ts before the chunk, and after the fold."""
+        self.starts.append(values)
+
+    def ready(self) -> None:
+        vectors_, weight, n, ts, self.final_n, self.final_ts = zip(*self.starts, strict=True)
+        self.fold = Folded(self.cfg, np.array(vectors_, float), np.array([weight, n, ts], float).T)
+        self.fold.n = int((self.fold.f[:, 1] > 0).sum())  # components open in the order of their numbers
+        self.starts = []
+
+    def score(self, k: int, ts: float, v) -> tuple[bool, float, int, float]:
+        """(merged, anomaly before, activation and ts after the fold) of the next row, which component k takes up."""
+        fold = self.fold
+        odd = fold.anomaly(fold.vectors @ v) if fold.n >= self.cfg.anomaly_min_components else 0.0
+        merged = k < fold.n
+        fold.n = max(fold.n, k + 1)
+        fold.f[k, 1:] = (fold.f[k, 1] + 1 if merged else 1, ts)
+        return merged, odd, int(self.final_n[k]), float(self.final_ts[k])
 
 
 def consolidated(parts: DataFrame, cfg: Config = Config()) -> DataFrame:

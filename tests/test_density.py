@@ -123,3 +123,27 @@ def test_contains_is_ordered(spark):
     found = maps.contains(D.matrices(df), "c0", 3).collect()
     assert len(found) == 3 and [r.score for r in found] == sorted((r.score for r in found), reverse=True)
     assert maps.contains(D.matrices(df), "nothing").collect() == []
+
+
+@pytest.mark.parametrize("chunk", [20_000, 60, 7])
+def test_hub_consolidation_in_chunks(spark, chunk):
+    """A verb of very many equal vectors and a hub of many directions: chunks of any size give what the plain fold gives."""
+    rng, cfg = np.random.default_rng(6), Config(as_of=5e6, consolidation=0.7)
+    some = [(lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(size=3)) for _ in range(40)]
+    rows = []
+    for i in range(400):
+        rows.append((0, "verb", i * 3, i, "verb", some[0], float(rng.uniform(0.01, 1)), float(rng.integers(0, 5_000_000))))
+        rows.append((1, "hub", i * 3, i, "object", some[int(rng.integers(0, 1 + i // 10))], float(rng.uniform(0.01, 1)), float(rng.integers(0, 5_000_000))))
+        rows.append((0, f"rare {i % 150}", i * 3, i, "subject", some[i % 40], 1.0, 0.0))
+    df = spark.createDataFrame(rows, "space_id int, concept string, seq long, judgment_id long, role string, vector array<double>, weight double, ts double")
+    got = {(r.space_id, r.concept, r.seq): r for r in materialize.consolidate(df.repartition(6), cfg, chunk).collect()}
+    assert len(got) == len(rows)
+    for key in {(r[0], r[1]) for r in rows}:
+        mine = [r for r in rows if (r[0], r[1]) == key]
+        state, out = fold([(np.array(r[5]), r[6], r[7]) for r in mine], cfg)
+        seen = set()
+        for r, (k, odd) in zip(mine, out, strict=True):
+            g = got[*key, r[2]]
+            assert (g.component, g.merged, g.activation, g.ts) == (k, k in seen, state[k][3], state[k][2]) and g.anomaly == pytest.approx(odd)
+            seen.add(k)
+    assert len(materialize.directions(df.where("concept = 'verb'")).collect()) == 1

@@ -6,7 +6,7 @@ import pytest
 
 from conceptfield.operators import classify, deepen, language, maps, materialize
 from conceptfield.operators import density as D
-from conceptfield.plans import density, judgments, registry
+from conceptfield.plans import density, factors, judgments, registry
 from conceptfield.sources import chat
 from test_density import fold, table
 
@@ -82,6 +82,21 @@ def test_graph_and_asymmetry(spark, rho):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_searches_and_factors(spark):
+    e = pd.read_parquet(f"{DATA}/embeddings.parquet")
+    m = {c: (lambda x: x.T @ x)(np.stack(part["embedding"]).astype(float)) for c, part in e.groupby(e["label"] * 10 + e["vec_id"] % 10)}
+    want = {(a, b): w for a in m for b in m if a != b and (w := round(hyponymy(m[b], m[a]), 3)) > factors.EDGE}
+    got = {(r.a, r.b): r.weight for r in rows(spark, "hyponymy_edges").itertuples()}
+    assert got == pytest.approx(want, abs=1.1e-3) and 0 < len(got) < len(m) ** 2 / 10
+    want = sorted(((hyponymy(m[c], m[3]), c) for c in m if c != 3), key=lambda x: (-x[0], x[1]))[:5]
+    got = rows(spark, "furthest_in_group")
+    assert got["concept"].tolist() == [c for _, c in want] and got["score"].tolist() == pytest.approx([s for s, _ in want])
+    dense, thin = (rows(spark, n).set_index("concept").sort_index() for n in ("deepen_k", "factor_deepen"))
+    assert np.allclose(dense, thin, atol=1e-6)
+    wide = rows(spark, "wide_deepen").set_index("concept")
+    assert len(wide) == len(rows(spark, "wide_map")) and (wide["mass"] > 0).all()
+
+
 def folded(parts, cfg):
     out = {}
     for key, part in parts.groupby(["space_id", "concept"]):
