@@ -2,13 +2,15 @@
 
 import gzip
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from conceptfield.functions import text as X
 from conceptfield.functions.config import Config
 from conceptfield.operators import feedback, materialize
-from conceptfield.sources import chat, thesaurus
+from conceptfield.sources import chat, export, thesaurus
 from conceptfield.streaming import consolidation
 
 
@@ -29,6 +31,26 @@ def test_chat_export(spark, tmp_path):
     assert chat.blocks(spark, str(tmp_path / "chat.json"), most=1).count() == 1
 
 
+@pytest.mark.parametrize(("indent", "size"), [(1, 700), (None, 333), (4, 64), (None, 1 << 20)])
+def test_chat_export_in_ranges(spark, tmp_path, indent, size):
+    rnd = random.Random(size)
+    texts = ["короткий текст", 'said {"id": 7, "type": "message", "text": "no"} aloud', "x" * 2000, ["see ", {"type": "link", "text": "this"}], "[ {", "", "a\\\"b\nc"]
+    m = [{"id": i, "type": rnd.choice(["message", "message", "service"]), "date": f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}", "from": "A Б"[i % 2 :], "from_id": "1", "text": rnd.choice(texts)} for i in range(150)]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "chat.json").write_text(json.dumps({"name": "c", "messages": m}, ensure_ascii=False, indent=indent))
+    (tmp_path / "one" / "empty.json").write_text(json.dumps({"messages": []}))
+    other = [{"type": "message", "id": i, "from": "B", "date": "2024-01-01T00:00:00", "text": f"other order {i}"} for i in range(30)]
+    (tmp_path / "one" / "other.json").write_text(json.dumps({"messages": other}))
+    got = export.messages(spark, str(tmp_path / "one"), range_bytes=size)
+    want = chat.messages(spark, str(tmp_path / "one"))
+    for df in (got, want):
+        assert df.where("chat like '%chat.json'").count() == sum(x["type"] == "message" and x["text"] != "" for x in m)
+    rows = [sorted((r.chat.rsplit("/", 1)[1], r.sender, r.ts, r.text) for r in df.collect()) for df in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
+    assert [r.text for r in got.where("chat like '%chat.json'").orderBy("id").collect()] == [r.text for r in want.where("chat like '%chat.json'").orderBy("id").collect()]
+    assert size > 5000 or got.rdd.getNumPartitions() > 5
+
+
 def test_conceptnet(spark, tmp_path):
     lines = [("/r/IsA", "/c/ru/кот_серый/n", "/c/ru/зверь", '{"weight": 2.5}'), ("/r/IsA", "/c/en/cat", "/c/ru/зверь", "{}"), ("/r/Nope", "/c/ru/кот", "/c/ru/зверь", "{}"), ("/r/PartOf", "/c/ru/лапа", "/c/ru/кот", "broken"), ("/r/PartOf", "/c/ru/кот", "/c/ru/кот", "{}")]
     with gzip.open(tmp_path / "dump.csv.gz", "wt") as f:
@@ -86,6 +108,7 @@ def test_milestones(spark, monkeypatch):
 def test_streams(spark, tmp_path):
     import numpy as np
 
+    consolidation.with_state_store(spark)
     rng = np.random.default_rng(2)
     rows = [("0", f"c{i % 2}", i, i, "subject", (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(size=2)), 1.0, float(i)) for i in range(40)]
     schema = "space_id string, concept string, seq long, judgment_id long, role string, vector array<double>, weight double, ts double"
