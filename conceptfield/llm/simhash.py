@@ -28,7 +28,7 @@ from .common import bitmap_of, bits_for, components, keep_rows, lookup, maybe, p
 
 BITS, LEAD, LEAD_BUDGET = 64, 16, 1
 #: Near copies: words of a shingle, least Jaccard similarity; fingerprints of a document and the bits by which candidates may differ.
-SHINGLE, SIMILARITY, PRINTS, NEAR_BITS = 5, 0.8, 6, 7
+SHINGLE, SIMILARITY, PRINTS, NEAR_BITS = 5, 0.8, 14, 7
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
