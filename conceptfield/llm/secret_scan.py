@@ -8,6 +8,7 @@ ratios, and their mean, exceed their thresholds.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,9 +56,24 @@ transformationPipeline translationUnit typeInference unauthorizedAccess uniformD
 updateStatement userInterfaceComponent validationConstraint variableDeclaration vectorSpaceModel verificationCode virtualMachineImage
 visualisation_of_results webApplicationServer whitespaceHandling windowAggregation workflowDefinition""".split()
 
+
+
+def ordinary_forms(words: list[str]) -> list[str]:
+    """The words as identifiers are written: constants, paths, dated and numbered names, class and method names."""
+    parts = [[p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", w)] for w in words]
+    n, out = len(words), list(words)
+    for i, a in enumerate(parts):
+        b, c = parts[(7 * i + 3) % n], parts[(11 * i + 5) % n]
+        title = ["".join(p.title() for p in x) for x in (a, b, c)]
+        day = f"20{10 + i % 20}-{1 + i % 12:02d}-{1 + i % 28:02d}"
+        out += ["_".join(a + b).upper(), "/".join(a + b + c), "-".join([day, *a, b[0]]), "_".join([*b, day.replace("-", "")]), "_".join([*a, str(i % 100), *b]), "-".join(a + b)]
+        out += [title[0] + title[1], a[0] + "".join(p.title() for p in (a + b + c)[1:]), f"{title[0]}V{i % 10}{title[1]}", f"/{a[0]}/{b[0]}{i % 10}/{'-'.join(c)}"]
+    return out
+
+
 #: Documents from which ordinary tokens and matched secrets are taken, at most; those with the smallest hashes.
 SAMPLE = 2_000
-MIN_SUM, MIN_MEAN = 12.0, 0.5
+MIN_SUM, MIN_MEAN = 12.0, 0.7
 
 
 def matches(text: Column, pattern: str, measured: int, least: int, kind: int) -> Column:
@@ -100,14 +116,14 @@ def pairs(token: Column) -> Column:
 
 def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(token, random): values matched by the base patterns and strings made by rule are random, words without digits
-    of the same documents and the fixed identifiers are ordinary. docs: doc_id, text; a bounded sample of documents."""
+    of the same documents and the fixed identifiers, in all forms that `ordinary_forms` gives, are ordinary. docs: doc_id, text; a bounded sample of documents."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.join(F.broadcast(ids), "doc_id").select(text_or_empty().alias("t"))
     words = texts.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z_]{6,}"), F.lit(0))).alias("token"), F.lit(0).alias("random"))
     hits = texts.select(F.explode(F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 3), (ACCESS, 0), (HEX.replace("+", "{16,}"), 0))])).alias("token"), F.lit(1).alias("random")).where(F.length("token") >= 12)
     made = docs.sparkSession.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     rule = made.select(F.explode(F.array(F.col("h"), F.base64(F.unhex("h")), F.upper(F.substring(F.base64(F.unhex("h")), 1, 24)))).alias("token"), F.lit(1).alias("random"))
-    fixed = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(" ".join(ORDINARY)), " ")).alias("token"), F.lit(0).alias("random"))
+    fixed = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(" ".join(ordinary_forms(ORDINARY))), " ")).alias("token"), F.lit(0).alias("random"))
     return words.unionByName(hits).unionByName(rule).unionByName(fixed)
 
 
