@@ -346,6 +346,37 @@ def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[
     return [b.items() for b in now]
 
 
+def best_fit(size: list[int], capacity: int) -> list[list[int]]:
+    """Bins of best fit decreasing: each document, the largest first, goes to the fullest bin with room."""
+    bins: list[list[int]] = []
+    spaces: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by free space
+    open_ = 0
+    for i in sorted(range(len(size)), key=size.__getitem__, reverse=True):
+        fits = open_ >> size[i]
+        if fits:
+            space = size[i] + (fits & -fits).bit_length() - 1
+            b = spaces[space].pop()
+            if not spaces[space]:
+                open_ ^= 1 << space
+        else:
+            space, b = capacity, len(bins)
+            bins.append([])
+        bins[b].append(i)
+        if rest := space - size[i]:
+            spaces[rest].append(b)
+            open_ |= 1 << rest
+    return bins
+
+
+def searched(size: list[int], capacity: int) -> list[list[int]]:
+    """The search from bins in the order of arrival; if that ends above the lower bound, once more from those of best fit
+    decreasing, and the better of both: never more bins than best fit decreasing."""
+    found = local_search(next_fit(size, capacity), size, capacity)
+    if len(found) > lower_bound(size, capacity):
+        found = min(found, local_search(best_fit(size, capacity), size, capacity), key=len)
+    return found
+
+
 def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to items, which have a length of 1 .. capacity."""
     rows = stage(items.withColumn("_item", F.monotonically_increasing_id()), "items")  # stored, so that numbers stay
@@ -356,7 +387,7 @@ def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000) -> Dat
         pdf = pdf.sort_values("_item", ignore_index=True)
         size = pdf["length"].tolist()
         sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        for s, b in enumerate(local_search(next_fit(size, capacity), size, capacity)):
+        for s, b in enumerate(searched(size, capacity)):
             at = 0
             for i in b:
                 sequence[i], offset[i] = s, at

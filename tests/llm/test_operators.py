@@ -310,6 +310,26 @@ def test_local_search_against_all_packings():
     assert len(packing.local_search(packing.next_fit(size, 10), size, 10)) == 3
 
 
+def plain_best_fit(size, capacity):
+    bins = []
+    for n in sorted(size, reverse=True):
+        fitting = [b for b in bins if b >= n]
+        if fitting:
+            bins.remove(min(fitting))
+        bins.append((min(fitting) if fitting else capacity) - n)
+    return len(bins)
+
+
+@pytest.mark.parametrize("low,high", [(1, 2047), (400, 1100), (600, 1500), (1, 300)])
+def test_search_is_no_worse_than_best_fit(low, high):
+    rnd = random.Random(low)
+    for n in (1, 7, 60, 700):
+        size = [rnd.randint(low, high) for _ in range(n)]
+        out = packing.searched(size, 2048)
+        assert sorted(i for b in out for i in b) == list(range(n)) and all(sum(size[i] for i in b) <= 2048 for b in out)
+        assert len(packing.best_fit(size, 2048)) == plain_best_fit(size, 2048) and packing.lower_bound(size, 2048) <= len(out) <= plain_best_fit(size, 2048)
+
+
 def test_local_search_empties_bins():
     size = [6, 4, 5, 3, 2, 7, 3]  # 30 = 3 x 10
     bins = [[0, 4], [1, 2], [3, 6], [5]]

@@ -68,6 +68,39 @@ def test_awkward_tables(spark):
     assert kept[base[0][0]] == 0 and kept[base[6][0]] is None
 
 
+def test_near_copies_in_groups(spark):
+    """Groups of texts changed little by little, many of them less alike than the threshold: what plain sets link is found, at
+    each level of similarity."""
+    rnd, texts = random.Random(12), {}
+    words = [f"w{i}" for i in range(3000)]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for _ in range(60):
+        base = [rnd.choice(words) for _ in range(rnd.choice([60, 120, 300, 800]))]
+        for _ in range(rnd.randint(2, 7)):
+            one = list(base)
+            for at in rnd.sample(range(len(one)), max(1, int(len(one) * rnd.uniform(0.003, 0.03)))):
+                one[at] = f"n{rnd.randrange(10**7)}"
+            texts[len(texts)] = " ".join(one)
+            base = one if rnd.random() < 0.4 else base
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    least = near_groups(texts)
+    roots, _ = simhash.near_copies(rows)
+    got = {r.node.doc_id: r.root.doc_id for r in roots.collect()}
+    assert all(least[d] == least[r] for d, r in got.items())
+    sets, found = {d: shingles(t) for d, t in texts.items()}, {}
+    for a in texts:
+        for b in range(a + 1, min(a + 7, len(texts))):
+            alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if alike >= 0.8:
+                found.setdefault(min(int(alike * 20), 19), []).append(got.get(a, a) == got.get(b, b))
+    print({k / 20: (sum(v) / len(v), len(v)) for k, v in sorted(found.items())})
+    assert all(sum(v) >= 0.95 * len(v) and len(v) > 10 for v in found.values())
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
