@@ -107,9 +107,6 @@ NEGATIVE_PRONOUNS = (
 CONDITIONAL_MARKS = (
     "если", "когда", "раз",
 )
-SPEECH_VERBS = (
-    "говорить", "сказать", "утверждать", "писать", "заявлять",
-)
 DISCOURSE_POINTERS = (
     "проблема", "вопрос", "суть", "дело", "причина", "цель", "задача", "смысл", "итог", "вывод", "результат", "следствие", "условие", "основа",
     "главное", "важное", "интересное",

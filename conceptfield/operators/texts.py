@@ -46,15 +46,18 @@ def segment(docs: DataFrame, segments, least: int = 0) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key, order: str) -> DataFrame:
-    """The first row of each key."""
-    first = rows.withColumn("_key", key).withColumn("_rn", F.row_number().over(W.partitionBy("_key").orderBy(order)))
-    return first.where("_rn = 1").drop("_key", "_rn")
+    """The first row of each key, null orders first; combined where the rows are, so that a key of very many rows isn't sorted."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(F.col(order).isNotNull(), F.col(order)))
+    return rows.groupBy(key.alias("_key")).agg(first.alias("_row")).select("_row.*")
 
 
 def stratified_sample(rows: DataFrame, group: str, category: str, key: str, least: int = 3, most: int = 70) -> DataFrame:
-    """`most` rows a group: first `least` of each category, then others, in the order of md5(key)."""
+    """`most` rows a group: first `least` of each category, then others, in the order of md5(key).
+
+    No category gives more than `most` rows; those of each task that may be among them are all that is shuffled.
+    """
     shuffled = F.md5(F.col(key).cast("string"))
-    ranked = rows.withColumn("_h", shuffled).withColumn("_c", F.row_number().over(W.partitionBy(group, category).orderBy("_h", key)))
+    ranked = rows.withColumn("_h", shuffled).withColumn("_c", F.row_number().over(W.partitionBy(group, category).orderBy("_h", key))).where(F.col("_c") <= most)
     ranked = ranked.withColumn("_g", F.row_number().over(W.partitionBy(group).orderBy((F.col("_c") > least).cast("int"), "_h", key)))
     return ranked.where(F.col("_g") <= most).withColumnRenamed("_g", "pick").drop("_h", "_c")
 

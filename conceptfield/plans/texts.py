@@ -42,10 +42,11 @@ def burst_merge(spark, sf_dir):
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM documents),
     m AS (SELECT *, CASE WHEN lag(c) OVER w = c THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
     g AS (SELECT doc_id, c, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM m),
-    r AS (SELECT doc_id, g, min(p) AS p, CASE WHEN count(*) >= 3 AND min(c) <> chr(10) THEN min(c) ELSE repeat(min(c), count(*)) END AS s FROM g GROUP BY doc_id, g)
-    SELECT doc_id, md5(string_agg(s, '' ORDER BY p)) AS collapsed FROM r GROUP BY doc_id""")
+    r AS (SELECT doc_id, g, min(p) AS p, CASE WHEN count(*) >= 3 AND min(c) <> chr(10) THEN min(c) ELSE repeat(min(c), count(*)) END AS s FROM g GROUP BY doc_id, g),
+    a AS (SELECT doc_id, string_agg(s, '' ORDER BY p) AS s FROM r GROUP BY doc_id)
+    SELECT doc_id, md5(coalesce(a.s, '')) AS collapsed FROM documents LEFT JOIN a USING (doc_id)""")
 def text_repeat_collapse(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.md5(X.collapse_repeats(F.col("text"))).alias("collapsed"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.collapse_repeats(F.coalesce("text", F.lit("")))).alias("collapsed"))
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squashed FROM documents""")
@@ -88,11 +89,12 @@ def subordinate_remerge(spark, sf_dir):
     return rows.select("doc_id", "pos", F.md5("segment").alias("segment"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)), 1) AS p FROM documents)
-    SELECT doc_id, count(*) AS sentences, md5(string_agg(trim(s), '|' ORDER BY p)) AS joined FROM s WHERE trim(s) <> '' GROUP BY doc_id""")
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)), 1) AS p FROM documents),
+    a AS (SELECT doc_id, count(*) AS n, string_agg(trim(s), '|' ORDER BY p) AS joined FROM s WHERE trim(s) <> '' GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS sentences, md5(coalesce(joined, '')) AS joined FROM documents LEFT JOIN a USING (doc_id)""")
 def sentence_split(spark, sf_dir):
-    s = X.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").where(F.size(s) > 0).select("doc_id", F.size(s).cast("long").alias("sentences"), F.md5(F.array_join(s, "|")).alias("joined"))
+    s = X.sentences(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.md5(F.array_join(s, "|")).alias("joined"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, trim(text) AS s FROM documents),
