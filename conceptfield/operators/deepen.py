@@ -62,10 +62,20 @@ def contained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(mass < 1e-12, 0.0, (a * b).sum(axis=(1, 2)) / np.maximum(mass, 1e-12))
 
 
-def scores_of_heavy(rhos: DataFrame, heavy: DataFrame) -> DataFrame:
+#: Bytes of matrices that are broadcast at most.
+MOST_BROADCAST = 64 << 20
+
+
+def scores_of_heavy(rhos: DataFrame, heavy: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """(a, b, weight) of every concept a in every heavy concept b: a product with the stack of their matrices, which is
-    broadcast. heavy(concept) has at most as many rows as `heaviest` gives, 16 MB for 200 of 100 dimensions."""
+    broadcast if it has at most `most` bytes (16 MB for 200 of 100 dimensions), else a join of each pair's matrices.
+    heavy(concept) has at most as many rows as `heaviest` gives."""
     kind = rhos.schema["concept"].dataType.simpleString()
+    one = rhos.select(F.size("rho").alias("cells")).first()
+    if one and heavy.count() * one.cells * 8 > most:
+        names = F.array_sort(F.collect_set("concept"))
+        near = rhos.select(F.col("concept").alias("a"), F.lit(1).alias("_one")).join(F.broadcast(heavy.agg(names.alias("b")).withColumn("_one", F.lit(1))), "_one").select("a", F.explode("b").alias("b")).where("a <> b")
+        return D.per_matrix(D.pairs(rhos, candidates=near).select("a", "b", "rho_a", "rho_b"), contained, "weight", ("rho_a", "rho_b"))
     rows = rhos.join(F.broadcast(heavy.select("concept")), "concept", "left_semi").select("concept", "rho").collect()
     names = [r.concept for r in rows]
     stack = rhos.sparkSession.sparkContext.broadcast(np.array([r.rho for r in rows], float))

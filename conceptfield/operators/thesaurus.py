@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
+from ..functions.shared import stage
+from .density import matrices
 
 
 def term(uri: Column) -> Column:
@@ -56,3 +58,48 @@ def relations_of(links: DataFrame, lemmas: DataFrame) -> DataFrame:
 
 def relation_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rel").agg(F.count("*").alias("n"))
+
+
+#: Folders of a stored map, each with the concepts of one hash.
+BUCKETS = 64
+
+
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("concept"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def changed_terms(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(concept): the terms of judgments(subject, verb, object, ...) that were taken away or came; a changed one is both."""
+    gone, come = before.exceptAll(after), after.exceptAll(before)
+    return gone.unionByName(come).select(F.explode(F.array("subject", "verb", "object")).alias("concept")).where("concept is not null").distinct()
+
+
+def store_map(rhos: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Writes matrices (concept, n, rho) as a table in which a concept's folder is known from its name."""
+    rhos.select("concept", "n", "rho", bucket(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored_map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("concept string, n long, rho array<double>, bucket int").parquet(path).select("concept", "n", "rho")
+
+
+def maintain(spark: SparkSession, path: str, parts: DataFrame, terms: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """Brings a stored map up to date: only terms(concept) are summed again, from parts(concept, vector, w), the components that
+    hold now; only folders with such a term are read and written. Returns these folders.
+
+    The result is what a full rebuild gives. A term without components is taken out.
+    """
+    some = stage(terms.select("concept").distinct().select("concept", bucket(buckets)), "changed")
+    touched = sorted(r.bucket for r in some.select("bucket").distinct().collect())  # at most `buckets`
+    if not touched:
+        return []
+    old = spark.read.schema("concept string, n long, rho array<double>, bucket int").parquet(path).where(F.col("bucket").isin(touched))
+    new = matrices(parts.join(some.select("concept"), "concept", "left_semi")).select("concept", "n", "rho", bucket(buckets))
+    now = stage(old.join(some.select("concept"), "concept", "left_anti").select("concept", "n", "rho", "bucket").unionByName(new), "map")
+    now.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    left = {r.bucket for r in now.select("bucket").distinct().collect()}
+    for b in touched:
+        if b not in left:  # nothing is written to a folder that has become empty
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return touched

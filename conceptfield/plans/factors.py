@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.config import Config
+from ..functions.shared import shared_dir
 from ..operators import density as D
-from ..operators import factors, materialize, pairsearch
+from ..operators import factors, materialize, pairsearch, thesaurus
 from .density import CFG, E_SQL, linked, named, parts
 from .registry import query, table
 
@@ -103,3 +106,20 @@ def wide_deepen(spark, sf_dir):
     """Four rounds of deepening on them."""
     known = catalogue(spark, sf_dir).withColumn("weight", F.lit(0.8))
     return factors.deepened(wide(spark, sf_dir), known, WIDE).select("concept", "n", F.round("mass", 6).alias("mass"))
+
+
+@query("""WITH p AS (SELECT * REPLACE (CASE WHEN p_partkey % 40 = 1 THEN 'another type' ELSE p_type END AS p_type) FROM part WHERE p_partkey % 40 <> 0),
+    c AS (SELECT 'part ' || p_partkey AS concept, 0.8 AS w FROM p UNION ALL SELECT p_type, 0.4 FROM p UNION ALL SELECT p_brand, 0.16 FROM p)
+    SELECT concept, count(*) AS n, round(sum(w), 6) AS mass FROM c GROUP BY concept""")
+def map_maintenance(spark, sf_dir):
+    """A stored map after some parts went and others changed their type: what a full rebuild gives."""
+    cfg, path = Config(dim=8), f"{shared_dir(spark)}/map-{uuid.uuid4().hex}"
+    before = catalogue(spark, sf_dir)
+    after = before.where("judgment_id % 40 <> 0").withColumn("object", F.when(F.col("judgment_id") % 40 == 1, "another type").otherwise(F.col("object")))
+
+    def weighed(judgments):
+        return materialize.components(judgments, cfg).select("concept", "vector", F.col("weight").alias("w"))
+
+    thesaurus.store_map(D.matrices(weighed(before)), path)
+    thesaurus.maintain(spark, path, weighed(after), thesaurus.changed_terms(before, after))
+    return D.with_mass(thesaurus.stored_map(spark, path)).select("concept", "n", F.round("mass", 6).alias("mass"))

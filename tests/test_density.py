@@ -118,6 +118,13 @@ def test_deepening(spark):
     assert more.eigenvalue_delta < delta.eigenvalue_delta
 
 
+def test_heavy_concepts_too_large_to_broadcast(spark):
+    rhos = D.matrices(table(spark)[0])
+    heavy = deepen.heaviest(rhos, 0.01, 2)
+    got = [{(r.a, r.b): r.weight for r in deepen.scores_of_heavy(rhos, heavy, most).collect()} for most in (1 << 20, 0)]
+    assert len(got[0]) == 6 and got[0] == pytest.approx(got[1])
+
+
 def test_contains_is_ordered(spark):
     df, rows = table(spark)
     found = maps.contains(D.matrices(df), "c0", 3).collect()
@@ -147,3 +154,28 @@ def test_hub_consolidation_in_chunks(spark, chunk):
             assert (g.component, g.merged, g.activation, g.ts) == (k, k in seen, state[k][3], state[k][2]) and g.anomaly == pytest.approx(odd)
             seen.add(k)
     assert len(materialize.directions(df.where("concept = 'verb'")).collect()) == 1
+
+
+def test_map_maintenance_reads_only_what_changed(spark, tmp_path):
+    """Equals a full rebuild, also where a folder loses its last concept; files of other folders are the same ones."""
+    from conceptfield.operators import thesaurus
+
+    rng, path = np.random.default_rng(9), str(tmp_path / "map")
+    kind = "subject string, verb string, object string, w double"
+    before = [(f"s{i % 20}", f"v{i % 3}", f"o{i % 7}", float(rng.random())) for i in range(60)]
+    after = [r for r in before if r[0] != "s4"] + [("new", "v0", "o1", 0.5)]
+
+    def parts(rows):
+        return spark.createDataFrame([(t, [float(len(t)), float(ord(t[-1])), r[3]], r[3]) for r in rows for t in r[:3]], "concept string, vector array<double>, w double")
+
+    thesaurus.store_map(D.matrices(parts(before)), path, 32)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "map").rglob("*.parquet")}
+    terms = thesaurus.changed_terms(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind))
+    assert {r.concept for r in terms.collect()} == {t for r in before if r[0] == "s4" for t in r[:3]} | {"new", "v0", "o1"}
+    touched = thesaurus.maintain(spark, path, parts(after), terms, 32)
+    got = {r.concept: (r.n, r.rho) for r in thesaurus.stored_map(spark, path).collect()}
+    want = {r.concept: (r.n, r.rho) for r in D.matrices(parts(after)).collect()}
+    assert got.keys() == want.keys() and all(got[c][0] == want[c][0] and got[c][1] == pytest.approx(want[c][1]) for c in want)
+    same = [p for p in files if int(p.parent.name.split("=")[1]) not in touched]
+    assert same and all(p.exists() and p.stat().st_mtime_ns == files[p] for p in same)
+    assert thesaurus.maintain(spark, path, parts(after), terms.limit(0), 32) == []
