@@ -179,28 +179,28 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarra
         forest.merge(a[taken], b[taken])
 
 
-def links(distinct: DataFrame, budget: int = 4, per_subtree: int = 8192) -> DataFrame:
-    """Edges (a, b) that connect the same fingerprints as all links of distinct(fp) at `budget` (at most 7) or fewer bits;
-    each edge is a link."""
+def links(distinct: DataFrame, budget: int = 4, per_subtree: int = 8192, prints: int = 1) -> DataFrame:
+    """Edges (k, a, b) that connect the same fingerprints as all links of distinct(k, fp) at `budget` (at most 7) or fewer bits;
+    each edge is a link. Fingerprints of different k, below `prints`, don't link."""
     n = distinct.count()
-    top = min(LEAD, max(0, math.ceil(math.log2(max(1, n / per_subtree)))))
+    top = min(LEAD, max(0, math.ceil(math.log2(max(1, n / prints / per_subtree)))))
 
     def spread(frames):
         for pdf in frames:
-            fp = pdf["fp"].to_numpy().view(np.uint64)
+            fp, which = pdf["fp"].to_numpy().view(np.uint64), pdf["k"].to_numpy().astype(np.int64)
             for turn in range(BITS // LEAD):
                 r = np.uint64(turn * LEAD)
                 rot = (fp << r) | (fp >> (np.uint64(BITS) - r)) if turn else fp
                 tree = (rot >> np.uint64(BITS - top)).astype(np.int64) if top else np.zeros(len(fp), np.int64)
-                parts = [(tree, rot, False)]
-                for k in range(top):
-                    zero = (tree >> k) & 1 == 0
-                    parts.append((tree[zero] | (1 << k), rot[zero], True))
-                for t, v, guest in parts:
-                    yield pd.DataFrame({"tree": t * 4 + turn, "v": v.view(np.int64), "guest": guest})
+                parts = [(tree, rot, which, False)]
+                for bit in range(top):
+                    zero = (tree >> bit) & 1 == 0
+                    parts.append((tree[zero] | (1 << bit), rot[zero], which[zero], True))
+                for t, v, k, guest in parts:
+                    yield pd.DataFrame({"tree": (t * 4 + turn) * prints + k, "v": v.view(np.int64), "guest": guest})
 
     def walk(pdf):
-        turn = int(pdf["tree"].iloc[0]) % 4
+        turn, k = (int(pdf["tree"].iloc[0]) // prints) % 4, int(pdf["tree"].iloc[0]) % prints
         mask = np.uint64((1 << (BITS - top)) - 1) if top else np.uint64(0xFFFFFFFFFFFFFFFF)
         v, guest = pdf["v"].to_numpy().view(np.uint64), pdf["guest"].to_numpy()
         own, guests = (x[np.argsort(x & mask, kind="stable")] for x in (v[~guest], v[guest]))
@@ -219,10 +219,10 @@ def links(distinct: DataFrame, budget: int = 4, per_subtree: int = 8192) -> Data
         a, b, _ = forest()[0]
         r = np.uint64(turn * LEAD)
         back = (both >> r) | (both << (np.uint64(BITS) - r)) if turn else both
-        return pd.DataFrame({"a": back[a].view(np.int64), "b": back[b].view(np.int64)})
+        return pd.DataFrame({"k": k, "a": back[a].view(np.int64), "b": back[b].view(np.int64)})
 
-    placed = distinct.select("fp").mapInPandas(spread, "tree long, v long, guest boolean")
-    return placed.groupBy("tree").applyInPandas(walk, "a long, b long").distinct()
+    placed = distinct.select("k", "fp").mapInPandas(spread, "tree long, v long, guest boolean")
+    return placed.groupBy("tree").applyInPandas(walk, "k int, a long, b long").distinct()
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 4, budget: int = 4, per_subtree: int = 8192) -> DataFrame:
@@ -236,7 +236,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, budget: int = 4, per_subtre
     fps = stage(fingerprints(docs, shingle), "fingerprints")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    roots = components(links(nodes, budget, per_subtree))
+    roots = components(links(nodes.withColumn("k", F.lit(0)), budget, per_subtree).select("a", "b"))
     known = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     known = stage(known, "rooted")
     least = known.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
@@ -262,16 +262,15 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
 
     id_field = rows.schema["id"]
     seen = stage(rows.mapInArrow(prints_of, T.StructType([id_field, *[T.StructField(f"f{k}", T.LongType()) for k in range(prints)]])), "prints")
-    found = None
-    for k in range(prints):
-        values = stage(seen.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("id").alias("first"), F.count("*").alias("n")), "values")
-        edges = links(values, budget, per_subtree)
-        a, b = values.select(F.col("fp").alias("a"), F.col("first").alias("x")), values.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-        across = edges.join(a, "a").join(b, "b").select("x", "y")
-        total = values.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        same = lookup(seen.select("id", F.col(f"f{k}").alias("fp")), values.where("n > 1"), ["fp"], "n", total, F.xxhash64("id"))
-        same = same.where("first is not null and first != id").select(F.col("id").alias("x"), F.col("first").alias("y"))
-        found = across.unionByName(same) if found is None else found.unionByName(across).unionByName(same)
+    each = seen.select("id", F.posexplode(F.array(*[f"f{k}" for k in range(prints)])).alias("k", "fp"))
+    values = stage(each.groupBy("k", "fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "values")
+    edges = links(values, budget, per_subtree, prints)
+    a, b = values.select("k", F.col("fp").alias("a"), F.col("first").alias("x")), values.select("k", F.col("fp").alias("b"), F.col("first").alias("y"))
+    across = edges.join(a, ["k", "a"]).join(b, ["k", "b"]).select("x", "y")
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    same = lookup(each, values.where("n > 1"), ["k", "fp"], "n", total, F.xxhash64("id"))
+    same = same.where("first is not null and first != id").select(F.col("id").alias("x"), F.col("first").alias("y"))
+    found = across.unionByName(same)
     found = stage(found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "candidates")
 
     def sets_of(batches):
