@@ -21,12 +21,12 @@ def spoken(spark, sf_dir):
 @query(f"""WITH {TOKENS_SQL}, k AS (SELECT s % {CHATS} AS chat, s // {CHATS} AS seq, i, lemma, pos, CASE WHEN regexp_matches(lemma, '[ая]$') THEN 'f' ELSE 'm' END AS agreement FROM t),
     p AS (SELECT * FROM k WHERE pos = 'PRON' AND lemma = 'он'),
     c AS (SELECT p.chat, p.seq, p.i, count(DISTINCT m.lemma) AS n, min(m.lemma) AS term FROM p JOIN k m ON m.chat = p.chat AND m.agreement = p.agreement AND m.pos = 'NOUN' AND m.seq BETWEEN p.seq - {REACH} AND p.seq AND (m.seq < p.seq OR m.i < p.i) GROUP BY ALL)
-    SELECT p.chat, p.seq, p.i, CAST(least(coalesce(n, 0), 2) AS INTEGER) AS found, CASE WHEN n = 1 THEN term END AS term FROM p LEFT JOIN c ON c.chat = p.chat AND c.seq = p.seq AND c.i = p.i""")
+    SELECT p.chat, p.seq, p.i, CAST(least(coalesce(n, 0), 2) AS INTEGER) AS found, CASE WHEN n = 1 THEN term ELSE '' END AS term FROM p LEFT JOIN c ON c.chat = p.chat AND c.seq = p.seq AND c.i = p.i""")
 def anaphora(spark, sf_dir):
     t = spoken(spark, sf_dir)
     he = t.where((F.col("pos") == "PRON") & (F.col("lemma") == "он")).select("chat", "seq", "i", "agreement")
     named = t.where(F.col("pos") == "NOUN").select("chat", "seq", "i", "agreement", F.col("lemma").alias("term"))
-    return discourse.resolved(he, named, REACH).select("chat", "seq", "i", "found", "term")
+    return discourse.resolved(he, named, REACH).select("chat", "seq", "i", "found", F.coalesce("term", F.lit("")).alias("term"))
 
 
 def compared(spark, sf_dir):
@@ -53,7 +53,8 @@ def comparison_edges(spark, sf_dir):
     down AS (SELECT t.dimension, t FROM term t WHERE EXISTS (SELECT 1 FROM own o WHERE o.dimension = t.dimension AND (o.t = t.t OR EXISTS (SELECT 1 FROM r WHERE r.dimension = t.dimension AND r.b = t.t AND r.a = o.t)))),
     good AS (SELECT * FROM term EXCEPT SELECT * FROM up),
     way AS (SELECT dimension, t, 0 AS n FROM good UNION SELECT e.dimension, e.a, w.n + 1 FROM way w JOIN e ON e.dimension = w.dimension AND e.b = w.t JOIN good g ON g.dimension = e.dimension AND g.t = e.a)
-    SELECT t.dimension, t.t AS term, CAST(max(w.n) AS INTEGER) AS level, bool_or(u.t IS NOT NULL AND d.t IS NOT NULL) AS cycle FROM term t LEFT JOIN way w ON w.dimension = t.dimension AND w.t = t.t
+    SELECT t.dimension, t.t AS term, CAST(coalesce(max(w.n), -1) AS INTEGER) AS level, bool_or(u.t IS NOT NULL AND d.t IS NOT NULL) AS cycle FROM term t LEFT JOIN way w ON w.dimension = t.dimension AND w.t = t.t
         LEFT JOIN up u ON u.dimension = t.dimension AND u.t = t.t LEFT JOIN down d ON d.dimension = t.dimension AND d.t = t.t GROUP BY t.dimension, t.t""")
 def comparison_ranking(spark, sf_dir):
-    return discourse.ranking(discourse.comparisons(compared(spark, sf_dir)))
+    """Levels of types within each brand, -1 on cycles and above them."""
+    return discourse.ranking(discourse.comparisons(compared(spark, sf_dir))).withColumn("level", F.coalesce("level", F.lit(-1)))
