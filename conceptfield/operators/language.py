@@ -1,18 +1,18 @@
 """Judgment extraction over parsed sentences.
 
 sentences: sent_id, text, ts, tokens array<struct<i, text, lemma, pos, dep, head, aspect, tense, mood, has_vector>>; the root's
-head is itself. Clauses and phrases are classified as Columns (classify); only the walk down the tree, which hands negation,
-modality and conditions from clause to clause, runs in Arrow batches. Nothing is shuffled.
+head is itself. All is done by Columns in the row that holds the sentence, without a shuffle or a Python worker: clauses and
+phrases are classified (classify), what each verb says is put together (`said`), then negation, modality and conditions are
+handed down the tree, one depth after another (`scopes`). Tokens that no root reaches take no part.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.vectors import let
 from . import classify
 
 TOKENS = "array<struct<i:int,text:string,lemma:string,pos:string,dep:string,head:int,aspect:string,tense:string,mood:string,has_vector:boolean>>"
@@ -20,197 +20,222 @@ SENTENCES = f"sent_id long, ts double, sender string, text string, tokens {TOKEN
 JUDGMENTS = "sent_id long, seq int, subject string, verb string, object string, quality string, modality double, intensity double, ts double, source_text string, condition_id long, condition_role string, extraction_confidence double, clause_type string"
 
 FLOOR = 0.05
+NAMED = ("NOUN", "PROPN", "PRON")
 ARGUMENTS = ("NOUN", "PROPN")
 CLAUSES = ("ccomp", "xcomp", "advcl", "acl", "acl:relcl")
+#: How a node hands its scope down: to the clauses it wraps, to its conditions, to clauses, to nothing, to all.
+WRAPS, CONDITIONAL, VERBAL, NOMINAL, STOP, ALL = "wraps", "conditional", "verbal", "nominal", "stop", "all"
+
+
+def holds(cond: Column) -> Column:
+    return F.coalesce(cond, F.lit(False))
+
+
+def fixed_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def such(k: Column, deps=None, pos=None, lemmas=None) -> Column:
+    out = F.lit(True)
+    for name, allowed in (("dep", deps), ("pos", pos), ("lemma", lemmas)):
+        if allowed is not None:
+            out = out & k[name].isin(*allowed)
+    return holds(out)
+
+
+def below(tokens: Column, t: Column) -> Column:
+    """The children of a token, in order."""
+    return F.transform(t["below"], lambda p: F.get(tokens, p))
+
+
+def with_conjuncts(tokens: Column, nodes: Column) -> Column:
+    return F.flatten(F.transform(nodes, lambda x: F.concat(F.array(x), F.filter(below(tokens, x), lambda k: such(k, ("conj",))))))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """Adds to each token below and above (places of its children and head; -1: none) and depth (null: no root above)."""
+    tokens = F.col("tokens")
+
+    def placed(ids: Column) -> Column:
+        def node(t):
+            kids = F.filter(F.transform(tokens, lambda k, p: F.when((k["head"] == t["i"]) & (k["i"] != t["i"]), p)), lambda p: p.isNotNull())
+            return F.struct(*[t[c].alias(c) for c in ("i", "lemma", "pos", "dep", "mood", "has_vector", "clause", "generic", "habitual", "other", "points")], kids.alias("below"), (F.array_position(ids, t["head"]) - 1).cast("int").alias("above"), holds(t["head"] == t["i"]).alias("root"))
+
+        return F.transform(tokens, node)
+
+    rows = rows.withColumn("tokens", let(F.transform(tokens, lambda t: t["i"]), placed))
+    depth = F.aggregate(tokens, F.transform(tokens, lambda t: F.when(t["root"], 0)), lambda acc, _: F.transform(tokens, lambda t, j: F.coalesce(F.get(acc, j), F.get(acc, t["above"]) + 1)))
+    return rows.withColumn("tokens", F.zip_with(tokens, depth, lambda t, d: t.withField("depth", d)))
+
+
+def ruled(rows: DataFrame) -> DataFrame:
+    """Adds to each token what it does to a scope: negated (by a pronoun, whatever comes from above), turns (negation), quantity and
+    limit (of modality), and conditional, whether it is a condition."""
+    tokens = F.col("tokens")
+
+    def rules(t, kids):
+        def negation(s, k):
+            turned = F.struct(s["negated"].alias("negated"), (~s["turns"]).alias("turns"))
+            return F.when(such(k, lemmas=L.NEGATIVE_PRONOUNS), F.struct(F.lit(True).alias("negated"), F.lit(False).alias("turns"))).when(such(k, ("advmod",), lemmas=L.NEGATIVE_PARTICLES), turned).otherwise(s)
+
+        none = F.struct(F.lit(False).alias("negated"), F.lit(False).alias("turns"))
+        quantity = F.aggregate(kids, F.lit(None).cast("double"), lambda q, k: F.when(such(k, ("det", "amod")), F.coalesce(F.try_element_at(fixed_map(L.QUANTIFIERS), k["lemma"]), q)).otherwise(q))
+        conditional = such(t, ("advcl",)) & F.exists(kids, lambda k: such(k, ("mark",), lemmas=L.CONDITIONAL_MARKS))
+        limits = (F.when(such(t, pos=("VERB",), lemmas=("мочь", "суметь")), 0.5), F.when(such(t, pos=("VERB",), lemmas=("должен", "обязан", "следовать")), 0.7), F.when(conditional | holds(t["mood"] == "Cnd"), 0.4), F.when(t["mood"] == "Imp", 0.7))
+        return F.struct(t.alias("t"), F.aggregate(kids, none, negation).alias("n"), quantity.alias("quantity"), F.least(*limits).alias("limit"), conditional.alias("conditional"))
+
+    def node(t):
+        r = let(below(tokens, t), lambda kids: rules(t, kids))
+        return let(r, lambda x: x["t"].withField("negated", x["n"]["negated"]).withField("turns", x["n"]["turns"]).withField("quantity", x["quantity"]).withField("limit", x["limit"]).withField("conditional", x["conditional"]))
+
+    return rows.withColumn("tokens", F.transform(tokens, node))
+
+
+def confidence(tokens: Column, v: Column, *of: Column) -> Column:
+    """Less for unknown words, unresolved dependencies, short sentences and deep clauses."""
+    unknown = sum(F.when(holds(x["has_vector"]), 0).otherwise(1) for x in of)
+    loose = sum(F.when(such(x, ("dep",)), 1).otherwise(0) for x in of)
+    n = F.size(tokens)
+    out = 1.0 - 0.15 * unknown - 0.25 * loose - F.when(n < 3, 0.2).when(n < 5, 0.1).otherwise(0.0) - F.when(v["depth"] > 4, 0.1).otherwise(0.0)
+    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), out))
+
+
+def judgment(subject, verb, object_, factor, intensity, clause, sure) -> Column:
+    named = {"subject": subject, "verb": verb, "object": object_, "factor": factor, "intensity": intensity, "clause": clause, "confidence": sure}
+    return F.struct(*[c.alias(n) for n, c in named.items()])
+
+
+def generic(status: Column) -> Column:
+    return F.when(status == "GENERIC", 0.7).otherwise(1.0)
+
+
+def nameable(t: Column, status: Column) -> Column:
+    return (status != "REFERENTIAL") & ((F.length(t["lemma"]) >= 2) | (t["lemma"] == "я"))
+
+
+def verbal(tokens: Column, v: Column, kids: Column) -> Column:
+    """Every subject with every object of a verb; of a passive one the agents, or else the objects, are the subjects."""
+    of = F.coalesce(v["clause"], F.lit("UNKNOWN"))
+    subjects = with_conjuncts(tokens, F.filter(kids, lambda k: such(k, ("nsubj", "nsubj:pass"), NAMED)))
+    plain, other = F.filter(kids, lambda k: such(k, ("obj", "dobj", "obl", "iobj"), ARGUMENTS)), F.filter(kids, lambda k: such(k, ("xcomp", "ccomp", "acomp"), ("NOUN", "ADJ", "PROPN")))
+    objects = with_conjuncts(tokens, F.when(F.size(plain) > 0, plain).otherwise(other))
+    agents = F.filter(kids, lambda k: such(k, ("obl",), ARGUMENTS))
+    passive = F.exists(kids, lambda k: such(k, ("nsubj:pass",), NAMED))
+    intensity = F.least(F.lit(1.0), F.coalesce(F.try_element_at(fixed_map(L.VERB_INTENSITY), v["lemma"]), F.lit(0.5)))
+
+    def both(ends):
+        first = F.when(passive, F.when(F.size(agents) > 0, agents).otherwise(ends["objects"])).otherwise(ends["subjects"])
+        second = F.when(passive, ends["subjects"]).otherwise(ends["objects"])
+
+        def pair(s, o):
+            one, two = classify.status(s, of), classify.status(o, of)
+            right = nameable(s, one) & ~s["points"] & (two != "REFERENTIAL") & (F.length(o["lemma"]) >= 2) & (o["lemma"] != s["lemma"])
+            return F.when(right, judgment(F.when(one == "INTERLOCUTOR", "ты").otherwise(s["lemma"]), v["lemma"], o["lemma"], generic(one) * generic(two), intensity, of, confidence(tokens, v, v, s, o)))
+
+        return let(second, lambda ends2: F.flatten(F.transform(first, lambda s: F.transform(ends2, lambda o: pair(s, o)))))
+
+    return F.filter(let(F.struct(subjects.alias("subjects"), objects.alias("objects")), both), lambda x: x.isNotNull())
+
+
+def nominal(tokens: Column, t: Column, kids: Column) -> Column:
+    """A noun or adjective as predicate of its subjects."""
+    of = F.coalesce(t["clause"], F.lit("UNKNOWN"))
+    copula = F.concat(F.lit("cop:"), F.coalesce(F.get(F.filter(kids, lambda k: such(k, ("cop",))), F.lit(0))["lemma"], F.lit("это")))
+
+    def pair(s):
+        status = classify.status(s, of)
+        return F.when(nameable(s, status), judgment(s["lemma"], copula, t["lemma"], generic(status), F.lit(0.7), of, confidence(tokens, t, t, s, t)))
+
+    subjects = with_conjuncts(tokens, F.filter(kids, lambda k: such(k, ("nsubj",), NAMED)))
+    return F.filter(F.transform(subjects, pair), lambda x: x.isNotNull())
+
+
+def attributes(tokens: Column, t: Column, kids: Column) -> Column:
+    """Adjectives of a noun; an adverb before them strengthens or weakens."""
+    def trait(a):
+        adverbs = F.filter(below(tokens, a), lambda k: such(k, ("advmod",)))
+        intensity = F.aggregate(adverbs, F.lit(0.5), lambda x, k: x * F.coalesce(F.try_element_at(fixed_map(L.ADVERB_FACTORS), k["lemma"]), F.lit(1.0)))
+        return judgment(t["lemma"], F.lit("amod"), a["lemma"], F.lit(1.0), F.least(F.lit(1.0), intensity), F.lit("GENERIC"), F.lit(1.0))
+
+    adjectives = F.filter(kids, lambda k: such(k, ("amod",), ("ADJ",)) & (F.length(k["lemma"]) >= 2))
+    return F.when(such(t, pos=("NOUN",)) & (F.length(t["lemma"]) >= 3), F.transform(adjectives, trait))
+
+
+def said(rows: DataFrame) -> DataFrame:
+    """tokens as nodes: mode, what they say (said) and what they say of themselves (traits), without a scope yet."""
+    tokens = F.col("tokens")
+    weights = fixed_map({k: float(w) for k, (_, w, _) in L.ENVELOPES.items()})
+    raising = fixed_map({k: r for k, (_, _, r) in L.ENVELOPES.items()})
+
+    def node(t, kids):
+        verb, root = such(t, pos=("VERB", "AUX")), such(t, ("ROOT",), ("NOUN", "ADJ"))
+        wraps = verb & t["lemma"].isin(*L.ENVELOPES) & F.exists(kids, lambda k: such(k, ("ccomp", "xcomp")))
+        named = root & F.exists(kids, lambda k: such(k, ("nsubj",), NAMED))
+        mode = F.when(wraps, WRAPS).when(verb & F.exists(kids, lambda k: k["conditional"]), CONDITIONAL).when(verb, VERBAL).when(named & (F.length(t["lemma"]) >= 2), NOMINAL).when(named, STOP).otherwise(ALL)
+        found = F.when(verb & ~wraps, verbal(tokens, t, kids)).when(mode == NOMINAL, nominal(tokens, t, kids))
+        return F.struct(*[t[c].alias(c) for c in ("i", "dep", "above", "root", "depth", "negated", "turns", "quantity", "limit", "conditional")], mode.alias("mode"), F.try_element_at(weights, t["lemma"]).alias("weight"),
+                        F.try_element_at(raising, t["lemma"]).alias("raising"), found.alias("said"), attributes(tokens, t, kids).alias("traits"))
+
+    return rows.withColumn("nodes", F.transform(tokens, lambda t: let(below(tokens, t), lambda kids: node(t, kids)))).drop("tokens")
+
+
+def scope(negated, modality, quantity, condition, role) -> Column:
+    return F.struct(negated.alias("negated"), modality.alias("modality"), quantity.alias("quantity"), condition.cast("long").alias("condition"), role.cast("string").alias("role"))
+
+
+def narrowed(s: Column, n: Column) -> Column:
+    """The scope below a node: negation, quantifiers and modality that it brings."""
+    return scope(F.when(n["negated"], ~n["turns"]).otherwise(s["negated"] != n["turns"]), F.least(s["modality"], n["limit"]), F.coalesce(n["quantity"], s["quantity"]), s["condition"], s["role"])
+
+
+def handed(s: Column, parent: Column, n: Column, sent_id: Column) -> Column:
+    """What a node gets of its parent's scope; null if the parent doesn't hand it down to such a node."""
+    mode = parent["mode"]
+    gets = F.when(mode == WRAPS, such(n, ("ccomp", "xcomp"))).when(mode == CONDITIONAL, n["conditional"]).when(mode.isin(VERBAL, NOMINAL), such(n, CLAUSES)).otherwise(mode == ALL)
+    wraps, tied = mode == WRAPS, mode == CONDITIONAL
+    rejected = s["negated"] & ~parent["raising"]
+    modality = F.when(wraps, s["modality"] * parent["weight"] * F.when(rejected, 0.3).otherwise(1.0)).when(tied, F.least(s["modality"], F.lit(0.4))).otherwise(s["modality"])
+    whole = scope(F.when(wraps, s["negated"] & parent["raising"]).otherwise(s["negated"]), modality, s["quantity"], F.when(tied, sent_id * 1000 + parent["i"]).otherwise(s["condition"]), F.when(tied, "ANTECEDENT").otherwise(s["role"]))
+    return F.when(s.isNotNull() & gets, whole)
+
+
+def scopes(nodes: Column, sent_id: Column) -> Column:
+    """The scope of each node, null for those that no clause hands one to; nodes of one depth after those above them."""
+    start = scope(F.lit(False), F.lit(1.0), F.lit(1.0), F.lit(None), F.lit(None))
+    first = F.transform(nodes, lambda n: F.when(n["root"], let(start, lambda s: narrowed(s, n))))
+    deepest = F.coalesce(F.array_max(F.transform(nodes, lambda n: n["depth"])), F.lit(0))
+    levels = F.filter(F.sequence(F.lit(0), deepest), lambda x: x > 0)
 
+    def got(acc, n):
+        s = let(F.get(acc, n["above"]), lambda s: let(F.get(nodes, n["above"]), lambda parent: handed(s, parent, n, sent_id)))
+        return let(s, lambda x: F.when(x.isNotNull(), narrowed(x, n)))
 
-class Tree:
-    """One parsed sentence, classified, with its children lists."""
-
-    def __init__(self, tokens):
-        self.tokens = {int(t["i"]): t for t in tokens}
-        self.lemma = {i: t["lemma"] for i, t in self.tokens.items()}
-        self.below: dict[int, list[int]] = {i: [] for i in self.tokens}
-        for i, t in self.tokens.items():
-            if int(t["head"]) != i and int(t["head"]) in self.below:
-                self.below[int(t["head"])].append(i)
-
-    def get(self, i: int, name: str):
-        return self.tokens[i][name]
-
-    def kids(self, i: int, deps=None, pos=None, lemmas=None) -> list[int]:
-        return [k for k in self.below[i] if (deps is None or self.get(k, "dep") in deps) and (pos is None or self.get(k, "pos") in pos) and (lemmas is None or self.lemma[k] in lemmas)]
-
-    def root(self) -> list[int]:
-        return [i for i, t in self.tokens.items() if int(t["head"]) == i]
-
-    def depth(self, i: int) -> int:
-        n = 0
-        while int(self.get(i, "head")) != i and n <= 10:
-            i, n = int(self.get(i, "head")), n + 1
-        return n
-
-    def clause(self, v: int) -> str:
-        return self.get(v, "clause") or "UNKNOWN"
-
-    def phrase(self, i: int, clause: str) -> str:
-        return self.get(i, clause.lower() if clause in classify.CLASSES else "other")
-
-    def confidence(self, *of: int) -> float:
-        """Less for unknown words, unresolved dependencies, short sentences and deep clauses."""
-        out = 1.0 - 0.15 * sum(not self.get(i, "has_vector") for i in of) - 0.25 * sum(self.get(i, "dep") == "dep" for i in of)
-        n = len(self.tokens)
-        out -= 0.2 if n < 3 else 0.1 if n < 5 else 0.0
-        return max(0.1, min(1.0, out - (0.1 if self.depth(of[0]) > 4 else 0.0)))
-
-    def with_conjuncts(self, nodes: list[int]) -> list[int]:
-        return [x for i in nodes for x in (i, *self.kids(i, ("conj",)))]
-
-
-@dataclass(frozen=True)
-class Scope:
-    """What a clause inherits from those around it."""
-
-    negated: bool = False
-    modality: float = 1.0
-    quantity: float = 1.0
-    condition: int | None = None
-    role: str | None = None
-
-    @property
-    def strength(self) -> float:
-        return max(FLOOR, self.modality * self.quantity)
-
-
-class Extraction:
-    """Walks a tree from its roots and gathers judgments."""
-
-    def __init__(self, tree: Tree, sent_id: int):
-        self.tree, self.sent_id, self.found = tree, sent_id, []
-
-    def run(self) -> list[dict]:
-        for i in self.tree.root():
-            self.visit(i, Scope())
-        return self.found
-
-    def narrowed(self, i: int, scope: Scope) -> Scope:
-        """The scope below node i: negation, quantifiers and modality that it brings."""
-        t = self.tree
-        negated, quantity, modality = scope.negated, scope.quantity, scope.modality
-        for k in t.below[i]:
-            if t.lemma[k] in L.NEGATIVE_PRONOUNS:
-                negated = True
-            elif t.get(k, "dep") == "advmod" and t.lemma[k] in L.NEGATIVE_PARTICLES:
-                negated = not negated
-            if t.get(k, "dep") in ("det", "amod"):
-                quantity = L.QUANTIFIERS.get(t.lemma[k], quantity)
-        limits = []
-        if t.get(i, "pos") == "VERB":
-            limits += [0.5] * (t.lemma[i] in ("мочь", "суметь")) + [0.7] * (t.lemma[i] in ("должен", "обязан", "следовать"))
-        if t.get(i, "dep") == "advcl" and t.kids(i, ("mark",), lemmas=L.CONDITIONAL_MARKS) or t.get(i, "mood") == "Cnd":
-            limits.append(0.4)
-        if t.get(i, "mood") == "Imp":
-            limits.append(0.7)
-        return replace(scope, negated=negated, quantity=quantity, modality=min([modality, *limits]))
-
-    def visit(self, i: int, scope: Scope) -> None:
-        t, scope = self.tree, self.narrowed(i, scope)
-        if t.get(i, "pos") in ("VERB", "AUX"):
-            self.clause(i, scope)
-        elif t.get(i, "dep") == "ROOT" and t.get(i, "pos") in ("NOUN", "ADJ"):
-            self.predicate(i, scope)
-        else:
-            for k in t.below[i]:
-                self.visit(k, scope)
-        if t.get(i, "pos") == "NOUN" and len(t.lemma[i]) >= 3:
-            self.attributes(i, scope)
-
-    def clause(self, v: int, scope: Scope) -> None:
-        t = self.tree
-        if t.lemma[v] in L.ENVELOPES and t.kids(v, ("ccomp", "xcomp")):
-            _, weight, raising = L.ENVELOPES[t.lemma[v]]
-            rejected = scope.negated and not raising
-            inner = replace(scope, negated=scope.negated and raising, modality=scope.modality * weight * (0.3 if rejected else 1.0))
-            for k in t.kids(v, ("ccomp", "xcomp")):
-                self.visit(k, inner)
-            return
-        conditions = [k for k in t.kids(v, ("advcl",)) if t.kids(k, ("mark",), lemmas=L.CONDITIONAL_MARKS)]
-        if conditions:
-            tied = replace(scope, modality=min(scope.modality, 0.4), condition=self.sent_id * 1000 + v)
-            for k in conditions:
-                self.visit(k, replace(tied, role="ANTECEDENT"))
-            self.arguments(v, replace(tied, role="CONSEQUENT"))
-            return
-        self.arguments(v, scope)
-        for k in t.kids(v, CLAUSES):
-            self.visit(k, scope)
-
-    def arguments(self, v: int, scope: Scope) -> None:
-        """Every subject with every object of a verb; of a passive one the agents, or else the objects, are the subjects."""
-        t = self.tree
-        subjects = t.with_conjuncts(t.kids(v, ("nsubj", "nsubj:pass"), ("NOUN", "PROPN", "PRON")))
-        objects = t.with_conjuncts(t.kids(v, ("obj", "dobj", "obl", "iobj"), ARGUMENTS)) or t.with_conjuncts(t.kids(v, ("xcomp", "ccomp", "acomp"), ("NOUN", "ADJ", "PROPN")))
-        if t.kids(v, ("nsubj:pass",), ("NOUN", "PROPN", "PRON")):
-            subjects, objects = t.kids(v, ("obl",), ARGUMENTS) or objects, subjects
-        clause = t.clause(v)
-        for s in subjects:
-            status = t.phrase(s, clause)
-            if not self.names(s, status) or t.get(s, "points"):
-                continue
-            for o in objects:
-                other = t.phrase(o, clause)
-                if other == "REFERENTIAL" or len(t.lemma[o]) < 2 or t.lemma[o] == t.lemma[s]:
-                    continue
-                factor = 0.7 ** ((status == "GENERIC") + (other == "GENERIC"))
-                self.emit("ты" if status == "INTERLOCUTOR" else t.lemma[s], t.lemma[v], t.lemma[o], scope, factor, min(1.0, L.VERB_INTENSITY.get(t.lemma[v], 0.5)), clause, t.confidence(v, s, o))
-
-    def names(self, i: int, status: str) -> bool:
-        return status != "REFERENTIAL" and (len(self.tree.lemma[i]) >= 2 or self.tree.lemma[i] == "я")
-
-    def predicate(self, i: int, scope: Scope) -> None:
-        """A noun or adjective as predicate; without a subject, what it holds is visited instead."""
-        t = self.tree
-        subjects = t.with_conjuncts(t.kids(i, ("nsubj",), ("NOUN", "PROPN", "PRON")))
-        if not subjects:
-            for k in t.below[i]:
-                self.visit(k, scope)
-            return
-        clause, copulas = t.clause(i), t.kids(i, ("cop",))
-        if len(t.lemma[i]) < 2:
-            return
-        for s in subjects:
-            status = t.phrase(s, clause)
-            if self.names(s, status):
-                self.emit(t.lemma[s], "cop:" + (t.lemma[copulas[0]] if copulas else "это"), t.lemma[i], scope, 0.7 if status == "GENERIC" else 1.0, 0.7, clause, t.confidence(i, s, i))
-        for k in t.kids(i, CLAUSES):
-            self.visit(k, scope)
-
-    def attributes(self, i: int, scope: Scope) -> None:
-        """Adjectives of a noun; an adverb before them strengthens or weakens."""
-        t = self.tree
-        for a in t.kids(i, ("amod",), ("ADJ",)):
-            if len(t.lemma[a]) >= 2:
-                intensity = 0.5
-                for adverb in t.kids(a, ("advmod",)):
-                    intensity *= L.ADVERB_FACTORS.get(t.lemma[adverb], 1.0)
-                self.emit(t.lemma[i], "amod", t.lemma[a], replace(scope, condition=None, role=None), 1.0, min(1.0, intensity), "GENERIC", 1.0)
-
-    def emit(self, subject, verb, obj, scope: Scope, factor: float, intensity: float, clause: str, confidence: float) -> None:
-        self.found.append({"subject": subject, "verb": verb, "object": obj, "quality": "NEGATIVE" if scope.negated else "AFFIRMATIVE", "modality": scope.strength * factor, "intensity": intensity, "condition_id": scope.condition, "condition_role": scope.role, "extraction_confidence": confidence, "clause_type": clause})
+    return F.aggregate(levels, first, lambda acc, level: F.transform(nodes, lambda n, j: F.when(n["depth"] == level, got(acc, n)).otherwise(F.get(acc, j))))
 
 
 def extract(sentences: DataFrame) -> DataFrame:
-    """Judgments of parsed sentences. Antecedents of conditions are labelled as such; ids of conditions come from the
-    sentence and its verb."""
-    names = [c.split(" ")[0] for c in JUDGMENTS.split(", ")]
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for sid, ts, text, tokens in zip(pdf["sent_id"], pdf["ts"], pdf["text"], pdf["tokens"], strict=True):
-                for seq, j in enumerate(Extraction(Tree(tokens), int(sid)).run()):
-                    out.append(j | {"sent_id": sid, "seq": seq, "ts": ts, "source_text": (text or "")[:200]})
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"condition_id": "Int64", "sent_id": "int64", "seq": "int32"})
-
-    return classify.classified(sentences.select("sent_id", "ts", "text", "tokens")).mapInPandas(run, JUDGMENTS)
+    """Judgments of parsed sentences, seq by the place of the word that says them. Antecedents of conditions are labelled as
+    such; ids of conditions come from the sentence and its verb. Null tokens count as none, null features as absent."""
+    rows = classify.classified(sentences.select("sent_id", "ts", "text", "tokens"))
+    rows = said(ruled(linked(rows)))
+    nodes, sent_id = F.col("nodes"), F.col("sent_id")
+    rows = rows.withColumn("scopes", scopes(nodes, sent_id))
+
+    def tell(n, s):
+        tied = n["mode"] == CONDITIONAL
+
+        def at(j, modality, condition, role):
+            quality = F.when(s["negated"], "NEGATIVE").otherwise("AFFIRMATIVE")
+            strength = F.greatest(F.lit(FLOOR), modality * s["quantity"]) * j["factor"]
+            return F.struct(*[j[c].alias(c) for c in ("subject", "verb", "object")], quality.alias("quality"), strength.alias("modality"), j["intensity"].alias("intensity"), condition.cast("long").alias("condition_id"), role.cast("string").alias("condition_role"),
+                            j["confidence"].alias("extraction_confidence"), j["clause"].alias("clause_type"))
+
+        modality, condition, role = F.when(tied, F.least(s["modality"], F.lit(0.4))).otherwise(s["modality"]), F.when(tied, sent_id * 1000 + n["i"]).otherwise(s["condition"]), F.when(tied, "CONSEQUENT").otherwise(s["role"])
+        told = F.transform(n["said"], lambda j: at(j, modality, condition, role))
+        traits = F.transform(n["traits"], lambda j: at(j, s["modality"], F.lit(None), F.lit(None)))
+        return F.when(s.isNotNull(), F.concat(F.coalesce(told, F.array()), F.coalesce(traits, F.array())))
+
+    found = F.flatten(F.filter(F.zip_with(nodes, "scopes", tell), lambda x: x.isNotNull()))
+    rows = rows.select("sent_id", "ts", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("source_text"), F.posexplode(found).alias("seq", "j"))
+    rows = rows.select("sent_id", "seq", "ts", "source_text", "j.*")
+    return rows.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in JUDGMENTS.split(", ")])
