@@ -142,6 +142,20 @@ def provenance(judgments: DataFrame, most: int = 200) -> DataFrame:
     return first.select(*key, "_first.*").select(*judgments.columns)
 
 
+def panel_judgments(judgments: DataFrame, badge: float = 0.85) -> DataFrame:
+    """What a node's panel shows of its judgments, each once (`provenance`): the columns given, kind (anomaly, negative, conditional
+    or plain, the first that holds), anomaly_percent (null below the badge), layer (null at 0) and confirmation (confirmed or
+    rejected, else null).
+
+    judgments: as for `provenance`, with anomaly, condition_id, interpretation_layer and status; nulls count as nothing to show.
+    """
+    strange = F.col("anomaly") >= badge
+    kind = F.when(strange, "anomaly").when(F.col("quality") == "NEGATIVE", "negative").when(F.col("condition_id").isNotNull(), "conditional").otherwise("plain")
+    return provenance(judgments).select(
+        *judgments.columns, kind.alias("kind"), F.when(strange, F.round(F.col("anomaly") * 100)).cast("int").alias("anomaly_percent"),
+        F.when(F.col("interpretation_layer") > 0, F.col("interpretation_layer")).alias("layer"), F.when(F.col("status").isin("confirmed", "rejected"), F.col("status")).alias("confirmation"))
+
+
 def corpus_stats(judgments: DataFrame) -> DataFrame:
     """One row of statistics of judgments(subject, verb, object, quality, modality, confidence, anomaly)."""
     terms = judgments.select(F.explode(F.array("subject", "verb", "object")).alias("t")).agg(F.countDistinct("t").alias("terms"))

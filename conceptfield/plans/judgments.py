@@ -284,6 +284,16 @@ def node_panel(spark, sf_dir):
     return maps.panel(links(spark, sf_dir), 50.0)
 
 
+@query(f"""WITH {JUDGMENTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY object, subject, verb, quality ORDER BY seq) AS r FROM j)
+    SELECT object AS concept, judgment_id, CASE WHEN anomaly >= 0.85 THEN 'anomaly' WHEN quality = 'NEGATIVE' THEN 'negative' WHEN judgment_id % 5 = 2 THEN 'conditional' ELSE 'plain' END AS kind, CASE WHEN anomaly >= 0.85 THEN CAST(round(anomaly * 100) AS INTEGER) ELSE -1 END AS anomaly_percent,
+    CASE WHEN interpretation_layer > 0 THEN interpretation_layer ELSE 0 END AS layer, CASE WHEN status = 'confirmed' THEN status ELSE '' END AS confirmation FROM r WHERE r = 1""")
+def panel_judgments(spark, sf_dir):
+    """Judgments of each node's panel with their badges."""
+    rows = judgments(spark, sf_dir).withColumn("concept", F.col("object")).withColumn("condition_id", F.when(F.col("judgment_id") % 5 == 2, F.col("judgment_id")))
+    shown = maps.panel_judgments(rows)
+    return shown.select("concept", "judgment_id", "kind", F.coalesce("anomaly_percent", F.lit(-1)).alias("anomaly_percent"), F.coalesce("layer", F.lit(0)).alias("layer"), F.coalesce("confirmation", F.lit("")).alias("confirmation"))
+
+
 @query(f"WITH {JUDGMENTS_SQL} SELECT judgment_id, 0.9::DOUBLE AS priority FROM j WHERE anomaly > 0.7 AND status = 'unreviewed' AND NOT archived")
 def anomaly_questions(spark, sf_dir):
     return feedback.anomaly_questions(judgments(spark, sf_dir), CFG).select(F.element_at("judgments", 1).alias("judgment_id"), "priority")

@@ -200,6 +200,24 @@ def extraction_eval(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) if c in ("precision", "recall", "f1") else c for c in out.columns])
 
 
+#: Words of which some begin others: a match is a choice that later ones have to live with.
+NESTED = ("ca", "cat", "cats", "catalog", "car", "care", "careful")
+GREEDY_SQL = f"""w AS (SELECT event_id // 8 AS s, event_id AS pos, event_id % 2 = 0 AS gold, {list(NESTED)}[user_id % {len(NESTED)} + 1] AS object, event_id % 7 = 0 AS negative FROM events),
+    g AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY pos) AS r FROM w WHERE gold), e AS (SELECT s, list({{'pos': pos, 'object': object, 'negative': negative}} ORDER BY pos) AS l FROM w WHERE NOT gold GROUP BY s),
+    st AS (SELECT s, 0::BIGINT AS r, []::BIGINT[] AS used FROM (SELECT DISTINCT s FROM w) UNION ALL SELECT s, r, CASE WHEN len(fits) > 0 THEN list_append(used, fits[1]) ELSE used END
+        FROM (SELECT st.s, g.r, used, [x.pos FOR x IN coalesce(e.l, []) IF NOT list_contains(used, x.pos) AND x.negative = g.negative AND (x.object = g.object OR starts_with(x.object, substr(g.object, 1, 4)) OR starts_with(g.object, substr(x.object, 1, 4)))] AS fits FROM st JOIN g ON g.s = st.s AND g.r = st.r + 1 LEFT JOIN e ON e.s = st.s))"""
+
+
+@query(f"WITH RECURSIVE {GREEDY_SQL} SELECT w.s AS sent_id, count(*) FILTER (WHERE gold) AS gold, count(*) FILTER (WHERE NOT gold) AS extracted, (SELECT max(len(used)) FROM st WHERE st.s = w.s) AS tp FROM w GROUP BY w.s")
+def greedy_matches(spark, sf_dir):
+    """Matches of each sentence where several judgments compete for one another."""
+    e = table(spark, sf_dir, "events")
+    word = F.element_at(F.array(*map(F.lit, NESTED)), (F.col("user_id") % len(NESTED) + 1).cast("int"))
+    rows = e.select(F.floor(F.col("event_id") / 8).alias("sent_id"), F.col("event_id").alias("pos"), F.lit("someone").alias("subject"), F.lit("be").alias("verb"), word.alias("object"), F.when(F.col("event_id") % 7 == 0, "NEGATIVE").otherwise("AFFIRMATIVE").alias("quality"))
+    out = evaluation.matched(rows.where("pos % 2 = 1"), rows.where("pos % 2 = 0"))
+    return out.select("sent_id", *[F.col(c).cast("long").alias(c) for c in ("gold", "extracted", "tp")])
+
+
 @query(r"""WITH c AS (SELECT trim(regexp_replace(t, '\s+', ' ', 'g')) AS got, t, CASE WHEN conv_id % 2 = 0 THEN trim(regexp_replace(t, '\s+', ' ', 'g')) END AS want FROM (SELECT conv_id, regexp_replace(text, '(https?://\S+|www\.\S+)', '', 'g') AS t FROM conversations))
     SELECT count(*) FILTER (WHERE got = coalesce(want, t)) AS pass, count(*) FILTER (WHERE got <> coalesce(want, t) AND got = t) AS todo, count(*) FILTER (WHERE got <> coalesce(want, t) AND got <> t) AS fail, count(*) AS total FROM c""")
 def calibration_eval(spark, sf_dir):

@@ -1,10 +1,10 @@
-"""Pronouns and comparisons against plain versions."""
+"""Pronouns, comparisons and what panels show, against plain versions."""
 
 import random
 
 import pytest
 
-from conceptfield.operators import discourse
+from conceptfield.operators import discourse, maps
 
 MENTION = "chat string, seq long, i int, agreement string, term string"
 
@@ -35,3 +35,11 @@ def test_comparisons_and_ranking(spark):
     assert got[("round", "s")] == (0, False) and got[("round", "u")] == (1, False)
     none = spark.createDataFrame([], "a string, b string, dimension string, comparator string")
     assert discourse.ranking(discourse.comparisons(none)).count() == 0
+
+
+def test_panel_judgments_with_nulls(spark):
+    fields = "concept string, subject string, verb string, object string, quality string, seq long, source_text string, anomaly double, condition_id long, interpretation_layer int, status string"
+    rows = [("a", "s", "v", "o", "NEGATIVE", 2, "t", 0.9, None, 1, "rejected"), ("a", "s", "v", "o", "NEGATIVE", 3, "u", 0.1, 4, 0, None), ("a", "s", "v", "o", None, 1, None, None, 7, None, "unreviewed"), ("b", None, "v", "o", "AFFIRMATIVE", 4, "t", 0.849, None, 0, "confirmed")]
+    got = {r.seq: (r.kind, r.anomaly_percent, r.layer, r.confirmation) for r in maps.panel_judgments(spark.createDataFrame(rows, fields)).collect()}
+    assert got == {2: ("anomaly", 90, 1, "rejected"), 1: ("conditional", None, None, None), 4: ("plain", None, None, "confirmed")}
+    assert maps.panel_judgments(spark.createDataFrame([], fields)).count() == 0
