@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import density, discourse, factors, judgments, language, spaces, texts  # noqa: F401
+    from . import density, discourse, factors, judgments, language, sources, spaces, texts  # noqa: F401
 
     return dict(QUERIES)
 
