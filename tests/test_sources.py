@@ -149,3 +149,9 @@ def test_qualifier_and_categories(spark):
     assert {r.t: r.q for r in rows.select("t", X.qualifies(F.col("t"), F.col("id")).alias("q")).collect()} == cases
     one = rows.where("id = 0").select(X.categorise(F.col("t")).alias("c")).first().c
     assert "generic" in one and "negation" not in one
+
+
+def test_sentences(spark):
+    text = "7 first. 1 second 1\n\n 2 third! .\r\n\u00a0fourth.3 \u2003\nend.\x0bone"
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(X.sentences(F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == [["7 first.", "1 second 1", "2 third!", ".", "fourth.3", "end.\x0bone"], [], None]
