@@ -157,8 +157,9 @@ def candidates(rhos: DataFrame, measure: str, threshold: float, k: int = K, size
         one, other = pdf[pdf["block"] == x], pdf[pdf["block"] == y]
         out = []
         for p, q in [(one, other)] if x == y or measure == "similarity" else [(one, other), (other, one)]:
-            for at in range(0, len(p), 64):
-                part = p.iloc[at : at + 64]
+            step = int(min(64, max(1, 4_000_000 // (len(q) * k * k))))  # a bound takes k x k numbers
+            for at in range(0, len(p), step):
+                part = p.iloc[at : at + step]
                 i, j = np.nonzero(pair_bounds(part, q, measure) + SLACK > threshold)
                 a, b = part["concept"].to_numpy()[i], q["concept"].to_numpy()[j]
                 if measure == "similarity":

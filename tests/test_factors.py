@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conceptfield.functions.config import Config
 from conceptfield.operators import deepen, factors, pairsearch
 from conceptfield.operators import density as D
+from conceptfield.plans import registry
 
 CFG = Config(dim=12, deepen_containment=0.05, deepen_top_k=4, deepen_max_candidates=3)
 
@@ -144,3 +145,11 @@ def test_search_in_odd_tables(spark):
     two = spark.createDataFrame([("a", 1, [1.0, 0.0, 0.0, 0.0]), ("b", 1, [1.0, 0.0, 0.0, 0.0]), ("c", 1, [0.0, 0.0, 0.0, 1.0])], kind)
     assert [(r.a, r.b) for r in pairsearch.similar_pairs(two, 0.5).collect()] == [("a", "b")]
     assert pairsearch.furthest_in(two, "missing").count() == 0
+
+
+def test_fewer_pairs_than_all_meet_however_many_vectors_a_group_has(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    turned = F.concat(F.slice("embedding", F.col("i") * 3 + 1, 64), F.slice("embedding", F.lit(1), F.col("i") * 3))
+    e.crossJoin(spark.range(20).select(F.col("id").cast("int").alias("i"))).select((F.col("vec_id") * 20 + F.col("i")).alias("vec_id"), turned.alias("embedding"), "label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = registry.queries()["pair_search_counts"](spark, str(tmp_path)).first()
+    assert row.concepts == 100 and row.fewer
