@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,58 +33,106 @@ def with_archive(parts: DataFrame, cfg: Config, key: Sequence[str] = ("concept",
     return rows.join(largest, list(key)).withColumn("archived", F.col("w") < cfg.archive_epsilon * F.col("_max")).drop("_max")
 
 
+#: Numbers that a task makes at a time, and holds at most; what a key takes beside its rows, counted in numbers.
+CELLS, MOST, KEY = 1_000_000, 8_000_000, 200
+
+
+def cut(column: pa.ListArray) -> list[np.ndarray]:
+    """The vectors of a column; a null one is empty."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def in_batches(rows, types: dict):
+    """rows as Arrow batches of about CELLS numbers; types by name, which may be known with the first row only."""
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], list(types))
+
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += sum(len(v) for v in row if isinstance(v, np.ndarray))
+        if size > CELLS or len(out) >= 10_000:
+            yield batch(out)
+            out, size = [], 0
+    if out:
+        yield batch(out)
+
+
 def matrices(parts: DataFrame, key: Sequence[str] = ("concept",), weight: str = "w", vector: str = "vector") -> DataFrame:
-    """(key..., n, rho): the dense d x d matrix of each key, row by row, and its number of components."""
+    """(key..., n, rho): the dense d x d matrix of each key, row by row, and its number of components.
+
+    Tasks hold a bounded amount of numbers, keys included, however many keys there are.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
     fields = [f"{k} {kinds[k]}" for k in key]
-    names = list(key)
+    names, numbers = list(key), pa.list_(pa.float64())
 
     def gram(x, w):
         return (x * w[:, None]).T @ x
 
-    def flush(held: dict) -> pd.DataFrame:
-        rows = []
-        for k, (n, m, xs, ws) in held.items():
-            x, w = (np.concatenate(xs), np.concatenate(ws)) if xs else (np.empty(0), np.empty(0))
-            rows.append((*k, n, None if m is None else m.ravel(), x.ravel(), w))
-        return pd.DataFrame(rows, columns=[*names, "n", "rho", "x", "w"], dtype=object)
+    def types_of(batch, *lists):
+        return {k: batch.schema.field(k).type for k in names} | {"n": pa.int64()} | dict.fromkeys(lists, numbers)
 
-    def partial(frames):
+    def partial(batches):
         """Sums where the components are. A key's vectors stay as they are until a task holds as many as they have
         coordinates, as fewer are smaller than their matrix."""
         held: dict = {}
-        size = 0
-        for pdf in frames:
-            for k, part in pdf.groupby(names, sort=False, dropna=False):
-                k = tuple(None if pd.isna(v) else v for v in k)
-                x, w = np.array(part[vector].tolist(), float), part[weight].to_numpy(float)
-                n, m, xs, ws = held.get(k, (0, None, [], []))
+        size, types = 0, None
+
+        def rows():
+            for k, (n, m, xs, ws) in held.items():
+                x, w = (np.concatenate(xs), np.concatenate(ws)) if xs else (np.empty(0), np.empty(0))
+                yield (*k, n, None if m is None else m.ravel(), x.ravel(), w)
+
+        for batch in batches:
+            types = types_of(batch, "rho", "x", "w")
+            groups: dict = {}
+            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                groups.setdefault(k, []).append(i)
+            vectors_, weights = cut(batch.column("_x")), batch.column("_w").to_numpy(zero_copy_only=False)
+            for k, at in groups.items():
+                x, w = np.array([vectors_[i] for i in at]), weights[at]
+                found = held.get(k)
+                size += x.size + (0 if found else KEY)
+                n, m, xs, ws = found or (0, None, [], [])
                 xs, ws = [*xs, x], [*ws, w]
-                size += x.size
                 if sum(map(len, ws)) >= x.shape[1]:
+                    size += 0 if m is not None else x.shape[1] ** 2
+                    size -= sum(y.size for y in xs)
                     m, xs, ws = gram(np.concatenate(xs), np.concatenate(ws)) + (0 if m is None else m), [], []
-                    size += m.size
                 held[k] = (n + len(x), m, xs, ws)
-            if size > 10_000_000:
-                yield flush(held)
+            if size > MOST:
+                yield from in_batches(rows(), types)
                 held, size = {}, 0
         if held:
-            yield flush(held)
-
-    def total(pdf):
-        out = pdf[names].iloc[:1].copy()
-        m = 0.0
-        for rho, x, w in zip(pdf["rho"], pdf["x"], pdf["w"], strict=True):
-            if rho is not None:
-                m = m + rho
-            if len(w):
-                m = m + gram(np.reshape(x, (len(w), -1)), np.asarray(w)).ravel()
-        out["n"], out["rho"] = int(pdf["n"].sum()), [m]
-        return out
-
-    cells = parts.select(*names, F.col(vector).cast("array<double>").alias(vector), F.col(weight).cast("double").alias(weight))
-    sums = cells.mapInPandas(partial, ", ".join([*fields, "n long", "rho array<double>", "x array<double>", "w array<double>"]))
-    return sums.groupBy(*names).applyInPandas(total, ", ".join([*fields, "n long", "rho array<double>"]))
+            yield from in_batches(rows(), types)
+
+    def total(batches):
+        def rows():
+            now, n, m = None, 0, 0.0
+            for batch in batches:
+                types.update(types_of(batch, "rho"))
+                columns = [batch.column("n").to_pylist(), *map(cut, (batch.column("rho"), batch.column("x"), batch.column("w")))]
+                for k, more, rho, x, w in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), *columns, strict=True):
+                    if k != now:
+                        if now is not None:
+                            yield (*now, n, m)
+                        now, n, m = k, 0, 0.0
+                    n += more
+                    if len(rho):
+                        m = m + rho
+                    if len(w):
+                        m = m + gram(x.reshape(len(w), -1), w).ravel()
+            if now is not None:
+                yield (*now, n, m)
+
+        types: dict = {}
+        yield from in_batches(rows(), types)
+
+    cells = parts.select(*names, F.col(vector).cast("array<double>").alias("_x"), F.col(weight).cast("double").alias("_w"))
+    sums = cells.mapInArrow(partial, ", ".join([*fields, "n long", "rho array<double>", "x array<double>", "w array<double>"]))
+    return sums.repartition(*names).sortWithinPartitions(*names).mapInArrow(total, ", ".join([*fields, "n long", "rho array<double>"]))
 
 
 def layer(parts: DataFrame, most: int) -> DataFrame:
