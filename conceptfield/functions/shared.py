@@ -30,6 +30,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as the cluster has use for: a small file, or a shuffle of few bytes, would otherwise be one
+    task, however much is computed for each row."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Deletes what this application has staged; to be called when no result that reads it is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
