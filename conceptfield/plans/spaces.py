@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.config import Config
+from ..functions.shared import dealt
 from ..operators import density as D
 from ..operators import factors, senses, tensor
 from .density import parts
@@ -19,7 +20,7 @@ MAP = Config(as_of=AS_OF, dim=16)
 
 def markets(spark, sf_dir):
     """Components of a nation, and of a market segment: the segment's vector, a little turned for each customer."""
-    c, dim = table(spark, sf_dir, "customer"), 100
+    c, dim = dealt(table(spark, sf_dir, "customer"), "c_custkey"), 100
     terms = c.select("c_mktsegment").distinct().select("c_mktsegment", vectors.hash_vector(F.col("c_mktsegment"), dim).alias("s"))
     own = F.transform(vectors.hash_vector(F.col("c_name"), dim), lambda x: 0.3 * x)
     rows = c.join(terms, "c_mktsegment").withColumn("vector", vectors.unit(F.zip_with("s", own, lambda a, b: a + b)))
