@@ -28,6 +28,9 @@ from . import deepen
 
 RANK, FAN = 10, 64
 FIELDS = "n long, mass double, factor array<double>, bound double"
+FIELDS_OF = ("n", "mass", "factor", "bound")
+#: Numbers that a task makes at a time, and holds at most; what a key takes beside its rows, counted in numbers.
+CELLS, MOST, KEY = 1_000_000, 8_000_000, 200
 
 
 def truncated(rows: np.ndarray, rank: int) -> tuple[np.ndarray, float]:
@@ -70,59 +73,111 @@ class Sketch:
         return self.n, self.mass, self.factor().ravel(), self.bound
 
 
+def kept(factor: np.ndarray) -> np.ndarray:
+    """The rows of a factor that aren't filled with zeros, one at least."""
+    return factor[: max(1, int(np.any(factor != 0, axis=1).sum()))]
+
+
 def merged(parts: DataFrame, names: Sequence[str], fields: str, rank: int) -> DataFrame:
-    """Sketches of equal names as one; parts: names..., slot and a sketch's fields. A task reads them sorted, one key after another."""
-    def level(df: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """Sketches of equal names as one; parts: names..., slot and a sketch's fields, the factor without its zeros, in `held` rows. A
+    task reads them sorted, one key after another."""
+    def level(df: DataFrame, keys: list[str], schema: str, last: bool) -> DataFrame:
+        columns = [*keys, *FIELDS_OF, *([] if last else ["held"])]
+
         def run(frames):
-            now, s = None, None
+            now, s, out, size = None, None, [], 0
+
+            def row():
+                n, mass, factor, bound = s.row()
+                full = np.reshape(factor, (rank, -1))
+                return (*now, n, mass, factor, bound) if last else (*now, n, mass, kept(full).ravel(), bound, len(kept(full)))
+
             for pdf in frames:
-                out = []
-                for r in pdf[[*keys, "n", "mass", "factor", "bound"]].itertuples(index=False):
+                for r in pdf[[*keys, *FIELDS_OF, "held"]].itertuples(index=False):
                     k = tuple(None if pd.isna(v) else v for v in r[: len(keys)])
                     if k != now:
                         if s is not None:
-                            out.append((*now, *s.row()))
+                            out.append(row())
+                            size += len(out[-1][len(keys) + 2])
+                            if size > CELLS:
+                                yield pd.DataFrame(out, columns=columns, dtype=object)
+                                out, size = [], 0
                         now, s = k, Sketch(rank)
-                    s.add(np.reshape(r.factor, (rank, -1)), r.n, r.mass, r.bound)
-                yield pd.DataFrame(out, columns=[*keys, "n", "mass", "factor", "bound"], dtype=object)
+                    s.add(np.reshape(r.factor, (r.held, -1)), r.n, r.mass, r.bound)
             if s is not None:
-                yield pd.DataFrame([(*now, *s.row())], columns=[*keys, "n", "mass", "factor", "bound"], dtype=object)
+                yield pd.DataFrame([*out, row()], columns=columns, dtype=object)
+
+        return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{schema}, {FIELDS}" + ("" if last else ", held int"))
 
-        return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{schema}, {FIELDS}")
+    return level(level(parts, [*names, "slot"], f"{fields}, slot int", False), list(names), fields, True)
 
-    return level(level(parts, [*names, "slot"], f"{fields}, slot int"), list(names), fields)
+
+def product_rows(spaces: list[list]) -> np.ndarray:
+    """Products of rows' vectors, one after another; rows: a vector for each space, the first one's coordinates the slowest."""
+    out = None
+    for i in range(len(spaces[0])):
+        x = np.array([r[i] for r in spaces], float)
+        out = x if out is None else (out[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+    return out
 
 
 def sketches(parts: DataFrame, rank: int = RANK, key: Sequence[str] = ("concept",), weight: str = "w", vector: str = "vector") -> DataFrame:
-    """(key..., n, mass, factor, bound) of components: the factor row by row, rank x d."""
+    """(key..., n, mass, factor, bound) of components: the factor row by row, rank x d.
+
+    vector may be an array of vectors, one for each space: their product is made where it is summed, some rows at a time.
+    """
     kinds, names = {f.name: f.dataType.simpleString() for f in parts.schema}, list(key)
+    several = kinds[vector].startswith("array<array")
 
     def partial(frames):
         held: dict = {}
         size, slot = 0, TaskContext.get().partitionId() % FAN
 
         def flush():
-            rows = [(*k, slot, *s.row()) for k, s in held.items()]
-            return pd.DataFrame(rows, columns=[*names, "slot", "n", "mass", "factor", "bound"], dtype=object)
-
+            out, cells = [], 0
+            for k, s in held.items():
+                n, mass, factor, bound = s.row()
+                x = kept(np.reshape(factor, (rank, -1)))
+                out.append((*k, slot, n, mass, x.ravel(), bound, len(x)))
+                cells += x.size
+                if cells > CELLS:
+                    yield pd.DataFrame(out, columns=columns, dtype=object)
+                    out, cells = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=columns, dtype=object)
+
+        columns = [*names, "slot", *FIELDS_OF, "held"]
         for pdf in frames:
-            for k, part in pdf.groupby(names, sort=False, dropna=False):
-                k = tuple(None if pd.isna(v) else v for v in k)
-                x, w = np.array(part[vector].tolist(), float), part[weight].to_numpy(float)
-                s = held.setdefault(k, Sketch(rank))
-                size -= s.held * x.shape[1]
-                s.add(x * np.sqrt(w)[:, None], len(x), float((w * (x * x).sum(axis=1)).sum()))
-                size += s.held * x.shape[1]
-            if size > 10_000_000:
-                yield flush()
-                held.clear()
-                size = 0
-        if held:
-            yield flush()
+            at, step = 0, 256
+            while at < len(pdf):
+                part = pdf.iloc[at : at + step]
+                at += len(part)
+                x = product_rows(part[vector].tolist()) if several else np.array(part[vector].tolist(), float)
+                step = max(1, CELLS // max(1, x.shape[1]))
+                x = x * np.sqrt(part[weight].to_numpy(float))[:, None]
+                mass = (x * x).sum(axis=1)
+                group = part.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+                order = np.argsort(group, kind="stable")
+                cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+                keys = [part[c].to_numpy(object) for c in names]
+                for rows in np.split(order, cuts[1:]):
+                    k = tuple(None if pd.isna(c[rows[0]]) else c[rows[0]] for c in keys)
+                    s = held.get(k)
+                    if s is None:
+                        s = held[k] = Sketch(rank)
+                        size += KEY
+                    size -= s.held * x.shape[1]
+                    s.add(x[rows], len(rows), float(mass[rows].sum()))
+                    size += s.held * x.shape[1]
+                if size > MOST:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+        yield from flush()
 
     fields = ", ".join(f"{k} {kinds[k]}" for k in names)
-    cells = parts.select(*names, F.col(vector).cast("array<double>").alias(vector), F.col(weight).cast("double").alias(weight))
-    return merged(cells.mapInPandas(partial, f"{fields}, slot int, {FIELDS}"), names, fields, rank)
+    cells = parts.select(*names, F.col(vector).cast("array<array<double>>" if several else "array<double>").alias(vector), F.col(weight).cast("double").alias(weight))
+    return merged(cells.mapInPandas(partial, f"{fields}, slot int, {FIELDS}, held int"), names, fields, rank)
 
 
 def products(la: np.ndarray, lb: np.ndarray, mass_a, mass_b, bound_a, bound_b) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +229,11 @@ def alike(inner_: str = "inner") -> Column:
 
 def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, rank: int = RANK, targets: DataFrame | None = None) -> DataFrame:
     """(a, b, weight, gap): the cfg.deepen_top_k candidates that contain most of each target, by factors; gap is how much larger
-    the weight may be. Heavy concepts are compared as a broadcast stack, rank x d numbers each and at most as many as
-    `deepen.heaviest` gives."""
+    the weight may be. Heavy concepts are a broadcast stack, rank x d numbers each and at most as many as `deepen.heaviest`
+    gives, with which every target and every candidate of a heavy target is compared where it is; other pairs meet by a join."""
     kind = dict(found.dtypes)["concept"]
-    some = inner(joined(found, near.select("a", "b")), rank).select("a", "b", contained().alias("weight"), (contained("inner_most") - contained()).alias("gap"))
+    near, top = near.select("a", "b"), F.broadcast(heavy.select(F.col("concept").alias("a")))
+    some = inner(joined(found, near.join(top, "a", "left_anti")), rank).select("a", "b", contained().alias("weight"), (contained("inner_most") - contained()).alias("gap"))
     rows = found.join(F.broadcast(heavy.select("concept")), "concept", "left_semi").select("concept", "mass", "factor", "bound").collect()
     names = np.array([r.concept for r in rows], object)
     held = found.sparkSession.sparkContext.broadcast([np.array([r[c] for r in rows], float) for c in ("factor", "mass", "bound")])
@@ -189,17 +245,27 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
             lb, mass, bound = held.value
             lb = lb.reshape(len(names), rank, -1)
             flat = lb.reshape(len(names) * rank, -1).T
-            for at in range(0, len(pdf), 100):
-                part = pdf.iloc[at : at + 100]
+            place = {n: i for i, n in enumerate(names)}
+            for at in range(0, len(pdf), 50):
+                part = pdf.iloc[at : at + 50]
                 la, ma, ea = np.array(part["factor"].tolist(), float), part["mass"].to_numpy(float)[:, None], part["bound"].to_numpy(float)[:, None]
                 least = ((la.reshape(len(part) * rank, -1) @ flat) ** 2).reshape(len(part), rank, len(names), rank).sum(axis=(1, 3))
                 most = least + slack((la * la).sum(axis=1)[:, None], (lb * lb).sum(axis=(1, 2)), ma, mass, ea, bound)
-                low, high = (np.where(ma < 1e-12, 0.0, t / np.maximum(ma, 1e-12)) for t in (least, most))
-                i, j = np.nonzero((low > cfg.deepen_containment) & (part["concept"].to_numpy()[:, None] != names[None, :]))
-                yield pd.DataFrame({"a": part["concept"].to_numpy()[i], "b": names[j], "weight": low[i, j], "gap": (high - low)[i, j]})
-
-    goal = found if targets is None else found.join(targets.select("concept"), "concept", "left_semi")
-    every = goal.select("concept", "mass", "factor", "bound").mapInPandas(run, f"a {kind}, b {kind}, weight double, gap double")
+                own, of = part["concept"].to_numpy(), np.zeros(least.shape, bool)
+                for row, heavies in enumerate(part["of_heavy"]):
+                    if heavies is not None:
+                        of[row, [place[h] for h in heavies if h in place]] = True
+                is_target = part["target"].to_numpy(bool)[:, None] & (own[:, None] != names[None, :])
+                for a, b, size, pairs in ((own[:, None], names[None, :], ma, is_target), (names[None, :], own[:, None], mass[None, :], of)):
+                    low, high = (np.where(size < 1e-12, 0.0, t / np.maximum(size, 1e-12)) for t in (least, most))
+                    good = (low > cfg.deepen_containment) & pairs
+                    yield pd.DataFrame({"a": np.broadcast_to(a, low.shape)[good], "b": np.broadcast_to(b, low.shape)[good], "weight": low[good], "gap": (high - low)[good]})
+
+    # a candidate is that of at most as many heavy targets as there are heavy concepts
+    of_heavy = near.join(top, "a", "left_semi").groupBy(F.col("b").alias("concept")).agg(F.collect_set("a").alias("of_heavy"))
+    flagged = found.withColumn("target", F.lit(True)) if targets is None else found.join(targets.select("concept", F.lit(True).alias("target")).distinct(), "concept", "left")
+    goal = flagged.join(of_heavy, "concept", "left").withColumn("target", F.coalesce("target", F.lit(False))).where("target OR of_heavy IS NOT NULL")
+    every = goal.select("concept", "mass", "factor", "bound", "target", "of_heavy").mapInPandas(run, f"a {kind}, b {kind}, weight double, gap double")
     rank_ = F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.round("weight", 12)), "b"))
     best = some.unionByName(every).where(F.col("weight") > cfg.deepen_containment).withColumn("_rn", rank_)
     return best.where(F.col("_rn") <= cfg.deepen_top_k).drop("_rn")
@@ -210,11 +276,15 @@ def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFr
 
     found: a, b, weight. A turned factor is the factor with its coordinates permuted. mass and bound stay exact for these
     weights: the remainder is what truncation drops, in this round and those before. Concepts without sources keep their
-    direct sketch.
+    direct sketch. Equal lists of sources, relations and weights (to 12 digits) have one mean, which is made once.
     """
     rows = found.join(relations, ["a", "b"], "left").withColumn("relation", F.coalesce("verb", F.lit("_default"))).drop("verb")
-    rows = rows.join(now.select(F.col("concept").alias("b"), "mass", "factor", "bound"), "b")
     kind = dict(now.dtypes)["concept"]
+    listed = F.array_sort(F.collect_list(F.struct("b", "relation", F.round("weight", 12).alias("weight"))))  # no longer than the sources of a target
+    lists = rows.groupBy(F.col("a").alias("concept")).agg(listed.alias("s")).select("concept", F.sha2(F.to_json("s"), 256).alias("a"), "s")
+    lists = stage(lists, "lists")
+    once = lists.groupBy("a").agg(F.first("s").alias("s")).select("a", F.inline("s"))
+    rows = once.join(now.select(F.col("concept").alias("b"), "mass", "factor", "bound"), "b")
 
     def turned(frames):
         tables: dict = {}
@@ -240,8 +310,9 @@ def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFr
         _, mass, factor, bound = s.row()
         return pd.DataFrame({"a": pdf["a"].iloc[:1], "m_mass": [mass], "m_factor": [factor], "m_bound": [bound]})
 
-    sums = rows.select("a", "weight", "relation", "mass", "factor", "bound").mapInPandas(turned, f"a {kind}, w double, mass double, factor array<double>, bound double")
-    means = sums.groupBy("a").applyInPandas(mean, f"a {kind}, m_mass double, m_factor array<double>, m_bound double")
+    sums = rows.select("a", "weight", "relation", "mass", "factor", "bound").mapInPandas(turned, "a string, w double, mass double, factor array<double>, bound double")
+    means = sums.groupBy("a").applyInPandas(mean, "a string, m_mass double, m_factor array<double>, m_bound double")
+    means = lists.select("concept", "a").join(means, "a").drop("a").withColumnRenamed("concept", "a")
 
     def blended(frames):
         for pdf in frames:

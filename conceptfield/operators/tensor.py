@@ -88,7 +88,8 @@ def given(parts: DataFrame, space: str, direction: Sequence[float]) -> DataFrame
 def sketches(parts: DataFrame, rank: int = factors.RANK, spaces: Sequence[str] = SPACES, key: Sequence[str] = ("concept",)) -> DataFrame:
     """Sketches over the product of all spaces: rank x (product of dimensions) numbers a concept. `factors.inner` encloses
     traces of products of the whole matrices."""
-    return factors.sketches(reduced(parts, spaces, spaces, key), rank, key)
+    rows = parts.dropna(subset=[*key, *spaces, "w"]).select(*key, F.array(*spaces).alias("vector"), "w")
+    return factors.sketches(rows, rank, key)
 
 
 def traced(found: DataFrame, dims: Sequence[int], keep: Sequence[int], rank: int = factors.RANK) -> DataFrame:

@@ -153,3 +153,19 @@ def test_fewer_pairs_than_all_meet_however_many_vectors_a_group_has(spark, tmp_p
     e.crossJoin(spark.range(20).select(F.col("id").cast("int").alias("i"))).select((F.col("vec_id") * 20 + F.col("i")).alias("vec_id"), turned.alias("embedding"), "label").write.parquet(f"{tmp_path}/embeddings.parquet")
     row = registry.queries()["pair_search_counts"](spark, str(tmp_path)).first()
     assert row.concepts == 100 and row.fewer
+
+
+def test_sketches_of_many_small_concepts_come_in_bounded_pieces(spark, monkeypatch):
+    """Concepts of one vector take one row until the last level, and a task gives them some at a time."""
+    monkeypatch.setattr(factors, "CELLS", 40)
+    assert factors.kept(np.array([[1.0, 2.0], [0.0, 0.0], [0.0, 0.0]])).tolist() == [[1.0, 2.0]]
+    assert factors.kept(np.zeros((3, 2))).shape == (1, 2)
+    rows = [(f"p{i}", [1.0, float(i)], 1.0) for i in range(300)] + [("zero", [0.0, 0.0], 1.0)]
+    got = {r.concept: r for r in factors.sketches(spark.createDataFrame(rows, "concept string, vector array<double>, w double"), 3).collect()}
+    assert len(got) == 301 and all(r.n == 1 and len(r.factor) == 6 for r in got.values())
+    assert got["p7"].mass == pytest.approx(50.0) and np.reshape(got["p7"].factor, (3, 2)).tolist()[1:] == [[0.0, 0.0]] * 2
+
+
+def test_products_are_made_where_they_are_summed():
+    got = factors.product_rows([[[1.0, 2.0], [3.0, 4.0]], [[0.5, 1.0], [2.0, 0.0]]])
+    assert got.tolist() == [[3.0, 4.0, 6.0, 8.0], [1.0, 0.0, 2.0, 0.0]]
