@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.config import Config
+from ..functions.shared import dealt
 from ..operators import deepen as deepening
 from ..operators import density, feedback, maps, materialize
 from ..sources import chat
@@ -341,7 +342,7 @@ def milestone(spark, sf_dir):
     a AS (SELECT * FROM k WHERE key NOT IN (SELECT 'anomaly|' || array_to_string(list_sort([subject, object]), ',') || '|' || source_text FROM j WHERE seq % 2 = 0))
     SELECT key, question_type, priority, CAST(row_number() OVER (ORDER BY priority DESC, key) AS INTEGER) AS rank FROM a ORDER BY priority DESC, key LIMIT 60""")
 def question_union_topn(spark, sf_dir):
-    j = judgments(spark, sf_dir)
+    j = dealt(judgments(spark, sf_dir), "judgment_id")  # first judgments and keys are sorted in each task
     asked = j.where("seq % 2 = 0").select(F.concat(F.lit("anomaly|"), F.array_join(F.array_sort(F.array("subject", "object")), ","), F.lit("|"), "source_text").alias("key"))
     cfg = Config(anomaly_question=0.97)
     out = feedback.ask([feedback.anomaly_questions(j, cfg), feedback.contradiction_questions(j), feedback.archive_questions(j, cfg), feedback.defeasible_questions(j)], asked, 60)
@@ -359,7 +360,7 @@ def question_union_topn(spark, sf_dir):
     SELECT question_type, count(*) AS n, min(key) AS first, max(priority) AS priority FROM k GROUP BY question_type""")
 def question_union(spark, sf_dir):
     """All six types of questions, one of each key, counted by type."""
-    j, cfg = judgments(spark, sf_dir), Config(anomaly_question=0.97)
+    j, cfg = dealt(judgments(spark, sf_dir), "judgment_id"), Config(anomaly_question=0.97)
     every = feedback.unique([
         feedback.anomaly_questions(j, cfg), feedback.contradiction_questions(j), feedback.archive_questions(j, cfg), feedback.defeasible_questions(j),
         feedback.milestone_questions(j.withColumn("concept", F.col("object")), Config(milestone=42), 50), feedback.contrast_questions(rhos(spark, sf_dir), VECTORS)])
