@@ -11,6 +11,7 @@ thousandth of one global packing.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -29,12 +30,16 @@ from pyspark.sql import types as T
 
 from .common import pick, stage
 
-#: Chunks of which a worker process remembers the ids, at most: about 120 MB.
-CACHE = 800_000
+#: Chunks of which a worker process remembers the ids, beside those of the texts at hand: about 60 MB.
+CACHE = 300_000
 #: Characters that end a chunk and are tokens apart from the word before them.
 ENDS = b".,;:!?"
-#: Words of Latin letters that lower case and composition leave as they are.
-PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Where a chunk that goes on after a letter or digit with an end mark can be cut, in text without combining marks.
+MARKED = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: The characters by which byte-level BPE writes bytes: those without a print of their own follow U+0100.
+BYTES = "".join(map(chr, [*range(256, 289), *range(33, 127), *range(289, 323), *range(161, 173), 323, *range(174, 256)]))
+#: Words of Latin letters that lower case and composition leave as they are, in UTF-8.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 def default_tokenizer() -> str:
@@ -43,6 +48,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def combining(data: bytes) -> bool:
+    """May hold one of U+0300 .. U+036F (UTF-8 begins them with these bytes), the marks that compose with ASCII letters."""
+    return b"\xcc" in data or b"\xcd" in data
+
+
+def chunks(data: bytes) -> list[bytes]:
+    """White-space separated chunks. Where neither composition nor the names of special tokens can tell, ASCII letters are
+    lower-cased and end marks are chunks apart, so that fewer different chunks have to be known."""
+    return data.split() if combining(data) or b"<|" in data else MARKED.sub(b" ", data.lower()).split()
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, by way of their white-space separated chunks.
 
@@ -57,15 +73,11 @@ class Encoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
-        suffix = plan["model"].get("end_of_word_suffix")
-        self.bare = None
-        if suffix and {"type": "Lowercase"} in (plan["normalizer"] or {}).get("normalizers", []):
-            # For plain lower-case words normalisation changes nothing and each word is one unit; the token that ends it says so.
-            byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-            plan |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
-            self.bare = Tokenizer.from_str(json.dumps(plan))
-            self.ends = np.zeros(max(plan["model"]["vocab"].values()) + 1, bool)
-            self.ends[[i for t, i in plan["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.word = self.bytes = None
+        if plan["model"].get("end_of_word_suffix") and {"type": "Lowercase"} in (plan["normalizer"] or {}).get("normalizers", []):
+            # For plain lower-case words normalisation changes nothing and each word is one unit: the model alone is asked.
+            self.word = self.tokenizer.model.tokenize
+            self.bytes = [i.to_bytes(4, "little") for i in range(max(plan["model"]["vocab"].values()) + 1)]
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -76,27 +88,30 @@ class Encoder:
             encoders[path] = cls(path)
         return encoders[path]
 
+    def plain(self, words: dict[bytes, bytes]) -> set[bytes]:
+        """Remembers the ids of those chunks that are plain words in lower case, and returns them."""
+        known, ask, data, found = self.known, self.word, self.bytes, set()
+        if ask:
+            is_plain, decode = PLAIN.fullmatch, codecs.charmap_decode
+            for c, low in words.items():
+                if is_plain(low):
+                    known[c] = b"".join([data[t.id] for t in ask(decode(low, "strict", BYTES)[0])])
+                    found.add(c)
+        return found
+
     def learn(self, new: set[bytes]) -> None:
         """Remembers the ids of new chunks. One that is a word and end marks is put together from both."""
         known, whole, split = self.known, set(), []
-        for c in new:
+        for c in new - self.plain({c: c for c in new}):
             base = c.lower().rstrip(ENDS)
             # A mark is a token apart only after what normalisation leaves a letter or digit: it may end in a combining sign.
-            if b"<|" in c or not base or base == c or not (base[-1:].isalnum() or base[-1] > 127 and unicodedata.normalize("NFC", base.decode()[-1].lower()).isalpha()):
+            if b"<|" in c or combining(c) or not base or base == c or not (base[-1:].isalnum() or base[-1] > 127 and unicodedata.normalize("NFC", base.decode()[-1].lower()).isalpha()):
                 whole.add(c)
             else:
                 tail = c[len(base) :]
                 split.append((c, base, tail))
                 whole.update(x for x in (base, tail) if x and x not in known)
-        plain = {c: low for c in whole if self.bare and PLAIN.fullmatch(low := c.decode().lower())}
-        words = list(plain)
-        for e in range(0, len(words), 5_000):
-            part = words[e : e + 5_000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(map(plain.get, part))], add_special_tokens=False)[0].ids, "<u4")
-            cut, data = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
-            for c, a, b in zip(part, [0, *cut], cut, strict=False):
-                known[c] = data[a:b]
-        whole = [c for c in whole if c not in plain]
+        whole = list(whole - self.plain({c: c.decode().lower().encode() for c in whole}))
         for e in range(0, len(whole), 20_000):
             part = whole[e : e + 20_000]
             for c, got in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
@@ -105,18 +120,13 @@ class Encoder:
             known[c] = known[base] + (known[tail] if tail else b"")
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        docs = [(t or "").encode().split() for t in texts]
-        found = [list(map(known.get, doc)) for doc in docs]
-        gaps = [(doc, ids, [k for k, v in enumerate(ids) if v is None]) for doc, ids in zip(docs, found, strict=True) if None in ids]
-        if gaps:
-            self.learn({doc[k] for doc, _, at in gaps for k in at})
-            for doc, ids, at in gaps:
-                for k in at:
-                    ids[k] = known[doc[k]]
-        return [b"".join(ids) for ids in found]
+        docs = [chunks((t or "").encode()) for t in texts]
+        all_ = set().union(*docs)
+        new = all_.difference(self.known)
+        if len(self.known) + len(new) > CACHE:  # what these texts share with earlier ones stays
+            self.known = {c: self.known[c] for c in all_ - new}
+        self.learn(new)
+        return [b"".join(map(self.known.__getitem__, doc)) for doc in docs]
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, end: int = 0, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:

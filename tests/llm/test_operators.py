@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from conceptfield.llm import embedding_dedup, exact_dedup, mixing, packing, pfp_dedup, phrase_dedup, secret_scan, simhash, toxicity, url_filter
 from conceptfield.llm.common import components
@@ -171,6 +172,22 @@ def test_long_text_in_segments(spark, monkeypatch):
     assert got == brute_bytes(rows, 100)
 
 
+def test_ids_of_chunks_are_the_tokenizers():
+    """Marks that compose with ASCII letters, capitals, end marks and names of special tokens, in texts of a worker that forgets."""
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rnd = random.Random(5)
+    pool = ["a", "J", "H", "T", "é", "É", "\u0301", "\u0331", "\u030c", "\u0308", ".", ",", "!", "…", "$", "%", "'s", "'", "1", " ", "\n", "\x85", "<|endoftext|>", "<|", "ß", "ẞ", "İ", "中", "Σ", ";", "ü"]
+    texts = ["J\u030c, H\u0331!"] + ["".join(rnd.choices(pool, k=rnd.randrange(30))) for _ in range(2000)]
+    encoder, was = packing.Encoder(packing.default_tokenizer()), packing.CACHE
+    packing.CACHE = 500
+    try:
+        got = [ids for at in range(0, len(texts), 100) for ids in encoder.encode(texts[at : at + 100])]
+    finally:
+        packing.CACHE = was
+    assert len(encoder.known) < 2000
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_mixing(spark):
     rows = corpus(n=200)
     out = mixing.mix(frame(spark, rows), block=16, shard_slots=10)
