@@ -127,6 +127,14 @@ def later_windows(table: pa.Table, width: int) -> np.ndarray:
         first[i] = seen.setdefault(groups[i], i)
     distinct = np.fromiter(seen.values(), np.int64, len(seen))
     many = table.column("windows").to_numpy()
+    copy = turn > turn[first]
+    marked = np.zeros((len(order), width), bool)
+    marked[copy] = np.arange(width) < many[copy][:, None]
+    # Equal strings have their anchor at one offset, so none is twice in a piece: a piece alone with its anchor has no equals.
+    _, back, pieces_ = np.unique(table.column("hash").to_numpy()[distinct], return_inverse=True, return_counts=True)
+    distinct = distinct[pieces_[back] > 1]
+    if not len(distinct):
+        return marked
     data, place, text = string_order([groups[i][3] for i in distinct.tolist()], many[distinct])
     words = np.ndarray((max(0, len(data) - 7),), np.uint64, data, 0, (1,))  # the eight bytes from each place on
     equal = np.arange(1, len(place))
@@ -137,12 +145,9 @@ def later_windows(table: pa.Table, width: int) -> np.ndarray:
     mine = turn[distinct[text]]
     earliest = np.minimum.reduceat(mine, np.flatnonzero(new))[np.cumsum(new) - 1]
     size = np.array([len(groups[i][3]) for i in distinct.tolist()])
-    marked = np.zeros((len(order), width), bool)
-    marked[distinct[text], place - (np.cumsum(size) - size)[text]] = mine > earliest
-    copy = turn > turn[first]
-    marked = marked[first]
-    marked[copy] = np.arange(width) < many[copy][:, None]
-    return marked
+    own = np.zeros((len(order), width), bool)
+    own[distinct[text], place - (np.cumsum(size) - size)[text]] = mine > earliest
+    return np.where(copy[:, None], marked, own[first])
 
 
 def repeated_spans(docs: DataFrame, width: int = 100, hot: int = HOT) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,6 +189,18 @@ def test_ids_of_chunks_are_the_tokenizers():
     assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_without_others_of_their_anchor_are_not_ordered(monkeypatch):
+    """Only pieces that differ from another one of the same anchor go into the suffix arrays; copies of one are marked without."""
+    seen, order = [], pfp_dedup.string_order
+    monkeypatch.setattr(pfp_dedup, "string_order", lambda texts, many: seen.extend(texts) or order(texts, many))
+    one, two, near = b"a" * 5 + b"0123456789", b"b" * 15, b"c" * 5 + b"0123456789"
+    rows = [(1, 1, one), (1, 2, one), (2, 3, two), (3, 4, one), (3, 5, near)]
+    table = pa.table({"hash": [h for h, _, _ in rows], "did": [d for _, d, _ in rows], "tie": [0] * 5, "anchor": [5] * 5, "offset": [5] * 5, "windows": [6] * 5, "piece": pa.array([p for _, _, p in rows], pa.binary())})
+    marked = pfp_dedup.later_windows(table, 10)
+    assert seen == [one, near] and marked[:, 6:].sum() == 0
+    assert marked[:, :6].tolist() == [[False] * 6, [True] * 6, [False] * 6, [False] * 6, [False] * 5 + [True]]
+
+
 def test_mixing(spark):
     rows = corpus(n=200)
     out = mixing.mix(frame(spark, rows), block=16, shard_slots=10)
