@@ -110,7 +110,7 @@ def placed(rows: DataFrame, per_part: int = 1 << 16) -> DataFrame:
 
 
 def slots(shares: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """The mixture: (shard, slot, sid, pass, block, words) for every slot of every output shard.
+    """The mixture: (shard, slot, sid, pass, at, block, words) for every slot of every output shard; at is the block's turn in its pass.
 
     shares has sid, source_size and quota (words to take) of each source.
     """
@@ -148,28 +148,36 @@ def slots(shares: DataFrame, block: int, shard_slots: int, seed: int) -> DataFra
     image = F.when(at < F.col("full"), permuted(at, F.col("full"), F.xxhash64(F.lit(seed), "sid", turn))).otherwise(F.col("full"))
     before = turn * F.col("source_size") + at * block
     words = F.least(F.least(F.lit(block), F.col("source_size") - at * block), F.col("quota") - before)
-    return mixed.select("shard", F.pmod(F.col("g"), F.lit(shard_slots)).alias("slot"), "sid", turn.alias("pass"), image.alias("block"), words.alias("words"))
+    return mixed.select("shard", F.pmod(F.col("g"), F.lit(shard_slots)).alias("slot"), "sid", turn.alias("pass"), at.alias("at"), image.alias("block"), words.alias("words"))
 
 
-def whole_passes(most: int, seed: int) -> Column:
-    """For each of `most` passes the size of a document that goes whole in it, else 0, from sid, start, size, source_size and target.
+def drawn_wholes(known: DataFrame, picked: DataFrame, block: int, per_part: int = 1 << 12) -> DataFrame:
+    """(sid, start, goes): whether a document goes whole in the last, partial pass over its source, as the drawn blocks decide.
 
-    A source's documents lie in hashed order on a circle of its words. A pass of q words takes those whose middle is in
-    the q words from a seeded place on, so its words differ from q by less than the longest document, whatever the
-    documents' lengths, and a document's chance is q in source_size.
+    known: sid, start, size, source_size, turn (the number of that pass) and over (its words). A document belongs to the
+    block that its middle is in. Documents go in the order in which their blocks were drawn until the pass has its words;
+    if those of drawn blocks don't suffice, blocks that weren't drawn follow. A document goes if its middle comes before
+    the pass's end, so a source's words differ from it by half its longest document at most. Blocks are added up in parts
+    of per_part, so a source of any size isn't one task's.
     """
-    around = F.greatest(F.col("source_size"), F.lit(1))
-    quota = F.floor("target").cast("long")
-    middle = F.pmod(2 * F.col("start") + F.col("size") - 2 * F.pmod(F.xxhash64(F.lit(seed), "sid"), around), 2 * around)
-    none = F.lit(0).cast("long")
-    return F.array(*[F.when(middle < 2 * (quota - i * around), F.col("size")).otherwise(none) for i in range(most)])
+    rows = known.where("size > 0 and over > 0").select("sid", "start", "size", "source_size", "turn", "over", F.floor((2 * F.col("start") + F.col("size")) / (2 * block)).alias("home"))
+    turns = picked.select(F.col("sid").alias("s"), F.col("pass").alias("p"), F.col("block").alias("b"), "at")
+    met = rows.join(turns, (F.col("sid") == F.col("s")) & (F.col("turn") == F.col("p")) & (F.col("home") == F.col("b")), "left")
+    place = F.coalesce("at", F.ceil(F.col("source_size") / block) + F.col("home"))
+    met = met.select("sid", "start", "size", "over", place.alias("place"), F.floor(place / per_part).alias("part"))
+    before = W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = met.groupBy("sid", "part").agg(F.sum("size").alias("words"))
+    ahead = sums.select("sid", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("sid", "part").orderBy("place", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    both = met.withColumn("inside", inside).join(ahead, ["sid", "part"])
+    return both.select("sid", "start", (2 * (F.col("ahead") + F.col("inside")) + F.col("size") < 2 * F.col("over")).alias("goes"))
 
 
 def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> dict[str, DataFrame]:
     """Mixes docs(doc_id, text, source) to the targets of `targets`.
 
-    Returns three tables: "sources" (sid, source, source_size, weight, target), "slots" (shard, slot, sid, pass, block,
-    words: what each slot of the mixture takes) and "documents" (doc_id, source, hash, nth, size, source_size, target,
+    Returns three tables: "sources" (sid, source, source_size, weight, target), "slots" (shard, slot, sid, pass, at,
+    block, words: what each slot of the mixture takes) and "documents" (doc_id, source, hash, nth, size, source_size, target,
     taken, passes: for each pass over the source, the document's size if whole documents go by it, else 0). The words
     taken of a source are its target rounded down to a whole word; a document is taken at most twice when cap is 2.
 
@@ -192,18 +200,23 @@ def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, share: float
     spans = spread.select("sid", "start", "block", begin.alias("begin"), end.alias("end"))
     hits = spans.join(picked.select(F.col("sid").alias("s"), F.col("block").alias("b"), "pass", "words"), (F.col("sid") == F.col("s")) & (F.col("block") == F.col("b")))
     part = F.greatest(F.least("end", "words") - F.col("begin"), F.lit(0))
-    taken = hits.groupBy("sid", "start").agg(F.sum(part).alias("taken")).select(F.col("sid").alias("s"), F.col("start").alias("r"), "taken")
-    out = known.join(taken, (F.col("sid") == F.col("s")) & (F.col("start") == F.col("r")) & (F.col("size") > 0), "left")
-    passes = whole_passes(math.ceil(cap), seed).alias("passes")
-    documents = out.select("doc_id", "source", "hash", "nth", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), passes)
+    quota, around = F.floor("target").cast("long"), F.greatest("source_size", F.lit(1))
+    turned = known.withColumn("turn", F.floor(quota / around)).withColumn("over", F.pmod(quota, around))
+    wholes = drawn_wholes(turned, picked, block).withColumn("part", F.lit(0).cast("long"))
+    both = hits.select("sid", "start", part.alias("part"), F.lit(False).alias("goes")).unionByName(wholes)
+    taken = both.groupBy("sid", "start").agg(F.sum("part").alias("taken"), F.max("goes").alias("goes")).select(F.col("sid").alias("s"), F.col("start").alias("r"), "taken", "goes")
+    out = turned.join(taken, (F.col("sid") == F.col("s")) & (F.col("start") == F.col("r")) & (F.col("size") > 0), "left")
+    none = F.lit(0).cast("long")
+    passes = F.array(*[F.when((F.col("turn") > i) | (F.col("turn") == i) & F.coalesce("goes", F.lit(False)), F.col("size")).otherwise(none) for i in range(math.ceil(cap))])
+    documents = out.select("doc_id", "source", "hash", "nth", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), passes.alias("passes"))
     return {"sources": sources, "slots": picked, "documents": documents}
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with a row for each pass over a source by which a document goes.
 
-    Documents go whole, none is torn; a source's words differ from its target by less than its longest document in each
-    pass. Documents without words (null and empty texts) are no part of a mixture of words and don't appear. A null
+    Documents go whole, none is torn: those of the blocks that the mixture draws, in the order in which they are drawn; a
+    source's words differ from its target by half its longest document at most. Documents without words (null and empty texts) are no part of a mixture of words and don't appear. A null
     source is a source of its own. Rows are told apart by doc_id, which may be null or repeat, source and text; of rows
     equal in all three each goes as often as the next, or once more. An empty table gives an empty one; columns may have
     any names, and the result has docs' columns.

@@ -245,6 +245,20 @@ def test_whole_documents_meet_the_targets(spark):
     assert all(abs(got[s] - t) <= (5000 if s != "s0" else 500) for s, t in target.items())
 
 
+def test_drawn_blocks_decide_which_documents_go(spark):
+    """Documents of one block each: in a source's partial pass those go whose blocks the slots take, and no others."""
+    docs = frame(spark, [(1000 * s + i, "w " * 16, f"s{s}") for s in range(3) for i in range(100)])
+    chosen = []
+    for seed in (7, 8):
+        out = mixing.mix(docs, block=16, shard_slots=10, share=0.5, seed=seed)
+        took = {(r.doc_id, r.taken) for r in out["documents"].collect() if r.taken == 16}
+        short = {r.doc_id for r in out["documents"].collect() if 8 < r.taken < 16}
+        got = {r.doc_id for r in mixing.mixed_documents(docs, block=16, shard_slots=10, share=0.5, seed=seed).collect()}
+        assert {d for d, _ in took} <= got <= {d for d, _ in took} | short and len(took) > 100
+        chosen.append(got)
+    assert chosen[0] != chosen[1]
+
+
 def test_mixing_does_not_depend_on_order_or_splits(spark):
     rows = corpus(n=150) + [(3000 + i % 3, f"again {i % 2} " * 40, "s1") for i in range(12)] + [(None, "w " * 100, None)] * 3
     seen, chosen = set(), set()
