@@ -12,6 +12,7 @@ thousandth of one global packing.
 from __future__ import annotations
 
 import codecs
+import itertools
 import json
 import os
 import re
@@ -34,8 +35,8 @@ from .common import pick, stage
 CACHE = 300_000
 #: Characters that end a chunk and are tokens apart from the word before them.
 ENDS = b".,;:!?"
-#: Where a chunk that goes on after a letter or digit with an end mark can be cut, in text without combining marks.
-MARKED = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: Bytes by what chunks need to know: 1 white space, 2 a lower-case letter or digit, 4 a mark that ends a chunk.
+KINDS = bytes(1 if c in b" \t\n\v\f\r" else 2 if c in b"abcdefghijklmnopqrstuvwxyz0123456789" else 4 if c in ENDS else 0 for c in range(256))
 #: The characters by which byte-level BPE writes bytes: those without a print of their own follow U+0100.
 BYTES = "".join(map(chr, [*range(256, 289), *range(33, 127), *range(289, 323), *range(161, 173), 323, *range(174, 256)]))
 #: Words of Latin letters that lower case and composition leave as they are, in UTF-8.
@@ -53,10 +54,29 @@ def combining(data: bytes) -> bool:
     return b"\xcc" in data or b"\xcd" in data
 
 
-def chunks(data: bytes) -> list[bytes]:
-    """White-space separated chunks. Where neither composition nor the names of special tokens can tell, ASCII letters are
-    lower-cased and end marks are chunks apart, so that fewer different chunks have to be known."""
-    return data.split() if combining(data) or b"<|" in data else MARKED.sub(b" ", data.lower()).split()
+def chunks(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts' white-space separated chunks one after another, and where each text's begin, and the last one's end.
+
+    Where neither composition nor the names of special tokens can tell, ASCII letters are lower-cased, and an end mark after a
+    letter or digit begins a chunk, so that fewer different chunks have to be known.
+    """
+    whole = [combining(t) or b"<|" in t for t in texts]
+    data = b"\n".join([t if w else t.lower() for t, w in zip(texts, whole, strict=True)] + [b""])
+    kind = np.frombuffer(data.translate(KINDS), np.uint8)
+    begin = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
+    marked = np.zeros(len(kind), bool)
+    marked[1:] = (kind[1:] == 4) & (kind[:-1] == 2)
+    for i in np.flatnonzero(whole):
+        marked[begin[i] : begin[i + 1]] = False
+    solid = kind != 1
+    first = solid.copy()
+    first[1:] &= (kind[:-1] == 1) | marked[1:]
+    at = np.flatnonzero(first)
+    held = np.frombuffer(data, np.uint8)[solid]  # chunks without what lies between
+    ends = np.append(np.cumsum(solid)[at] - 1, len(held)).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(held)])
+    return found.dictionary_encode(), np.searchsorted(at, begin)
 
 
 class Encoder:
@@ -120,13 +140,20 @@ class Encoder:
             known[c] = known[base] + (known[tail] if tail else b"")
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        docs = [chunks((t or "").encode()) for t in texts]
-        all_ = set().union(*docs)
-        new = all_.difference(self.known)
+        found, begin = chunks([(t or "").encode() for t in texts])
+        all_ = found.dictionary.to_pylist()
+        new = set(all_).difference(self.known)
         if len(self.known) + len(new) > CACHE:  # what these texts share with earlier ones stays
-            self.known = {c: self.known[c] for c in all_ - new}
+            self.known = {c: self.known[c] for c in all_ if c not in new}
         self.learn(new)
-        return [b"".join(map(self.known.__getitem__, doc)) for doc in docs]
+        ids = list(map(self.known.__getitem__, all_))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length) - length
+        which = found.indices.to_numpy(zero_copy_only=False)
+        each = length[which]
+        end = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.repeat(start[which] - end[:-1], each) + np.arange(end[-1])]
+        return [out[a:b].tobytes() for a, b in itertools.pairwise(end[begin].tolist())]
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, end: int = 0, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:

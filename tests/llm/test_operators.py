@@ -315,6 +315,23 @@ def test_encoder_is_the_tokenizer_after_odd_letters():
         assert encoder.encode([t])[0] == np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_known_chunks_are_asked_once_a_call():
+    """Not once for each word of the texts; chunks begin after any ASCII white space, and at marks where nothing forbids it."""
+    class Known(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Known.asked += 1
+            return dict.__getitem__(self, key)
+
+    encoder = packing.Encoder(packing.default_tokenizer())
+    encoder.known = Known()
+    texts = ["the cat. The DOG!\x0b\x0c\r\n ... " * 500, None, "", " \n", "cat." * 3, "Cat. e\u0301. <|x|> dog!"]
+    got = encoder.encode(texts)
+    assert got == [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert Known.asked < 50 and encoder.encode([]) == []
+
+
 def fewest(size, capacity):
     """The least number of bins, by trying all packings."""
     best = len(size)
