@@ -25,6 +25,7 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,8 @@ from .common import pick, stage
 
 #: Chunks of which a worker process remembers the ids, beside those of the texts at hand: about 60 MB.
 CACHE = 300_000
+#: Bytes of text that are encoded at a time, if they are of more than one document.
+PART = 3_000_000
 #: Characters that end a chunk and are tokens apart from the word before them.
 ENDS = b".,;:!?"
 #: Bytes by what chunks need to know: 1 white space, 2 a lower-case letter or digit, 4 a mark that ends a chunk.
@@ -156,6 +159,15 @@ class Encoder:
         return [out[a:b].tobytes() for a, b in itertools.pairwise(end[begin].tolist())]
 
 
+def parted(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    """The batch in slices of texts of about PART bytes together."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // PART
+    if not batch.num_rows:
+        return []
+    cuts = [0, *(np.flatnonzero(end[1:] != end[:-1]) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in itertools.pairwise(cuts)]
+
+
 def pieces(docs: DataFrame, capacity: int = 2048, end: int = 0, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of docs(doc_id, text): each document's ids, then the id `end`,
     cut into pieces of `capacity` only if it is longer."""
@@ -164,8 +176,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end: int = 0, tokenizer: str |
     def run(batches):
         encoder = Encoder.shared(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in parted(whole):
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
                 for i, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
                     ids += end.to_bytes(4, "little")

@@ -332,6 +332,15 @@ def test_known_chunks_are_asked_once_a_call():
     assert Known.asked < 50 and encoder.encode([]) == []
 
 
+def test_texts_are_encoded_by_their_bytes(spark, monkeypatch):
+    """Not by a number of rows: slices hold about PART bytes, and every row is in one of them."""
+    texts = ["a" * 10] * 7 + [None, "", "é" * 500, "b", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    monkeypatch.setattr(packing, "PART", 25)
+    assert [x.num_rows for x in packing.parted(batch)] == [2, 2, 5, 3] and pa.Table.from_batches(packing.parted(batch)).column("text").to_pylist() == texts
+    assert list(packing.parted(batch.slice(0, 0))) == []
+
+
 def fewest(size, capacity):
     """The least number of bins, by trying all packings."""
     best = len(size)
