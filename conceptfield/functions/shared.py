@@ -37,6 +37,21 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
+def set_digest(*columns: Column) -> list[Column]:
+    """Aggregates h0 to h3 and rows that are equal for two groups only if their rows are; a group's rows must differ from one
+    another. The digests of rows are put together by exclusive or, so no group is gathered, whatever its size."""
+    row = F.sha2(F.to_json(F.struct(*columns)), 256)
+    pieces = [F.bit_xor(F.conv(F.substring(row, 15 * i + 1, 15), 16, 10).cast("long")).alias(f"h{i}") for i in range(4)]
+    return [*pieces, F.count("*").alias("rows")]
+
+
+def with_head(df: DataFrame, *keys: str) -> DataFrame:
+    """df with `head`, the first concept of those with equal keys (nulls are equal), without the keys."""
+    joint = F.sha2(F.to_json(F.struct(*keys)), 256)
+    rows = df.withColumn("_key", joint).drop(*keys)
+    return rows.join(rows.groupBy("_key").agg(F.min("concept").alias("head")), "_key").drop("_key")
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Deletes what this application has staged; to be called when no result that reads it is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -8,6 +8,9 @@ components in every task merges a bounded number at a time.
 
 Products of two matrices are products of factors, rank x rank numbers; `inner` and `inner_most` enclose the trace of the
 product of the whole matrices. Weights must not be negative.
+
+Concepts whose components are the same share a sketch: that of their head, a concept that stands for them. Members: concept,
+n, head. Rounds of deepening keep it so for concepts that have the same sources and relations too (`classes`).
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.config import Config
-from ..functions.shared import stage
+from ..functions.shared import set_digest, stage, with_head
 from ..functions.vectors import role_table
-from . import deepen
+from . import deepen, materialize
 
 RANK, FAN = 10, 64
 FIELDS = "n long, mass double, factor array<double>, bound double"
@@ -180,6 +183,20 @@ def sketches(parts: DataFrame, rank: int = RANK, key: Sequence[str] = ("concept"
     return merged(cells.mapInPandas(partial, f"{fields}, slot int, {FIELDS}, held int"), names, fields, rank)
 
 
+def of_judgments(judgments: DataFrame, cfg: Config = Config(), rank: int = RANK) -> tuple[DataFrame, DataFrame]:
+    """(members, the heads' sketches) of judgments' components before consolidation. Only heads get vectors."""
+    parts = stage(materialize.distinct_components(judgments, cfg), "parts")
+    members = stage(materialize.alike(parts), "members")
+    firsts = parts.join(members.where("concept = head").select("concept"), "concept", "left_semi")
+    return members, sketches(materialize.with_vectors(firsts, cfg), rank, weight="weight")
+
+
+def spread(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(concept, n, mass, factor, bound) of all members, from their heads' sketches."""
+    held = found.select(F.col("concept").alias("head"), "mass", "factor", "bound")
+    return members.join(held, "head").select("concept", "n", "mass", "factor", "bound")
+
+
 def products(la: np.ndarray, lb: np.ndarray, mass_a, mass_b, bound_a, bound_b) -> tuple[np.ndarray, np.ndarray]:
     """(least, most) the trace of the product can be, of stacks of factors [pair, rank, d]."""
     least = ((la @ lb.transpose(0, 2, 1)) ** 2).sum(axis=(1, 2))
@@ -230,9 +247,12 @@ def alike(inner_: str = "inner") -> Column:
 def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, rank: int = RANK, targets: DataFrame | None = None) -> DataFrame:
     """(a, b, weight, gap): the cfg.deepen_top_k candidates that contain most of each target, by factors; gap is how much larger
     the weight may be. Heavy concepts are a broadcast stack, rank x d numbers each and at most as many as `deepen.heaviest`
-    gives, with which every target and every candidate of a heavy target is compared where it is; other pairs meet by a join."""
+    gives, with which every target and every candidate of a heavy target is compared where it is; other pairs meet by a join.
+
+    near(a, b) may have `of`, the head whose sketch b shares: heads are compared, b is ranked, and the result has `of` too."""
     kind = dict(found.dtypes)["concept"]
-    near, top = near.select("a", "b"), F.broadcast(heavy.select(F.col("concept").alias("a")))
+    heads, top = near if "of" in near.columns else None, F.broadcast(heavy.select(F.col("concept").alias("a")))
+    near = near.select("a", "b") if heads is None else heads.select("a", F.col("of").alias("b")).distinct()
     some = inner(joined(found, near.join(top, "a", "left_anti")), rank).select("a", "b", contained().alias("weight"), (contained("inner_most") - contained()).alias("gap"))
     rows = found.join(F.broadcast(heavy.select("concept")), "concept", "left_semi").select("concept", "mass", "factor", "bound").collect()
     names = np.array([r.concept for r in rows], object)
@@ -267,24 +287,28 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
     goal = flagged.join(of_heavy, "concept", "left").withColumn("target", F.coalesce("target", F.lit(False))).where("target OR of_heavy IS NOT NULL")
     every = goal.select("concept", "mass", "factor", "bound", "target", "of_heavy").mapInPandas(run, f"a {kind}, b {kind}, weight double, gap double")
     rank_ = F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.round("weight", 12)), "b"))
-    best = some.unionByName(every).where(F.col("weight") > cfg.deepen_containment).withColumn("_rn", rank_)
+    best = some.unionByName(every).where(F.col("weight") > cfg.deepen_containment)
+    if heads is not None:  # heavy concepts are their own heads, and in no row of near
+        best = best.withColumnRenamed("b", "of").join(heads, ["a", "of"], "left").withColumn("b", F.coalesce("b", "of"))
+    best = best.withColumn("_rn", rank_)
     return best.where(F.col("_rn") <= cfg.deepen_top_k).drop("_rn")
 
 
 def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFrame, alpha: float, rank: int = RANK) -> DataFrame:
     """alpha x direct + (1 - alpha) x weighted mean of the sources' sketches, each turned by its relation, as sketches.
 
-    found: a, b, weight. A turned factor is the factor with its coordinates permuted. mass and bound stay exact for these
+    found: a, b, weight, and `of` where b's sketch is another's. A turned factor is the factor with its coordinates permuted. mass and bound stay exact for these
     weights: the remainder is what truncation drops, in this round and those before. Concepts without sources keep their
     direct sketch. Equal lists of sources, relations and weights (to 12 digits) have one mean, which is made once.
     """
+    found = found if "of" in found.columns else found.withColumn("of", F.col("b"))
     rows = found.join(relations, ["a", "b"], "left").withColumn("relation", F.coalesce("verb", F.lit("_default"))).drop("verb")
     kind = dict(now.dtypes)["concept"]
-    listed = F.array_sort(F.collect_list(F.struct("b", "relation", F.round("weight", 12).alias("weight"))))  # no longer than the sources of a target
+    listed = F.array_sort(F.collect_list(F.struct("b", "of", "relation", F.round("weight", 12).alias("weight"))))  # no longer than the sources of a target
     lists = rows.groupBy(F.col("a").alias("concept")).agg(listed.alias("s")).select("concept", F.sha2(F.to_json("s"), 256).alias("a"), "s")
     lists = stage(lists, "lists")
     once = lists.groupBy("a").agg(F.first("s").alias("s")).select("a", F.inline("s"))
-    rows = once.join(now.select(F.col("concept").alias("b"), "mass", "factor", "bound"), "b")
+    rows = once.join(now.select(F.col("concept").alias("of"), "mass", "factor", "bound"), "of")
 
     def turned(frames):
         tables: dict = {}
@@ -330,21 +354,49 @@ def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFr
     return both.mapInPandas(blended, f"concept {kind}, {FIELDS}")
 
 
-def deepened(direct: DataFrame, judgments: DataFrame, cfg: Config = Config(), rank: int = RANK, targets: DataFrame | None = None, iterations: int | None = None) -> DataFrame:
+def classes(members: DataFrame, near: DataFrame, relations: DataFrame, heavy: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(concept, n, head, was): members with the heads of those that deepen alike, and the heads that they had. Concepts of one sketch
+    whose candidates and relations are the same, both targets or none, have the same sources, weights and blend in every round. Heavy
+    concepts stand alone, as a concept isn't its own source."""
+    flagged = members.join(F.broadcast(heavy.select("concept", F.col("concept").alias("own"))), "concept", "left")
+    if targets is not None:
+        relations = relations.join(targets.select(F.col("concept").alias("a")), "a", "left_semi")
+        flagged = flagged.join(targets.select("concept", F.lit(True).alias("target")).distinct(), "concept", "left")
+    keys = ["head", "own", *["target"] * (targets is not None)]
+    for name, table in (("near", near.select("a", "b")), ("relations", relations.select("a", "b", "verb"))):
+        sets = table.groupBy(F.col("a").alias("concept")).agg(*set_digest(*[F.col(c) for c in table.columns[1:]]))
+        keys.append(name)
+        flagged = flagged.join(sets.select("concept", F.struct("h0", "h1", "h2", "h3", "rows").alias(name)), "concept", "left")
+    return with_head(flagged.withColumn("was", F.col("head")).select("concept", "n", "was", *keys), *keys).select("concept", "n", "head", "was")
+
+
+def deepened(direct: DataFrame, judgments: DataFrame, cfg: Config = Config(), rank: int = RANK, targets: DataFrame | None = None, iterations: int | None = None, members: DataFrame | None = None) -> DataFrame:
     """Sketches after the rounds of deepening. direct: sketches; judgments: subject, verb, object, weight; targets(concept) as
     in `deepen.deepen`. What is shuffled for a source is its factor, rank x d numbers.
 
+    With members, direct are the heads' sketches, rounds are made for one concept of each class, and the result has all members.
+    Of the candidates of one class the deepen_top_k first names are enough, as they weigh the same and ties go by name.
+
     Candidates are ranked, and weighted, by the least that their containment can be; the rounds are those of dense matrices
     with these weights, but for what truncation drops. Where gaps overlap, dense weights may rank others higher.
     """
     direct = stage(direct, "sketches")
-    heavy = stage(direct.where(F.col("mass") >= cfg.deepen_min_mass).select("concept", "mass").orderBy(F.desc("mass"), "concept").limit(cfg.deepen_max_candidates), "heavy")
-    near = stage(deepen.candidates(direct if targets is None else targets, deepen.links(judgments), heavy), "near")
+    every = direct if members is None else members.join(direct.select(F.col("concept").alias("head"), "mass"), "head")
+    heavy = stage(every.where(F.col("mass") >= cfg.deepen_min_mass).select("concept", "mass").orderBy(F.desc("mass"), "concept").limit(cfg.deepen_max_candidates), "heavy")
+    near = stage(deepen.candidates(every if targets is None else targets, deepen.links(judgments), heavy), "near")
     relations = stage(deepen.dominant_relation(judgments), "relations")
+    if members is not None:
+        members = stage(classes(members, near, relations, heavy, targets), "members")
+        heads = members.where("concept = head")
+        direct = stage(direct.join(heads.select("concept", F.col("was").alias("_was")), direct["concept"] == F.col("_was")).select(heads["concept"], direct["n"], "mass", "factor", "bound"), "sketches")
+        first = F.row_number().over(W.partitionBy("a", "of").orderBy("b"))
+        near = near.join(heads.select(F.col("concept").alias("a")), "a", "left_semi").join(members.select(F.col("concept").alias("b"), F.col("head").alias("of")), "b")
+        near = stage(near.withColumn("_rn", first).where(F.col("_rn") <= cfg.deepen_top_k).select("a", "b", "of"), "near")
+        relations = stage(relations.join(heads.select(F.col("concept").alias("a")), "a", "left_semi"), "relations")
     now = direct
     for _ in range(cfg.deepen_iterations if iterations is None else iterations):
         now = stage(blend(now, direct, sources(now, near, heavy, cfg, rank, targets), relations, cfg.deepen_alpha, rank), "sketches")
-    return now
+    return now if members is None else spread(now, members)
 
 
 def dense(found: DataFrame, rank: int = RANK) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conceptfield.functions.config import Config
-from conceptfield.operators import deepen, factors, pairsearch
+from conceptfield.operators import deepen, factors, materialize, pairsearch
 from conceptfield.operators import density as D
 from conceptfield.plans import registry
 
@@ -169,3 +169,44 @@ def test_sketches_of_many_small_concepts_come_in_bounded_pieces(spark, monkeypat
 def test_products_are_made_where_they_are_summed():
     got = factors.product_rows([[[1.0, 2.0], [3.0, 4.0]], [[0.5, 1.0], [2.0, 0.0]]])
     assert got.tolist() == [[3.0, 4.0, 6.0, 8.0], [1.0, 0.0, 2.0, 0.0]]
+
+
+def spoken(spark, n=40):
+    """Judgments of many subjects that say the same, some twice, some negated, some of themselves or of one another."""
+    kind = "judgment_id long, subject string, verb string, object string, quality string"
+    rows = [(i, f"s{i:02d}", f"v{i % 2}", f"o{i % 3}", "NEGATIVE" if i % 5 == 4 else "AFFIRMATIVE") for i in range(n)]
+    rows += [(100, "s00", "v0", "o0", "AFFIRMATIVE"), (101, "s06", "v0", "o0", "AFFIRMATIVE"), (102, "s12", "v1", "s13", "AFFIRMATIVE"), (103, "s18", "v0", "s18", "AFFIRMATIVE"), (104, "I", "v0", "o1", "AFFIRMATIVE")]
+    fixed = {"seq": F.col("judgment_id"), "modality": F.lit(1.0), "intensity": F.lit(0.8), "ts": F.lit(0.0), "clause_type": F.lit("GENERIC"), "space_id": F.lit(0), "weight": F.lit(0.8)}
+    return spark.createDataFrame(rows, kind).select("*", *[c.alias(k) for k, c in fixed.items()]).repartition(3)
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_concepts_of_equal_components_deepen_as_if_alone(spark, some):
+    judgments, cfg = spoken(spark), Config(dim=12, deepen_containment=0.05, deepen_top_k=4, deepen_max_candidates=5, deepen_iterations=3)
+    direct = factors.sketches(materialize.components(judgments, cfg), 12, weight="weight")
+    targets = direct.select("concept").where("concept NOT IN ('s01', 'o2', 's30')") if some else None
+    want = {r.concept: r for r in factors.deepened(direct, judgments, cfg, 12, targets).collect()}
+    members, heads = factors.of_judgments(judgments, cfg, 12)
+    assert heads.count() < members.count() / 2
+    for found, whole in ((factors.spread(heads, members), {r.concept: r for r in direct.collect()}), (factors.deepened(heads, judgments, cfg, 12, targets, members=members), want)):
+        got = {r.concept: r for r in found.collect()}
+        assert got.keys() == whole.keys() and found.count() == len(got)
+        for c, r in got.items():
+            x, y = (np.reshape(t.factor, (12, -1)) for t in (r, whole[c]))
+            assert r.n == whole[c].n and r.mass == pytest.approx(whole[c].mass) and np.allclose(x.T @ x, y.T @ y, atol=1e-9)
+
+
+def test_a_round_of_wide_deepen_holds_one_sketch_for_parts_that_are_alike(spark, tmp_path, monkeypatch):
+    """600 parts of two brands and two types: the 200 heaviest concepts and a few classes are deepened."""
+    parts = spark.range(600).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), (F.col("id") % 2).cast("string")).alias("p_brand"), F.concat(F.lit("TYPE "), (F.floor(F.col("id") / 2) % 2).cast("string")).alias("p_type"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    held, stage = [], factors.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        held.append(out.count() if name == "sketches" else 0)
+        return out
+
+    monkeypatch.setattr(factors, "stage", counted)
+    assert registry.queries()["wide_deepen"](spark, str(tmp_path)).count() == 604
+    assert 200 <= max(held) <= 210
