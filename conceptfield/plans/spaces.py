@@ -73,10 +73,10 @@ def partial_trace_relation_context(spark, sf_dir):
     SELECT a, b, round(t / (x.mass * y.mass), 8) AS similarity, true AS enclosed FROM t JOIN m x ON x.g = a JOIN m y ON y.g = b""")
 def tensor_similarity(spark, sf_dir):
     """Likeness of the parts of a label over the product of three spaces, and whether sketches of rank 12 enclose it."""
-    rows, rank = cut(spark, sf_dir).withColumn("concept", F.col("concept") * 10 + F.col("seq") % 10), 64
+    rows = cut(spark, sf_dir).withColumn("concept", F.col("concept") * 10 + F.col("seq") % 10).withColumn("label", F.floor(F.col("concept") / 10))
     names = rows.select("concept").distinct()
     pairs = names.select(F.col("concept").alias("a")).join(names.select(F.col("concept").alias("b")), (F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10)) & (F.col("a") < F.col("b")))  # ten parts of a label
-    whole = factors.inner(factors.joined(tensor.sketches(rows, rank), pairs), rank).select("a", "b", factors.alike().alias("similarity"))
+    whole = tensor.products(rows, "label").select("a", "b", factors.alike().alias("similarity"))
     some = factors.inner(factors.joined(tensor.sketches(rows, 12), pairs), 12).select("a", "b", factors.alike().alias("low"), factors.alike("inner_most").alias("high"))
     enclosed = (F.col("low") <= F.col("similarity") + 1e-9) & (F.col("high") >= F.col("similarity") - 1e-9)
     return whole.join(some, ["a", "b"]).select("a", "b", F.round("similarity", 8).alias("similarity"), enclosed.alias("enclosed"))

@@ -1,5 +1,6 @@
 """Senses on planted groups, product spaces against plain numpy."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -171,3 +172,28 @@ def test_context_dependence_over_embeddings(spark):
         both = (r[:, :, None] * t[:, None, :]).reshape(len(x), -1) * size
         want = entropy(r * size * np.linalg.norm(t, axis=1)[:, None]) + entropy(t * size * np.linalg.norm(r, axis=1)[:, None]) - entropy(both)
         assert got[label] == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize(("chunk", "summed", "dealt"), [(1000, 1000, 1000), (11, 1000, 1000), (11, 0, 1000), (11, 0, 7)])
+def test_products_of_whole_matrices_by_each_route(products, monkeypatch, chunk, summed, dealt):
+    parts, want = products
+    for name, value in (("CHUNK", chunk), ("SUMMED", summed), ("DEALT", dealt), ("STEP", 5), ("ROWS", 3)):
+        monkeypatch.setattr(tensor, name, value)
+    got = {(r.a, r.b): r for r in tensor.products(parts.withColumn("all", F.lit(1)), "all").collect()}
+    assert got.keys() == {(a, b) for a in want for b in want if a < b}
+    for (a, b), r in got.items():
+        assert (r.inner, r.mass_a, r.mass_b) == pytest.approx(((want[a] * want[b]).sum(), np.trace(want[a]), np.trace(want[b])))
+    apart = tensor.products(parts.withColumn("of", F.when(F.col("concept") == "c2", 2).otherwise(1)), "of").collect()
+    assert [(r.a, r.b) for r in apart] == [("c0", "c1")] and apart[0].inner == pytest.approx(got["c0", "c1"].inner)
+    assert tensor.products(parts.where("w IS NULL").withColumn("all", F.lit(1)), "all").count() == 0
+
+
+def test_similarity_of_parts_of_many_vectors_equals_the_sql(spark, tmp_path):
+    """80 vectors in each part of a label: more than sketches of 64 rows hold."""
+    x = unit(np.random.default_rng(2).normal(size=(800, 64))).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b): r for r in registry.queries()["tensor_similarity"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {(a, b): (s, e) for a, b, s, e in con.execute(registry.oracle_sql()["tensor_similarity"]).fetchall()}
+    assert got.keys() == want.keys() and all(abs(got[k].similarity - s) <= 1.5e-8 and got[k].enclosed == e for k, (s, e) in want.items())
