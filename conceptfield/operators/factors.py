@@ -264,12 +264,18 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
                 continue
             lb, mass, bound = held.value
             lb = lb.reshape(len(names), rank, -1)
-            flat = lb.reshape(len(names) * rank, -1).T
+            whole = rank >= lb.shape[2]  # matrices are no larger than factors, and one product each
+            flat = (lb.transpose(0, 2, 1) @ lb).reshape(len(names), -1).T if whole else lb.reshape(len(names) * rank, -1).T
             place = {n: i for i, n in enumerate(names)}
-            for at in range(0, len(pdf), 50):
-                part = pdf.iloc[at : at + 50]
+            step = max(1, CELLS // (rank * lb.shape[2] if whole else rank * rank * len(names)))
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
                 la, ma, ea = np.array(part["factor"].tolist(), float), part["mass"].to_numpy(float)[:, None], part["bound"].to_numpy(float)[:, None]
-                least = ((la.reshape(len(part) * rank, -1) @ flat) ** 2).reshape(len(part), rank, len(names), rank).sum(axis=(1, 3))
+                if whole:
+                    x = la.reshape(len(part), rank, -1)
+                    least = (x.transpose(0, 2, 1) @ x).reshape(len(part), -1) @ flat
+                else:
+                    least = ((la.reshape(len(part) * rank, -1) @ flat) ** 2).reshape(len(part), rank, len(names), rank).sum(axis=(1, 3))
                 most = least + slack((la * la).sum(axis=1)[:, None], (lb * lb).sum(axis=(1, 2)), ma, mass, ea, bound)
                 own, of = part["concept"].to_numpy(), np.zeros(least.shape, bool)
                 for row, heavies in enumerate(part["of_heavy"]):
@@ -382,7 +388,7 @@ def deepened(direct: DataFrame, judgments: DataFrame, cfg: Config = Config(), ra
     """
     direct = stage(direct, "sketches")
     every = direct if members is None else members.join(direct.select(F.col("concept").alias("head"), "mass"), "head")
-    heavy = stage(every.where(F.col("mass") >= cfg.deepen_min_mass).select("concept", "mass").orderBy(F.desc("mass"), "concept").limit(cfg.deepen_max_candidates), "heavy")
+    heavy = stage(every.where(F.col("mass") >= cfg.deepen_min_mass).select("concept", "mass").orderBy(F.desc(F.round("mass", 9)), "concept").limit(cfg.deepen_max_candidates), "heavy")
     near = stage(deepen.candidates(every if targets is None else targets, deepen.links(judgments), heavy), "near")
     relations = stage(deepen.dominant_relation(judgments), "relations")
     if members is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conceptfield.functions.config import Config
 from conceptfield.operators import deepen, factors, materialize, pairsearch
 from conceptfield.operators import density as D
+from conceptfield.plans import factors as plan
 from conceptfield.plans import registry
 
 CFG = Config(dim=12, deepen_containment=0.05, deepen_top_k=4, deepen_max_candidates=3)
@@ -210,3 +211,14 @@ def test_a_round_of_wide_deepen_holds_one_sketch_for_parts_that_are_alike(spark,
     monkeypatch.setattr(factors, "stage", counted)
     assert registry.queries()["wide_deepen"](spark, str(tmp_path)).count() == 604
     assert 200 <= max(held) <= 210
+
+
+def test_wide_deepen_gives_the_masses_of_whole_matrices(spark, tmp_path):
+    """150 parts of two brands and two types, all of them among the heaviest: types have more vectors than a small sketch has rows."""
+    parts = spark.range(150).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), (F.col("id") % 2).cast("string")).alias("p_brand"), F.concat(F.lit("TYPE "), (F.floor(F.col("id") / 2) % 2).cast("string")).alias("p_type"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    known = plan.catalogue(spark, str(tmp_path)).withColumn("weight", F.lit(0.8))
+    dense = deepen.deepen(D.matrices(materialize.components(known.drop("weight"), plan.WIDE), weight="weight"), known, plan.WIDE)
+    want = {r.concept: r.mass for r in D.with_mass(dense).select("concept", "mass").collect()}
+    got = {r.concept: r.mass for r in registry.queries()["wide_deepen"](spark, str(tmp_path)).collect()}
+    assert len(want) == 154 and got == pytest.approx(want, abs=1e-5)
