@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.config import Config
-from ..functions.shared import set_digest, stage, with_head
+from ..functions.shared import dealt, set_digest, stage, with_head
 from ..functions.vectors import role_table
 from . import deepen, materialize
 
@@ -37,12 +37,16 @@ CELLS, MOST, KEY = 1_000_000, 8_000_000, 200
 
 
 def truncated(rows: np.ndarray, rank: int) -> tuple[np.ndarray, float]:
-    """(factor of `rank` rows, filled with zeros; the largest eigenvalue left out) of rows'rows."""
+    """(factor of `rank` rows, filled with zeros; the largest eigenvalue left out) of rows'rows. Where the rank is the whole one, the
+    factor is a triangle, half of it zeros."""
     out = np.zeros((rank, rows.shape[1]))
     rows = rows[np.any(rows != 0, axis=1)]
     if len(rows) <= rank:
         out[: len(rows)] = rows
         return out, 0.0
+    if rank >= rows.shape[1]:
+        out[: rows.shape[1]] = np.linalg.qr(rows, "r")
+        return out, 0.0
     if len(rows) > 4 * rows.shape[1]:  # the matrix is smaller than its rows
         lam, vec = np.linalg.eigh(rows.T @ rows)
         s, vt = np.sqrt(np.maximum(lam[::-1], 0)), vec.T[::-1]
@@ -227,11 +231,11 @@ def inner(pairs: DataFrame, rank: int = RANK) -> DataFrame:
     return pairs.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "inner double", "inner_most double"]))
 
 
-def joined(found: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates(a, b) with the sketches of both."""
+def joined(found: DataFrame, candidates: DataFrame, few: bool = False) -> DataFrame:
+    """candidates(a, b) with the sketches of both, which are broadcast if they are few."""
     for side in ("a", "b"):
         s = found.select(F.col("concept").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("factor", "mass", "bound")])
-        candidates = candidates.join(s, side)
+        candidates = candidates.join(F.broadcast(s) if few else s, side)
     return candidates
 
 
@@ -244,7 +248,7 @@ def alike(inner_: str = "inner") -> Column:
     return F.col(inner_) / (F.col("mass_a") * F.col("mass_b"))
 
 
-def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, rank: int = RANK, targets: DataFrame | None = None) -> DataFrame:
+def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, rank: int = RANK, targets: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(a, b, weight, gap): the cfg.deepen_top_k candidates that contain most of each target, by factors; gap is how much larger
     the weight may be. Heavy concepts are a broadcast stack, rank x d numbers each and at most as many as `deepen.heaviest`
     gives, with which every target and every candidate of a heavy target is compared where it is; other pairs meet by a join.
@@ -253,7 +257,7 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
     kind = dict(found.dtypes)["concept"]
     heads, top = near if "of" in near.columns else None, F.broadcast(heavy.select(F.col("concept").alias("a")))
     near = near.select("a", "b") if heads is None else heads.select("a", F.col("of").alias("b")).distinct()
-    some = inner(joined(found, near.join(top, "a", "left_anti")), rank).select("a", "b", contained().alias("weight"), (contained("inner_most") - contained()).alias("gap"))
+    some = inner(joined(found, near.join(top, "a", "left_anti"), few), rank).select("a", "b", contained().alias("weight"), (contained("inner_most") - contained()).alias("gap"))
     rows = found.join(F.broadcast(heavy.select("concept")), "concept", "left_semi").select("concept", "mass", "factor", "bound").collect()
     names = np.array([r.concept for r in rows], object)
     held = found.sparkSession.sparkContext.broadcast([np.array([r[c] for r in rows], float) for c in ("factor", "mass", "bound")])
@@ -290,7 +294,7 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
     # a candidate is that of at most as many heavy targets as there are heavy concepts
     of_heavy = near.join(top, "a", "left_semi").groupBy(F.col("b").alias("concept")).agg(F.collect_set("a").alias("of_heavy"))
     flagged = found.withColumn("target", F.lit(True)) if targets is None else found.join(targets.select("concept", F.lit(True).alias("target")).distinct(), "concept", "left")
-    goal = flagged.join(of_heavy, "concept", "left").withColumn("target", F.coalesce("target", F.lit(False))).where("target OR of_heavy IS NOT NULL")
+    goal = flagged.join(F.broadcast(of_heavy) if few else of_heavy, "concept", "left").withColumn("target", F.coalesce("target", F.lit(False))).where("target OR of_heavy IS NOT NULL")
     every = goal.select("concept", "mass", "factor", "bound", "target", "of_heavy").mapInPandas(run, f"a {kind}, b {kind}, weight double, gap double")
     rank_ = F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.round("weight", 12)), "b"))
     best = some.unionByName(every).where(F.col("weight") > cfg.deepen_containment)
@@ -300,12 +304,13 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
     return best.where(F.col("_rn") <= cfg.deepen_top_k).drop("_rn")
 
 
-def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFrame, alpha: float, rank: int = RANK) -> DataFrame:
+def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFrame, alpha: float, rank: int = RANK, few: bool = False) -> DataFrame:
     """alpha x direct + (1 - alpha) x weighted mean of the sources' sketches, each turned by its relation, as sketches.
 
     found: a, b, weight, and `of` where b's sketch is another's. A turned factor is the factor with its coordinates permuted. mass and bound stay exact for these
     weights: the remainder is what truncation drops, in this round and those before. Concepts without sources keep their
-    direct sketch. Equal lists of sources, relations and weights (to 12 digits) have one mean, which is made once.
+    direct sketch. Equal lists of sources, relations and weights (to 12 digits) have one mean, which is made once. Few sketches are
+    broadcast, so that lists alone are shuffled, and a list's sum is made in one task.
     """
     found = found if "of" in found.columns else found.withColumn("of", F.col("b"))
     rows = found.join(relations, ["a", "b"], "left").withColumn("relation", F.coalesce("verb", F.lit("_default"))).drop("verb")
@@ -314,7 +319,8 @@ def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFr
     lists = rows.groupBy(F.col("a").alias("concept")).agg(listed.alias("s")).select("concept", F.sha2(F.to_json("s"), 256).alias("a"), "s")
     lists = stage(lists, "lists")
     once = lists.groupBy("a").agg(F.first("s").alias("s")).select("a", F.inline("s"))
-    rows = once.join(now.select(F.col("concept").alias("of"), "mass", "factor", "bound"), "of")
+    held = now.select(F.col("concept").alias("of"), "mass", "factor", "bound")
+    rows = dealt(once, "a").sortWithinPartitions("a").join(F.broadcast(held), "of") if few else once.join(held, "of")
 
     def turned(frames):
         tables: dict = {}
@@ -340,9 +346,24 @@ def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFr
         _, mass, factor, bound = s.row()
         return pd.DataFrame({"a": pdf["a"].iloc[:1], "m_mass": [mass], "m_factor": [factor], "m_bound": [bound]})
 
-    sums = rows.select("a", "weight", "relation", "mass", "factor", "bound").mapInPandas(turned, "a string, w double, mass double, factor array<double>, bound double")
-    means = sums.groupBy("a").applyInPandas(mean, "a string, m_mass double, m_factor array<double>, m_bound double")
-    means = lists.select("concept", "a").join(means, "a").drop("a").withColumnRenamed("concept", "a")
+    def in_order(frames):
+        """Means of lists whose rows follow one another in the task."""
+        held = None
+        for pdf in turned(frames):
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            if len(pdf):
+                last = pdf["a"] == pdf["a"].iloc[-1]
+                held = pdf[last]
+                for _, part in pdf[~last].groupby("a", sort=False):
+                    yield mean(part)
+        if held is not None:
+            yield mean(held)
+
+    rows, fields = rows.select("a", "weight", "relation", "mass", "factor", "bound"), "a string, m_mass double, m_factor array<double>, m_bound double"
+    if few:
+        means = rows.mapInPandas(in_order, fields)
+    else:
+        means = rows.mapInPandas(turned, "a string, w double, mass double, factor array<double>, bound double").groupBy("a").applyInPandas(mean, fields)
 
     def blended(frames):
         for pdf in frames:
@@ -356,7 +377,12 @@ def blend(now: DataFrame, direct: DataFrame, found: DataFrame, relations: DataFr
                 out.append((c, n, mass, factor, bound))
             yield pd.DataFrame(out, columns=["concept", "n", "mass", "factor", "bound"])
 
-    both = direct.join(means, F.col("concept") == F.col("a"), "left").select("concept", "n", "mass", "factor", "bound", "m_mass", "m_factor", "m_bound")
+    named = lists.select("concept", "a")
+    if few:
+        both = direct.join(F.broadcast(named), "concept", "left").join(F.broadcast(means), "a", "left")
+    else:
+        both = direct.join(named.join(means, "a").drop("a"), "concept", "left")
+    both = both.select("concept", "n", "mass", "factor", "bound", "m_mass", "m_factor", "m_bound")
     return both.mapInPandas(blended, f"concept {kind}, {FIELDS}")
 
 
@@ -399,9 +425,10 @@ def deepened(direct: DataFrame, judgments: DataFrame, cfg: Config = Config(), ra
         near = near.join(heads.select(F.col("concept").alias("a")), "a", "left_semi").join(members.select(F.col("concept").alias("b"), F.col("head").alias("of")), "b")
         near = stage(near.withColumn("_rn", first).where(F.col("_rn") <= cfg.deepen_top_k).select("a", "b", "of"), "near")
         relations = stage(relations.join(heads.select(F.col("concept").alias("a")), "a", "left_semi"), "relations")
-    now = direct
+    one, now = direct.select(F.size("factor").alias("cells")).first(), direct
+    few = bool(one) and direct.count() * one.cells * 8 <= deepen.MOST_BROADCAST
     for _ in range(cfg.deepen_iterations if iterations is None else iterations):
-        now = stage(blend(now, direct, sources(now, near, heavy, cfg, rank, targets), relations, cfg.deepen_alpha, rank), "sketches")
+        now = stage(blend(now, direct, sources(now, near, heavy, cfg, rank, targets, few), relations, cfg.deepen_alpha, rank, few), "sketches")
     return now if members is None else spread(now, members)
 
 

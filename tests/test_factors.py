@@ -182,7 +182,8 @@ def spoken(spark, n=40):
 
 
 @pytest.mark.parametrize("some", [False, True])
-def test_concepts_of_equal_components_deepen_as_if_alone(spark, some):
+def test_concepts_of_equal_components_deepen_as_if_alone(spark, monkeypatch, some):
+    monkeypatch.setattr(deepen, "MOST_BROADCAST", 0 if some else 1 << 26)
     judgments, cfg = spoken(spark), Config(dim=12, deepen_containment=0.05, deepen_top_k=4, deepen_max_candidates=5, deepen_iterations=3)
     direct = factors.sketches(materialize.components(judgments, cfg), 12, weight="weight")
     targets = direct.select("concept").where("concept NOT IN ('s01', 'o2', 's30')") if some else None
