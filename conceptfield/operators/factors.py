@@ -257,10 +257,11 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
     kind = dict(found.dtypes)["concept"]
     heads, top = near if "of" in near.columns else None, F.broadcast(heavy.select(F.col("concept").alias("a")))
     near = near.select("a", "b") if heads is None else heads.select("a", F.col("of").alias("b")).distinct()
-    some = inner(joined(found, near.join(top, "a", "left_anti"), few), rank).select("a", "b", contained().alias("weight"), (contained("inner_most") - contained()).alias("gap"))
-    rows = found.join(F.broadcast(heavy.select("concept")), "concept", "left_semi").select("concept", "mass", "factor", "bound").collect()
-    names = np.array([r.concept for r in rows], object)
-    held = found.sparkSession.sparkContext.broadcast([np.array([r[c] for r in rows], float) for c in ("factor", "mass", "bound")])
+    light = near.join(top, "a", "left_anti")
+    some = None if few and light.isEmpty() else inner(joined(found, light, few), rank).select("a", "b", contained().alias("weight"), (contained("inner_most") - contained()).alias("gap"))
+    rows = found.join(F.broadcast(heavy.select("concept")), "concept", "left_semi").select("concept", "mass", "factor", "bound").toArrow()
+    names = np.array(rows["concept"].to_pylist(), object)
+    held = found.sparkSession.sparkContext.broadcast([rows["factor"].combine_chunks().flatten().to_numpy(zero_copy_only=False), *[rows[c].to_numpy() for c in ("mass", "bound")]])
 
     def run(frames):
         for pdf in frames:
@@ -297,7 +298,7 @@ def sources(found: DataFrame, near: DataFrame, heavy: DataFrame, cfg: Config, ra
     goal = flagged.join(F.broadcast(of_heavy) if few else of_heavy, "concept", "left").withColumn("target", F.coalesce("target", F.lit(False))).where("target OR of_heavy IS NOT NULL")
     every = goal.select("concept", "mass", "factor", "bound", "target", "of_heavy").mapInPandas(run, f"a {kind}, b {kind}, weight double, gap double")
     rank_ = F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.round("weight", 12)), "b"))
-    best = some.unionByName(every).where(F.col("weight") > cfg.deepen_containment)
+    best = (every if some is None else some.unionByName(every)).where(F.col("weight") > cfg.deepen_containment)
     if heads is not None:  # heavy concepts are their own heads, and in no row of near
         best = best.withColumnRenamed("b", "of").join(heads, ["a", "of"], "left").withColumn("b", F.coalesce("b", "of"))
     best = best.withColumn("_rn", rank_)
